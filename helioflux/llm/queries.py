@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
+from . import line_dedup, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,28 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = line_dedup.remove_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return d.select("doc_id", "line_dedup.n_lines", "line_dedup.n_removed", F.length("text").cast("long").alias("n_chars_kept"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+_OP2_SQL = """
+    WITH p AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents),
+    l AS (SELECT doc_id, line_no, line, list_filter(regexp_split_to_array(lower(line), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM p),
+    s AS (SELECT doc_id, line_no, list_sort(list_distinct(w)) AS s FROM l WHERE len(w) >= 5),
+    f AS (SELECT s, min((doc_id, line_no)) AS spot, len(s) AS n FROM s GROUP BY s),
+    k AS (SELECT *, row_number() OVER (ORDER BY spot) AS id FROM f),
+    t AS (SELECT id, n, unnest(s) AS w FROM k),
+    c AS (SELECT a.id AS x, b.id AS y, a.n AS n, b.n AS m, count(*) AS o FROM t a JOIN t b ON a.w = b.w AND b.id < a.id
+          AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n GROUP BY ALL HAVING 180 * count(*) >= 80 * (a.n + b.n)),
+    late AS (SELECT DISTINCT x FROM c),
+    gone AS (SELECT DISTINCT s.doc_id, s.line_no FROM s JOIN k ON s.s = k.s LEFT JOIN late ON late.x = k.id WHERE late.x IS NOT NULL OR (s.doc_id, s.line_no) > k.spot),
+    r AS (SELECT p.doc_id, count(*) AS n_lines, count(g.line_no) AS n_removed,
+            coalesce(string_agg(p.line, chr(10) ORDER BY p.line_no) FILTER (g.line_no IS NULL), '') AS t
+          FROM p LEFT JOIN gone g ON p.doc_id = g.doc_id AND p.line_no = g.line_no GROUP BY p.doc_id)
+    SELECT doc_id, n_lines, n_removed, CAST(length(t) AS BIGINT) AS n_chars_kept, sha256(t) AS kept_sha256 FROM r"""
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     q = quality.quality_signals(docs)
@@ -55,8 +77,8 @@ def _op8_sql() -> str:
 
 
 def queries() -> dict[str, Query]:
-    return {"op8_quality_rules": op8_quality_rules}
+    return {"op2_line_dedup": op2_line_dedup, "op8_quality_rules": op8_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_quality_rules": _op8_sql()}
+    return {"op2_line_dedup": _OP2_SQL, "op8_quality_rules": _op8_sql()}
