@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, quality
+from . import html_extract, line_dedup, quality, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +38,16 @@ _OP2_SQL = """
     SELECT doc_id, n_lines, n_removed, CAST(length(t) AS BIGINT) AS n_chars_kept, sha256(t) AS kept_sha256 FROM r"""
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = html_extract.extract_pages(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return d.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lengths = token_counts.with_length(_read(spark, sf_dir, "documents"))
+    return token_counts.suffix_sums(token_counts.length_histogram(lengths))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     q = quality.quality_signals(docs)
@@ -77,7 +87,12 @@ def _op8_sql() -> str:
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_line_dedup": op2_line_dedup, "op8_quality_rules": op8_quality_rules}
+    return {
+        "op2_line_dedup": op2_line_dedup,
+        "op7_html_extraction": op7_html_extraction,
+        "op8_quality_rules": op8_quality_rules,
+        "op10_token_counts": op10_token_counts,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
