@@ -9,7 +9,7 @@ from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 # Element names of the HTML standard, by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -151,7 +151,7 @@ def extract_pages(pages: DataFrame, html: str = "html") -> DataFrame:
     """
     own = [c for c in pages.columns if c != "main_text"]
     d = pages.select(*own)
-    schema = d.schema.add("main_text", "string")
+    schema = StructType([*d.schema.fields, StructField("main_text", StringType())])
     at = own.index(html)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
