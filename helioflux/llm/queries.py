@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, line_dedup, quality, token_counts
+from . import html_extract, line_dedup, quality, sentencepiece_scan, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,6 +43,11 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = sentencepiece_scan.decode(sentencepiece_scan.encode(_read(spark, sf_dir, "documents")))
+    return d.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), F.length("decoded").cast("long").alias("n_chars"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lengths = token_counts.with_length(_read(spark, sf_dir, "documents"))
     return token_counts.suffix_sums(token_counts.length_histogram(lengths))
@@ -91,6 +96,7 @@ def queries() -> dict[str, Query]:
         "op2_line_dedup": op2_line_dedup,
         "op7_html_extraction": op7_html_extraction,
         "op8_quality_rules": op8_quality_rules,
+        "op9_sentencepiece": op9_sentencepiece,
         "op10_token_counts": op10_token_counts,
     }
 
