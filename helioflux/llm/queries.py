@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, line_dedup, quality, sentencepiece_scan, token_counts
+from . import html_extract, line_dedup, ngram_join, quality, sentencepiece_scan, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,10 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text"), words=4, threshold=85)
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = line_dedup.remove_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select("doc_id", "line_dedup.n_lines", "line_dedup.n_removed", F.length("text").cast("long").alias("n_chars_kept"), F.sha2("text", 256).alias("kept_sha256"))
@@ -93,6 +97,7 @@ def _op8_sql() -> str:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
         "op2_line_dedup": op2_line_dedup,
         "op7_html_extraction": op7_html_extraction,
         "op8_quality_rules": op8_quality_rules,
