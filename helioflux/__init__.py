@@ -1 +1,8 @@
 """helioflux: Spark-native analytics for light curves and other multi-sensor time series."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the executors by value, so it need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
