@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, line_dedup, ngram_join, quality, sentencepiece_scan, token_counts
+from . import chat, decontaminate, html_extract, line_dedup, ngram_join, quality, rindex_dedup, sentencepiece_scan, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,6 +42,35 @@ _OP2_SQL = """
     SELECT doc_id, n_lines, n_removed, CAST(length(t) AS BIGINT) AS n_chars_kept, sha256(t) AS kept_sha256 FROM r"""
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.contaminated(docs, _read(spark, sf_dir, "benchmark"))
+
+
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = rindex_dedup.remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return d.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = chat.rotations(_read(spark, sf_dir, "conversations"))
+    return d.select("conv_id", "perspective", F.col("turn").cast("long").alias("turn"), "speaker", F.sha2("segment", 256).alias("segment_sha256"), F.col("start").alias("start_at"), F.col("end").alias("end_at"), "train_start", "train_end")
+
+
+_OP6_SQL = """
+    WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations),
+    w AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
+    d AS (SELECT t.conv_id, perspective, turn, speaker, text,
+            CASE WHEN speaker = perspective THEN '<|assistant|>' || chr(10) WHEN speaker = 'system' THEN '<|system|>' || chr(10)
+                 ELSE '<|user name=' || speaker || '|>' || chr(10) END AS head FROM t JOIN w ON t.conv_id = w.conv_id),
+    s AS (SELECT *, head || text || '<|end|>' || chr(10) AS segment FROM d),
+    o AS (SELECT *, sum(length(segment)) OVER (PARTITION BY conv_id, perspective ORDER BY turn, speaker, text ROWS UNBOUNDED PRECEDING) AS e FROM s)
+    SELECT conv_id, perspective, CAST(turn AS BIGINT) AS turn, speaker, sha256(segment) AS segment_sha256,
+           CAST(e - length(segment) AS BIGINT) AS start_at, CAST(e AS BIGINT) AS end_at,
+           CAST(CASE WHEN speaker = perspective THEN e - length(segment) + length(head) END AS BIGINT) AS train_start,
+           CAST(CASE WHEN speaker = perspective THEN e - 1 END AS BIGINT) AS train_end FROM o"""
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = html_extract.extract_pages(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return d.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
@@ -99,6 +128,9 @@ def queries() -> dict[str, Query]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
         "op2_line_dedup": op2_line_dedup,
+        "op3_benchmark_decontamination": op3_benchmark_decontamination,
+        "op4_suffix_array_dedup": op4_suffix_array_dedup,
+        "op6_chat_formatting": op6_chat_formatting,
         "op7_html_extraction": op7_html_extraction,
         "op8_quality_rules": op8_quality_rules,
         "op9_sentencepiece": op9_sentencepiece,
@@ -107,4 +139,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": _OP2_SQL, "op8_quality_rules": _op8_sql()}
+    return {"op2_line_dedup": _OP2_SQL, "op6_chat_formatting": _OP6_SQL, "op8_quality_rules": _op8_sql()}
