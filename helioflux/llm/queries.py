@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_extract, line_dedup, ngram_join, quality, rindex_dedup, sentencepiece_scan, token_counts
+from . import chat, decontaminate, html_extract, line_dedup, ngram_join, quality, rindex_dedup, secrets, sentencepiece_scan, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,9 +52,14 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = secrets.scan(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return d.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.col("nth").cast("long").alias("nth"), F.sha2("token", 256).alias("token_sha256"), F.length("token").cast("long").alias("n_chars"), F.round("score", 4).alias("score"))
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = chat.rotations(_read(spark, sf_dir, "conversations"))
-    return d.select("conv_id", "perspective", F.col("turn").cast("long").alias("turn"), "speaker", F.sha2("segment", 256).alias("segment_sha256"), F.col("start").alias("start_at"), F.col("end").alias("end_at"), "train_start", "train_end")
+    return d.select("conv_id", "perspective", F.col("turn").cast("long").alias("turn"), "speaker", F.sha2("segment", 256).alias("segment_sha256"), F.col("start").alias("start_at"), F.col("end").alias("end_at"), *[F.coalesce(c, F.lit(-1)).cast("long").alias(c) for c in ("train_start", "train_end")])
 
 
 _OP6_SQL = """
@@ -67,8 +72,8 @@ _OP6_SQL = """
     o AS (SELECT *, sum(length(segment)) OVER (PARTITION BY conv_id, perspective ORDER BY turn, speaker, text ROWS UNBOUNDED PRECEDING) AS e FROM s)
     SELECT conv_id, perspective, CAST(turn AS BIGINT) AS turn, speaker, sha256(segment) AS segment_sha256,
            CAST(e - length(segment) AS BIGINT) AS start_at, CAST(e AS BIGINT) AS end_at,
-           CAST(CASE WHEN speaker = perspective THEN e - length(segment) + length(head) END AS BIGINT) AS train_start,
-           CAST(CASE WHEN speaker = perspective THEN e - 1 END AS BIGINT) AS train_end FROM o"""
+           CAST(CASE WHEN speaker = perspective THEN e - length(segment) + length(head) ELSE -1 END AS BIGINT) AS train_start,
+           CAST(CASE WHEN speaker = perspective THEN e - 1 ELSE -1 END AS BIGINT) AS train_end FROM o"""
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,6 +135,7 @@ def queries() -> dict[str, Query]:
         "op2_line_dedup": op2_line_dedup,
         "op3_benchmark_decontamination": op3_benchmark_decontamination,
         "op4_suffix_array_dedup": op4_suffix_array_dedup,
+        "op5_secret_scan": op5_secret_scan,
         "op6_chat_formatting": op6_chat_formatting,
         "op7_html_extraction": op7_html_extraction,
         "op8_quality_rules": op8_quality_rules,
