@@ -114,6 +114,7 @@ def _sort_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     Holds one batch, its last row, and for the anchor at hand the one copy seen so far.
     """
     names = ["anchor", "content", "doc", "start", "windows"]
+    schema = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("doc", pa.string()), ("start", pa.int64()), ("windows", pa.int64()), ("kind", pa.int32())])
     held = None  # the last row, whose successor is not known
     before = (None, None)  # anchor and content of the row before the held one
     waiting = None  # copy of the anchor at hand, while it has one content
@@ -148,9 +149,9 @@ def _sort_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = rows.iloc[-1:]
         if len(rows) > 1:
             got = flow(rows.iloc[:-1], (rows["anchor"].iloc[-1], rows["content"].iloc[-1]))
-            yield pa.RecordBatch.from_pandas(got.astype({"kind": "int32"}), preserve_index=False)
+            yield pa.RecordBatch.from_pandas(got, schema, preserve_index=False)
     if held is not None:
-        yield pa.RecordBatch.from_pandas(flow(held, (None, None)).astype({"kind": "int32"}), preserve_index=False)
+        yield pa.RecordBatch.from_pandas(flow(held, (None, None)), schema, preserve_index=False)
 
 
 class RunIndex:
