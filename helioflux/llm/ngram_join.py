@@ -341,7 +341,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     total = blocks.groupBy("block").agg(F.sum("n").alias("tokens"))
     dealt = blocks.join(total, "block").withColumn("chunks", F.ceil(F.col("tokens") / block_tokens).cast("int"))
     dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).drop("n")
-    members = table(dealt.join(d, "id"), "members")
+    members = table(dealt.hint("merge").join(d, "id"), "members")  # the same plan at every size
 
     def within(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("id")
