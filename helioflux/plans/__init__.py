@@ -1,6 +1,6 @@
 """Every query of the library by name, with its SQL twin where there is one."""
 
-from . import scalar_queries  # noqa: F401
+from . import event_queries, scalar_queries, series_queries  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
