@@ -429,8 +429,8 @@ class HardBand:
 class Kalman:
     """Level and rate of log flux; sensors are applied in order, each behind a gate on its innovation."""
 
-    def __init__(self, q: float = 1e-6, gate: float = K.GATE_CHI2) -> None:
-        self.q, self.gate, self.l, self.r, self.p, self.ready = q, gate, 0.0, 0.0, [1.0, 0.0, 1e-4], False
+    def __init__(self, q: float = 1e-4, gate: float = K.GATE_CHI2, level: float = -7.0) -> None:
+        self.q, self.gate, self.l, self.r, self.p, self.ready = q, gate, level, 0.0, [1.0, 0.0, 1.0], False
 
     def step(self, sensors: list[tuple[float, float, float]], dt: float) -> tuple[float, float, int]:
         """Sensors as (log10 value, sigma, reliability): (flux, sigma of flux, how many were rejected)."""
