@@ -54,7 +54,7 @@ def shingle_sets(texts: list[str | None], words: int) -> tuple[np.ndarray, np.nd
     w = np.array(ids, np.uint64)
     starts = np.cumsum(counts) - counts
     h = np.zeros(len(w), np.uint64)
-    for j in range(words):  # beyond a text's end nothing is read: such starts are left out below
+    for j in range(min(words, len(w))):  # starts whose n-gram leaves the text are left out below
         h[: len(w) - j] += _mix(w[j:], j + 1)
     h = _mix(h, 77)
     doc = np.repeat(np.arange(len(texts)), counts)
