@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 #: A run of token characters of this length or more, with the 40 characters before it on its line.
 LEAST, CONTEXT = 16, 40
-CANDIDATE = rf"(?<![A-Za-z0-9+/_=.\-])[A-Za-z0-9+/_.\-]{{{LEAST},}}={{0,2}}"
+CANDIDATE = rf"(?<![A-Za-z0-9+/_.\-])[A-Za-z0-9+/_.\-]{{{LEAST},}}={{0,2}}"
 #: Words that stand before credentials, and before things that look like them.
 SECRET_WORDS = ("token", "secret", "passwd", "password", "apikey", "api_key", "api-key", "auth", "bearer", "credential", "private", "access_key", "access-key")
 PLAIN_WORDS = ("sha256", "sha1", "md5", "checksum", "commit", "uuid", "guid", "hash", "digest", "http", "path", "file", "example", "version", "test", "dummy", "sample")
