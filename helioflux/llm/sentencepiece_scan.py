@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Texts of more characters than this are giant and are encoded in chunks of this size.
@@ -215,6 +215,7 @@ def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str =
     fixed size between the passes, and only the ids of one text meet in one row at the end. Rows that share a key are
     encoded apart and keep one row each.
     """
+    small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[key]
     d = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     small = d.where(f"text is null or length(text) <= {giant}")
@@ -236,9 +237,10 @@ def _encode_giant(d: DataFrame, kind: str, path: str, size: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Pieces(path)
         for b in batches:
+            kinds = pa.schema([("row", pa.int64()), ("key", b.schema.field("key").type), ("chunk", pa.int32()), ("part", pa.string()), ("n", pa.int32())])
             for r in b.to_pylist():
                 for i, (t, n) in enumerate(chunks_of(m, m.sp.normalize(r["text"]), size)):
-                    yield pa.RecordBatch.from_pylist([{"row": r["row"], "key": r["key"], "chunk": i, "part": t, "n": n}])
+                    yield pa.RecordBatch.from_pylist([{"row": r["row"], "key": r["key"], "chunk": i, "part": t, "n": n}], schema=kinds)
 
     def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Pieces(path)
@@ -248,7 +250,7 @@ def _encode_giant(d: DataFrame, kind: str, path: str, size: int) -> DataFrame:
     def matrix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Pieces(path)
         for b in batches:
-            yield pa.RecordBatch.from_pylist([{"row": r["row"], "chunk": r["chunk"], "matrix": transfer(m, r["part"], r["n"]).tobytes()} for r in b.to_pylist()])
+            yield pa.RecordBatch.from_pylist([{"row": r["row"], "chunk": r["chunk"], "matrix": transfer(m, r["part"], r["n"]).tobytes()} for r in b.to_pylist()], schema=pa.schema([("row", pa.int64()), ("chunk", pa.int32()), ("matrix", pa.binary())]))
 
     def scan(rows):  # one text's matrices, of a fixed size each
         rows = rows.sort_values("chunk")
