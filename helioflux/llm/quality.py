@@ -92,7 +92,7 @@ def quality_signals(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...]
     w, lines = F.col("_hf_words"), F.col("_hf_lines")
     plain = lambda x: F.lower(F.regexp_replace(x, r"[,.]+$", ""))
     count = lambda a, f: F.size(F.filter(a, f)).cast("long")
-    trimmed = lambda x: F.trim(F.lit(GAP_CHARS), x)
+    trimmed = lambda x: F.trim(x, F.lit(GAP_CHARS))
     signals = {
         "n_words": F.size(w).cast("long"),
         "word_chars": F.length(F.translate(t, GAP_CHARS, "")).cast("long"),
