@@ -3,13 +3,21 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a checkpoint in the shared folder; a session without one (as in tests) gets its own."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="helioflux-"))
-    return df.checkpoint()
+    """``df`` written to the shared folder (``spark.checkpoint.dir``) and read back, which cuts its lineage.
+
+    A session without that setting, as in tests, gets a folder of its own.
+    """
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("helioflux.cut.dir", None)
+    if not root:
+        root = "file://" + tempfile.mkdtemp(prefix="helioflux-")
+        spark.conf.set("helioflux.cut.dir", root)
+    path = f"{root.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

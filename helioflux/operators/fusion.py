@@ -62,13 +62,13 @@ def fit_transfer(df: DataFrame, x: str, y: str, by: Sequence[str] = (), robust:
     fit = line(d.withColumn("w", F.lit(1.0)))
     for _ in range(rounds if robust else 0):
         rows = residuals(fit)
+        rows = rows.join(scale(rows), keys)
         w = F.when(F.col("mad") > 0, X.huber_weight(F.col("r") / F.col("mad"))).otherwise(1.0)
-        nxt = line(rows.join(scale(rows), keys).withColumn("w", w)).select(*keys, F.col("a").alias("a2"), F.col("b").alias("b2"))
-        spread = scale(rows)
+        nxt = line(rows.withColumn("w", w)).select(*keys, F.col("a").alias("a2"), F.col("b").alias("b2"))
+        still = rows.groupBy(*keys).agg(F.first("a").alias("a"), F.first("b").alias("b"), F.first("mad").alias("mad"))
         move = (F.col("mad") > 0) & ((F.abs(F.col("a2") - F.col("a")) >= 1e-9) | (F.abs(F.col("b2") - F.col("b")) >= 1e-9))
-        both = fit.join(nxt, keys).join(spread, keys)
-        fit = both.select(*keys, F.when(move, F.col("a2")).otherwise(F.col("a")).alias("a"), F.when(move, F.col("b2")).otherwise(F.col("b")).alias("b"))
-        fit = cut(fit)
+        both = still.join(nxt, keys)
+        fit = cut(both.select(*keys, F.when(move, F.col("a2")).otherwise(F.col("a")).alias("a"), F.when(move, F.col("b2")).otherwise(F.col("b")).alias("b")))
     rows = residuals(fit)
     out = rows.groupBy(*keys).agg(F.first("a").alias("a"), F.first("b").alias("b"), F.sqrt(F.avg(F.expr("r * r"))).alias("rms_log"), F.count("*").alias("n"), (1 - F.sum(F.expr("r * r")) / F.expr("count(*) * var_pop(ly)")).alias("r2"))
     if robust:
