@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import itertools
 import tempfile
 import uuid
@@ -36,6 +37,15 @@ def table(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove shuffle files that nothing refers to any more: after a ``table`` the shuffles behind it are garbage.
+
+    Spark's cleaner follows the driver's garbage collections, which a driver with little to do may not make for an hour.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Let Arrow batches hold ``rows`` rows at most from here on: whole texts are large, and workers hold a batch at a time."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_GAP, table, text_of
+from .common import GAP_CHARS, WORD_GAP, release, table, text_of
 
 THRESHOLD = 80
 LEAST_WORDS = 5
@@ -16,8 +16,9 @@ SLOT_BITS = 16
 def line_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST_WORDS) -> DataFrame:
     """One row per line of ``least`` words or more: doc_id, line_no (from 0), hashes (distinct 64-bit word hashes)."""
     lines = docs.select(F.col(key).alias("doc_id"), F.posexplode(F.split(text_of(text), "\n")).alias("line_no", "line"))
-    words = F.filter(F.split(F.lower("line"), WORD_GAP), lambda w: w != "")
-    d = lines.select("doc_id", "line_no", words.alias("words")).where(F.size("words") >= least)
+    # Trimmed, a line splits into words only; a blank one gives one empty word, which is too few.
+    words = F.split(F.lower(F.trim(F.col("line"), F.lit(GAP_CHARS))), WORD_GAP)
+    d = lines.select("doc_id", "line_no", words.alias("words")).where((F.size("words") >= least) & (F.get("words", F.lit(0)) != ""))
     return d.select("doc_id", "line_no", F.array_distinct(F.transform("words", lambda w: F.xxhash64(w))).alias("hashes"))
 
 
@@ -69,38 +70,54 @@ def later_matches(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     The join runs twice. First each set meets only the earliest set of each of its tokens, which settles nearly all of
     a large group of near copies without making its pairs. Then the sets still open meet every earlier set.
     """
-    t = threshold
+    t, spark = threshold, lines.sparkSession
     lines = lines.where(F.size("hashes") > 0)
     tokens = _by_rarity(F.col("hashes"), rarity_ranks(lines))
     d = lines.select("doc_id", "line_no", tokens.alias("tokens")).withColumn("set_id", F.xxhash64(F.lit(11), "tokens"))
     at = F.struct("doc_id", "line_no")
     sets = d.groupBy("set_id").agg(F.min_by("tokens", at).alias("tokens"), F.min(at).alias("at"), F.count("*").alias("copies"))
-    sets = table(sets.withColumn("n", F.size("tokens")), "line_sets")
+    bits = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
+    sets = sets.select("set_id", "tokens", "at.doc_id", "at.line_no", "copies", F.size("tokens").alias("n"), bits.alias("bits"))
+    sets = table(sets, "line_sets")
+    release(spark)
 
     prefix = (F.col("n") - F.ceil(F.col("n") * t / F.lit(100) - F.lit(1e-9)) + 1).cast("int")
-    bits = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
-    rows = sets.select("set_id", "at", "n", bits.alias("bits"), F.posexplode(F.slice("tokens", F.lit(1), prefix)).alias("p", "token"))
+
+    def rows_of(s: DataFrame) -> DataFrame:
+        return s.select("set_id", "doc_id", "line_no", "n", "bits", F.posexplode(F.slice("tokens", F.lit(1), prefix)).alias("p", "token"))
+
+    rows = rows_of(sets)
+    earlier = F.struct("b.doc_id", "b.line_no") < F.struct("a.doc_id", "a.line_no")
+
+    def meet(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
+        both = a.alias("a").join(b.alias("b"), (F.col("a.token") == F.col("b.token")) & earlier & _may_match(t, "a", "b"))
+        pairs = table(both.select(F.col("a.set_id").alias("x"), F.col("b.set_id").alias("y")).distinct(), name)
+        release(spark)
+        return pairs
+
     # Tokens of one set make no pair.
-    first = rows.groupBy("token").agg(F.min(F.struct("at", "set_id", "n", "bits", "p")).alias("f"), F.count("*").alias("c")).where("c > 1")
-    first = first.select("token", "f.*")
-    meet = rows.alias("a").join(first.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("b.at") < F.col("a.at")) & _may_match(t, "a", "b"))
-    settled = table(_verified(meet, sets, t).select("x").distinct(), "settled")
-    open_rows = rows.join(settled, rows["set_id"] == settled["x"], "left_anti")
-    meet = open_rows.alias("a").join(rows.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("b.at") < F.col("a.at")) & _may_match(t, "a", "b"))
-    later = settled.unionByName(_verified(meet, sets, t).select("x").distinct())
+    first = rows.groupBy("token").agg(F.min(F.struct("doc_id", "line_no", "set_id", "n", "bits", "p")).alias("f"), F.count("*").alias("c")).where("c > 1")
+    settled = table(_verified(meet(rows, first.select("token", "f.*"), "first_pairs"), sets, t), "settled")
+    release(spark)
+    still = sets.join(settled, sets["set_id"] == settled["x"], "left_anti")
+    later = table(settled.unionByName(_verified(meet(rows_of(still), rows, "pairs"), sets, t)), "later")
+    release(spark)
     gone = sets.join(later, sets["set_id"] == later["x"], "left").where("x is not null or copies > 1")
-    gone = gone.select("set_id", "at", F.col("x").isNotNull().alias("late"))
+    gone = gone.select("set_id", at.alias("at"), F.col("x").isNotNull().alias("late"))
     here = d.select("set_id", "doc_id", "line_no")
-    return here.join(gone, "set_id").where("late or struct(doc_id, line_no) > at").select("doc_id", "line_no")
-
-
-def _verified(meet: DataFrame, sets: DataFrame, t: int) -> DataFrame:
-    """Pairs (x, y) whose whole sets are similar."""
-    pairs = meet.select(F.col("a.set_id").alias("x"), F.col("b.set_id").alias("y")).distinct()
-    s = sets.select(F.col("set_id").alias("x"), F.col("tokens").alias("u"))
-    v = sets.select(F.col("set_id").alias("y"), F.col("tokens").alias("v"))
-    both = pairs.join(s, "x").join(v, "y").withColumn("o", F.size(F.array_intersect("u", "v")))
-    return both.where(F.col("o") * (100 + t) >= t * (F.size("u") + F.size("v"))).select("x", "y")
+    gone = table(here.join(gone, "set_id").where("late or struct(doc_id, line_no) > at").select("doc_id", "line_no"), "gone")
+    release(spark)
+    return gone
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
+    """The later sets (x) of the pairs (x, y) whose whole sets are similar. Only sets in some pair bring their tokens."""
+    asked = pairs.select(F.col("x").alias("set_id")).unionByName(pairs.select(F.col("y").alias("set_id"))).distinct()
+    tokens = sets.select("set_id", "tokens").join(asked, "set_id")
+    u = tokens.select(F.col("set_id").alias("x"), F.col("tokens").alias("u"))
+    v = tokens.select(F.col("set_id").alias("y"), F.col("tokens").alias("v"))
+    both = pairs.join(u, "x").join(v, "y").withColumn("o", F.size(F.array_intersect("u", "v")))
+    return both.where(F.col("o") * (100 + t) >= t * (F.size("u") + F.size("v"))).select("x").distinct()
 
 
 def remove_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, least: int = LEAST_WORDS) -> DataFrame:
