@@ -35,7 +35,10 @@ def range_join(left: DataFrame, right: DataFrame, lt: str, rt: str, before: floa
 
 
 def merge_chains(events: DataFrame, guard: float = K.GUARD_S, by: Sequence[str] = (), start: str = "t_start", end: str = "t_end", order: Sequence[str] = ("event_id",)) -> DataFrame:
-    """``events`` with the number of the chain they merge into: a new one starts more than ``guard`` after all before it."""
+    """``events`` with the number of the chain they merge into: a new one starts more than ``guard`` after all before it.
+
+    Without ``by`` the whole table is one ordered run, in one task.
+    """
     w = Window.partitionBy(*by).orderBy(start, *order)
     before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
     new = F.coalesce(F.col(start) > before + guard, F.lit(True)).cast("int")

@@ -131,7 +131,7 @@ def blocked_folds(df: DataFrame, folds: int, embargo_min: float = K.EMBARGO_MIN,
 
     The rows, in order, are cut at round(i n / (k + 1)) half to even; fold i tests on part i and trains on rows that lie
     more than the embargo before its first test time. Groups that a fold tests on leave its training rows. Folds without
-    training or test rows are left out.
+    training or test rows are left out. Numbering the rows in one order takes them through one task.
     """
     n = df.count()
     bounds = [round(i * n / (folds + 1)) for i in range(folds + 2)]
