@@ -141,7 +141,12 @@ def extract(html: str | None) -> str:
         good = [t for p, t, n, bad, article in blocks if article and not bad and (p in chosen or stats[p][3] < 0.7 * stats[p][0])]
         if good:
             return " ".join(good)
-    return " ".join(t for p, t, _, bad, _ in blocks if not bad and p in chosen)
+    # Short headings and list items next to the text belong to it: everything inside the element that holds most of it.
+    homes = {p.rpartition("/")[0] for p in chosen}
+    home = max(homes, key=lambda h: (sum(fused[p] for p in chosen if p.rpartition("/")[0] == h), h), default="")
+    inner = home + "/" if home and home.rpartition("/")[2] not in ("body", "html") else None
+    inside = {p for p, s in stats.items() if inner and p.startswith(inner) and s[3] < 0.5 * s[0]}
+    return " ".join(t for p, t, _, bad, _ in blocks if not bad and (p in chosen or p in inside))
 
 
 def extract_pages(pages: DataFrame, html: str = "html") -> DataFrame:

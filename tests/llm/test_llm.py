@@ -200,6 +200,8 @@ def test_html():
     assert html_extract.extract(page) == "A & B First para, with bold text. Next line. Second para, unclosed."
     plain = "<body><div id=menu><a href=1>one</a> <a href=2>two</a></div><div class=text><p>Long text, with stops. And more text, yes.</p><p>Another one, as long. It ends.</p></div></body>"
     assert html_extract.extract(plain) == "Long text, with stops. And more text, yes. Another one, as long. It ends."
+    headed = "<body><div class=text><h2>A head</h2><p>Long text, with stops. And more text, yes.</p><ul><li>item</li></ul><p>Another one, as long. It ends.</p></div><div>x</div></body>"
+    assert html_extract.extract(headed) == "A head Long text, with stops. And more text, yes. item Another one, as long. It ends."
     assert html_extract.extract(None) == html_extract.extract("") == html_extract.extract("<p></p>") == ""
 
 
