@@ -51,12 +51,17 @@ def _need(t: int, n: Column, m: Column) -> Column:
 
 def _may_match(t: int, a: str, b: str) -> Column:
     """Length, positional and bitmap filter for a pair that meets at one prefix token."""
-    n, m, p, q, x, y = (F.col(f"{s}.{c}") for c in ("n", "p", "bits") for s in (a, b))
+    n, m, p, q = (F.col(f"{s}.{c}") for c in ("n", "p") for s in (a, b))
     need = _need(t, n, m)
     place = F.least(p, q) + 1 + F.least(n - 1 - p, m - 1 - q)
     length = (100 * n >= t * m) & (100 * m >= t * n)
-    only = lambda u, v, k: k - F.bit_count(u.bitwiseAND(F.bitwise_not(v)))
-    return length & (place >= need) & (only(x, y, n) >= need) & (only(y, x, m) >= need)
+
+    def most(u: str, v: str, k: Column) -> Column:
+        # Every bit that only u has is a token that only u has.
+        alone = [F.bit_count(F.col(f"{u}.bits.w{i}").bitwiseAND(F.bitwise_not(F.col(f"{v}.bits.w{i}")))) for i in range(4)]
+        return k - (alone[0] + alone[1] + alone[2] + alone[3])
+
+    return length & (place >= need) & (most(a, b, n) >= need) & (most(b, a, m) >= need)
 
 
 def later_matches(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -76,7 +81,9 @@ def later_matches(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     d = lines.select("doc_id", "line_no", tokens.alias("tokens")).withColumn("set_id", F.xxhash64(F.lit(11), "tokens"))
     at = F.struct("doc_id", "line_no")
     sets = d.groupBy("set_id").agg(F.min_by("tokens", at).alias("tokens"), F.min(at).alias("at"), F.count("*").alias("copies"))
-    bits = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
+    one = lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int")))
+    part = lambda k: F.filter("tokens", lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(3)) == k)
+    bits = F.struct(*[F.aggregate(part(k), F.lit(0).cast("long"), one).alias(f"w{k}") for k in range(4)])
     sets = sets.select("set_id", "tokens", "at.doc_id", "at.line_no", "copies", F.size("tokens").alias("n"), bits.alias("bits"))
     sets = table(sets, "line_sets")
     release(spark)
