@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them."""
+"""Benchmark decontamination: n-gram seeds find passages, Smith-Waterman alignment scores them."""
 
 from __future__ import annotations
 
@@ -87,18 +87,6 @@ class Items:
             sizes[size] = (g[order], i[order], p[order])
         return cls(ids, words, sizes)
 
-    def seeds(self, counts: dict[int, int]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Of each item the rarer half of its n-grams, eight at least, by the documents that hold them."""
-        out = {}
-        for size, (g, i, p) in self.sizes.items():
-            df = np.array([counts.get(int(x), 0) for x in g.view(np.int64)], np.int64)
-            order = np.lexsort((p, df, i))
-            rank = np.empty(len(g), np.int64)
-            rank[order] = np.arange(len(g)) - np.searchsorted(i[order], i[order])
-            keep = rank < np.maximum(8, (np.bincount(i, minlength=len(self.ids))[i] + 1) // 2)
-            out[size] = (g[keep], i[keep], p[keep])
-        return out
-
 
 def _batches(b: pa.RecordBatch) -> Iterator[tuple[list, list[np.ndarray]]]:
     memo: dict[bytes, int] = {}
@@ -109,27 +97,6 @@ def _batches(b: pa.RecordBatch) -> Iterator[tuple[list, list[np.ndarray]]]:
             memo.clear()
 
 
-def _frequencies(items: Items):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = {size: np.unique(g) for size, (g, _, _) in items.sizes.items()}
-        totals = {size: np.zeros(len(g), np.int64) for size, g in tables.items()}
-        for b in batches:
-            for _, texts in _batches(b):
-                for size, g in tables.items():
-                    for w in texts:
-                        h = gram_hashes(w, size)
-                        at = np.searchsorted(g, h)
-                        at[at == len(g)] = 0
-                        hit = at[g[at] == h]
-                        if len(hit):
-                            totals[size][np.unique(hit)] += 1
-        for size, g in tables.items():
-            k = np.flatnonzero(totals[size])
-            yield pa.RecordBatch.from_arrays([pa.array(g[k].view(np.int64)), pa.array(totals[size][k])], ["gram", "df"])
-
-    return run
-
-
 def _windows(starts: np.ndarray, length: int, slack: int, n: int) -> list[tuple[int, int]]:
     """Passages of a text around the places where an item may start, joined where they overlap."""
     out: list[tuple[int, int]] = []
@@ -142,30 +109,68 @@ def _windows(starts: np.ndarray, length: int, slack: int, n: int) -> list[tuple[
     return out
 
 
-def _matches(items: Items, seeds: dict, threshold: int, kinds: tuple[str, str]):
+def _hits(items: Items, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Item and supposed start of each place where a text holds an n-gram of an item, ordered by item."""
+    who, starts = [], []
+    for size, (g, item, place) in items.sizes.items():
+        h = gram_hashes(w, size)
+        lo = np.searchsorted(g, h)
+        n = np.searchsorted(g, h, "right") - lo
+        p = np.flatnonzero(n)
+        n = n[p]
+        q = np.repeat(lo[p] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        who.append(item[q])
+        starts.append(np.repeat(p, n) - place[q])
+    i, s = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (who, starts))
+    order = np.argsort(i, kind="stable")
+    return i[order], s[order]
+
+
+def _matches(items: Items, threshold: int, kinds: tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lengths = np.array([len(x) for x in items.words], np.int64)
+        flat = np.concatenate([np.zeros(0, np.uint64), *items.words])
+        vocab = np.unique(flat)  # words become places in it, -1 where no item has them
+        flat = np.searchsorted(vocab, flat)
+        ends = np.cumsum(lengths)
+        words = [flat[e - n : e] for e, n in zip(ends, lengths, strict=True)]
+        # Each match takes a word of the item and one of the passage, so a score needs at least so many of both.
+        need = -(-threshold * lengths // 100)
+        # An alignment of that score has no more gaps than this, so it lies that near the start a seed gives.
+        slack = np.maximum(4, MATCH * lengths * (100 - threshold) // (100 * -GAP))
+        has = np.zeros(len(vocab) + 1, bool)  # the last one stands for -1
+        mine = np.zeros(len(vocab) + 1, bool)
         for b in batches:
             out: list[tuple] = []
             for ids, texts in _batches(b):
-                for key, w in zip(ids, texts, strict=True):
-                    spots: dict[int, list[np.ndarray]] = {}
-                    for size, (g, item, place) in seeds.items():
-                        h = gram_hashes(w, size)
-                        lo, hi = np.searchsorted(g, h), np.searchsorted(g, h, "right")
-                        for p in np.flatnonzero(hi > lo):
-                            for q in range(lo[p], hi[p]):
-                                spots.setdefault(int(item[q]), []).append(p - place[q])
-                    for i, s in spots.items():
-                        x = items.words[i]
+                for key, hashes in zip(ids, texts, strict=True):
+                    i, s = _hits(items, hashes)
+                    if not len(i):
+                        continue
+                    at = np.minimum(np.searchsorted(vocab, hashes), len(vocab) - 1)
+                    w = np.where(vocab[at] == hashes, at, -1)
+                    first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+                    for k, part in zip(i[first], np.split(s, first[1:]), strict=True):
+                        x = words[k]
                         best = (0, 0, 0)
-                        for lo, hi in _windows(np.array(s), len(x), max(4, len(x) // 4), len(w)):
-                            score, end = align(x, w[lo:hi])
-                            if score > best[0]:
-                                best = (score, lo, lo + end)
+                        mine[x] = True
+                        for lo, hi in _windows(np.unique(part), len(x), int(slack[k]), len(w)):
+                            v = w[lo:hi]
+                            if np.count_nonzero(mine[v]) < need[k]:
+                                continue
+                            has[v] = True
+                            has[-1] = False
+                            enough = np.count_nonzero(has[x]) >= need[k]
+                            has[v] = False
+                            if enough:
+                                score, end = align(x, v)
+                                if score > best[0]:
+                                    best = (score, lo, lo + end)
+                        mine[x] = False
                         score, lo, end = best
-                        if 100 * score >= threshold * MATCH * len(x):
+                        if score and 100 * score >= threshold * MATCH * len(x):
                             _, back = align(x[::-1], w[lo:end][::-1])
-                            out.append((key, items.ids[i], score, MATCH * len(x), end - back, end))
+                            out.append((key, items.ids[k], score, MATCH * len(x), end - back, end))
             cols = list(zip(*out, strict=True)) if out else [()] * 6
             types = [b.schema.field(0).type, pa.int64() if kinds[1] in ("bigint", "int") else pa.string(), *[pa.int64()] * 4]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["key", "item", "score", "most", "first_word", "end_word"])
@@ -177,9 +182,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     """Rows (key, item, score, most, first_word, end_word): documents with a copy, also an edited one, of a test item.
 
     score is the best local alignment of the item's words with a passage (match 2, mismatch and gap -1), most what the
-    item gives against itself; rows with 100 * score >= threshold * most are returned. Passages are found by seeds: the
-    rarer half of each item's n-grams, by the number of documents that hold them, counted over all documents. Null and
-    empty texts and items match nothing; an item of fewer words than a seed is sought whole.
+    item gives against itself; rows with 100 * score >= threshold * most are returned. Passages are found by seeds: every
+    n-gram of an item, however many documents hold it. A copy without ``seed_words`` words in a row of the item's is not
+    found. Null and empty texts and items match nothing; an item of fewer words than a seed is sought whole.
     The benchmark goes to the executors in parts of ``slice_chars`` characters, each with a pass of its own over the
     documents; no document is shuffled or gathered.
     """
@@ -193,9 +198,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     for k in range(parts):
         part = tests.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k) if parts > 1 else tests
         items = Items.of([(r["item"], r["text"]) for r in part.distinct().sort("item", "text").collect()], seed_words)
-        counts = d.mapInArrow(_frequencies(items), "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df"))
-        seeds = items.seeds({r["gram"]: r["df"] for r in counts.collect()})  # at most the n-grams of this part
-        rows = d.mapInArrow(_matches(items, seeds, threshold, kinds), f"key {kinds[0]}, item {item_kind}, score long, most long, first_word long, end_word long")
+        rows = d.mapInArrow(_matches(items, threshold, kinds), f"key {kinds[0]}, item {item_kind}, score long, most long, first_word long, end_word long")
         found = rows if found is None else found.unionByName(rows)
     return found.withColumnRenamed("key", key).withColumnRenamed("item", item)
 
