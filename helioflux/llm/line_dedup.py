@@ -8,15 +8,14 @@ from pyspark.sql import functions as F
 from .common import GAP_CHARS, WORD_GAP, release, table, text_of
 
 THRESHOLD = 80
-LEAST_WORDS = 5
 #: Slots of the rarity sketch: its size is fixed, whatever the corpus.
 SLOT_BITS = 16
 
 
-def line_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST_WORDS) -> DataFrame:
-    """One row per line of ``least`` words or more: doc_id, line_no (from 0), hashes (distinct 64-bit word hashes)."""
+def line_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 1) -> DataFrame:
+    """One row per line of ``least`` words or more, one at least: doc_id, line_no (from 0), hashes (distinct 64-bit word hashes)."""
     lines = docs.select(F.col(key).alias("doc_id"), F.posexplode(F.split(text_of(text), "\n")).alias("line_no", "line"))
-    # Trimmed, a line splits into words only; a blank one gives one empty word, which is too few.
+    # Trimmed, a line splits into words only; a blank one gives one empty word.
     words = F.split(F.lower(F.trim(F.col("line"), F.lit(GAP_CHARS))), WORD_GAP)
     d = lines.select("doc_id", "line_no", words.alias("words")).where((F.size("words") >= least) & (F.get("words", F.lit(0)) != ""))
     return d.select("doc_id", "line_no", F.array_distinct(F.transform("words", lambda w: F.xxhash64(w))).alias("hashes"))
@@ -68,7 +67,8 @@ def later_matches(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Rows (doc_id, line_no) of the lines that have an earlier line with 100 * |∩| >= threshold * |∪| of their words.
 
     Earlier is by (doc_id, line_no). Lines of equal sets stand for one another: the first of them enters the join, the
-    others are removed at once. Each set's tokens are ordered by rarity; the first n - ceil(t n) + 1 are its prefix, and
+    others are removed at once. Sets so small that one token more or less takes them below the threshold have no other
+    matches and stay out of the join. Each set's tokens are ordered by rarity; the first n - ceil(t n) + 1 are its prefix, and
     similar sets share a prefix token. Pairs that meet must pass the length, the positional and a bitmap filter; the
     whole sets are compared last.
 
@@ -91,6 +91,7 @@ def later_matches(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     prefix = (F.col("n") - F.ceil(F.col("n") * t / F.lit(100) - F.lit(1e-9)) + 1).cast("int")
 
     def rows_of(s: DataFrame) -> DataFrame:
+        s = s.where(100 * F.col("n") >= t * (F.col("n") + 1))
         return s.select("set_id", "doc_id", "line_no", "n", "bits", F.posexplode(F.slice("tokens", F.lit(1), prefix)).alias("p", "token"))
 
     rows = rows_of(sets)
@@ -127,10 +128,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
     return both.where(F.col("o") * (100 + t) >= t * (F.size("u") + F.size("v"))).select("x").distinct()
 
 
-def remove_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, least: int = LEAST_WORDS) -> DataFrame:
+def remove_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, least: int = 1) -> DataFrame:
     """``docs`` with later matches taken out of ``text``, and the struct ``line_dedup`` (n_lines, n_removed).
 
-    Lines of fewer than ``least`` words always stay. The remaining lines are joined by line feeds. Null text stays null
+    Lines without words always stay, as do those of fewer than ``least``. The remaining lines are joined by line feeds. Null text stays null
     and counts no lines; a text that loses every line is empty. Rows that share a key count as one document: line k of
     either is the same line, so a repeated row loses what its twin loses. Extra columns are carried along.
     """

@@ -1,9 +1,14 @@
 """The operators do the whole job: nothing is left out by rank, length or place."""
 
+from pathlib import Path
+
+import duckdb
 import pytest
 from test_llm import frame, prose
 
-from helioflux.llm import decontaminate
+from helioflux.llm import decontaminate, line_dedup, queries
+
+SF = "/root/testdata/sf0.001"
 
 
 @pytest.mark.parametrize(("step", "score"), [(4, 2 * 30 - 9), (5, 2 * 32 - 7)])
@@ -15,3 +20,33 @@ def test_decontamination_of_evenly_edited_copies(spark, step, score):
     bench = spark.createDataFrame([(1, item), (4, prose(25, 30))], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.contaminated(frame(spark, docs), bench).collect()}
     assert got == {(0, 1): 80, (1, 1): score}
+
+
+def brute_all_lines(texts):
+    seen, out = [], {}
+    for i, x in enumerate(texts):
+        kept = []
+        for line in (x or "").split("\n"):
+            s = set(line.lower().split())
+            if not s or not any(100 * len(s & o) >= 80 * len(s | o) for o in seen):
+                kept.append(line)
+            if s:
+                seen.append(s)
+        out[i] = None if x is None else "\n".join(kept)
+    return out
+
+
+def test_line_dedup_of_short_lines(spark):
+    texts = ["All rights reserved.\n\none\na b c d", "all  RIGHTS reserved.\nOne\n \na b c d e", "one one one\na b c\nb c\nc b a", "two\na b d\nc", None, "one", "e a b d"]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.remove_lines(frame(spark, texts)).collect()}
+    assert got == brute_all_lines(texts)
+    assert got[1] == " " and got[2] == "a b c\nb c" and got[5] == "" and got[6] == ""
+
+
+@pytest.mark.skipif(not Path(SF).is_dir(), reason="no test data")
+def test_line_dedup_equals_sql_over_all_lines(spark):
+    # The SQL twin without its limit of five words.
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = con.execute(queries._OP2_SQL.replace("len(w) >= 5", "len(w) >= 1")).fetchall()
+    assert sorted(map(tuple, queries.op2_line_dedup(spark, SF).collect()), key=str) == sorted(want, key=str)
