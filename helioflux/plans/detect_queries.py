@@ -83,8 +83,7 @@ FOCUS = f"""{E}, o AS (SELECT event_id, row_number() OVER (ORDER BY t, event_id)
 @query("det_focus", f"""WITH {FOCUS}, p AS (SELECT b.event_id, b.n - coalesce(a.n, 0) AS m, b.c - coalesce(a.c, 0) AS s FROM c b LEFT JOIN (SELECT n, c FROM c UNION ALL SELECT 0, 0) a ON a.n < b.n)
     SELECT event_id, round(max(CASE WHEN s > m * 45.0 THEN s * ln(s / (m * 45.0)) - (s - m * 45.0) ELSE 0 END), 5) AS statistic FROM p GROUP BY event_id""")
 def det_focus(spark, d):
-    s = streams(spark, d).where("stream = 'view' and t < 1704067200.0 + 5 * 86400")
-    f = D.run_machine(s, lambda: S.Focus(most=100_000), lambda m, x, t: (m.update(x, 45.0, t)[0],), "statistic double")
+    f = D.run_machine(streams(spark, d), lambda: S.Focus(most=100_000), lambda m, x, t: (m.update(x, 45.0, t)[0],), "statistic double")
     return f.select("event_id", F.round("statistic", 5).alias("statistic"))
 
 
