@@ -137,15 +137,22 @@ def _snapped(spark, d):
 CELLS = f"""c AS (SELECT stream, CAST(i AS BIGINT) AS cell, {GRID} + i * 3600.0 AS t FROM range(0, 697) x(i), (SELECT DISTINCT stream FROM e))"""
 
 
-def _cells(spark, d):
-    return S.build_grid(spark, 1704067200.0, 1704067200.0 + 696 * 3600.0, 3600.0).join(F.broadcast(streams(spark, d).select("stream").distinct()))
+def _cells(spark, d, after: bool = False):
+    """The hourly cells from the first to the last sample of the table, for each stream; ``after``: also the next one where a sample is past the last one's start."""
+    e = streams(spark, d)
+    hours = (F.col("t") - 1704067200.0) / 3600
+    lo, hi = e.agg(F.floor(F.min(hours)), (F.ceil if after else F.floor)(F.max(hours))).first()
+    if lo is None:
+        lo, hi = 0, -1
+    g = S.build_grid(spark, 1704067200.0 + lo * 3600.0, 1704067200.0 + hi * 3600.0, 3600.0).withColumn("cell", F.col("cell") + lo)
+    return g.join(F.broadcast(e.select("stream").distinct()))
 
 
 @query("grid_zoh", f"""WITH {E}, {CELLS}, h AS (SELECT c.stream, c.cell, c.t, e.t AS ht, e.value, (e.k + 1) / 10.0::DOUBLE AS s FROM c ASOF LEFT JOIN (SELECT * FROM e) e ON c.stream = e.stream AND c.t >= e.t)
     SELECT stream, cell, CASE WHEN t - ht <= 7200 THEN value ELSE -1 END AS value, CASE WHEN t - ht <= 7200 THEN round(t - ht, 4) ELSE -1 END AS age_s, CASE WHEN t - ht <= 7200 THEN round(s * (1 + (t - ht) / 3600.0), 6) ELSE -1 END AS sigma FROM h""")
 def grid_zoh(spark, d):
     s = streams(spark, d).withColumn("sigma", (F.col("k") + 1) / F.lit(10.0))
-    z = S.zero_order_hold(_cells(spark, d), s, cadence=3600.0, max_age=7200.0)
+    z = S.zero_order_hold(_cells(spark, d, after=True), s, cadence=3600.0, max_age=7200.0)
     none = F.lit(-1.0)
     return z.select("stream", "cell", F.coalesce("value", none).alias("value"), F.coalesce(F.round("age_s", 4), none).alias("age_s"), F.coalesce(r6("sigma"), none).alias("sigma"))
 

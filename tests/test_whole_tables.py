@@ -7,7 +7,9 @@ import math
 import random
 
 import duckdb
+import pandas as pd
 import pytest
+from test_queries import canon
 
 from helioflux.plans import QUERIES, SQL
 
@@ -59,3 +61,29 @@ def test_history_of_every_event(spark, table):
         want[i] = (len(ages), pytest.approx(sum(math.exp(-a / 21600) for a in ages), abs=2e-6), pytest.approx(min([1440, *[a / 60 for a in ages]]), abs=1e-4))
     got = {r["event_id"]: (r["n_events"], r["decayed"], r["minutes_since"]) for r in rows(spark, folder, "join_history")}
     assert got == want
+
+
+def test_focus_over_all_streams_and_days(spark, table):
+    folder, events = table
+    want = {}
+    for stream in ("view", "click", "error"):
+        sums = [0.0]
+        for i, s, _, v, _ in events:
+            if s == stream:
+                sums.append(sums[-1] + v)
+                best = 0.0
+                for start in range(len(sums) - 1):
+                    m, c = len(sums) - 1 - start, sums[-1] - sums[start]
+                    if c > m * 45.0:
+                        best = max(best, c * math.log(c / (m * 45.0)) - (c - m * 45.0))
+                want[i] = pytest.approx(best, abs=2e-5)
+    assert {r["event_id"]: r["statistic"] for r in rows(spark, folder, "det_focus")} == want
+
+
+@pytest.mark.parametrize(("name", "cells"), [("grid_zoh", DAYS * 24 + 1), ("grid_interp", DAYS * 24), ("gap_detect", DAYS * 24), ("gap_fill", DAYS * 24), ("gap_coverage", DAYS * 24)])
+def test_grid_reaches_the_last_sample(spark, table, name, cells):
+    folder, _ = table
+    got = QUERIES[name](spark, folder).toPandas()
+    # The SQL twin with as many cells as the table has hours; a hold has one more, where the last sample is held.
+    want = by_sql(folder, name, "range(0, 697)", f"range(0, {cells})")
+    assert canon(got) == canon(pd.DataFrame(want))
