@@ -113,13 +113,19 @@ def _smooth(values: list[float]) -> list[float]:
     return out
 
 
+def _articles(path: str) -> list[str]:
+    """Paths of the article and main elements around a block, outermost first."""
+    steps = path.split("/")
+    return ["/".join(steps[: i + 1]) for i, s in enumerate(steps) if s.partition(".")[0] in ("article", "main")]
+
+
 def extract(html: str | None) -> str:
     """The main text of one page.
 
     Per tag path: text length per node (the ratio of text to paths) and punctuation per node. Both are smoothed over the
     neighbouring paths in page order, fused as length * log(1 + punctuation), and paths at or above a threshold (a share
-    of the spread of all fused values) hold content. Inside an article or main element, all its paths do unless they
-    are mostly links. Furniture by element or by class, id or role never does. Null or empty html gives "".
+    of the spread of all fused values) hold content, on pages with and without an article element. The other paths of
+    the article or main element around the path with most content follow unless they are mostly links. Furniture by element or by class, id or role never does. Null or empty html gives "".
     """
     if not html:
         return ""
@@ -137,16 +143,15 @@ def extract(html: str | None) -> str:
     mean = sum(fused.values()) / len(fused)
     spread = math.sqrt(sum((x - mean) ** 2 for x in fused.values()) / len(fused))
     chosen = {p for p, x in fused.items() if x >= 0.5 * spread and stats[p][3] < 0.5 * stats[p][0]}
-    if any(article and not bad for _, _, _, bad, article in blocks):
-        good = [t for p, t, n, bad, article in blocks if article and not bad and (p in chosen or stats[p][3] < 0.7 * stats[p][0])]
-        if good:
-            return " ".join(good)
-    # Short headings and list items next to the text belong to it: everything inside the element that holds most of it.
+    # Short headings and list items next to the text belong to it: everything inside the element that holds most of it,
+    # and inside the article and main elements around the path that holds most of it, but for other articles in them.
+    around = set(_articles(max(chosen, key=lambda p: (stats[p][0], p), default="")))
+    beside = {p for p, s in stats.items() if s[3] < 0.7 * s[0] and _articles(p)[-1:] and _articles(p)[-1] in around}
     homes = {p.rpartition("/")[0] for p in chosen}
     home = max(homes, key=lambda h: (sum(fused[p] for p in chosen if p.rpartition("/")[0] == h), h), default="")
     inner = home + "/" if home and home.rpartition("/")[2] not in ("body", "html") else None
     inside = {p for p, s in stats.items() if inner and p.startswith(inner) and s[3] < 0.5 * s[0]}
-    return " ".join(t for p, t, _, bad, _ in blocks if not bad and (p in chosen or p in inside))
+    return " ".join(t for p, t, _, bad, _ in blocks if not bad and (p in chosen or p in beside or p in inside))
 
 
 def extract_pages(pages: DataFrame, html: str = "html") -> DataFrame:

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from test_llm import frame, prose
 
-from helioflux.llm import decontaminate, line_dedup, queries
+from helioflux.llm import decontaminate, html_extract, line_dedup, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -50,3 +50,14 @@ def test_line_dedup_equals_sql_over_all_lines(spark):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
     want = con.execute(queries._OP2_SQL.replace("len(w) >= 5", "len(w) >= 1")).fetchall()
     assert sorted(map(tuple, queries.op2_line_dedup(spark, SF).collect()), key=str) == sorted(want, key=str)
+
+
+def test_html_with_teasers_in_articles():
+    card = "<article class=card><h3>Go on</h3><p>A teaser.</p></article>"
+    text = "<div class=text><h2>Head</h2><p>Long text, with stops. And more text, yes, of many words.</p><p>Another one, as long. It ends, at last.</p><ul><li>alpha</li></ul><h4>Bob</h4></div>"
+    want = "Head Long text, with stops. And more text, yes, of many words. Another one, as long. It ends, at last. alpha Bob"
+    assert html_extract.extract(f"<body>{text}{card}{card}</body>") == want
+    assert html_extract.extract(f"<body><main>{text}{card}{card}</main></body>") == want
+    # Where an article holds the text, its short blocks and those of the main element around it stay.
+    whole = f"<body><main><h1>Top</h1><article class=story>{text}<p>End</p></article>{card}{card}</main></body>"
+    assert html_extract.extract(whole) == "Top " + want + " End"
