@@ -28,7 +28,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 _OP2_SQL = """
     WITH p AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents),
     l AS (SELECT doc_id, line_no, line, list_filter(regexp_split_to_array(lower(line), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM p),
-    s AS (SELECT doc_id, line_no, list_sort(list_distinct(w)) AS s FROM l WHERE len(w) >= 5),
+    s AS (SELECT doc_id, line_no, list_sort(list_distinct(w)) AS s FROM l WHERE len(w) >= 1),
     f AS (SELECT s, min((doc_id, line_no)) AS spot, len(s) AS n FROM s GROUP BY s),
     k AS (SELECT *, row_number() OVER (ORDER BY spot) AS id FROM f),
     t AS (SELECT id, n, unnest(s) AS w FROM k),
@@ -39,7 +39,8 @@ _OP2_SQL = """
     r AS (SELECT p.doc_id, count(*) AS n_lines, count(g.line_no) AS n_removed,
             coalesce(string_agg(p.line, chr(10) ORDER BY p.line_no) FILTER (g.line_no IS NULL), '') AS t
           FROM p LEFT JOIN gone g ON p.doc_id = g.doc_id AND p.line_no = g.line_no GROUP BY p.doc_id)
-    SELECT doc_id, n_lines, n_removed, CAST(length(t) AS BIGINT) AS n_chars_kept, sha256(t) AS kept_sha256 FROM r"""
+    SELECT documents.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, CAST(length(t) AS BIGINT) AS n_chars_kept, sha256(t) AS kept_sha256
+    FROM documents LEFT JOIN r ON r.doc_id = documents.doc_id"""
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

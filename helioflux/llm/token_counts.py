@@ -3,14 +3,22 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import table
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 BLOCK = 1024
+#: The characters that Unicode and the splitting pattern count as white space.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Runs of white space longer than this are cut out before the pattern sees a text: it goes back over a run step by step.
+RUN = 256
+LONG_RUN = re.compile(f"[{SPACES}]{{{RUN + 1},}}")
 
 
 def encoder(path: str):
@@ -24,14 +32,42 @@ def encoder(path: str):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+class Counter:
+    """Counts the tokens of whole texts of any length."""
+
+    def __init__(self, path: str) -> None:
+        import tiktoken
+
+        self.split = encoder(path)
+        ranks = {self.split.decode_single_token_bytes(i): i for i in range(self.split.n_vocab)}
+        self.whole = tiktoken.Encoding("whole", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
+
+    def __call__(self, text: str | None) -> int:
+        """As many tokens as the splitting pattern over the whole text gives.
+
+        The pattern always breaks before a white-space run, and takes a run but for its last character as one part (all
+        of it at the end of the text). So long runs can be encoded as parts, and the texts between them on their own.
+        """
+        n = at = 0
+        text = text or ""
+        for m in LONG_RUN.finditer(text):
+            end = m.end() if m.end() == len(text) else m.end() - 1
+            n += len(self.split.encode_ordinary(text[at : m.start()])) + len(self.whole.encode_ordinary(text[m.start() : end]))
+            at = end
+        return n + len(self.split.encode_ordinary(text[at:] if at else text))
+
+
 def with_length(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str = VOCABULARY) -> DataFrame:
-    """Rows (key, n_tokens): the number of tokens of each whole text; a null text has none."""
+    """Rows (key, n_tokens): the number of tokens of each whole text; a null or empty text has none.
+
+    Repeated rows are counted each; other columns are left out; an empty table gives no rows.
+    """
     kind = dict(docs.dtypes)[key]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(path)
+        tokens = Counter(path)
         for b in batches:
-            n = [0 if t is None else len(e.encode_ordinary(t)) for t in b.column(1).to_pylist()]
+            n = [tokens(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], ["key", "n_tokens"])
 
     out = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(count, f"key {kind}, n_tokens long")
@@ -49,9 +85,11 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
     docs_longer, tokens_longer: documents longer than the limit and their tokens (suffix sums); truncated_total: tokens
     left when every document is cut to the limit; docs_upto / all documents is the limit's quantile. Between two lengths
     that occur, answers follow from the shorter one (see ``answer``). Sums run inside blocks of lengths, then over the
-    blocks, so no task sees more than a block or one row per block. An empty histogram gives no rows.
+    blocks, so no task sees more than a block or one row per block. An empty histogram gives no rows. The histogram is written
+    as a table first, as it is read twice and stands for a pass over all texts.
     """
-    h = hist.withColumn("block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
+    h = table(hist.select("n_tokens", "n_docs"), "histogram")
+    h = h.withColumn("block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
     blocks = h.groupBy("block").agg(F.sum("n_docs").alias("bd"), F.sum("tokens").alias("bt"))
     after = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)

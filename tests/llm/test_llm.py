@@ -1,5 +1,6 @@
 """Operators of the llm subpackage against brute force, with nulls, empty and long texts, ties, repeats, empty tables and extra columns."""
 
+import base64
 import collections
 import hashlib
 import random
@@ -87,13 +88,12 @@ def brute_lines(texts):
         gone = 0
         kept = []
         for line in (x or "").split("\n"):
-            w = line.lower().split()
-            s = set(w)
-            if len(w) >= 5 and any(100 * len(s & o) >= 80 * len(s | o) for o in seen):
+            s = set(line.lower().split())
+            if s and any(100 * len(s & o) >= 80 * len(s | o) for o in seen):
                 gone += 1
             else:
                 kept.append(line)
-            if len(w) >= 5:
+            if s:
                 seen.append(s)
         out[i] = (gone, None if x is None else "\n".join(kept))
     return out
@@ -108,6 +108,29 @@ def test_line_dedup(spark):
     assert line_dedup.remove_lines(frame(spark, texts).limit(0)).count() == 0
 
 
+def test_line_dedup_of_a_large_group_of_near_copies(spark):
+    # Every line differs from the first by few words, not all of them from one another; the rest are alike in frequent words only.
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(30)]
+    near = [[x if rng.random() > 0.06 else f"e{k}x{i}" for i, x in enumerate(base)] for k in range(120)]
+    other = [[rng.choice(base[:12]) for _ in range(rng.randint(4, 9))] + [f"v{rng.randint(0, 40)}"] for _ in range(150)]
+    lines = [" ".join(x) for x in [base, *near, *other]]
+    rng.shuffle(lines)
+    texts = ["\n".join(lines[i : i + 9]) for i in range(0, len(lines), 9)]
+    got = {r["doc_id"]: (r["line_dedup"]["n_removed"], r["text"]) for r in line_dedup.remove_lines(frame(spark, texts)).collect()}
+    assert got == brute_lines(texts)
+
+
+def test_line_dedup_keys_and_columns(spark):
+    rows = [(None, "a b c d e", 1), ("k1", "a b c d e\nx", 2), ("k1", "a b c d e\nx", 2), ("k2", "A B\tC D E\x0c\ny", 3), (None, "a b c d e", 4)]
+    d = spark.createDataFrame(rows, "doc_id string, text string, line_dedup int")
+    got = line_dedup.remove_lines(d)
+    assert got.columns == ["doc_id", "text", "line_dedup"]
+    assert sorted(((r["doc_id"], r["text"], r["line_dedup"]["n_removed"]) for r in got.collect()), key=str) == sorted(
+        [(None, "a b c d e", 0), (None, "a b c d e", 0), ("k1", "a b c d e\nx", 0), ("k1", "a b c d e\nx", 0), ("k2", "y", 1)], key=str
+    )
+
+
 # --- 3 ---------------------------------------------------------------------------------------------------------------------
 def test_decontamination(spark):
     item = prose(20, 40)
@@ -309,6 +332,38 @@ def test_token_counts(spark):
     assert token_counts.suffix_sums(token_counts.length_histogram(d.limit(0))).count() == 0
 
 
+def naive_tokens(text, ranks):
+    """Byte-pair merging step by step: of all neighbours that form a token the one of lowest rank is merged first."""
+    import regex
+
+    n = 0
+    for part in regex.findall(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+", text):
+        b = [bytes([x]) for x in part.encode()]
+        while True:
+            at = min(range(len(b) - 1), key=lambda i: ranks.get(b[i] + b[i + 1], 1 << 30), default=None)
+            if at is None or b[at] + b[at + 1] not in ranks:
+                break
+            b[at : at + 2] = [b[at] + b[at + 1]]
+        n += len(b)
+    return n
+
+
+def test_token_lengths():
+    count = token_counts.Counter(token_counts.VOCABULARY)
+    with open(token_counts.VOCABULARY, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    for t in [x for x in TEXTS[:10] if x] + ["I'll say: it's 2024!  \n\n  naïve 日本語\u3000x\u00a0y", " \t" * 40 + "z"]:
+        assert count(t) == naive_tokens(t, ranks)
+    # Runs that are cut out, against the splitting pattern over the whole text, which stands runs of this length.
+    for gap in (" ", "\n", "\t ", "\u3000", " \x85"):
+        for run in (gap * 128, gap * 257, gap * 300):
+            for t in (run, "a" + run, run + "a", "a" + run + "b", "x" + run + "." + run + "1 y", run + "\x1c" + run):
+                assert count(t) == len(count.split.encode_ordinary(t))
+    for long in (" " * 1_000_000 + "a", "\n" * 2_000_000, "a" * 500_000, "?" * 500_000):
+        assert count(long) > 0
+    assert count(None) == count("") == 0
+
+
 # --- the pipeline ------------------------------------------------------------------------------------------------------------
 def test_pipeline_against_brute_force(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
