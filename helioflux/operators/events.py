@@ -15,23 +15,23 @@ def range_join(left: DataFrame, right: DataFrame, lt: str, rt: str, before: floa
     """Pairs with lt - before <= rt <= lt + after, by way of time buckets: an equi-join, never a nested loop.
 
     Each left row is laid out over the buckets its window touches (two or three), each right row has one bucket, so no
-    pair comes twice. ``how`` is inner, left_semi or left_anti; for the last two the left rows come back as they were.
+    pair comes twice. ``how`` is inner, left_semi or left_anti; for the last two the left rows come back as they were,
+    repeated ones as often and nulls in any column included. A row whose time or key is null matches nothing.
     """
+    if how != "inner":
+        each = left.groupBy(*left.columns).agg(F.count("*").alias("_times"))
+        hit = range_join(each, right.select(*by, rt).distinct(), lt, rt, before, after, by).select(*each.columns).distinct()
+        hit = hit if how == "left_semi" else each.subtract(hit)  # a set difference, so nulls are equal
+        return hit.select(*left.columns, F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).drop("col")
     width = max(before + after, 1e-9)
     r = right.withColumn("_b", F.floor(F.col(rt) / width))
-    lid = left.withColumn("_id", F.monotonically_increasing_id()) if how != "inner" else left
-    l = lid.withColumn("_b", F.explode(F.sequence(F.floor((F.col(lt) - before) / width), F.floor((F.col(lt) + after) / width))))
+    l = left.withColumn("_b", F.explode(F.sequence(F.floor((F.col(lt) - before) / width), F.floor((F.col(lt) + after) / width))))
     keys = ["_b", *by]
     cond = (F.col(f"l.{lt}") - before <= F.col(f"r.{rt}")) & (F.col(f"r.{rt}") <= F.col(f"l.{lt}") + after)
     for k in keys:
         cond = cond & (F.col(f"l.{k}") == F.col(f"r.{k}"))
-    if how == "inner":
-        rcols = [c for c in r.columns if c not in keys]
-        return l.alias("l").join(r.alias("r"), cond).select(*[F.col(f"l.{c}") for c in left.columns], *[F.col(f"r.{c}") for c in rcols if c not in left.columns])
-    hit = l.alias("l").join(r.alias("r"), cond, "left_semi").select(*left.columns)
-    if how == "left_semi":
-        return hit.distinct()
-    return left.join(hit.distinct(), list(left.columns), "left_anti")
+    rcols = [c for c in r.columns if c not in keys]
+    return l.alias("l").join(r.alias("r"), cond).select(*[F.col(f"l.{c}") for c in left.columns], *[F.col(f"r.{c}") for c in rcols if c not in left.columns])
 
 
 def merge_chains(events: DataFrame, guard: float = K.GUARD_S, by: Sequence[str] = (), start: str = "t_start", end: str = "t_end", order: Sequence[str] = ("event_id",)) -> DataFrame:
@@ -76,24 +76,52 @@ def nearest_event(points: DataFrame, events: DataFrame, t: str = "t", peak: str
     days = d.where("_s = 0").groupBy("_day").agg(F.max("_e").alias("_last"), F.min("_e").alias("_first"))
     w = Window.orderBy("_day")  # one row per day
     alldays = d.select("_day").distinct().join(days, "_day", "left")
-    alldays = alldays.withColumn("_before", F.last("_last", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("_after", F.first("_first", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    alldays = alldays.withColumn("_before", F.last("_last", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    alldays = alldays.withColumn("_after", F.last("_first", ignorenulls=True).over(Window.orderBy(F.desc("_day")).rowsBetween(Window.unboundedPreceding, -1)))
     d = d.join(alldays.select("_day", "_before", "_after"), "_day")
     order = Window.partitionBy("_day").orderBy("_t", "_s", *[f"_k{i}" for i in range(len(key))])
     d = d.withColumn("_l", F.coalesce(F.last("_e", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.col("_before")))
-    d = d.withColumn("_r", F.coalesce(F.first("_e", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)), F.col("_after"))).where("_s = 1")
+    # The first event after a point, as the last one before it in the reverse order: such a frame only grows.
+    back = Window.partitionBy("_day").orderBy(*[F.desc(c) for c in ("_t", "_s", *[f"_k{i}" for i in range(len(key))])])
+    d = d.withColumn("_r", F.coalesce(F.last("_e", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)), F.col("_after"))).where("_s = 1")
     left_near = F.col("_r").isNull() | (F.col("_t") - F.col("_l.peak") <= F.col("_r.peak") - F.col("_t"))
     best = F.when(F.col("_l").isNotNull() & left_near, F.col("_l")).otherwise(F.col("_r"))
     return d.withColumn("_b", best).select("_p.*", *[F.col(f"_b.{k}").alias(f"near_{k}") for k in key], F.col("_b.peak").alias("near_peak"))
 
 
 def history(points: DataFrame, events: DataFrame, by: Sequence[str] = (), t: str = "t", onset: str = "t_start", window: float = K.HISTORY_TAU_S, tau: float = K.HISTORY_TAU_S) -> DataFrame:
-    """Per point: events in the last ``window`` seconds, their sum of exp(-age / tau), and minutes since the last one (1440 at most)."""
-    p = points.withColumn("_id", F.monotonically_increasing_id())
-    pairs = range_join(p.select("_id", *by, t), events.select(*by, F.col(onset).alias("_on")), t, "_on", window, 0.0, by)
-    age = F.col(t) - F.col("_on")
-    s = pairs.groupBy("_id").agg(F.count("*").alias("n"), F.sum(F.exp(-age / tau)).alias("decayed"), F.min(age).alias("age"))
-    d = p.join(s, "_id", "left")
-    return d.select(*points.columns, F.coalesce("n", F.lit(0)).alias("n_events"), F.coalesce("decayed", F.lit(0.0)).alias("decayed"), F.least(F.coalesce(F.col("age") / 60, F.lit(K.CAP_MIN)), F.lit(K.CAP_MIN)).alias("minutes_since"))
+    """Per point, over the events at or before it: their number in the last ``window`` seconds, the sum of exp(-age / tau) over
+    all of them, and minutes since the last one (1440 at most, also where there is none).
+
+    One ordered union of points and events, in blocks of 50 tau: within a block running sums, from before it one row per
+    block. Events that are two blocks or more away add less than exp(-50) each to the decayed sum and are left out of it.
+    """
+    block = 50.0 * tau
+    blk = lambda c: F.floor(c / block).cast("long")
+    on = F.col(onset)
+    w0 = F.exp((on - blk(on) * block) / tau)
+    begun = events.select(*by, on.alias("_t"), F.lit(0).alias("_s"), F.lit(1).alias("_one"), w0.alias("_w"), on.alias("_on"))
+    # An event leaves the count after ``window`` seconds, behind the points of that moment.
+    ended = events.select(*by, (on + window).alias("_t"), F.lit(2).alias("_s"), F.lit(-1).alias("_one"))
+    asked = points.select(*by, F.col(t).alias("_t"), F.lit(1).alias("_s"), F.struct(*[c for c in points.columns if c not in by]).alias("_p"))
+    u = begun.unionByName(ended, allowMissingColumns=True).unionByName(asked, allowMissingColumns=True).withColumn("_b", blk(F.col("_t")))
+    total = u.groupBy(*by, "_b").agg(F.sum("_one").alias("_n"), F.sum("_w").alias("_w"), F.max("_on").alias("_on"))
+    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row per block
+    last = Window.partitionBy(*by).orderBy("_b")
+    near = F.when(F.lag("_b").over(last) == F.col("_b") - 1, F.lag("_w").over(last))
+    prior = total.select(*by, "_b", F.sum("_n").over(before).alias("_n0"), near.alias("_w0"), F.max("_on").over(before).alias("_on0"))
+    run = Window.partitionBy(*by, "_b").orderBy("_t", "_s").rowsBetween(Window.unboundedPreceding, 0)
+    d = u.withColumns({"_n": F.sum("_one").over(run), "_ws": F.sum("_w").over(run), "_last": F.max("_on").over(run)}).where("_s = 1")
+    cond = F.col("u._b") == F.col("v._b")
+    for c in by:
+        cond = cond & F.col(f"u.{c}").eqNullSafe(F.col(f"v.{c}"))
+    d = d.alias("u").join(prior.alias("v"), cond, "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    decayed = F.exp(-(F.col("_t") - F.col("u._b") * block) / tau) * (zero("_ws") + zero("_w0") * F.exp(F.lit(-block / tau)))
+    since = F.least(F.lit(K.CAP_MIN), (F.col("_t") - F.coalesce("_last", "_on0")) / 60)
+    n = F.coalesce("_n", F.lit(0)) + F.coalesce("_n0", F.lit(0))
+    cols = [F.col(f"u.{c}").alias(c) if c in by else F.col(f"_p.{c}").alias(c) for c in points.columns]
+    return d.select(*cols, n.cast("long").alias("n_events"), decayed.alias("decayed"), F.coalesce(since, F.lit(K.CAP_MIN)).alias("minutes_since"))
 
 
 def consensus_vote(entries: DataFrame, cluster: str = "cluster") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from .common import cut, let
 
 
 def ordered(by: Sequence[str] = ("stream",), order: Sequence[str] = ("t", "event_id")) -> WindowSpec:
@@ -18,8 +19,9 @@ def ordered(by: Sequence[str] = ("stream",), order: Sequence[str] = ("t", "event
 def hampel(x: Column, w: WindowSpec, width: int = K.HAMPEL_WIDTH, k: float = K.HAMPEL_K) -> tuple[Column, Column, Column]:
     """(is outlier, cleaned value, median) against the ``width`` samples before; fewer than two of them judge nothing."""
     prior = F.collect_list(x).over(w.rowsBetween(-width, -1))
-    mid = _median(F.array_sort(prior))
-    dev = _median(F.array_sort(F.transform(prior, lambda v: F.abs(v - mid))))
+    mid = let(F.array_sort(prior), _median)
+    # The median is bound before the lambda, which would sort the window again for each element.
+    dev = let(mid, lambda m: let(F.array_sort(F.transform(prior, lambda v: F.abs(v - m))), _median))
     bad = F.coalesce((F.size(prior) >= 2) & F.when(dev > 0, F.abs(x - mid) > k * 1.4826 * dev).otherwise(x != mid), F.lit(False))
     return bad, F.when(bad, mid).otherwise(x), mid
 
@@ -136,7 +138,9 @@ def interpolate(cells: DataFrame, max_gap_s: float, log: bool = False, by: Seque
     """
     w = Window.partitionBy(*by).orderBy("t")
     side = F.when(F.col("value").isNotNull(), F.struct("t", "value", "sigma"))
-    d = cells.withColumn("_l", F.last(side, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("_r", F.first(side, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    d = cells.withColumn("_l", F.last(side, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    back = Window.partitionBy(*by).orderBy(F.desc("t"))  # backwards, as a frame that grows is kept and one that shrinks is computed anew
+    d = d.withColumn("_r", F.last(side, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)))
     span = F.col("_r.t") - F.col("_l.t")
     ok = F.col("value").isNull() & (span <= max_gap_s + 1e-9)
     if keep_out is not None:
@@ -209,19 +213,28 @@ def coverage(cells: DataFrame, by: Sequence[str] = ("stream",)) -> DataFrame:
 def despike(df: DataFrame, value: str = "value", k: float = 5.0, passes: int = 3, by: Sequence[str] = ("stream",), order: Sequence[str] = ("t", "event_id")) -> DataFrame:
     """Median and MAD clipping in ``passes`` rounds; outliers take the last good value (the median where there is none).
 
-    Groups that have converged stop moving by themselves: their next round finds nothing.
+    Groups that have converged stop moving by themselves: their next round finds nothing. The limits of a round are a
+    small table, so that no round is computed again by the next.
     """
-    d = df.withColumn("spike", F.lit(False))
+    limits: list[DataFrame] = []
+
+    def flagged() -> DataFrame:
+        """The rows with whether some round so far has found them; each round left a row per group."""
+        d, spike = df, F.lit(False)
+        for i, lim in enumerate(limits):
+            d = d.join(lim.select(*by, F.col("m").alias(f"_m{i}"), F.col("thr").alias(f"_t{i}")), list(by), "left")
+            spike = spike | F.coalesce((F.col(f"_t{i}") > 0) & (F.abs(F.col(value) - F.col(f"_m{i}")) > F.col(f"_t{i}")), F.lit(False))
+        return d.select(*df.columns, spike.alias("spike"))
+
     for _ in range(passes):
-        kept = d.where(~F.col("spike"))
-        med = kept.groupBy(*by).agg(F.median(value).alias("_m"))
-        dev = kept.join(med, list(by)).withColumn("_d", F.abs(F.col(value) - F.col("_m")))
-        dev = dev.groupBy(*by).agg(F.first("_m").alias("_m"), F.median("_d").alias("_mad"), F.avg("_d").alias("_mean"))
-        sig = F.when(F.col("_mad") > 0, 1.4826 * F.col("_mad")).otherwise(1.2533 * F.col("_mean"))
-        dev = dev.select(*by, "_m", (k * sig).alias("_thr"))
-        d = d.join(dev, list(by), "left")
-        d = d.withColumn("spike", F.col("spike") | F.coalesce((F.col("_thr") > 0) & (F.abs(F.col(value) - F.col("_m")) > F.col("_thr")), F.lit(False))).drop("_m", "_thr")
-    last = d.where(~F.col("spike")).groupBy(*by).agg(F.median(value).alias("_m"))
+        kept = flagged().where(~F.col("spike"))
+        med = cut(kept.groupBy(*by).agg(F.median(value).alias("m")))
+        dev = kept.join(med, list(by)).withColumn("_d", F.abs(F.col(value) - F.col("m")))
+        dev = dev.groupBy(*by).agg(F.first("m").alias("m"), F.median("_d").alias("mad"), F.avg("_d").alias("mean"))
+        sig = F.when(F.col("mad") > 0, 1.4826 * F.col("mad")).otherwise(1.2533 * F.col("mean"))
+        limits.append(cut(dev.select(*by, "m", (k * sig).alias("thr"))))
+    d = flagged()
+    last = cut(d.where(~F.col("spike")).groupBy(*by).agg(F.median(value).alias("_m")))
     w = ordered(by, order).rowsBetween(Window.unboundedPreceding, 0)
     d = d.join(last, list(by), "left").withColumn("clean", F.coalesce(F.last(F.when(~F.col("spike"), F.col(value)), ignorenulls=True).over(w), F.col("_m")))
     return d.drop("_m")

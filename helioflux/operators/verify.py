@@ -107,8 +107,9 @@ def labels(times: DataFrame, events: DataFrame, horizon_min: float, by: Sequence
     cols = [c for c in times.columns if c not in by]
     p = events.select(*by, F.col("t_peak").alias("_t"), F.lit(0).alias("_s"), F.col("t_peak").alias("_p"))
     q = times.select(*by, F.col("t").alias("_t"), F.lit(1).alias("_s"), F.struct(*cols).alias("_r"))
-    w = Window.partitionBy(*by).orderBy("_t", "_s").rowsBetween(1, Window.unboundedFollowing)
-    d = p.unionByName(q, allowMissingColumns=True).withColumn("_n", F.first("_p", ignorenulls=True).over(w)).where("_s = 1")
+    # Backwards in time, as a frame that grows is kept and one that shrinks is computed anew for each row.
+    w = Window.partitionBy(*by).orderBy(F.desc("_t"), F.desc("_s")).rowsBetween(Window.unboundedPreceding, -1)
+    d = p.unionByName(q, allowMissingColumns=True).withColumn("_n", F.last("_p", ignorenulls=True).over(w)).where("_s = 1")
     d = d.withColumn("y", F.coalesce(((F.col("_n") > F.col("_t")) & (F.col("_n") - F.col("_t") <= h)).cast("int"), F.lit(0))).select(*by, "_r.*", "y")
     if not drop_inside:
         return d
@@ -179,15 +180,15 @@ def hawkes(mu: Column, history: Column, horizon_min: Column, alpha: float = 0.5)
 
 
 # --- lead times --------------------------------------------------------------------------------------------------------------
-def confirmed(df: DataFrame, theta: float, by: Sequence[str] = (), k: int = K.K_OF_M[0], m: int = K.K_OF_M[1], order: Sequence[str] = ("t",)) -> DataFrame:
-    """Rows with whether p >= theta here and in k of the m samples from here on."""
+def confirmed(df: DataFrame, theta: float, by: Sequence[str] = (), k: int = K.K_OF_M[0], m: int = K.K_OF_M[1], order: Sequence[str] = ("t", "p")) -> DataFrame:
+    """Rows with whether p >= theta here and in k of the m samples from here on; equal times go by p."""
     w = Window.partitionBy(*by).orderBy(*order)
     on = F.col("p") >= theta
     return df.withColumn("on", on).withColumn("confirmed", on & (F.sum(on.cast("int")).over(w.rowsBetween(0, m - 1)) >= k))
 
 
-def episodes(df: DataFrame, by: Sequence[str] = (), order: Sequence[str] = ("t",)) -> DataFrame:
-    """Alert time of each run of ``on``: its first confirmed sample; runs without one raise none."""
+def episodes(df: DataFrame, by: Sequence[str] = (), order: Sequence[str] = ("t", "p")) -> DataFrame:
+    """Alert time of each run of ``on``: its first confirmed sample; runs without one raise none. Equal times go by p."""
     w = Window.partitionBy(*by).orderBy(*order)
     d = df.withColumn("_n", F.row_number().over(w)).where("on").withColumn("_run", F.col("_n") - F.row_number().over(w))
     return d.groupBy(*by, "_run").agg(F.min(F.when(F.col("confirmed"), F.col("t"))).alias("t_alert")).where("t_alert is not null").drop("_run")
@@ -198,10 +199,10 @@ def lead_times(df: DataFrame, peaks: DataFrame, theta: float, window_s: float =
     from .events import range_join
 
     c = confirmed(df, theta, by).where("confirmed").select(*by, F.col("t").alias("_t"))
-    pk = peaks.withColumn("_id", F.monotonically_increasing_id())
-    hit = range_join(pk.select("_id", *by, "t_peak"), c, "t_peak", "_t", window_s, 0.0, by).where("_t < t_peak")
-    first = hit.groupBy("_id").agg(F.min("_t").alias("_t"))
-    return pk.join(first, "_id", "left").withColumn("lead_s", F.col("t_peak") - F.col("_t")).drop("_id", "_t")
+    spots = peaks.select(*by, "t_peak").distinct()  # peaks at one time share their first crossing
+    hit = range_join(spots, c, "t_peak", "_t", window_s, 0.0, by).where("_t < t_peak")
+    first = hit.groupBy(*by, "t_peak").agg(F.min("_t").alias("_t"))
+    return peaks.join(first, [*by, "t_peak"], "left").withColumn("lead_s", F.col("t_peak") - F.col("_t")).select(*peaks.columns, "lead_s")
 
 
 def lead_report(leads: DataFrame, by: Sequence[str] = (), buckets: Sequence[int] = K.LEAD_BUCKETS_MIN) -> DataFrame:
@@ -221,18 +222,19 @@ def lead_vs_far(df: DataFrame, peaks: DataFrame, thetas: Sequence[float], window
     th = F.explode(F.array(*[F.lit(float(x)) for x in thetas])).alias("theta")
     keys = ["theta", *by]
     d = df.select(*df.columns, th)
-    w = Window.partitionBy(*keys).orderBy("t")
+    w = Window.partitionBy(*keys).orderBy("t", "p")
     on = F.col("p") >= F.col("theta")
     d = d.withColumn("on", on).withColumn("confirmed", on & (F.sum(on.cast("int")).over(w.rowsBetween(0, K.K_OF_M[1] - 1)) >= K.K_OF_M[0]))
-    pk = peaks.select(*peaks.columns, th).withColumn("_id", F.monotonically_increasing_id())
+    pk = peaks.select(*peaks.columns, th)
+    at, spots = [*keys, "t_peak"], pk.select(*keys, "t_peak").distinct()  # what holds for a time holds for all peaks at it
     cross = d.where("confirmed").select(*keys, F.col("t").alias("_t"))
-    hit = range_join(pk.select("_id", *keys, "t_peak"), cross, "t_peak", "_t", window_s, 0.0, keys).where("_t < t_peak").groupBy("_id").agg(F.min("_t").alias("_t"))
-    med = pk.join(hit, "_id").groupBy("theta").agg(F.median(F.col("t_peak") - F.col("_t")).alias("median_lead_s"))
-    alerts = episodes(d, keys).withColumn("_a", F.monotonically_increasing_id())
-    good = range_join(alerts.select("_a", *keys, "t_alert"), pk.select(*keys, "t_peak"), "t_alert", "t_peak", 0.0, window_s, keys).select("_a").distinct().withColumn("ok", F.lit(1))
-    far = alerts.join(good, "_a", "left").groupBy("theta").agg((1 - F.count("ok") / F.count("*")).alias("far"))
-    seen = range_join(pk.select("_id", *keys, "t_peak"), alerts.select(*keys, "t_alert"), "t_peak", "t_alert", window_s, 0.0, keys).where("t_alert < t_peak").select("_id").distinct().withColumn("ok", F.lit(1))
-    tpr = pk.join(seen, "_id", "left").groupBy("theta").agg((F.count("ok") / F.count("*")).alias("tpr"))
+    hit = range_join(spots, cross, "t_peak", "_t", window_s, 0.0, keys).where("_t < t_peak").groupBy(*at).agg(F.min("_t").alias("_t"))
+    med = pk.join(hit, at).groupBy("theta").agg(F.median(F.col("t_peak") - F.col("_t")).alias("median_lead_s"))
+    alerts = episodes(d, keys)
+    good = range_join(alerts.distinct(), spots, "t_alert", "t_peak", 0.0, window_s, keys).select(*keys, "t_alert").distinct().withColumn("ok", F.lit(1))
+    far = alerts.join(good, [*keys, "t_alert"], "left").groupBy("theta").agg((1 - F.count("ok") / F.count("*")).alias("far"))
+    seen = range_join(spots, alerts.distinct(), "t_peak", "t_alert", window_s, 0.0, keys).where("t_alert < t_peak").select(*at).distinct().withColumn("ok", F.lit(1))
+    tpr = pk.join(seen, at, "left").groupBy("theta").agg((F.count("ok") / F.count("*")).alias("tpr"))
     out = tpr.join(far, "theta", "left").join(med, "theta", "left")
     return out.select("theta", "median_lead_s", "tpr", F.coalesce("far", F.lit(0.0)).alias("far"))
 

@@ -77,10 +77,9 @@ def det_adaptive_latch(spark, d):
     return D.run_machine(streams(spark, d), S.Adaptive, lambda m, x, t: (*m.update(x, 40.0, 10.0), m.on), "z double, started boolean, latched boolean")
 
 
-FOCUS = f"""{E}, o AS (SELECT event_id, row_number() OVER (ORDER BY t, event_id) AS n, value FROM e WHERE stream = 'view' AND t < 1704067200.0 + 5 * 86400), c AS (SELECT event_id, n, sum(value) OVER (ORDER BY n) AS c FROM o)"""
-
-
-@query("det_focus", f"""WITH {FOCUS}, p AS (SELECT b.event_id, b.n - coalesce(a.n, 0) AS m, b.c - coalesce(a.c, 0) AS s FROM c b LEFT JOIN (SELECT n, c FROM c UNION ALL SELECT 0, 0) a ON a.n < b.n)
+@query("det_focus", f"""WITH {E}, o AS (SELECT event_id, stream, row_number() OVER (PARTITION BY stream ORDER BY t, event_id) AS n, value FROM e),
+    c AS (SELECT event_id, stream, n, sum(value) OVER (PARTITION BY stream ORDER BY n) AS c FROM o),
+    p AS (SELECT b.event_id, b.n - a.n AS m, b.c - a.c AS s FROM c b JOIN (SELECT stream, n, c FROM c UNION ALL SELECT DISTINCT stream, 0, 0 FROM c) a ON a.stream = b.stream AND a.n < b.n)
     SELECT event_id, round(max(CASE WHEN s > m * 45.0 THEN s * ln(s / (m * 45.0)) - (s - m * 45.0) ELSE 0 END), 5) AS statistic FROM p GROUP BY event_id""")
 def det_focus(spark, d):
     f = D.run_machine(streams(spark, d), lambda: S.Focus(most=100_000), lambda m, x, t: (m.update(x, 45.0, t)[0],), "statistic double")

@@ -81,7 +81,7 @@ def join_semi_own(spark, d):
     return V.range_join(e, f, "t", "t_start", 180.0, 180.0, how="left_semi").select("event_id")
 
 
-@query("join_history", f"""WITH {E}, {FLARES}, p AS (SELECT e.event_id, count(f.event_id) AS n, sum(exp(-(e.t - f.t_start) / 21600.0)) AS s, min(e.t - f.t_start) AS a FROM e LEFT JOIN f ON f.stream = e.stream AND f.t_start <= e.t AND f.t_start >= e.t - 21600 WHERE e.k % 4 = 0 GROUP BY e.event_id)
+@query("join_history", f"""WITH {E}, {FLARES}, p AS (SELECT e.event_id, count(f.event_id) FILTER (f.t_start >= e.t - 21600) AS n, sum(exp(-(e.t - f.t_start) / 21600.0)) AS s, min(e.t - f.t_start) AS a FROM e LEFT JOIN f ON f.stream = e.stream AND f.t_start <= e.t GROUP BY e.event_id)
     SELECT event_id, n AS n_events, round(coalesce(s, 0), 6) AS decayed, round(least(1440, coalesce(a / 60, 1440)), 4) AS minutes_since FROM p""")
 def join_history(spark, d):
     e = streams(spark, d).select("event_id", "stream", "t")
@@ -89,7 +89,7 @@ def join_history(spark, d):
     return h.select("event_id", "n_events", r6("decayed").alias("decayed"), F.round("minutes_since", 4).alias("minutes_since"))
 
 
-@query("join_nearest_event", f"""WITH {E}, {FLARES}, p AS (SELECT e.event_id, arg_min(f.event_id, (abs(f.t_peak - e.t), f.t_peak, f.event_id)) AS near_event_id FROM e, f WHERE e.k % 10 = 0 GROUP BY e.event_id) SELECT * FROM p""")
+@query("join_nearest_event", f"""WITH {E}, {FLARES}, p AS (SELECT e.event_id, arg_min(f.event_id, (abs(f.t_peak - e.t), f.t_peak, f.event_id)) AS near_event_id FROM e, f GROUP BY e.event_id) SELECT * FROM p""")
 def join_nearest_event(spark, d):
     p = streams(spark, d).select(F.col("event_id").alias("id"), "t")
     return V.nearest_event(p, events_as_flares(spark, d)).select(F.col("id").alias("event_id"), "near_event_id")

@@ -134,7 +134,12 @@ def _snapped(spark, d):
     return S.snap_to_grid(s, 1704067200.0, 3600.0, 1200.0, sigma="s", bits="b")
 
 
-CELLS = f"""c AS (SELECT stream, CAST(i AS BIGINT) AS cell, {GRID} + i * 3600.0 AS t FROM range(0, 697) x(i), (SELECT DISTINCT stream FROM e))"""
+def _cells_sql(last: str) -> str:
+    ends = f"SELECT CAST(floor((min(t) - {GRID}) / 3600) AS BIGINT) AS lo, CAST({last}((max(t) - {GRID}) / 3600) AS BIGINT) AS hi FROM e"
+    return f"c AS (SELECT stream, i AS cell, {GRID} + i * 3600.0 AS t FROM (SELECT unnest(range(lo, hi + 1)) AS i FROM ({ends})), (SELECT DISTINCT stream FROM e))"
+
+
+CELLS, CELLS_AFTER = _cells_sql("floor"), _cells_sql("ceil")
 
 
 def _cells(spark, d, after: bool = False):
@@ -148,7 +153,7 @@ def _cells(spark, d, after: bool = False):
     return g.join(F.broadcast(e.select("stream").distinct()))
 
 
-@query("grid_zoh", f"""WITH {E}, {CELLS}, h AS (SELECT c.stream, c.cell, c.t, e.t AS ht, e.value, (e.k + 1) / 10.0::DOUBLE AS s FROM c ASOF LEFT JOIN (SELECT * FROM e) e ON c.stream = e.stream AND c.t >= e.t)
+@query("grid_zoh", f"""WITH {E}, {CELLS_AFTER}, h AS (SELECT c.stream, c.cell, c.t, e.t AS ht, e.value, (e.k + 1) / 10.0::DOUBLE AS s FROM c ASOF LEFT JOIN (SELECT * FROM e) e ON c.stream = e.stream AND c.t >= e.t)
     SELECT stream, cell, CASE WHEN t - ht <= 7200 THEN value ELSE -1 END AS value, CASE WHEN t - ht <= 7200 THEN round(t - ht, 4) ELSE -1 END AS age_s, CASE WHEN t - ht <= 7200 THEN round(s * (1 + (t - ht) / 3600.0), 6) ELSE -1 END AS sigma FROM h""")
 def grid_zoh(spark, d):
     s = streams(spark, d).withColumn("sigma", (F.col("k") + 1) / F.lit(10.0))
