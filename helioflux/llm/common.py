@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import itertools
 import tempfile
 import uuid
@@ -18,32 +17,53 @@ GAP_CHARS = " \t\n\x0b\x0c\r"
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` where the cluster names one.
 
-    Only where it is unset (a local session, as in tests) a temporary folder is made and remembered in the session.
+    Only where it is unset in a local session, as in tests, a temporary folder is made and remembered in the session; on a
+    cluster it has to be set, since executors do not see one another's local folders.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = spark.conf.get("helioflux.shared.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="helioflux-")
         spark.conf.set("helioflux.shared.dir", root)
     return root.rstrip("/")
 
 
+#: Makes Spark drop the shuffle files of a query when the query ends.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, and a lost executor costs no recomputation."""
+    """Write ``df`` to the shared folder and read it back: cuts the lineage, and a lost executor costs no recomputation.
+
+    What is written needs its shuffles no more, so their files go with the end of the write; the session's setting
+    is as before afterwards.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/helioflux-{uuid.uuid4().hex}/{name}"
-    (df.coalesce(partitions) if partitions else df).write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(DROP_SHUFFLES, None)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        (df.coalesce(partitions) if partitions else df).write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(DROP_SHUFFLES) if before is None else spark.conf.set(DROP_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark remove shuffle files that nothing refers to any more: after a ``table`` the shuffles behind it are garbage.
+def drop(df: DataFrame) -> None:
+    """Empty the folder of a ``table`` that nothing reads any more, by writing no rows over it."""
+    files = df.inputFiles()
+    if files:
+        df.sparkSession.range(0).write.mode("overwrite").parquet(files[0].rpartition("/")[0])
 
-    Spark's cleaner follows the driver's garbage collections, which a driver with little to do may not make for an hour.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+
+def let(value: Column, f) -> Column:
+    """``f(value)`` with ``value`` evaluated once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
