@@ -3,66 +3,121 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..state.machines import Ema
+from .common import let
 from .series import ordered, rolling_corr
 
+#: The names of the features, in the order of the vector.
+FEATURES = (
+    "logS", "logH", "S_over_baseline", "H_over_baseline", "sxr_slope_short", "sxr_slope_long", "sxr_curvature", "hxr_slope_short", "slope_accel",
+    "ema_ratio_S", "ema_ratio_H", "ema_ratio_cross", "hardness_ratio", "d_hardness", "temp_proxy", "d_temp_proxy", "neupert_corr", "neupert_resid",
+    "hxr_leads_flag", "sxr_var", "hxr_var", "hxr_burst_count", "hxr_peak_over_baseline", "time_since_last_flare", "flares_last_6h",
+    "decayed_flare_history", "time_since_last_microflare", "quiet_duration", "solar_cycle_phase", "N_horizon",
+)
+#: The channels of the window tensor.
+CHANNELS = ("logS", "logH", "hardness_ratio", "sxr_slope_short", "hxr_slope_short", "S_over_baseline", "H_over_baseline", "neupert_resid")
+STATE = ("log_s", "log_h", "log_s_15", "log_h_15", "hardness", "base_s", "base_h", "leaky")
+
 
 def _alpha(window_min: float, cadence: float) -> float:
-    return math.exp(-cadence / (window_min * 60.0))
+    return math.exp(-cadence / max(window_min * 60.0, cadence))
 
 
 def base_pass(df: DataFrame, cadence: float = K.FEATURE_DT_S, soft: str = "value", hard: str = "hard") -> DataFrame:
-    """Exponential means of the logs and the gated baselines (updated while the soft flux is within twice its base)."""
+    """What feeds on itself, per stream: exponential means of the logs and the hardness, baselines that stand still while
+    the soft flux is above twice its own, and the leaky integral of the hard band."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["t", "event_id"])
-        ls, lh, slow = (Ema(_alpha(m, cadence), True) for m in (2, 2, 15))
-        bs, bh, rows = Ema(_alpha(120, cadence), True), Ema(_alpha(120, cadence), True), []
-        for e, st, x, y in zip(g["event_id"], g["stream"], g[soft], g[hard], strict=True):
-            x, y = max(x, K.FLUX_FLOOR), max(y, 0.0)
+        mean = lambda m: Ema(_alpha(m, cadence), True)
+        ls, lh, ls15, lh15, hardness, bs, bh = (mean(m) for m in (2, 2, 15, 15, 2, 120, 120))
+        rows, before, leaky = [], None, None
+        for e, st, t, x, y in zip(g["event_id"], g["stream"], g["t"], g[soft], g[hard], strict=True):
+            dt = cadence if before is None or t <= before else t - before
             if bs.n == 0 or x <= 2 * bs.value:
                 bs.update(x)
-                bh.update(y + 1)
-            rows.append((e, st, ls.update(math.log10(x)), lh.update(math.log10(y + 1)), slow.update(math.log10(x)), x / bs.value, (y + 1) / bh.value))
-        return pd.DataFrame(rows, columns=["event_id", "stream", "log_s", "log_h", "log_s_15", "s_over_base", "h_over_base"])
+                bh.update(y)
+            leaky = x if leaky is None else leaky
+            leaky = max(0.0, leaky + dt * (y - leaky / K.DECAY_TAU_S))
+            lx, ly = math.log10(max(x, K.FLUX_FLOOR)), math.log10(y + 1)
+            rows.append((e, st, ls.update(lx), lh.update(ly), ls15.update(lx), lh15.update(ly), hardness.update((y + 1) / (x + K.FLUX_FLOOR)), bs.value, bh.value, leaky))
+            before = t
+        return pd.DataFrame(rows, columns=["event_id", "stream", *STATE])
+
+    return df.groupBy("stream").applyInPandas(run, "event_id long, stream string, " + ", ".join(f"{c} double" for c in STATE))
 
-    return df.groupBy("stream").applyInPandas(run, "event_id long, stream string, log_s double, log_h double, log_s_15 double, s_over_base double, h_over_base double")
 
+def features(samples: DataFrame, events: DataFrame | None = None, cadence: float = 1300.0, horizon_min: float = 30.0) -> DataFrame:
+    """The 30 features of each sample (event_id, stream, t, value, k; k stands in for the hard band), after event_id, stream and t.
 
-def features(samples: DataFrame, cadence: float = 1300.0, horizon_min: float = 30.0) -> DataFrame:
-    """Feature rows (event_id, stream, t, ...) of samples (event_id, stream, t, value, k); k stands in for the hard band."""
-    s = samples.select("event_id", "stream", "t", F.greatest("value", F.lit(K.FLUX_FLOOR)).alias("value"), F.col("k").cast("double").alias("hard"))
-    d = s.join(base_pass(s, cadence), ["event_id", "stream"])
+    ``events`` (stream, t_start) are the earlier flares of the history features; without them these are 0 and 1440 minutes.
+    Values that are not finite and soft ones of zero or less count as the floor, hard ones below zero as 0. A step of no
+    time counts as the cadence.
+    """
+    ok = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(c) < float("inf"))
+    s = samples.select(
+        "event_id", "stream", "t",
+        F.when(ok("value") & (F.col("value") > 0), F.col("value").cast("double")).otherwise(K.FLUX_FLOOR).alias("value"),
+        F.when(ok("k") & (F.col("k") >= 0), F.col("k").cast("double")).otherwise(0.0).alias("hard"),
+    )
+    from .events import history
+
+    s = history(s, events, ["stream"]) if events is not None else s.withColumns({"n_events": F.lit(0), "decayed": F.lit(0.0), "minutes_since": F.lit(K.CAP_MIN)})
+    d = s.join(base_pass(s.select("event_id", "stream", "t", "value", "hard"), cadence), ["event_id", "stream"])
     w = ordered()
-    run, ring = w.rowsBetween(-(1 << 30), 0), w.rowsBetween(-(K.RING - 1), 0)
-    dt = F.greatest(F.coalesce((F.col("t") - F.lag("t").over(w)) / 60, F.lit(cadence / 60)), F.lit(1e-9))
-    step = lambda c: F.coalesce((F.col(c) - F.lag(c).over(w)) / dt, F.lit(0.0))
-    d = d.withColumns({"slope_s": step("log_s"), "slope_s_15": step("log_s_15"), "slope_h": step("log_h"), "ds": F.coalesce(F.col("value") - F.lag("value").over(w), F.lit(0.0))})
-    mean, spread = F.avg("value").over(ring), F.stddev_pop("value").over(ring)
-    flare = F.last(F.when(F.col("s_over_base") >= 1.5, F.col("t")), ignorenulls=True).over(run)
-    loud = F.last(F.when(F.abs(F.col("s_over_base") - 1) > 0.1, F.col("t")), ignorenulls=True).over(run)
-    since = lambda t: F.least(F.lit(K.CAP_MIN), F.coalesce((F.col("t") - t) / 60, F.lit(K.CAP_MIN)))
-    d = d.withColumn("_ring", F.collect_list("value").over(ring)).withColumn("_limit", mean + 3 * spread)
-    out = d.withColumns({
-        "curvature": step("slope_s"), "slope_accel": step("slope_s_15"),
-        "corr_h_ds": rolling_corr(F.col("hard"), F.col("ds"), w),
-        "hard_leads": F.coalesce((F.col("hard") > F.max("hard").over(w.rowsBetween(-K.RING, -1))) & (F.col("value") <= F.max("value").over(w.rowsBetween(-K.RING, -1))), F.lit(False)).cast("double"),
-        "var_log_s": F.var_pop(F.log10("value")).over(run), "var_log_h": F.var_pop(F.log10(F.col("hard") + 1)).over(run),
-        "bursts": F.size(F.filter("_ring", lambda v: v > F.col("_limit"))).cast("double"), "ring_max_over": F.array_max("_ring") / F.col("value"),
-        "minutes_since_flare": since(flare), "quiet_minutes": since(loud),
-        "cycle_phase": F.pmod((F.col("t") - K.CYCLE_REF_S) / K.CYCLE_S, F.lit(1.0)), "horizon_min": F.lit(horizon_min),
-    }).drop("_ring", "_limit")
-    return out
-
-
-def sliding_tensor(df: DataFrame, cols: list[str], length: int = 120) -> DataFrame:
-    """The last ``length`` rows of ``cols`` per sample, padded in front with the first."""
+    run, ring = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(-(K.RING - 1), 0)
+    prior = w.rowsBetween(Window.unboundedPreceding, -1)
+    dt = F.col("t") - F.lag("t").over(w)
+    d = d.withColumn("_dt", F.when(dt > 0, dt).otherwise(cadence)).withColumn("_min", F.col("_dt") / 60)
+    step = lambda c, by="_min": F.coalesce((F.col(c) - F.lag(c).over(w)) / F.col(by), F.lit(0.0))
+    lh = F.log10(F.col("hard") + 1)
+    d = d.withColumns({
+        "sxr_slope_short": step("log_s"), "sxr_slope_long": step("log_s_15"), "hxr_slope_short": step("log_h"), "d_hardness": step("hardness"), "_ds": step("value", "_dt"),
+        "_bs": F.greatest("base_s", F.lit(K.FLUX_FLOOR)), "_bh": F.greatest("base_h", F.lit(1e-9)) + 1, "_ls": F.log10("value"), "_lh": lh,
+        "_mean": F.avg(lh).over(run), "sxr_var": F.var_pop(F.log10("value")).over(run), "hxr_var": F.var_pop(lh).over(run),
+        "_top": F.max("value").over(prior), "_ring": F.collect_list(lh).over(ring), "_peak": F.max("hard").over(ring),
+    })
+    d = d.withColumn("_limit", F.when(F.col("hxr_var") > 0, F.col("_mean") + 3 * F.sqrt("hxr_var")))
+    small = F.last(F.when(F.col("_lh") > F.col("_limit"), F.col("t")), ignorenulls=True).over(run)
+    quiet = F.last(F.when(F.col("value") <= F.col("_bs") * 1.1, F.col("t")), ignorenulls=True).over(run)
+    since = lambda t: F.least(F.lit(K.CAP_MIN), (F.col("t") - t) / 60)
+    above = let(F.col("_limit"), lambda m: F.size(F.filter("_ring", lambda v: v > m)))
+    ten = lambda c: F.pow(F.lit(10.0), F.col(c))
+    lead = (F.col("hxr_slope_short") > 0) & (F.col("_ds") > 0) & (F.col("value") < F.col("_top"))
+    out = {
+        "logS": F.col("log_s"), "logH": F.col("log_h"), "S_over_baseline": F.col("value") / F.col("_bs"), "H_over_baseline": (F.col("hard") + 1) / F.col("_bh"),
+        "sxr_slope_short": F.col("sxr_slope_short"), "sxr_slope_long": F.col("sxr_slope_long"), "sxr_curvature": step("sxr_slope_short"),
+        "hxr_slope_short": F.col("hxr_slope_short"), "slope_accel": F.col("sxr_slope_short") - F.col("sxr_slope_long"),
+        "ema_ratio_S": ten("log_s") / ten("log_s_15"), "ema_ratio_H": ten("log_h") / ten("log_h_15"), "ema_ratio_cross": ten("log_s") / ten("log_h_15"),
+        "hardness_ratio": F.col("hardness"), "d_hardness": F.col("d_hardness"), "temp_proxy": F.col("log_s"), "d_temp_proxy": F.col("sxr_slope_short"),
+        "neupert_corr": rolling_corr(F.col("hard"), F.col("_ds"), w), "neupert_resid": F.abs(F.col("value") - F.col("leaky")) / (F.col("_bs") + K.FLUX_FLOOR),
+        "hxr_leads_flag": F.coalesce(lead, F.lit(False)).cast("double"), "sxr_var": F.col("sxr_var"), "hxr_var": F.col("hxr_var"),
+        "hxr_burst_count": F.coalesce(F.when(F.col("_limit").isNotNull(), above), F.lit(0)).cast("double"), "hxr_peak_over_baseline": (F.col("_peak") + 1) / F.col("_bh"),
+        "time_since_last_flare": F.col("minutes_since"), "flares_last_6h": F.col("n_events").cast("double"), "decayed_flare_history": F.col("decayed"),
+        "time_since_last_microflare": F.coalesce(since(small), F.lit(K.CAP_MIN)), "quiet_duration": F.coalesce(since(quiet), F.lit(0.0)),
+        "solar_cycle_phase": F.pmod((F.col("t") - K.CYCLE_REF_S) / K.CYCLE_S, F.lit(1.0)), "N_horizon": F.lit(float(horizon_min)),
+    }
+    d = d.select("event_id", "stream", "t", *[out[c].alias(c) for c in FEATURES])
+    finite = lambda c: F.when(F.isnan(c) | (F.abs(c) == float("inf")) | F.col(c).isNull(), 0.0).otherwise(F.col(c)).alias(c)
+    return d.select("event_id", "stream", "t", *[finite(c) for c in FEATURES])
+
+
+def final_features(wide: DataFrame, by: Sequence[str] = ("stream",), order: Sequence[str] = ("t", "event_id")) -> DataFrame:
+    """The feature vector after the last sample of each series, as the array ``vector`` in the order of FEATURES."""
+    vector = F.array(*[F.col(c) for c in FEATURES])
+    return wide.groupBy(*by).agg(F.max_by(vector, F.struct(*order)).alias("vector"))
+
+
+def sliding_tensor(df: DataFrame, cols: Sequence[str] = CHANNELS, length: int = 120) -> DataFrame:
+    """The last ``length`` rows of ``cols`` per sample, with rows of zeros in front where there are fewer."""
     w = ordered().rowsBetween(-(length - 1), 0)
     d = df.withColumn("_t", F.collect_list(F.array(*[F.col(c).cast("double") for c in cols])).over(w))
-    return d.withColumn("tensor", F.concat(F.array_repeat(F.get("_t", F.lit(0)), F.lit(length) - F.size("_t")), F.col("_t"))).drop("_t")
+    none = F.array_repeat(F.array(*[F.lit(0.0) for _ in cols]), F.lit(length) - F.size("_t"))
+    return d.withColumn("tensor", F.concat(none, F.col("_t"))).drop("_t")

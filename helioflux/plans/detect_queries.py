@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import detect as D
 from ..state import machines as S
-from .registry import E, events_as_flares, query, r6, streams
+from .registry import FLARES, E, events_as_flares, query, r6, read, streams
 
 
 @query("scan_ema", f"WITH {E} SELECT stream, round(list_reduce(list_prepend(0.0::DOUBLE, list(value ORDER BY t, event_id)), lambda m, x: 0.99::DOUBLE * m + 0.01::DOUBLE * x), 6) AS ema FROM e GROUP BY stream")
@@ -171,8 +171,57 @@ def stream_matches_batch(spark, d):
     return run_available(spark, d)
 
 
-@query("features_wide")
-def features_wide(spark, d):
+def _features_sql() -> str:
+    """The features from their definitions: what feeds on itself by a recursive walk over the samples, the rest by windows."""
+    ema = lambda c, x, m: f"{math.exp(-1300 / max(m * 60.0, 1300.0))!r} * w.{c} + {1 - math.exp(-1300 / max(m * 60.0, 1300.0))!r} * {x}"
+    open_ = "x.value <= 2 * w.bs"
+    return f"""WITH RECURSIVE {E}, {FLARES},
+    x AS MATERIALIZED (SELECT event_id, stream, t, greatest(value, 1e-12) AS value, CAST(k AS DOUBLE) AS h, log10(value) AS lx, log10(k + 1.0) AS ly, row_number() OVER o AS n,
+          coalesce(CASE WHEN t > lag(t) OVER o THEN t - lag(t) OVER o END, 1300.0) AS dt FROM e WINDOW o AS (PARTITION BY stream ORDER BY t, event_id)),
+    w AS (SELECT event_id, stream, n, lx AS ls, ly AS lh, lx AS ls15, ly AS lh15, (h + 1) / (value + 1e-12) AS hd, value AS bs, h AS bh, greatest(0.0, value + dt * (h - value / 240.0)) AS f FROM x WHERE n = 1
+      UNION ALL SELECT x.event_id, x.stream, x.n, {ema('ls', 'x.lx', 2)}, {ema('lh', 'x.ly', 2)}, {ema('ls15', 'x.lx', 15)}, {ema('lh15', 'x.ly', 15)}, {ema('hd', '((x.h + 1) / (x.value + 1e-12))', 2)},
+        CASE WHEN {open_} THEN {ema('bs', 'x.value', 120)} ELSE w.bs END, CASE WHEN {open_} THEN {ema('bh', 'x.h', 120)} ELSE w.bh END, greatest(0.0, w.f + x.dt * (x.h - w.f / 240.0))
+      FROM w JOIN x ON x.stream = w.stream AND x.n = w.n + 1),
+    hi AS (SELECT e.event_id, count(f.event_id) FILTER (f.t_start >= e.t - 21600) AS n6, sum(exp(-(e.t - f.t_start) / 21600.0)) AS dec, min(e.t - f.t_start) AS age FROM e LEFT JOIN f ON f.stream = e.stream AND f.t_start <= e.t GROUP BY e.event_id),
+    a AS (SELECT x.*, w.ls, w.lh, w.ls15, w.lh15, w.hd, greatest(w.bs, 1e-12) AS bs, greatest(w.bh, 1e-9) + 1 AS bh, w.f, dt / 60 AS m,
+        coalesce((ls - lag(ls) OVER o) * 60 / dt, 0) AS s1, coalesce((ls15 - lag(ls15) OVER o) * 60 / dt, 0) AS s2, coalesce((lh - lag(lh) OVER o) * 60 / dt, 0) AS s3, coalesce((hd - lag(hd) OVER o) * 60 / dt, 0) AS s4,
+        coalesce((value - lag(value) OVER o) / dt, 0) AS ds, max(value) OVER (PARTITION BY x.stream ORDER BY t, x.event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top,
+        avg(ly) OVER r AS hm, var_pop(ly) OVER r AS hv, var_pop(lx) OVER r AS sv, list(ly) OVER g AS ring, max(h) OVER g AS pk
+      FROM x JOIN w USING (event_id) WINDOW o AS (PARTITION BY x.stream ORDER BY t, x.event_id), r AS (PARTITION BY x.stream ORDER BY t, x.event_id ROWS UNBOUNDED PRECEDING), g AS (PARTITION BY x.stream ORDER BY t, x.event_id ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)),
+    b AS (SELECT *, CASE WHEN hv > 0 THEN hm + 3 * sqrt(hv) END AS lim FROM a),
+    c AS (SELECT *, last_value(CASE WHEN ly > lim THEN t END IGNORE NULLS) OVER r AS tm, last_value(CASE WHEN value <= bs * 1.1 THEN t END IGNORE NULLS) OVER r AS tq, coalesce((s1 - lag(s1) OVER o) / m, 0) AS curv,
+        coalesce(CASE WHEN count(*) OVER g >= 2 THEN corr(h, ds) OVER g END, 0) AS nc
+      FROM b WINDOW o AS (PARTITION BY stream ORDER BY t, event_id), r AS (PARTITION BY stream ORDER BY t, event_id ROWS UNBOUNDED PRECEDING), g AS (PARTITION BY stream ORDER BY t, event_id ROWS BETWEEN 29 PRECEDING AND CURRENT ROW))
+    SELECT c.event_id, round(ls, 5) AS "logS", round(lh, 5) AS "logH", round(value / bs, 5) AS "S_over_baseline", round((h + 1) / bh, 5) AS "H_over_baseline", 0.0 + round(s1, 5) AS sxr_slope_short, 0.0 + round(s2, 5) AS sxr_slope_long,
+      0.0 + round(curv, 5) AS sxr_curvature, 0.0 + round(s3, 5) AS hxr_slope_short, 0.0 + round(s1 - s2, 5) AS slope_accel, round(pow(10.0, ls - ls15), 5) AS "ema_ratio_S", round(pow(10.0, lh - lh15), 5) AS "ema_ratio_H", round(pow(10.0, ls - lh15), 4) AS ema_ratio_cross,
+      round(hd, 5) AS hardness_ratio, 0.0 + round(s4, 5) AS d_hardness, round(ls, 5) AS temp_proxy, 0.0 + round(s1, 5) AS d_temp_proxy, 0.0 + round(CASE WHEN isnan(nc) THEN 0 ELSE nc END, 4) AS neupert_corr, round(abs(value - f) / (bs + 1e-12), 3) AS neupert_resid,
+      CAST(coalesce(s3 > 0 AND ds > 0 AND value < top, FALSE) AS DOUBLE) AS hxr_leads_flag, round(sv, 5) AS sxr_var, round(hv, 5) AS hxr_var, CAST(coalesce(len(list_filter(ring, lambda v: v > lim)), 0) AS DOUBLE) AS hxr_burst_count,
+      round((pk + 1) / bh, 5) AS hxr_peak_over_baseline, round(least(1440, coalesce(age / 60, 1440)), 4) AS time_since_last_flare, CAST(n6 AS DOUBLE) AS flares_last_6h, round(coalesce(dec, 0), 5) AS decayed_flare_history,
+      round(least(1440, coalesce((t - tm) / 60, 1440)), 4) AS time_since_last_microflare, round(least(1440, coalesce((t - tq) / 60, 0)), 4) AS quiet_duration, round(((t - 1577836800.0) / (11.0 * 365.25 * 86400.0)) % 1.0, 6) AS solar_cycle_phase, 30.0::DOUBLE AS "N_horizon"
+    FROM c JOIN hi USING (event_id)"""
+
+
+#: Places that the features are rounded to, where not five.
+PLACES = {"ema_ratio_cross": 4, "neupert_corr": 4, "neupert_resid": 3, "time_since_last_flare": 4, "time_since_last_microflare": 4, "quiet_duration": 4, "solar_cycle_phase": 6}
+
+
+def _wide(spark, d):
     from ..operators.features import features
 
-    return features(streams(spark, d))
+    return features(streams(spark, d), events_as_flares(spark, d))
+
+
+@query("features_wide", _features_sql())
+def features_wide(spark, d):
+    from ..operators.features import FEATURES
+
+    return _wide(spark, d).select("event_id", *[(F.round(c, PLACES.get(c, 5)) + 0.0).alias(c) for c in FEATURES])  # no minus zero
+
+
+@query("features_final", f"""WITH y AS ({_features_sql()}), e2 AS (SELECT event_id, event_type AS stream, epoch_us(ts) AS us FROM events)
+    SELECT stream, arg_max("logS", (us, event_id)) AS "logS", arg_max(quiet_duration, (us, event_id)) AS quiet_duration, arg_max(hxr_peak_over_baseline, (us, event_id)) AS hxr_peak_over_baseline FROM y JOIN e2 USING (event_id) GROUP BY stream""")
+def features_final(spark, d):
+    from ..operators.features import FEATURES, final_features
+
+    f = final_features(_wide(spark, d))
+    return f.select("stream", *[F.round(F.get("vector", F.lit(FEATURES.index(c))), PLACES.get(c, 5)).alias(c) for c in ("logS", "quiet_duration", "hxr_peak_over_baseline")])
