@@ -5,148 +5,208 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAP_CHARS, WORD_GAP, release, table, text_of
+from .common import drop, let, table, text_of
 
 THRESHOLD = 80
 #: Slots of the rarity sketch: its size is fixed, whatever the corpus.
 SLOT_BITS = 16
+#: White space other than the blank and the line feed; each becomes a blank before a line is split.
+OTHER_GAPS = "\t\x0b\x0c\r"
+#: Sets of more tokens than this have a sketch of 128 bits.
+WIDE = 72
+#: So many sets of a token, the earliest of each class, are what others of the token meet first.
+CLASSES = 16
+#: The tokens are joined in so many passes, which bounds what the shuffles hold at once.
+PASSES = 2
 
 
-def line_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 1) -> DataFrame:
-    """One row per line of ``least`` words or more, one at least: doc_id, line_no (from 0), hashes (distinct 64-bit word hashes)."""
-    lines = docs.select(F.col(key).alias("doc_id"), F.posexplode(F.split(text_of(text), "\n")).alias("line_no", "line"))
-    # Trimmed, a line splits into words only; a blank one gives one empty word.
-    words = F.split(F.lower(F.trim(F.col("line"), F.lit(GAP_CHARS))), WORD_GAP)
-    d = lines.select("doc_id", "line_no", words.alias("words")).where((F.size("words") >= least) & (F.get("words", F.lit(0)) != ""))
+def text_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per line: doc_id, line_no (from 0), line in lower case with blanks as its only white space.
+
+    Rows without a key have no place in the order of lines and are left out.
+    """
+    d = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc_id"), F.lower(text_of(text)).alias("low"))
+    plain = F.when(F.col("low").rlike(f"[{OTHER_GAPS}]"), F.translate("low", OTHER_GAPS, " " * len(OTHER_GAPS))).otherwise(F.col("low"))
+    return d.select("doc_id", F.posexplode(F.split(plain, "\n")).alias("line_no", "line"))
+
+
+def token_lines(lines: DataFrame, least: int = 1) -> DataFrame:
+    """One row per line of ``least`` words or more, one at least: doc_id, line_no, hashes (its distinct words, 64 bits each)."""
+    words = F.array_remove(F.split("line", " "), "")
+    d = lines.select("doc_id", "line_no", words.alias("words")).where(F.size("words") >= max(least, 1))
     return d.select("doc_id", "line_no", F.array_distinct(F.transform("words", lambda w: F.xxhash64(w))).alias("hashes"))
 
 
-def rarity_ranks(lines: DataFrame, bits: int = SLOT_BITS) -> list[int]:
-    """Rank of each of 2**bits slots by how many word hashes of all lines fall into it, rarest first.
+def rarity_ranks(tokens: DataFrame, bits: int = SLOT_BITS) -> list[int]:
+    """Rank of each of 2**bits slots by how many words of all lines hash into it, rarest first.
 
     The counts cover the whole corpus; only the fixed number of slot counts reaches the driver.
     """
-    slot = F.shiftrightunsigned("h", 64 - bits)
-    counts = {r["s"]: r["c"] for r in lines.select(F.explode("hashes").alias("h")).groupBy(slot.alias("s")).agg(F.count("*").alias("c")).collect()}
-    order = sorted(range(1 << bits), key=lambda s: (counts.get(s, 0), s))
+    slots = tokens.select(F.explode("hashes").alias("h")).select(F.shiftrightunsigned("h", 64 - bits).alias("s"))
+    counts = {r["s"]: r["c"] for r in slots.groupBy("s").agg(F.count("*").alias("c")).collect()}
     ranks = [0] * (1 << bits)
-    for r, s in enumerate(order):
+    for r, s in enumerate(sorted(range(1 << bits), key=lambda s: (counts.get(s, 0), s))):
         ranks[s] = r
     return ranks
 
 
-def _by_rarity(hashes: Column, ranks: list[int], bits: int = SLOT_BITS) -> Column:
+def _by_rarity(ranks: list[int], bits: int = SLOT_BITS) -> Column:
     """The hashes with their slot bits replaced by the slot's rank, sorted: one-to-one, and rare words come first."""
-    rank = F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<long>")  # folded into one literal
-    low = (1 << (64 - bits)) - 1
-    sign = 1 << (bits - 1)  # ranks are shifted so that signed order is rank order
-    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(F.get(rank, F.shiftrightunsigned(h, 64 - bits).cast("int")) - sign, 64 - bits).bitwiseOR(h.bitwiseAND(F.lit(low)))))
+    top, sign = 1 << bits, 1 << (bits - 1)  # ranks are shifted so that signed order is rank order
+    turn = [s ^ ((r - sign) % top) for s, r in enumerate(ranks)]  # turns slot bits into rank bits by an exclusive or
+    literal = ",".join(str((v - top if v >= sign else v) << (64 - bits)) for v in turn)
+    turns = F.split(F.lit(literal), ",").cast("array<long>")  # folded into one literal
+    return F.sort_array(F.transform("hashes", lambda h: h.bitwiseXOR(F.get(turns, F.shiftrightunsigned(h, 64 - bits).cast("int")))))
 
 
-def _need(t: int, n: Column, m: Column) -> Column:
-    """The least overlap of sets of n and m tokens at Jaccard t / 100."""
-    return F.ceil((n + m) * t / F.lit(100 + t) - F.lit(1e-9))
+def _probe(t: int) -> str:
+    """Prefix length of a set of n tokens that may match smaller ones."""
+    return f"(n + 1 - (({t} * n + 99) div 100))"
 
 
-def _may_match(t: int, a: str, b: str) -> Column:
-    """Length, positional and bitmap filter for a pair that meets at one prefix token."""
-    n, m, p, q = (F.col(f"{s}.{c}") for c in ("n", "p") for s in (a, b))
-    need = _need(t, n, m)
-    place = F.least(p, q) + 1 + F.least(n - 1 - p, m - 1 - q)
-    length = (100 * n >= t * m) & (100 * m >= t * n)
+def _index(t: int) -> str:
+    """Prefix length of a set of n tokens that may match sets of its size or larger."""
+    return f"(n + 1 - (({2 * t} * n + {99 + t}) div {100 + t}))"
 
-    def most(u: str, v: str, k: Column) -> Column:
-        # Every bit that only u has is a token that only u has.
-        alone = [F.bit_count(F.col(f"{u}.bits.w{i}").bitwiseAND(F.bitwise_not(F.col(f"{v}.bits.w{i}")))) for i in range(4)]
-        return k - (alone[0] + alone[1] + alone[2] + alone[3])
 
-    return length & (place >= need) & (most(a, b, n) >= need) & (most(b, a, m) >= need)
+def line_sets(tokens: DataFrame, ranks: list[int], t: int = THRESHOLD) -> DataFrame:
+    """One row per line: doc_id, line_no, 128 bits that identify its set, size n, sketch (odd, odd2), prefix.
 
+    The sketch has a bit for each token class, on if the set holds an odd number of its tokens: 64 classes in ``odd`` for
+    sets of up to WIDE tokens, 64 each in ``odd`` and ``odd2`` for larger ones; odd ^ odd2 has 64 for either. The prefix
+    has the n - ceil(t n / 100) + 1 rarest tokens. Sets so small that one token more or less takes them below the
+    threshold match equal ones only; their prefix is empty.
+    """
+    d = tokens.select("doc_id", "line_no", _by_rarity(ranks).alias("tokens")).withColumn("n", F.size("tokens"))
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+    fold = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda v, x: v.bitwiseXOR(bit(x)))
+    second = F.when(F.col("n") > WIDE, fold(F.filter("tokens", lambda x: x.bitwiseAND(F.lit(64)) != 0))).otherwise(F.lit(0).cast("long"))
+    length = F.expr(f"CAST(CASE WHEN 100 * n < {t} * (n + 1) THEN 0 ELSE {_probe(t)} END AS INT)")
+    ids = [F.xxhash64(F.lit(salt), "tokens").alias(name) for salt, name in ((11, "id1"), (12, "id2"))]
+    d = d.select("doc_id", "line_no", *ids, "n", fold("tokens").alias("all"), second.alias("odd2"), F.slice("tokens", F.lit(1), length).alias("prefix"))
+    return d.select("doc_id", "line_no", "id1", "id2", "n", F.col("all").bitwiseXOR(F.col("odd2")).alias("odd"), "odd2", "prefix")
 
-def later_matches(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Rows (doc_id, line_no) of the lines that have an earlier line with 100 * |∩| >= threshold * |∪| of their words.
 
-    Earlier is by (doc_id, line_no). Lines of equal sets stand for one another: the first of them enters the join, the
-    others are removed at once. Sets so small that one token more or less takes them below the threshold have no other
-    matches and stay out of the join. Each set's tokens are ordered by rarity; the first n - ceil(t n) + 1 are its prefix, and
-    similar sets share a prefix token. Pairs that meet must pass the length, the positional and a bitmap filter; the
-    whole sets are compared last.
+def _may_match(t: int) -> Column:
+    """Length, positional and sketch filter for a pair (x, y) that meets at one token, at places x.p and y.p of the prefixes.
 
-    The join runs twice. First each set meets only the earliest set of each of its tokens, which settles nearly all of
-    a large group of near copies without making its pairs. Then the sets still open meet every earlier set.
+    Tokens before the first one in common are not shared. The sets differ in as many tokens at least as their sketches do in bits.
     """
-    t, spark = threshold, lines.sparkSession
-    lines = lines.where(F.size("hashes") > 0)
-    tokens = _by_rarity(F.col("hashes"), rarity_ranks(lines))
-    d = lines.select("doc_id", "line_no", tokens.alias("tokens")).withColumn("set_id", F.xxhash64(F.lit(11), "tokens"))
-    at = F.struct("doc_id", "line_no")
-    sets = d.groupBy("set_id").agg(F.min_by("tokens", at).alias("tokens"), F.min(at).alias("at"), F.count("*").alias("copies"))
-    one = lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int")))
-    part = lambda k: F.filter("tokens", lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(3)) == k)
-    bits = F.struct(*[F.aggregate(part(k), F.lit(0).cast("long"), one).alias(f"w{k}") for k in range(4)])
-    sets = sets.select("set_id", "tokens", "at.doc_id", "at.line_no", "copies", F.size("tokens").alias("n"), bits.alias("bits"))
-    sets = table(sets, "line_sets")
-    release(spark)
-
-    prefix = (F.col("n") - F.ceil(F.col("n") * t / F.lit(100) - F.lit(1e-9)) + 1).cast("int")
-
-    def rows_of(s: DataFrame) -> DataFrame:
-        s = s.where(100 * F.col("n") >= t * (F.col("n") + 1))
-        return s.select("set_id", "doc_id", "line_no", "n", "bits", F.posexplode(F.slice("tokens", F.lit(1), prefix)).alias("p", "token"))
-
-    rows = rows_of(sets)
-    earlier = F.struct("b.doc_id", "b.line_no") < F.struct("a.doc_id", "a.line_no")
-
-    def meet(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
-        both = a.alias("a").join(b.alias("b"), (F.col("a.token") == F.col("b.token")) & earlier & _may_match(t, "a", "b"))
-        pairs = table(both.select(F.col("a.set_id").alias("x"), F.col("b.set_id").alias("y")).distinct(), name)
-        release(spark)
-        return pairs
-
-    # Tokens of one set make no pair.
-    first = rows.groupBy("token").agg(F.min(F.struct("doc_id", "line_no", "set_id", "n", "bits", "p")).alias("f"), F.count("*").alias("c")).where("c > 1")
-    settled = table(_verified(meet(rows, first.select("token", "f.*"), "first_pairs"), sets, t), "settled")
-    release(spark)
-    still = sets.join(settled, sets["set_id"] == settled["x"], "left_anti")
-    later = table(settled.unionByName(_verified(meet(rows_of(still), rows, "pairs"), sets, t)), "later")
-    release(spark)
-    gone = sets.join(later, sets["set_id"] == later["x"], "left").where("x is not null or copies > 1")
-    gone = gone.select("set_id", at.alias("at"), F.col("x").isNotNull().alias("late"))
-    here = d.select("set_id", "doc_id", "line_no")
-    gone = table(here.join(gone, "set_id").where("late or struct(doc_id, line_no) > at").select("doc_id", "line_no"), "gone")
-    release(spark)
-    return gone
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
-    """The later sets (x) of the pairs (x, y) whose whole sets are similar. Only sets in some pair bring their tokens."""
-    asked = pairs.select(F.col("x").alias("set_id")).unionByName(pairs.select(F.col("y").alias("set_id"))).distinct()
-    tokens = sets.select("set_id", "tokens").join(asked, "set_id")
-    u = tokens.select(F.col("set_id").alias("x"), F.col("tokens").alias("u"))
-    v = tokens.select(F.col("set_id").alias("y"), F.col("tokens").alias("v"))
-    both = pairs.join(u, "x").join(v, "y").withColumn("o", F.size(F.array_intersect("u", "v")))
-    return both.where(F.col("o") * (100 + t) >= t * (F.size("u") + F.size("v"))).select("x").distinct()
+    need = f"(({t} * (x.n + y.n) + {99 + t}) div {100 + t})"
+    length = f"100 * x.n >= {t} * y.n AND 100 * y.n >= {t} * x.n"
+    place = f"1 + least(x.n - 1 - x.p, y.n - 1 - y.p) >= {need}"
+    narrow, wide = "bit_count(x.odd ^ x.odd2 ^ y.odd ^ y.odd2)", f"(least(x.n, y.n) <= {WIDE} OR bit_count(x.odd ^ y.odd) + bit_count(x.odd2 ^ y.odd2) <= x.n + y.n - 2 * {need})"
+    return F.expr(f"{length} AND {place} AND {narrow} <= x.n + y.n - 2 * {need} AND {wide}")
+
+
+SET = ("doc_id", "line_no", "n", "odd", "odd2")
+
+
+def _rows(sets: DataFrame, length: str, *more: str) -> DataFrame:
+    """A row for each of the first ``length`` tokens of a set."""
+    return sets.select(*SET, *more, F.posexplode(F.expr(f"slice(prefix, 1, CAST(least(size(prefix), {length}) AS INT))")).alias("p", "token"))
+
+
+def _pairs(x: DataFrame, y: DataFrame, t: int, also: str) -> DataFrame:
+    """Pairs of lines (doc_id, line_no, to_doc, to_line), the later one first, that meet at a token and pass the filters."""
+    met = x.alias("x").join(y.alias("y"), (F.col("x.token") == F.col("y.token")) & F.expr(also) & _may_match(t))
+    later, earlier = "greatest(struct(x.doc_id, x.line_no), struct(y.doc_id, y.line_no))", "least(struct(x.doc_id, x.line_no), struct(y.doc_id, y.line_no))"
+    both = met.select(F.expr(later).alias("a"), F.expr(earlier).alias("b"))
+    return both.select("a.doc_id", "a.line_no", F.col("b.doc_id").alias("to_doc"), F.col("b.line_no").alias("to_line")).distinct()
+
+
+def _verified(pairs: DataFrame, lines: DataFrame, t: int) -> DataFrame:
+    """Table of the distinct later lines (doc_id, line_no) of the pairs whose whole sets are similar. Only lines in some pair are split again."""
+    to = pairs.select(F.col("to_doc").alias("doc_id"), F.col("to_line").alias("line_no"))
+    asked = pairs.select("doc_id", "line_no").unionByName(to).distinct()
+    found = table(token_lines(lines.join(asked, ["doc_id", "line_no"])), "asked_lines")
+    v = found.select(F.col("doc_id").alias("to_doc"), F.col("line_no").alias("to_line"), F.col("hashes").alias("v"))
+    both = pairs.join(found.withColumnRenamed("hashes", "u"), ["doc_id", "line_no"]).join(v, ["to_doc", "to_line"])
+    both = both.withColumn("o", F.size(F.array_intersect("u", "v")))
+    late = table(both.where(F.col("o") * (100 + t) >= t * (F.size("u") + F.size("v"))).select("doc_id", "line_no").distinct(), "late")
+    drop(found)
+    return late
+
+
+def later_matches(lines: DataFrame, threshold: int = THRESHOLD, least: int = 1) -> DataFrame:
+    """Distinct rows (doc_id, line_no) of the ``lines`` that have an earlier line with 100 * |∩| >= threshold * |∪| of their words.
+
+    Earlier is by (doc_id, line_no). Lines of equal sets stand for one another: the first of them enters the join, the
+    others are removed at once. Each set's tokens are ordered by rarity; similar sets share a token of the larger one's
+    prefix and the smaller one's shorter prefix. Pairs that meet at such a token must pass the length, the positional and
+    a sketch filter; the whole sets are compared last.
+
+    The join runs in rounds. First each set meets, at the last two tokens of its prefix, the earliest sets of CLASSES
+    classes, and the likest of them is compared with it. That settles nearly all of a large group of near copies without
+    making its pairs. Then sets still open meet all others, and settled ones meet smaller open ones; two settled sets
+    never meet. Every round's result is a table, and tables that
+    nothing reads any more are emptied.
+    """
+    t = threshold
+    tokens = table(token_lines(lines, least), "tokens")
+    marked = table(line_sets(tokens, rarity_ranks(tokens), t), "line_sets")
+    drop(tokens)
+    first = F.min(F.struct(*SET, "prefix"))
+    sets = table(marked.groupBy("id1", "id2").agg(first.alias("s"), F.count("*").alias("copies")).select("id1", "id2", "s.*", "copies"), "sets")
+    where = table(marked.select("id1", "id2", "doc_id", "line_no"), "places")
+    drop(marked)
+
+    x_later = "(y.doc_id < x.doc_id OR y.doc_id = x.doc_id AND y.line_no < x.line_no)"
+    y_later = "(x.doc_id < y.doc_id OR x.doc_id = y.doc_id AND x.line_no < y.line_no)"
+    ends = _rows(sets, _index(t)).where(f"p >= {_index(t)} - 2")
+    kind = F.pmod(F.xxhash64("doc_id", "line_no"), F.lit(CLASSES))
+    heads = ends.groupBy("token", kind.alias("kind")).agg(F.min(F.struct(*SET, "p")).alias("f")).select("token", "f.*")
+    near = ends.alias("x").join(heads.alias("y"), (F.col("x.token") == F.col("y.token")) & F.expr(x_later) & _may_match(t))
+    nearest = F.min(F.struct(F.expr("bit_count(x.odd ^ x.odd2 ^ y.odd ^ y.odd2)"), F.col("y.doc_id").alias("to_doc"), F.col("y.line_no").alias("to_line")))
+    near = near.groupBy("x.doc_id", "x.line_no").agg(nearest.alias("to")).select("doc_id", "line_no", "to.to_doc", "to.to_line")
+    settled = _verified(table(near, "first_pairs"), lines, t)
+
+    flag = settled.withColumn("open", F.lit(False))
+    state = table(sets.join(flag, ["doc_id", "line_no"], "left").withColumn("open", F.coalesce("open", F.lit(True))), "state")
+    drop(sets)
+    pairs = None
+    for part in range(PASSES):
+        own = f"pmod(token, {PASSES}) = {part}"
+        small = _rows(state, _index(t), "open").where(own)
+        met = _pairs(_rows(state.where("open"), _probe(t)).where(own), small, t, f"(x.n > y.n AND ({x_later} OR y.open) OR x.n = y.n AND {x_later})")
+        more = _pairs(_rows(state.where("NOT open"), _probe(t)).where(own), small.where("open"), t, f"x.n > y.n AND {y_later}")
+        new = [table(met, "pairs"), table(more, "more_pairs")]
+        pairs = new[0].unionByName(new[1]) if pairs is None else pairs.unionByName(new[0]).unionByName(new[1])
+    late = _verified(pairs, lines, t).withColumn("late", F.lit(True))
+    gone = state.select("id1", "id2", "doc_id", "line_no", "copies", "open").join(late, ["doc_id", "line_no"], "left")
+    gone = gone.select("id1", "id2", F.struct("doc_id", "line_no").alias("at"), (F.col("late").isNotNull() | ~F.col("open")).alias("late"), "copies").where("late OR copies > 1")
+    lost = where.join(gone, ["id1", "id2"]).where("late OR struct(doc_id, line_no) > at")
+    lost = table(lost.select("doc_id", "line_no").distinct(), "gone")
+    drop(state)
+    drop(where)
+    return lost
 
 
 def remove_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, least: int = 1) -> DataFrame:
     """``docs`` with later matches taken out of ``text``, and the struct ``line_dedup`` (n_lines, n_removed).
 
-    Lines without words always stay, as do those of fewer than ``least``. The remaining lines are joined by line feeds. Null text stays null
-    and counts no lines; a text that loses every line is empty. Rows that share a key count as one document: line k of
-    either is the same line, so a repeated row loses what its twin loses. Extra columns are carried along.
+    Lines without words always stay, as do those of fewer than ``least``. The remaining lines are joined by line feeds.
+    Null text stays null and counts no lines; a text that loses every line is empty; an empty table gives an empty one.
+    Rows without a key lose nothing and take nothing. Rows that share a key count as one document: line k of either is the
+    same line, so a repeated row loses what its twin loses. Extra columns are carried along; one named ``line_dedup``
+    gives way to the struct.
     """
+    docs = docs.drop("line_dedup") if "line_dedup" not in (key, text) else docs
     own = docs.columns
     d = docs.toDF(*[f"_c{i}" for i in range(len(own))])
     k, t = f"_c{own.index(key)}", f"_c{own.index(text)}"
-    gone = later_matches(line_sets(d, k, t, least), threshold).distinct()
+    gone = later_matches(text_lines(d, k, t), threshold, least)
     gone = gone.groupBy(F.col("doc_id").alias("_k")).agg(F.sort_array(F.collect_list("line_no")).alias("_gone"))
     d = d.join(gone, F.col(k) == F.col("_k"), "left").drop("_k")
-    parts = F.split(F.col(t), "\n")
     # What stays lies between the removed places: runs of lines, put together again.
-    ends = F.concat(F.array(F.lit(-1)), F.col("_gone"), F.array(F.size(parts)))
-    runs = F.transform(F.sequence(F.lit(0), F.size("_gone")), lambda j: F.slice(parts, F.get(ends, j) + 2, F.get(ends, j + 1) - F.get(ends, j) - 1))
-    text_now = F.when(F.col("_gone").isNull(), F.col(t)).otherwise(F.array_join(F.flatten(runs), "\n"))
-    n_lines = F.when(F.col(t).isNull(), 0).otherwise(F.size(parts)).cast("long")
+    ends = F.concat(F.array(F.lit(-1)), F.col("_gone"), F.array(F.lit(1 << 30)))
+
+    def without(parts: Column) -> Column:
+        run = lambda e, j: F.slice(parts, F.get(e, j) + 2, F.get(e, j + 1) - F.get(e, j) - 1)
+        return let(ends, lambda e: F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size("_gone")), lambda j: run(e, j))), "\n"))
+
+    text_now = F.when(F.col("_gone").isNull(), F.col(t)).otherwise(let(F.split(F.col(t), "\n"), without))
+    n_lines = F.when(F.col(t).isNull(), 0).otherwise(F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit(""))) + 1).cast("long")
     info = F.struct(n_lines.alias("n_lines"), F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_removed"))
     d = d.select(*[(text_now if f"_c{i}" == t else F.col(f"_c{i}")).alias(f"_c{i}") for i in range(len(own))], info.alias("_info"))
     return d.toDF(*own, "line_dedup")
