@@ -66,14 +66,6 @@ def let(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Let Arrow batches hold ``rows`` rows at most from here on: whole texts are large, and workers hold a batch at a time."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(name))
-    if now <= 0 or now > rows:
-        spark.conf.set(name, str(rows))
-
-
 def text_of(c: str | Column) -> Column:
     """The text, with null as the empty string."""
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))

@@ -1,27 +1,33 @@
-"""SentencePiece encoding and decoding; giant documents are cut into chunks that are encoded apart.
-
-Two kinds of model exist. A unigram model asks for the best path through the lattice of pieces. For giant texts that is
-a max-plus parallel scan: a chunk's state at its border is how far the last piece reaches over it; each chunk yields the
-matrix of best scores from entry to exit state; the matrices are combined associatively; with the entry scores known,
-every chunk is traced back alone. A BPE model (the file at hand is one) has no path score: its segmentation of a word
-follows from the order of merges. Words never share a piece, so its only border state is the open word, and giant texts
-are cut where a run of spaces begins.
+"""SentencePiece encoding and decoding by a max-plus parallel scan; giant documents are cut into chunks that are encoded apart.
+
+Every text is cut into chunks of one size. A chunk's state at a border is the piece that reaches it; each chunk yields the
+matrix of best weights from entry to exit state; the matrices are combined associatively; with the states known, every chunk
+is traced back alone. For a BPE model the weights say what stays apart under merging (see ``piece_lattice``), for a
+unigram model they are the scores of the pieces. The chunks of a giant text are rows of their own, spread over the cluster;
+those of any other text go through the same steps inside one task.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from . import piece_lattice as L
+from .common import table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-#: Texts of more characters than this are giant and are encoded in chunks of this size.
+#: Characters of a chunk, for texts of any length.
+CHUNK = 4096
+#: Texts of more characters than this have their chunks spread over the cluster.
 GIANT = 1_000_000
+#: Chunks whose matrices are combined in one step.
+BLOCK = 256
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 NONE = -np.inf
@@ -52,6 +58,14 @@ class Pieces:
         self.unknown_score = low - UNKNOWN_PENALTY
         self.words_apart = not any(SPACE in p.lstrip(SPACE) for p in self.table)
 
+    def spell_char(self, char: str) -> list[int]:
+        """An unknown character: its bytes where the model has them, else the unknown id."""
+        return [self.bytes[x] for x in char.encode("utf-8", "surrogatepass")] if self.bytes else [self.unk]
+
+    def joined(self, ids: list[int]) -> list[int]:
+        """Without byte pieces, a run of unknown characters is one unknown id."""
+        return ids if self.bytes else [k for i, k in enumerate(ids) if k != self.unk or i == 0 or ids[i - 1] != self.unk]
+
     def edges(self, text: str, i: int) -> Iterator[tuple[int, int, float]]:
         """Pieces that start at ``i``: (end, id, score), shortest first; one unknown character where none has its length."""
         single = False
@@ -133,11 +147,6 @@ def transfer(m: Pieces, text: str, size: int) -> np.ndarray:
     return out
 
 
-def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Max-plus product; associative, so chunks can be combined in any grouping."""
-    return (a[:, :, None] + b[None, :, :]).max(axis=1)
-
-
 def entry_scores(matrices: list[np.ndarray]) -> list[np.ndarray]:
     """Scores of the entry states of every chunk: prefix products applied to the start of the text."""
     v = np.full(len(matrices[0]), NONE)
@@ -174,66 +183,114 @@ def join_chunks(traces: list[dict[int, tuple[int, list[int]]]]) -> list[int]:
 
 
 def chunks_of(m: Pieces, text: str, size: int) -> list[tuple[str, int]]:
-    """Cuts of a normalised text as (chunk with what its pieces may reach into, own length)."""
-    if m.kind == "unigram":
-        return [(text[i : i + size + m.reach - 1], min(size, len(text) - i)) for i in range(0, len(text), size)]
-    cuts, at = [0], size
-    end = len(text.rstrip(SPACE))
-    while m.words_apart and at < len(text):
-        at = text.find(SPACE, at)
-        while at > 0 and text[at - 1] == SPACE:  # the run of spaces belongs to the word after it
-            at = text.find(SPACE, at + 1)
-        if at < 0 or at >= end:  # spaces at the end are no word
-            break
-        if at > cuts[-1]:
-            cuts.append(at)
-        at += size
-    return [(text[a:b], b - a) for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True)]
-
-
-def encode_chunked(m: Pieces, text: str, size: int) -> list[int]:
-    """One text by way of its chunks: what the distributed form does, in one place."""
+    """Cuts of a normalised text for a unigram model, as (chunk with what its pieces may reach into, own length)."""
+    return [(text[i : i + size + m.reach - 1], min(size, len(text) - i)) for i in range(0, len(text), size)]
+
+
+def encode_chunked(m: Pieces, text: str, size: int, lattice: L.Lattice | None = None) -> list[int]:
+    """One text by way of its chunks, in one place."""
     norm = m.sp.normalize(text)
     if not norm:
         return []
-    parts = chunks_of(m, norm, size)
     if m.kind != "unigram":
-        return [i for t, _ in parts for i in encode_normal(m, t)]
+        return m.joined((lattice or L.Lattice(m.table, m.spell_char)).encode(norm, size))
+    parts = chunks_of(m, norm, size)
     v = entry_scores([transfer(m, t, n) for t, n in parts])
-    return join_chunks([backtrace(m, t, n, e) for (t, n), e in zip(parts, v, strict=True)])
-
+    return m.joined(join_chunks([backtrace(m, t, n, e) for (t, n), e in zip(parts, v, strict=True)]))
 
-def encode_normal(m: Pieces, chunk: str) -> list[int]:
-    """Ids of a chunk of normalised text that starts a word: the library adds the space in front again."""
-    return m.sp.encode(chunk.removeprefix(SPACE).replace(SPACE, " "))
 
+def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str = VOCABULARY, giant: int = GIANT, size: int = CHUNK) -> DataFrame:
+    """Rows (key, ids): the ids of each whole text; null and empty texts have none; an empty table gives no rows.
 
-def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str = VOCABULARY, giant: int = GIANT) -> DataFrame:
-    """Rows (key, ids): the ids of each whole text; null and empty texts have none.
-
-    Giant texts leave the main pass as rows of chunks, dealt out over the cluster; a chunk's rows carry matrices of a
-    fixed size between the passes, and only the ids of one text meet in one row at the end. Rows that share a key are
-    encoded apart and keep one row each.
+    Every text goes through the scan in chunks of ``size`` characters. Those of more than ``giant`` characters leave the
+    main pass as rows of chunks, dealt out over the cluster: matrices of a small size travel between the passes, and only
+    the ids of one text meet in one row at the end. Rows that share a key are encoded apart and keep one row each; other
+    columns are left out.
     """
-    small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[key]
     d = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    small = d.where(f"text is null or length(text) <= {giant}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Pieces(path)
+        m, lattice = L.load(path)
         for b in batches:
-            for at in range(0, b.num_rows, 256):
+            for at in range(0, b.num_rows, 256):  # a part of the batch at a time
                 part = b.slice(at, 256)
-                ids = m.sp.encode([t or "" for t in part.column(1).to_pylist()], num_threads=1)
+                ids = [encode_chunked(m, t, size, lattice) if t else [] for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], ["key", "ids"])
 
-    schema = f"key {kind}, ids array<int>"
-    out = small.mapInArrow(run, schema).unionByName(_encode_giant(d.where(f"length(text) > {giant}"), kind, path, giant))
-    return out.withColumnRenamed("key", key)
+    small = d.where(f"text is null or length(text) <= {giant}").mapInArrow(run, f"key {kind}, ids array<int>")
+    spread = _encode_giant if Pieces(path).kind != "unigram" else _encode_giant_unigram
+    return small.unionByName(spread(d.where(f"length(text) > {giant}"), kind, path, size)).withColumnRenamed("key", key)
 
 
 def _encode_giant(d: DataFrame, kind: str, path: str, size: int) -> DataFrame:
+    """The same scan with a row per chunk: matrices, their products by blocks, the states at the borders, the ids."""
+    whole = pa.int64()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, lattice = L.load(path)
+        for b in batches:
+            kinds = pa.schema([("row", whole), ("key", b.schema.field("key").type), ("chunk", pa.int32()), ("at", pa.int32()), ("n", pa.int32()), ("part", pa.string())])
+            for r in b.to_pylist():
+                t = m.sp.normalize(r["text"])
+                for i, lo in enumerate(range(0, len(t), size)):
+                    # With what pieces over the borders may reach into.
+                    begin, n = max(0, lo - lattice.reach), min(size, len(t) - lo)
+                    yield pa.RecordBatch.from_pylist([{"row": r["row"], "key": r["key"], "chunk": i, "at": lo - begin, "n": n, "part": t[begin : lo + n + lattice.reach]}], schema=kinds)
+
+    def matrix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, lattice = L.load(path)
+        kinds = pa.schema([("row", whole), ("block", pa.int32()), ("chunk", pa.int32()), ("wide", pa.int32()), ("matrix", pa.binary())])
+        for b in batches:
+            for r in b.to_pylist():
+                x = lattice.transfer(r["part"], r["at"], r["at"] + r["n"])
+                yield pa.RecordBatch.from_pylist([{"row": r["row"], "block": r["chunk"] // BLOCK, "chunk": r["chunk"], "wide": x.shape[1], "matrix": x.tobytes()}], schema=kinds)
+
+    read = lambda r: [np.frombuffer(x).reshape(-1, w) for x, w in zip(r["matrix"], r["wide"], strict=True)]
+
+    def product(rows: pd.DataFrame) -> pd.DataFrame:  # the chunks of a block
+        x = functools.reduce(L.combine, read(rows.sort_values("chunk")))
+        return pd.DataFrame([(rows["row"].iloc[0], rows["block"].iloc[0], x.shape[1], x.tobytes())], columns=["row", "block", "wide", "matrix"])
+
+    def around(rows: pd.DataFrame) -> pd.DataFrame:  # the blocks of a text
+        rows = rows.sort_values("block")
+        before, after = L.prefixes(read(rows)), L.suffixes(read(rows))
+        return pd.DataFrame({"row": rows["row"], "block": rows["block"], "before": [x.tobytes() for x in before[:-1]], "after": [x.tobytes() for x in after[1:]]})
+
+    def states(rows: pd.DataFrame) -> pd.DataFrame:  # the chunks of a block, with the weights around it
+        rows = rows.sort_values("chunk")
+        take = L.border_states(read(rows), np.frombuffer(rows["before"].iloc[0]), np.frombuffer(rows["after"].iloc[0]))
+        return pd.DataFrame({"row": rows["row"], "chunk": rows["chunk"], "enter": take[:-1], "leave": take[1:]})
+
+    def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, lattice = L.load(path)
+        for b in batches:
+            kinds = pa.schema([("row", whole), ("key", b.schema.field("key").type), ("chunk", pa.int32()), ("ids", pa.list_(pa.int32()))])
+            for r in b.to_pylist():
+                t, lo, hi = r["part"], r["at"], r["at"] + r["n"]
+                enter = lattice.crossing(t, lo)[r["enter"]]
+                leave = lattice.crossing(t, hi)[r["leave"]] if hi < len(t) else (0, -2)
+                yield pa.RecordBatch.from_pylist([{"row": r["row"], "key": r["key"], "chunk": r["chunk"], "ids": lattice.pieces(t, lo, hi, enter, leave)}], schema=kinds)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, _ = L.load(path)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m.joined(x) for x in b.column(1).to_pylist()], pa.list_(pa.int32()))], ["key", "ids"])
+
+    parts = d.withColumn("row", F.monotonically_increasing_id()).mapInArrow(cut, f"row long, key {kind}, chunk int, at int, n int, part string")
+    parts = table(parts.repartition("row", "chunk"), "chunks")  # written, so that rows keep their numbers
+    matrices = table(parts.mapInArrow(matrix, "row long, block int, chunk int, wide int, matrix binary"), "matrices")
+    blocks = matrices.groupBy("row", "block").applyInPandas(product, "row long, block int, wide int, matrix binary")
+    weights = blocks.groupBy("row").applyInPandas(around, "row long, block int, before binary, after binary")
+    taken = matrices.join(weights, ["row", "block"]).groupBy("row", "block").applyInPandas(states, "row long, chunk int, enter int, leave int")
+    done = parts.join(taken, ["row", "chunk"]).mapInArrow(trace, f"row long, key {kind}, chunk int, ids array<int>")
+    text = done.groupBy("row", "key").agg(F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("c"))
+    return text.select("key", F.flatten(F.col("c.ids")).alias("ids")).mapInArrow(join, f"key {kind}, ids array<int>")
+
+
+def _encode_giant_unigram(d: DataFrame, kind: str, path: str, size: int) -> DataFrame:
+    """The scan over chunks of unigram pieces, whose states are how far the last piece reaches over the border."""
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Pieces(path)
         for b in batches:
@@ -242,11 +299,6 @@ def _encode_giant(d: DataFrame, kind: str, path: str, size: int) -> DataFrame:
                 for i, (t, n) in enumerate(chunks_of(m, m.sp.normalize(r["text"]), size)):
                     yield pa.RecordBatch.from_pylist([{"row": r["row"], "key": r["key"], "chunk": i, "part": t, "n": n}], schema=kinds)
 
-    def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Pieces(path)
-        for b in batches:
-            yield pa.RecordBatch.from_pylist([{"row": r["row"], "key": r["key"], "chunk": r["chunk"], "ids": encode_normal(m, r["part"])} for r in b.to_pylist()], schema=pa.schema([("row", pa.int64()), ("key", b.schema.field("key").type), ("chunk", pa.int32()), ("ids", pa.list_(pa.int32()))]))
-
     def matrix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Pieces(path)
         for b in batches:
@@ -274,15 +326,12 @@ def _encode_giant(d: DataFrame, kind: str, path: str, size: int) -> DataFrame:
             state = r["enter"]
         return type(rows)(keep, columns=["row", "chunk", "leave"])
 
-    parts = d.withColumn("row", F.monotonically_increasing_id()).mapInArrow(cut, f"row long, key {kind}, chunk int, part string, n int").repartition("row", "chunk")
-    if Pieces(path).kind != "unigram":
-        done = parts.mapInArrow(ids_of, f"row long, key {kind}, chunk int, ids array<int>")
-    else:
-        parts = table(parts, "chunks")  # three passes read the same rows
-        entries = parts.mapInArrow(matrix, "row long, chunk int, matrix binary").groupBy("row").applyInPandas(scan, "row long, chunk int, entry binary")
-        traces = parts.join(entries, ["row", "chunk"]).mapInArrow(trace, f"row long, key {kind}, chunk int, leave int, enter int, ids array<int>")
-        chosen = traces.select("row", "chunk", "leave", "enter").groupBy("row").applyInPandas(choose, "row long, chunk int, leave int")
-        done = traces.join(chosen, ["row", "chunk", "leave"]).select("row", "key", "chunk", "ids")
+    parts = d.withColumn("row", F.monotonically_increasing_id()).mapInArrow(cut, f"row long, key {kind}, chunk int, part string, n int")
+    parts = table(parts.repartition("row", "chunk"), "chunks")  # three passes read the same rows
+    entries = parts.mapInArrow(matrix, "row long, chunk int, matrix binary").groupBy("row").applyInPandas(scan, "row long, chunk int, entry binary")
+    traces = parts.join(entries, ["row", "chunk"]).mapInArrow(trace, f"row long, key {kind}, chunk int, leave int, enter int, ids array<int>")
+    chosen = traces.select("row", "chunk", "leave", "enter").groupBy("row").applyInPandas(choose, "row long, chunk int, leave int")
+    done = traces.join(chosen, ["row", "chunk", "leave"]).select("row", "key", "chunk", "ids")
     whole = done.groupBy("row", "key").agg(F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("c"))
     return whole.select("key", F.flatten(F.col("c.ids")).alias("ids"))
 
@@ -296,9 +345,11 @@ def decode(encoded: DataFrame, ids: str = "ids", path: str = VOCABULARY, to: str
     schema = StructType([*d.schema.fields, StructField(to, StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sp = Pieces(path).sp
-        for b in batches:
-            texts = sp.decode([x or [] for x in b.column(at).to_pylist()], num_threads=1) if b.num_rows else []
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, to])
+        sp = L.load(path)[0].sp
+        for whole in batches:
+            for first in range(0, whole.num_rows, 256):  # a part of the batch at a time
+                b = whole.slice(first, 256)
+                texts = sp.decode([x or [] for x in b.column(at).to_pylist()], num_threads=1)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, to])
 
     return d.mapInArrow(run, schema)

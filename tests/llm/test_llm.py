@@ -9,7 +9,7 @@ import re
 import numpy as np
 import pytest
 
-from helioflux.llm import chat, decontaminate, html_extract, line_dedup, ngram_join, quality, rindex_dedup, secrets, sentencepiece_scan, token_counts
+from helioflux.llm import chat, decontaminate, html_extract, line_dedup, ngram_join, piece_lattice, quality, rindex_dedup, secrets, sentencepiece_scan, token_counts
 
 SCHEMA = "doc_id long, text string, quality string, n long"
 
@@ -300,14 +300,35 @@ def test_chunked_encoding():
         for size in (1, 5, 40, 1000):
             assert sentencepiece_scan.encode_chunked(u, t, size) == want
     a, b, c = (np.random.default_rng(i).normal(size=(4, 4)) for i in range(3))
-    assert np.allclose(sentencepiece_scan.combine(sentencepiece_scan.combine(a, b), c), sentencepiece_scan.combine(a, sentencepiece_scan.combine(b, c)))
+    assert np.allclose(piece_lattice.combine(piece_lattice.combine(a, b), c), piece_lattice.combine(a, piece_lattice.combine(b, c)))
+
+
+def test_scan_equals_the_library():
+    m, lattice = piece_lattice.load(VOCABULARY)
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("aeinstlrmo  hd1.,▁é日\n\U0001f600") for _ in range(rng.randint(1, 60))) for _ in range(300)]
+    texts += ["a" * 500, "abcabc" * 90, "  x  " * 40, "日本語é" * 60, "e" * 31 + " " + "\u0301" * 40, prose(7, 900), "ho" * 200 + "t" * 33]
+    for t in texts:
+        want = m.sp.encode(t)
+        for size in (1, 2, 5, 17, 64, 4096):
+            assert sentencepiece_scan.encode_chunked(m, t, size, lattice) == want
+
+
+def test_unknown_characters_without_bytes():
+    m, _ = piece_lattice.load(VOCABULARY)
+    spare = sentencepiece_scan.Pieces(VOCABULARY)
+    spare.bytes = {}
+    known = m.sp.encode("ab cd")
+    assert sentencepiece_scan.encode_chunked(spare, "ab cd", 3) == known
+    got = sentencepiece_scan.encode_chunked(spare, "ab\u2c00\u2c01 cd", 2)
+    assert got.count(spare.unk) == 1 and [k for k in got if k != spare.unk][0] == known[0]
 
 
 def test_encode_decode(spark, tmp_path):
     texts = [BASE, "  two  spaces ", None, "", "日本語\nü", prose(5, 400)]
     sp = sentencepiece_scan.Pieces(VOCABULARY).sp
-    for giant in (1_000_000, 100):
-        got = sentencepiece_scan.decode(sentencepiece_scan.encode(frame(spark, texts), giant=giant)).collect()
+    for giant, size in ((1_000_000, 4096), (1_000_000, 7), (100, 4096), (100, 4)):
+        got = sentencepiece_scan.decode(sentencepiece_scan.encode(frame(spark, texts), giant=giant, size=size)).collect()
         assert {r["doc_id"]: (r["ids"], r["decoded"]) for r in got} == {i: (sp.encode(t or ""), t or "") for i, t in enumerate(texts)}
     with open(VOCABULARY, "rb") as f:
         (tmp_path / "u.model").write_bytes(as_unigram(f.read()))
