@@ -28,29 +28,69 @@ PUNCTUATION = re.compile(r"[.,;:!?。，…¿¡]")
 GAPS = re.compile(r"\s+")
 
 
+#: What a furniture name on an element around a path leaves of the path's score.
+FURNITURE_WEIGHT = 0.02
+#: Elements of the text itself, whose class, id or role names no furniture.
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr blockquote pre figcaption body html article main".split())
+HEAD = frozenset("head base link meta noscript script style template title".split())
+
+
+class _Open:
+    """An open element: its name, the path that leads to it, and what holds for everything inside."""
+
+    __slots__ = ("linked", "name", "path", "unseen")
+
+    def __init__(self, name: str, path: int, unseen: bool, linked: bool) -> None:
+        self.name, self.path, self.unseen, self.linked = name, path, unseen, linked
+
+
+class Paths:
+    """Root-to-leaf tag paths as numbered nodes, so that a step costs the same at any depth."""
+
+    def __init__(self) -> None:
+        self.known: dict[tuple[int, str, bool], int] = {}
+        self.parent, self.name, self.article, self.furniture = [-1], [""], [-1], [False]
+
+    def step(self, at: int, name: str, label: str, furniture: bool) -> int:
+        key = (at, label, furniture)
+        got = self.known.get(key)
+        if got is None:
+            got = self.known[key] = len(self.parent)
+            self.parent.append(at)
+            self.name.append(name)
+            self.article.append(got if name in ("article", "main") else self.article[at])
+            self.furniture.append(furniture or self.furniture[at])
+        return got
+
+
 class _Blocks(HTMLParser):
-    """Cuts a page into text blocks, each with its root-to-leaf tag path, link length and whether furniture holds it."""
+    """Cuts a page into text blocks, each with its tag path and link length."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, str, bool]] = []  # name, step of the path, furniture
-        self.blocks: list[tuple[str, str, int, bool, bool]] = []
+        self.paths = Paths()
+        self.stack: list[_Open] = [_Open("", 0, False, False)]
+        self.count: dict[str, int] = {}
+        self.blocks: list[tuple[int, str, int]] = []
         self.parts: list[str] = []
         self.linked = 0
 
     def _flush(self) -> None:
         text = GAPS.sub(" ", "".join(self.parts)).strip()
         if text:
-            names = [x for x in self.stack if x[0] not in INLINE]
-            self.blocks.append(("/".join(x[1] for x in names), text, self.linked, any(x[2] for x in self.stack), any(x[0] in ("article", "main") for x in names)))
+            self.blocks.append((self.stack[-1].path, text, self.linked))
         self.parts, self.linked = [], 0
 
     def _pop(self, name: str, stop: tuple[str, ...] = ()) -> None:
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == name:
+        if not self.count.get(name):
+            return
+        for i in range(len(self.stack) - 1, 0, -1):
+            if self.stack[i].name == name:
+                for x in self.stack[i:]:
+                    self.count[x.name] -= 1
                 del self.stack[i:]
                 return
-            if self.stack[i][0] in stop:
+            if self.stack[i].name in stop:
                 return
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -59,8 +99,13 @@ class _Blocks(HTMLParser):
             return
         if tag not in INLINE:
             self._flush()
+            if tag not in HEAD:
+                self._pop("head")  # its end tag may be left out
             if tag in CLOSES_P:
                 self._pop("p", ("article", "section", "div", "td", "blockquote", "body", "li"))
+                self._pop("select")  # holds no blocks
+            if tag == "button":
+                self._pop("button")
             if tag in ENDS:
                 for t in ("td", "th") if tag == "tr" else ("dt", "dd") if tag in ("dt", "dd") else ("td", "th") if tag in ("td", "th") else (tag,):
                     self._pop(t, ENDS[tag])
@@ -68,11 +113,16 @@ class _Blocks(HTMLParser):
                     self._pop("tr", ENDS[tag])
         if tag in VOID:
             return
-        a = dict(attrs)
+        a, top = dict(attrs), self.stack[-1]
+        hidden = tag in UNSEEN or "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in (a.get("style") or "").replace(" ", "")
         named = set(re.split(r"[^a-z]+", " ".join(str(a.get(k) or "") for k in ("class", "id", "role")).lower()))
-        bad = tag in FRAME or tag in UNSEEN or bool(named & FURNITURE) and tag not in ("body", "html", "article", "main") or "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in (a.get("style") or "").replace(" ", "")
-        step = tag + ("." + ".".join(sorted((a.get("class") or "").split())[:2]) if a.get("class") else "")
-        self.stack.append((tag, step if tag not in INLINE else tag, bad))
+        furniture = tag in FRAME or bool(named & FURNITURE) and tag not in TEXTUAL
+        path = top.path
+        if tag not in INLINE or furniture:
+            label = tag + ("." + ".".join(sorted((a.get("class") or "").split())[:2]) if a.get("class") else "")
+            path = self.paths.step(path, tag, label, furniture)
+        self.stack.append(_Open(tag, path, top.unseen or hidden, top.linked or tag == "a"))
+        self.count[tag] = self.count.get(tag, 0) + 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -85,23 +135,21 @@ class _Blocks(HTMLParser):
         self._pop(tag, ("article",) if tag in INLINE or tag == "p" else ())
 
     def handle_data(self, data: str) -> None:
-        if any(x[0] in UNSEEN for x in self.stack):
+        top = self.stack[-1]
+        if top.unseen:
             return
         self.parts.append(data)
-        if any(x[0] == "a" for x in self.stack):
+        if top.linked:
             self.linked += len(data)
 
-    def finish(self) -> list[tuple[str, str, int, bool, bool]]:
-        self.close()
-        self._flush()
-        return self.blocks
 
-
-def page_blocks(html: str) -> list[tuple[str, str, int, bool, bool]]:
-    """Blocks (tag path, text, characters in links, in furniture, in article or main) of a page, in order."""
+def page_blocks(html: str) -> tuple[list[tuple[int, str, int]], Paths]:
+    """Blocks (tag path, text, characters in links) of a page, in order, and the paths."""
     p = _Blocks()
     p.feed(html)
-    return p.finish()
+    p.close()
+    p._flush()
+    return p.blocks, p.paths
 
 
 def _smooth(values: list[float]) -> list[float]:
@@ -113,51 +161,56 @@ def _smooth(values: list[float]) -> list[float]:
     return out
 
 
-def _articles(path: str) -> list[str]:
-    """Paths of the article and main elements around a block, outermost first."""
-    steps = path.split("/")
-    return ["/".join(steps[: i + 1]) for i, s in enumerate(steps) if s.partition(".")[0] in ("article", "main")]
-
-
 def extract(html: str | None) -> str:
     """The main text of one page.
 
     Per tag path: text length per node (the ratio of text to paths) and punctuation per node. Both are smoothed over the
-    neighbouring paths in page order, fused as length * log(1 + punctuation), and paths at or above a threshold (a share
-    of the spread of all fused values) hold content, on pages with and without an article element. The other paths of
-    the article or main element around the path with most content follow unless they are mostly links. Furniture by element or by class, id or role never does. Null or empty html gives "".
+    neighbouring paths in page order and fused as length * log(1 + punctuation); a path inside an element that is furniture by
+    name, or by class, id or role, keeps FURNITURE_WEIGHT of its score. Paths at or above a threshold (a share of the spread
+    of all scores) that are not mostly links hold content. Short blocks follow them: those inside the element that holds
+    most of their score, and those in the article and main elements around the path with most text, unless they are mostly
+    links or furniture. Null or empty html gives ""; a page is read to its end at any depth.
     """
     if not html:
         return ""
-    blocks = page_blocks(html)
-    stats: dict[str, list[float]] = {}
-    for path, text, linked, bad, _ in blocks:
-        if not bad:
-            s = stats.setdefault(path, [0, 0, 0, 0])
-            for i, v in enumerate((len(text), len(PUNCTUATION.findall(text)), 1, linked)):
-                s[i] += v
+    blocks, paths = page_blocks(html)
+    stats: dict[int, list[float]] = {}
+    for path, text, linked in blocks:
+        s = stats.setdefault(path, [0, 0, 0, 0])
+        for i, v in enumerate((len(text), len(PUNCTUATION.findall(text)), 1, linked)):
+            s[i] += v
     if not stats:
         return ""
-    raw = [(s[0] / s[2], s[1] / s[2]) for s in stats.values()]
-    fused = {p: n * math.log1p(m) for p, n, m in zip(stats, _smooth([x[0] for x in raw]), _smooth([x[1] for x in raw]), strict=True)}
+    weight = [FURNITURE_WEIGHT if paths.furniture[p] else 1.0 for p in stats]
+    raw = [(w * s[0] / s[2], w * s[1] / s[2]) for w, s in zip(weight, stats.values(), strict=True)]
+    fused = {p: w * n * math.log1p(m) for p, w, n, m in zip(stats, weight, _smooth([x[0] for x in raw]), _smooth([x[1] for x in raw]), strict=True)}
     mean = sum(fused.values()) / len(fused)
     spread = math.sqrt(sum((x - mean) ** 2 for x in fused.values()) / len(fused))
-    chosen = {p for p, x in fused.items() if x >= 0.5 * spread and stats[p][3] < 0.5 * stats[p][0]}
-    # Short headings and list items next to the text belong to it: everything inside the element that holds most of it,
-    # and inside the article and main elements around the path that holds most of it, but for other articles in them.
-    around = set(_articles(max(chosen, key=lambda p: (stats[p][0], p), default="")))
-    beside = {p for p, s in stats.items() if s[3] < 0.7 * s[0] and _articles(p)[-1:] and _articles(p)[-1] in around}
-    homes = {p.rpartition("/")[0] for p in chosen}
-    home = max(homes, key=lambda h: (sum(fused[p] for p in chosen if p.rpartition("/")[0] == h), h), default="")
-    inner = home + "/" if home and home.rpartition("/")[2] not in ("body", "html") else None
-    inside = {p for p, s in stats.items() if inner and p.startswith(inner) and s[3] < 0.5 * s[0]}
-    return " ".join(t for p, t, _, bad, _ in blocks if not bad and (p in chosen or p in beside or p in inside))
+    chosen = {p for p, x in fused.items() if x >= 0.5 * spread and x > 0 and stats[p][3] < 0.5 * stats[p][0]}
+    if not chosen:
+        return ""
+    around = set()
+    at = paths.article[max(chosen, key=lambda p: (stats[p][0], p))]
+    while at > 0:
+        around.add(at)
+        at = paths.article[paths.parent[at]]
+    held: dict[int, float] = {}
+    for p in chosen:
+        held[paths.parent[p]] = held.get(paths.parent[p], 0) + fused[p]
+    home = max(held, key=lambda h: (held[h], h))
+    under = [False] * len(paths.parent)
+    if home > 0 and paths.name[home] not in ("body", "html"):
+        for p in range(home + 1, len(under)):  # a path has a higher number than its parent
+            under[p] = paths.parent[p] == home or under[paths.parent[p]]
+    short = {p for p, s in stats.items() if not paths.furniture[p] and (paths.article[p] in around and s[3] < 0.7 * s[0] or under[p] and s[3] < 0.5 * s[0])}
+    return " ".join(t for p, t, _ in blocks if p in chosen or p in short)
 
 
 def extract_pages(pages: DataFrame, html: str = "html") -> DataFrame:
     """``pages`` with ``main_text`` (empty if there is none). Pages are independent; nothing is shuffled or gathered.
 
-    Extra columns are carried along; a column named ``main_text`` is replaced.
+    Extra columns are carried along; a column named ``main_text`` is replaced. Repeated rows are read each; an empty table
+    gives an empty one.
     """
     own = [c for c in pages.columns if c != "main_text"]
     d = pages.select(*own)
