@@ -13,9 +13,10 @@ SLOT_BITS = 16
 #: White space other than the blank and the line feed; each becomes a blank before a line is split.
 OTHER_GAPS = "\t\x0b\x0c\r"
 #: Sets of more tokens than this have a sketch of 128 bits.
-WIDE = 72
-#: So many sets of a token, the earliest of each class, are what others of the token meet first.
-CLASSES = 16
+WIDE = 12
+#: The first rounds: of how many classes the earliest set of a token is met first, and at how many tokens from the end of the
+#: prefix. The first round settles dense groups of near copies with few pairs, the second one what is left of loose groups.
+ROUNDS = ((4, 2), (64, 4))
 #: The tokens are joined in so many passes, which bounds what the shuffles hold at once.
 PASSES = 2
 
@@ -136,8 +137,8 @@ def later_matches(lines: DataFrame, threshold: int = THRESHOLD, least: int = 1)
     prefix and the smaller one's shorter prefix. Pairs that meet at such a token must pass the length, the positional and
     a sketch filter; the whole sets are compared last.
 
-    The join runs in rounds. First each set meets, at the last two tokens of its prefix, the earliest sets of CLASSES
-    classes, and the likest of them is compared with it. That settles nearly all of a large group of near copies without
+    The join runs in rounds. First each set meets, at the last tokens of its prefix, the earliest sets of some classes, and
+    the likest of them is compared with it (see ROUNDS). That settles nearly all of a large group of near copies without
     making its pairs. Then sets still open meet all others, and settled ones meet smaller open ones; two settled sets
     never meet. Every round's result is a table, and tables that
     nothing reads any more are emptied.
@@ -153,17 +154,19 @@ def later_matches(lines: DataFrame, threshold: int = THRESHOLD, least: int = 1)
 
     x_later = "(y.doc_id < x.doc_id OR y.doc_id = x.doc_id AND y.line_no < x.line_no)"
     y_later = "(x.doc_id < y.doc_id OR x.doc_id = y.doc_id AND x.line_no < y.line_no)"
-    ends = _rows(sets, _index(t)).where(f"p >= {_index(t)} - 2")
-    kind = F.pmod(F.xxhash64("doc_id", "line_no"), F.lit(CLASSES))
-    heads = ends.groupBy("token", kind.alias("kind")).agg(F.min(F.struct(*SET, "p")).alias("f")).select("token", "f.*")
-    near = ends.alias("x").join(heads.alias("y"), (F.col("x.token") == F.col("y.token")) & F.expr(x_later) & _may_match(t))
-    nearest = F.min(F.struct(F.expr("bit_count(x.odd ^ x.odd2 ^ y.odd ^ y.odd2)"), F.col("y.doc_id").alias("to_doc"), F.col("y.line_no").alias("to_line")))
-    near = near.groupBy("x.doc_id", "x.line_no").agg(nearest.alias("to")).select("doc_id", "line_no", "to.to_doc", "to.to_line")
-    settled = _verified(table(near, "first_pairs"), lines, t)
-
-    flag = settled.withColumn("open", F.lit(False))
-    state = table(sets.join(flag, ["doc_id", "line_no"], "left").withColumn("open", F.coalesce("open", F.lit(True))), "state")
-    drop(sets)
+    state = sets.withColumn("open", F.lit(True))
+    for classes, tokens_of in ROUNDS:
+        ends = _rows(state, _index(t), "open").where(f"p >= {_index(t)} - {tokens_of}")
+        kind = F.pmod(F.xxhash64("doc_id", "line_no"), F.lit(classes))
+        heads = ends.groupBy("token", kind.alias("kind")).agg(F.min(F.struct(*SET, "p")).alias("f")).select("token", "f.*")
+        near = ends.where("open").alias("x").join(heads.alias("y"), (F.col("x.token") == F.col("y.token")) & F.expr(x_later) & _may_match(t))
+        nearest = F.min(F.struct(F.expr("bit_count(x.odd ^ x.odd2 ^ y.odd ^ y.odd2)"), F.col("y.doc_id").alias("to_doc"), F.col("y.line_no").alias("to_line")))
+        near = near.groupBy("x.doc_id", "x.line_no").agg(nearest.alias("to")).select("doc_id", "line_no", "to.to_doc", "to.to_line")
+        settled = _verified(table(near, "first_pairs"), lines, t).withColumn("now", F.lit(False))
+        before, state = state, state.join(settled, ["doc_id", "line_no"], "left").withColumn("open", F.col("open") & F.coalesce("now", F.lit(True))).drop("now")
+        state = table(state, "state")
+        drop(before)
+
     pairs = None
     for part in range(PASSES):
         own = f"pmod(token, {PASSES}) = {part}"
