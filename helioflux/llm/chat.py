@@ -16,6 +16,10 @@ def rotations(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     part to learn: the text and end mark of the perspective's own turns; both null elsewhere).
 
     Participants are the roles of a conversation other than system; a conversation of system turns only renders nothing.
+    What looks like a control mark in a text or a name opens no turn: in texts ``<|`` becomes ``<\\|`` (and ``<\\`` becomes
+    ``<\\\\``, so that it can be undone), in names ``\\``, ``|`` and line feeds are written ``\\\\``, ``\\|`` and ``\\n``; offsets
+    are those of the rendered text, the column speaker keeps the name as it is. Other columns are left out.
+
     A null role is the participant "unknown", a null text is empty, turns go by (turn, role, text) with null first, and
     repeated rows are turns of their own. A conversation of any length is a set of rows: offsets come from sums over
     blocks of turns and then inside each block, so no conversation is gathered in one task.
@@ -29,8 +33,12 @@ def rotations(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     who = t.where("speaker <> 'system'").select("conv", F.col("speaker").alias("perspective")).distinct()
     d = t.join(who.withColumnRenamed("conv", "_conv"), F.col("conv").eqNullSafe(F.col("_conv"))).drop("_conv")
     own = F.col("speaker") == F.col("perspective")
-    head = F.when(own, "<|assistant|>\n").when(F.col("speaker") == "system", "<|system|>\n").otherwise(F.concat(F.lit("<|user name="), F.col("speaker"), F.lit("|>\n")))
-    d = d.withColumn("head", F.length(head)).withColumn("segment", F.concat(head, F.col("text"), F.lit("<|end|>\n"))).withColumn("n", F.length("segment").cast("long"))
+    text_out = F.replace(F.replace("text", F.lit("<\\"), F.lit("<\\\\")), F.lit("<|"), F.lit("<\\|"))
+    name = F.col("speaker")
+    for a, b in (("\\", "\\\\"), ("|", "\\|"), ("\n", "\\n")):
+        name = F.replace(name, F.lit(a), F.lit(b))
+    head = F.when(own, "<|assistant|>\n").when(F.col("speaker") == "system", "<|system|>\n").otherwise(F.concat(F.lit("<|user name="), name, F.lit("|>\n")))
+    d = d.withColumn("head", F.length(head)).withColumn("segment", F.concat(head, text_out, F.lit("<|end|>\n"))).withColumn("n", F.length("segment").cast("long"))
     d = d.withColumn("block", F.floor(F.coalesce(F.col("turn"), F.lit(-1)) / BLOCK))
     sums = d.groupBy("conv", "perspective", "block").agg(F.sum("n").alias("n"))
     before = Window.partitionBy("conv", "perspective").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)

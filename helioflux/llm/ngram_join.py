@@ -89,7 +89,8 @@ def part_keys(offsets: np.ndarray, tokens: np.ndarray, t: int) -> tuple[np.ndarr
     of the larger set, deals all tokens by hash into more parts than that; a token that differs spoils one part, so
     enough parts are equal, and by the prefix principle one of them is among the first k + 1 of either text, in the order
     of part size (largest first) and then signature. A part's signature covers several tokens of the text, so a
-    passage or word that very many texts share makes no key that many texts share, short of copies.
+    passage or word that very many texts share makes no key that many texts share, short of copies. Only texts of so few
+    tokens that fewer parts hold some than the prefix is long use tokens themselves as keys.
     """
     n = np.diff(offsets)
     bounds = _levels()
@@ -125,12 +126,15 @@ def part_keys(offsets: np.ndarray, tokens: np.ndarray, t: int) -> tuple[np.ndarr
         keep = rank <= k[who][r]
         docs.append(who[r[keep]])
         keys.append(sig[keep])
-        # Where fewer parts hold tokens than the prefix is long, equal empty parts may be all that is shared.
+        # Two texts that both fill fewer parts than the prefix is long may share empty parts only. They share a token of
+        # their prefixes in the order of the tokens, n - ceil(t n / 100) + 1 long.
         filled = np.bincount(r, minlength=len(who))
         thin = np.flatnonzero(filled < k[who] + 1)
         if len(thin):
-            docs.append(who[thin])
-            keys.append(_mix(lev[who][thin].astype(np.uint64), 13))
+            length = size[thin] + (-t * size[thin] // 100) + 1
+            at = np.repeat(offsets[who[thin]] - (np.cumsum(length) - length), length) + np.arange(length.sum())
+            docs.append(np.repeat(who[thin], length))
+            keys.append(_mix(tokens[at] ^ _mix(np.repeat(lev[who[thin]], length).astype(np.uint64), 13), 17))
     return (np.concatenate(docs), np.concatenate(keys)) if docs else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
 

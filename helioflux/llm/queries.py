@@ -63,13 +63,13 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("conv_id", "perspective", F.col("turn").cast("long").alias("turn"), "speaker", F.sha2("segment", 256).alias("segment_sha256"), F.col("start").alias("start_at"), F.col("end").alias("end_at"), *[F.coalesce(c, F.lit(-1)).cast("long").alias(c) for c in ("train_start", "train_end")])
 
 
-_OP6_SQL = """
+_OP6_SQL = r"""
     WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations),
     w AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
     d AS (SELECT t.conv_id, perspective, turn, speaker, text,
             CASE WHEN speaker = perspective THEN '<|assistant|>' || chr(10) WHEN speaker = 'system' THEN '<|system|>' || chr(10)
-                 ELSE '<|user name=' || speaker || '|>' || chr(10) END AS head FROM t JOIN w ON t.conv_id = w.conv_id),
-    s AS (SELECT *, head || text || '<|end|>' || chr(10) AS segment FROM d),
+                 ELSE '<|user name=' || replace(replace(replace(speaker, '\', '\\'), '|', '\|'), chr(10), '\n') || '|>' || chr(10) END AS head FROM t JOIN w ON t.conv_id = w.conv_id),
+    s AS (SELECT *, head || replace(replace(text, '<\', '<\\'), '<|', '<\|') || '<|end|>' || chr(10) AS segment FROM d),
     o AS (SELECT *, sum(length(segment)) OVER (PARTITION BY conv_id, perspective ORDER BY turn, speaker, text ROWS UNBOUNDED PRECEDING) AS e FROM s)
     SELECT conv_id, perspective, CAST(turn AS BIGINT) AS turn, speaker, sha256(segment) AS segment_sha256,
            CAST(e - length(segment) AS BIGINT) AS start_at, CAST(e AS BIGINT) AS end_at,
