@@ -63,6 +63,29 @@ def hard_band(df: DataFrame, cadence: float = 1.0, **how) -> DataFrame:
     return run_machine(df, lambda: S.HardBand(cadence), step_band, BAND, **how)
 
 
+def band_flares(df: DataFrame, band: str, cadence: float = 1.0, by: str = "stream") -> DataFrame:
+    """Bursts of a band (soft or hard) per stream: onset, peak (the onset where none was told), end, peak_value, spikes, band.
+
+    A burst that is open after the last sample comes out as it is then, without an end.
+    """
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["t", "event_id"])
+        m, c, rows = (S.SoftBand if band == "soft" else S.HardBand)(cadence), S.Collector(band), []
+        for x, t in zip(g["value"], g["t"], strict=True):
+            done = c.push(m.update(x, t), x, t)
+            rows += [done] if done else []
+        last = c.flush()
+        rows += [last] if last else []
+        out = pd.DataFrame(rows, columns=["onset", "peak", "end", "peak_value", "spikes"])
+        out["peak"] = out["peak"].fillna(out["onset"])
+        out.insert(0, by, g[by].iloc[0])
+        return out
+
+    d = df.select("event_id", by, "t", "value").groupBy(by).applyInPandas(run, f"{by} string, onset double, peak double, end double, peak_value double, spikes long")
+    return d.withColumn("band", F.lit(band))
+
+
 def detections(soft: DataFrame, hard: DataFrame) -> DataFrame:
     """Onsets of both bands as rows for the associator: id, band, onset, peak."""
     s = soft.where("onset is not null").select(F.col("event_id").alias("id"), F.lit("soft").alias("band"), "onset", F.col("peak"))
@@ -98,8 +121,8 @@ def kalman(cells: DataFrame, dt: float, by: str = "quantity") -> DataFrame:
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         k, rows = S.Kalman(), []
-        for q, c, s in g.sort_values("cell")[[by, "cell", "sensors"]].itertuples(index=False):
-            f = k.step([(x["lv"], x["sigma"], x["rel"]) for x in s], dt)
+        for n, (q, c, s) in enumerate(g.sort_values("cell")[[by, "cell", "sensors"]].itertuples(index=False)):
+            f = k.step([(x["lv"], x["sigma"], x["rel"]) for x in s], dt if n else 0.0)
             if k.ready:
                 rows.append((q, c, *f))
         return pd.DataFrame(rows, columns=[by, "cell", "value", "sigma", "rejected"])

@@ -9,7 +9,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
+from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,8 +39,38 @@ class Forecaster:
         self.calibration = IsotonicRegression(labelCol="label", featuresCol="features").fit(d)
         return self
 
+    def save(self, path: str) -> None:
+        """Both parts under ``path``, a folder that every executor can reach; what is there is replaced."""
+        self.trees.write().overwrite().save(f"{path}/trees")
+        if self.calibration is not None:
+            self.calibration.write().overwrite().save(f"{path}/calibration")
+
+    @classmethod
+    def load(cls, path: str, calibrated: bool = True) -> Forecaster:
+        return cls(PipelineModel.load(f"{path}/trees"), IsotonicRegressionModel.load(f"{path}/calibration") if calibrated else None)
+
     def predict(self, df: DataFrame) -> DataFrame:
         d = self._raw(df)
         if self.calibration is not None:
             d = self.calibration.setFeaturesCol("_p").setPredictionCol("_q").transform(d).withColumn("_p", F.col("_q")).drop("_q")
         return d.withColumn("p", F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), F.col("_p")))).drop("_p")
+
+
+def offline_forecast(samples: DataFrame, events: DataFrame, horizon_min: float = 60.0, folds: int = 4, rounds: int = 10) -> DataFrame:
+    """Held-out forecasts (event_id, stream, t, y, p) of the last fold: features, labels, rolling-origin folds, trees, calibration.
+
+    ``samples`` as for ``features``, ``events`` with stream, t_start, t_peak and t_end. The trees learn from the earlier
+    four fifths of the fold's training rows, the calibration from the rest; the fold tests on what comes after the embargo.
+    """
+    from .common import cut
+    from .features import FEATURES, features
+    from .verify import blocked_folds, labels
+
+    wide = features(samples, events, horizon_min=horizon_min)
+    rows = cut(labels(wide, events, horizon_min, ["stream"]))
+    last = cut(blocked_folds(rows, folds, order=("t", "event_id")).where(F.col("fold") == folds))
+    train, test = last.where("role = 'train'"), last.where("role = 'test'")
+    split = train.agg(F.percentile_approx("t", 0.8)).first()[0]
+    model = Forecaster.fit(train.where(F.col("t") <= split), FEATURES, rounds=rounds)
+    model.calibrate(train.where(F.col("t") > split))
+    return model.predict(test).select("event_id", "stream", "t", "y", "p")

@@ -426,6 +426,56 @@ class HardBand:
         return out
 
 
+@dataclass
+class Leaky:
+    """Leaky integral by steps of ``dt``: gains ``gain`` times the input, loses with ``tau``, never below zero."""
+
+    dt: float
+    tau: float = K.DECAY_TAU_S
+    gain: float = 1.0
+    level: float = 0.0
+
+    def update(self, x: float) -> float:
+        self.level = max(0.0, self.level + self.dt * (self.gain * x - self.level / self.tau))
+        return self.level
+
+
+class Collector:
+    """Bursts of one band from the states of its detector: opened at an onset, closed at their end, flushed at the end of the data.
+
+    The soft band tells its peaks and ends; the hard band's peak is the highest sample, and it ends with its state.
+    """
+
+    def __init__(self, band: str) -> None:
+        self.soft, self.open = band == "soft", None
+
+    def push(self, r: dict, x: float, t: float) -> dict | None:
+        """``r``: what the band's ``update`` gave for the sample (x, t); returns the burst that ends here."""
+        if r.get("onset") is not None:
+            self.open = {"onset": r["onset"], "peak": None, "end": None, "peak_value": 0.0 if self.soft else x, "spikes": 0}
+        o = self.open
+        if o is None:
+            return None
+        o["spikes"] += bool(r.get("spike"))
+        if self.soft:
+            if r.get("peak") is not None:
+                o["peak"], o["peak_value"] = t, r.get("peak_value") or o["peak_value"]
+            over = r.get("end") is not None
+            o["end"] = t if over else None
+        else:
+            if x > o["peak_value"]:
+                o["peak_value"], o["peak"] = x, t
+            over = not r["in_event"]
+        if over:
+            self.open = None
+            return o
+        return None
+
+    def flush(self) -> dict | None:
+        o, self.open = self.open, None
+        return o
+
+
 class Kalman:
     """Level and rate of log flux; sensors are applied in order, each behind a gate on its innovation."""
 

@@ -52,18 +52,28 @@ def tumbling(df: DataFrame, width: str = "1 hour", late: str = "10 minutes") ->
 
 
 def latest_sink(path: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch: the newest sample per stream, as a table that is replaced as a whole."""
+    """foreachBatch: the newest sample per stream, as a table that is replaced as a whole.
+
+    Every batch but the first reads what the one before it wrote; if that cannot be read, the batch fails and nothing is lost.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        from ..operators.events import latest
+
+        if number > 0:
+            batch = batch.unionByName(batch.sparkSession.read.schema(batch.schema).parquet(f"{path}/{number - 1}"))
+        latest(batch, ["stream"], ["t", "event_id"]).select(*batch.columns).write.mode("overwrite").parquet(f"{path}/{number}")
+
+    return write
+
+
+def newest_per_trigger(handle: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """foreachBatch: hands on the newest sample of each stream in the batch only, as a poller of the latest value sees it."""
 
     def write(batch: DataFrame, number: int) -> None:
         from ..operators.events import latest
 
-        spark = batch.sparkSession
-        try:
-            old = spark.read.parquet(f"{path}/{number - 1}")
-            batch = batch.unionByName(old)
-        except Exception:  # noqa: BLE001  the first batch has nothing before it
-            pass
-        latest(batch, ["stream"], ["t", "event_id"]).write.mode("overwrite").parquet(f"{path}/{number}")
+        handle(latest(batch, ["stream"], ["t", "event_id"]).select(*batch.columns), number)
 
     return write
 
@@ -81,4 +91,4 @@ def run_available(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(out.schema).parquet(f"{root}/out")
 
 
-__all__ = ["detect_stream", "event_stream", "latest_sink", "run_available", "tumbling"]
+__all__ = ["detect_stream", "event_stream", "latest_sink", "newest_per_trigger", "run_available", "tumbling"]
