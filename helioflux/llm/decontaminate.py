@@ -184,10 +184,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     score is the best local alignment of the item's words with a passage (match 2, mismatch and gap -1), most what the
     item gives against itself; rows with 100 * score >= threshold * most are returned. Passages are found by seeds: every
     n-gram of an item, however many documents hold it. A copy without ``seed_words`` words in a row of the item's is not
-    found. Null and empty texts and items match nothing; an item of fewer words than a seed is sought whole.
+    found; with ``seed_words`` 1 every copy is, as a score needs a word in common. Null and empty texts and items match
+    nothing; an item of fewer words than a seed is sought whole, so one of a word or two is found in every text that has
+    them in a row. Of alignments with equal scores the first in the text is told. Rows that share a key each give their own
+    rows, items that share an id each theirs; empty tables give no rows; other columns are left out. The key may not be
+    named like a column of the result.
     The benchmark goes to the executors in parts of ``slice_chars`` characters, each with a pass of its own over the
     documents; no document is shuffled or gathered.
     """
+    if key in (item, "score", "most", "first_word", "end_word"):
+        raise ValueError(f"the key may not be named {key}")
     kinds = (dict(docs.dtypes)[key], dict(benchmark.dtypes)[item])
     d = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     item_kind = "long" if kinds[1] in ("bigint", "int") else "string"
