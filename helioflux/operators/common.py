@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -15,19 +15,24 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder (``spark.checkpoint.dir``) and read back, which cuts its lineage.
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share (``spark.checkpoint.dir``).
 
     A local session without that setting, as in tests, gets a folder of its own; on a cluster it has to be set, since
     executors do not see one another's local folders.
     """
-    spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("helioflux.cut.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="helioflux-")
         spark.conf.set("helioflux.cut.dir", root)
-    path = f"{root.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back, which cuts its lineage."""
+    spark = df.sparkSession
+    path = f"{shared_root(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

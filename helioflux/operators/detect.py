@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..state import machines as S
+from .series import sessions
 
 
 def ema_fold(value: str, order: Sequence[str], alpha: float = K.EMA_ALPHA, seed: float = 0.0) -> Column:
@@ -97,11 +98,10 @@ def associate(found: DataFrame, day_s: float = 86400.0, **limits) -> DataFrame:
     """Greedy pairing of detections in time order: events with start, peak, the two identities and flags.
 
     Detections further apart than the lag window cannot pair, so the table is cut into sessions at such pauses and each
-    session is paired by itself: the outcome is that of one pass over everything.
+    session is paired by itself: the outcome is that of one pass over everything. A session is one group.
     """
     pause = max(limits.get("lead", K.LEAD_S), limits.get("lag", K.LAG_S))
-    d = found.withColumn("_ts", F.timestamp_micros(F.rint(F.col("onset") * 1e6).cast("long")))
-    s = d.groupBy(F.session_window("_ts", f"{int(pause) + 1} seconds").alias("w")).agg(F.sort_array(F.collect_list(F.struct("onset", "band", "id", "peak"))).alias("dets"))
+    s = sessions(found, pause, "onset").groupBy("session").agg(F.sort_array(F.collect_list(F.struct("onset", "band", "id", "peak"))).alias("dets"))
 
     def run(batches):
         for b in batches:
@@ -132,8 +132,7 @@ def kalman(cells: DataFrame, dt: float, by: str = "quantity") -> DataFrame:
 
 def cluster_peaks(entries: DataFrame, tol: float = K.PEAK_TOL_S) -> DataFrame:
     """Greedy first-fit clusters of catalogue entries in order of arrival, session by session (pauses above 2 tol part them)."""
-    d = entries.withColumn("_ts", F.timestamp_micros(F.rint(F.col("t_peak") * 1e6).cast("long")))
-    s = d.groupBy(F.session_window("_ts", f"{int(2 * tol) + 1} seconds").alias("w")).agg(F.sort_array(F.collect_list(F.struct("t_peak", "catalog", "event_id"))).alias("e"))
+    s = sessions(entries, 2 * tol, "t_peak").groupBy("session").agg(F.sort_array(F.collect_list(F.struct("t_peak", "catalog", "event_id"))).alias("e"))
 
     def run(batches):
         for b in batches:

@@ -25,9 +25,13 @@ def realtime_eligible(df: DataFrame, sources: DataFrame, age: str = "age_s") ->
 
 
 def inverse_variance(df: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Mean weighted by reliability / sigma ** 2, its sigma, and how many values took part (reliability above 0)."""
-    w = F.col("reliability") / (F.col("sigma") * F.col("sigma"))
-    d = df.where("reliability > 0 and sigma > 0").groupBy(*by)
+    """Mean weighted by reliability / sigma ** 2, its sigma, and how many values took part (reliability above 0).
+
+    A value that takes part without a sigma above zero is an error of the data and ends the query.
+    """
+    s = F.when(F.col("sigma") > 0, F.col("sigma")).otherwise(F.raise_error(F.lit("sigma must be above 0")).cast("double"))
+    w = F.col("reliability") / (s * s)
+    d = df.where("reliability > 0").groupBy(*by)
     return d.agg((F.sum(w * F.col("value")) / F.sum(w)).alias("value"), F.sqrt(1 / F.sum(w)).alias("sigma"), F.count("*").alias("n"))
 
 

@@ -87,6 +87,22 @@ def runs_of(df: DataFrame, flag: str, by: Sequence[str] = ("stream",), order: Se
     return d.withColumn("place", F.row_number().over(ordered((*by, "run"), order))).drop("_n")
 
 
+def sessions(df: DataFrame, gap: float, t: str = "t", block: float = 86400.0) -> DataFrame:
+    """``df`` with ``session``: numbered runs of rows no more than ``gap`` apart in time, over the whole table.
+
+    Rows are put in order within blocks of time; blocks hand on their last time and their number of runs, one row each,
+    so no task orders the table. Rows without a time are left out.
+    """
+    d = df.where(F.col(t).isNotNull()).withColumn("_block", F.floor(F.col(t) / block))
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # one row per block
+    last = d.groupBy("_block").agg(F.max(t).alias("_last")).select("_block", F.max("_last").over(before).alias("_prior"))
+    inside = Window.partitionBy("_block").orderBy(t)
+    d = d.join(last, "_block").withColumn("_new", F.coalesce(F.col(t) - F.coalesce(F.lag(t).over(inside), F.col("_prior")) > gap, F.lit(True)).cast("long"))
+    base = d.groupBy("_block").agg(F.sum("_new").alias("_n")).select("_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    d = d.withColumn("_run", F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0))).join(base, "_block")
+    return d.withColumn("session", F.col("_base") + F.col("_run")).drop("_block", "_prior", "_new", "_run", "_base")
+
+
 # --- grids ----------------------------------------------------------------------------------------------------------------
 def build_grid(spark, t0: float, t1: float, dt: float = K.GRID_DT_S) -> DataFrame:
     """Cells t0, t0 + dt, ... up to t1."""

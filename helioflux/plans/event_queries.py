@@ -8,6 +8,7 @@ from .. import constants as K
 from ..functions import scalar as X
 from ..operators import events as V
 from ..operators import fusion
+from ..operators.series import sessions
 from .registry import FLARES, E, events_as_flares, query, r6, read, streams
 
 
@@ -142,9 +143,8 @@ def consensus_vote(spark, d):
 @query("consensus_sessions", f"""WITH {E}, {FLARES}, a AS (SELECT event_id, stream, t_peak, CASE WHEN t_peak - lag(t_peak) OVER (ORDER BY t_peak, event_id) > 180 OR lag(t_peak) OVER (ORDER BY t_peak, event_id) IS NULL THEN 1 ELSE 0 END AS s FROM f),
     b AS (SELECT *, sum(s) OVER (ORDER BY t_peak, event_id ROWS UNBOUNDED PRECEDING) AS g FROM a) SELECT min(event_id) AS first_id, count(*) AS n, count(DISTINCT stream) AS n_catalogs FROM b GROUP BY g""")
 def consensus_sessions(spark, d):
-    # session_window closes a gap at its exact length; the microsecond makes the bound inclusive.
-    f = events_as_flares(spark, d).withColumn("ts", F.timestamp_micros(F.rint(F.col("t_peak") * 1e6).cast("long")))
-    g = f.groupBy(F.session_window("ts", "180 seconds 1 microsecond")).agg(F.min("event_id").alias("first_id"), F.count("*").alias("n"), F.size(F.collect_set("stream")).cast("long").alias("n_catalogs"))
+    f = sessions(events_as_flares(spark, d), 180.0, "t_peak")
+    g = f.groupBy("session").agg(F.min("event_id").alias("first_id"), F.count("*").alias("n"), F.size(F.collect_set("stream")).cast("long").alias("n_catalogs"))
     return g.select("first_id", "n", "n_catalogs")
 
 

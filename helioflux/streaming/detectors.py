@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.common import shared_root
 from ..state import machines as S
 
 
@@ -80,8 +80,7 @@ def newest_per_trigger(handle: Callable[[DataFrame, int], None]) -> Callable[[Da
 
 def run_available(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The parity detector as a stream over all of ``events``; returns what it wrote."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    root = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}" if shared else f"file://{tempfile.mkdtemp(prefix='helioflux-')}"
+    root = f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
     whole = spark.read.parquet(f"{sf_dir}/events.parquet")
     whole.write.parquet(f"{root}/in")  # a file source reads folders
     src = event_stream(spark, f"{root}/in", whole.schema, 100)
