@@ -91,3 +91,19 @@ def test_event_fields_of_other_shapes(spark):
     assert [(r["t_peak"], r["goes_class"], r["t_start"]) for r in records.event_fields(e).collect()] == [(5.0, "C1.0", None), (6.0, "M1.0", None)]
     with pytest.raises(ValueError, match="t_peak"):
         records.event_fields(e.drop("t_peak"))
+
+
+def test_sessions_across_blocks(spark):
+    import random
+
+    from helioflux.operators.series import sessions
+
+    rng = random.Random(3)
+    times = sorted([rng.uniform(0, 4 * 86400) for _ in range(300)] + [86400.0, 86400.0, 2 * 86400.0 - 1, 2 * 86400.0 + 1, 9 * 86400.0])
+    want, run, last = {}, 0, None
+    for t in times:
+        run += last is None or t - last > 600.0
+        last, want[t] = t, run
+    d = spark.createDataFrame([(t,) for t in times] + [(None,)], "t double")
+    got = sessions(d, 600.0).collect()
+    assert len(got) == len(times) and {r["t"]: r["session"] for r in got} == want
