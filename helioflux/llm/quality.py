@@ -84,7 +84,8 @@ def quality_signals(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...]
     """Every column of ``docs`` and, in the struct ``quality``, the counts, the verdict of each rule and ``kept``.
 
     Null text counts as empty: no words, so ``base_failed`` and not kept. Empty tables give empty results; extra columns
-    are carried along, also ones named like a signal (the signals stand inside one struct). Ties and repeated rows do
+    are carried along, also ones named like a signal (the signals stand inside one struct); one named ``quality`` gives way
+    to the struct. Ties and repeated rows do
     not matter, rows are judged alone.
     """
     t = text_of(text)
