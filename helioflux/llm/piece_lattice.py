@@ -39,7 +39,7 @@ class Lattice:
         self.unmade = {k for k, x in self.parts.items() if x is None}  # pieces that merging never makes
         # What a start of a piece is: the piece's id, or -1 where only longer ones go on from it.
         self.steps = {p[:i]: -1 for p in self.ids for i in range(1, len(p))} | {p: k for p, k in self.ids.items() if k not in self.unmade}
-        self.side_by_side: dict[tuple[int, int], bool] = {}
+        self.side_by_side: dict[int, bool] = {}  # by both ids in one number
         self.memo = Words(self)
 
     def _last_merge(self, piece: str) -> tuple[int, int] | None:
@@ -56,10 +56,10 @@ class Lattice:
 
     def apart(self, a: int, b: int) -> bool:
         """Whether merging the text of both from its characters ends with these two pieces."""
-        key = (a, b)
+        key = a << 32 | b
         known = self.side_by_side.get(key)
         if known is None:
-            if len(self.side_by_side) > 4 * MEMO:
+            if len(self.side_by_side) > 2 * MEMO:
                 self.side_by_side.clear()
             known = self.side_by_side[key] = self._apart(a, b)
         return known
@@ -90,7 +90,7 @@ class Lattice:
         steps, known, reach = self.steps, self.side_by_side, self.reach
         n = end - start
         out: list[tuple[int, int] | None] = [None] * (n + 1)
-        if len(known) > 4 * MEMO:
+        if len(known) > 2 * MEMO:
             known.clear()
         for a in range(n):
             if a:
@@ -112,9 +112,10 @@ class Lattice:
                 if free:
                     out[b] = (j, k)
                     continue
-                ok = known.get((before, k))
+                key = before << 32 | k
+                ok = known.get(key)
                 if ok is None:
-                    ok = known[before, k] = self._apart(before, k)
+                    ok = known[key] = self._apart(before, k)
                 if ok:
                     out[b] = (j, k)
         return out
