@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_extract, line_dedup, ngram_join, quality, rindex_dedup, secrets, sentencepiece_scan, token_counts
+from . import centroids, chat, decontaminate, fill_middle, html_extract, line_dedup, mixing, ngram_join, quality, rindex_dedup, secrets, sentencepiece_scan, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -130,6 +130,71 @@ def _op8_sql() -> str:
            (NOT base_failed AND {rules}) AS kept FROM b"""
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), k=8, rounds=10, dims=64, scale=1024, seed=3)
+
+
+def _op11_sql(k: int = 8, rounds: int = 10) -> str:
+    def assign(v: str, c: str) -> str:
+        d = "list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+        return f"{v} AS MATERIALIZED (SELECT id, vec_id, any_value(x) AS x, min((d, j)) AS b FROM (SELECT id, vec_id, x, j, CAST({d} AS BIGINT) AS d FROM v, {c}) GROUP BY id, vec_id)"
+
+    steps = []
+    for r in range(rounds):
+        steps.append(assign(f"a{r}", f"c{r}"))
+        steps.append(f"""s{r} AS (SELECT j, i, sum(y) AS s, count(*) AS n FROM (SELECT b[2] AS j, unnest(x) AS y, generate_subscripts(x, 1) AS i FROM a{r}) GROUP BY j, i),
+            m{r} AS (SELECT j, list(CAST((s - ((s % n) + n) % n) / n AS BIGINT) ORDER BY i) AS m FROM s{r} GROUP BY j),
+            c{r + 1} AS MATERIALIZED (SELECT j, coalesce(m, c) AS c FROM c{r} LEFT JOIN m{r} USING (j))""")
+    return f"""
+    WITH v AS MATERIALIZED (SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda e: CAST(floor(CAST(e AS DOUBLE) * 1024) AS BIGINT)) AS x FROM embeddings
+          WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64),
+    c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS j, x AS c FROM (SELECT x, sha256('3:' || vec_id) AS h FROM v ORDER BY h LIMIT {k})),
+    {", ".join(steps)}, {assign("z", f"c{rounds}")}
+    SELECT vec_id, CAST(b[2] AS INTEGER) AS cluster, b[1] AS distance, CAST(sum(b[1]) OVER (PARTITION BY b[2]) AS BIGINT) AS cluster_inertia, CAST(sum(b[1]) OVER () AS BIGINT) AS inertia,
+           sha256(array_to_string(c, ',')) AS centroid_sha256 FROM z JOIN c{rounds} ON j = b[2]"""
+
+
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = mixing.fair_mix(_read(spark, sf_dir, "documents").select("doc_id", "text", "source"), weights=(3, 1, 2), percent=150, repeats=2)
+    return d.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
+
+
+_OP12_SQL = r"""
+    WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, sha256('12:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS place FROM documents),
+    s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS ss FROM d GROUP BY source),
+    s1 AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS r FROM s0),
+    s2 AS (SELECT *, [3, 1, 2][r % 3 + 1] AS w FROM s1),
+    s3 AS (SELECT *, sum(w) OVER () - coalesce(sum(w) OVER o, 0) AS wl, 150 * sum(ss) OVER () - 200 * coalesce(sum(ss) OVER o, 0) AS rest FROM s2
+           WINDOW o AS (ORDER BY ss * (6 // w), r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    s4 AS (SELECT *, 200 * ss * wl <= rest * w AS full_ FROM s3),
+    s5 AS (SELECT source, r, ss, CASE WHEN full_ THEN CAST(2 * ss AS DOUBLE) ELSE CAST(w * (150 * sum(ss) OVER () - 200 * coalesce(sum(ss) FILTER (full_) OVER (), 0)) AS DOUBLE) / CAST(100 * sum(w) FILTER (NOT full_) OVER () AS DOUBLE) END AS target FROM s4),
+    u AS (SELECT r, ss, target, place, size, sum(size) AS words FROM d JOIN s5 ON d.source IS NOT DISTINCT FROM s5.source WHERE size > 0 GROUP BY ALL),
+    q AS (SELECT *, sum(words) OVER (PARTITION BY r ORDER BY place, size) - words AS start FROM u),
+    p0 AS (SELECT *, unnest(range(0, CAST(words AS BIGINT), 256)) AS f FROM q WHERE target > 0),
+    p1 AS (SELECT *, unnest([0, 1]) AS turn, least(256, words - f) AS pw FROM p0),
+    p2 AS (SELECT *, turn * ss + start + f + pw AS upto FROM p1),
+    p3 AS (SELECT *, CAST(upto AS DOUBLE) / target AS finish FROM p2),
+    p4 AS (SELECT *, sum(pw) OVER (ORDER BY finish, r, upto) - pw AS before FROM p3),
+    p5 AS (SELECT r, place, size, sum(greatest(0, least(pw, (SELECT 150 * sum(ss) // 100 FROM s0) - before))) AS got, any_value(words) // any_value(size) AS n, any_value(words) AS words FROM p4 GROUP BY r, place, size)
+    SELECT doc_id, d.size, ss AS source_size, target, CAST(coalesce(got // words * d.size + got % words // n, 0) AS BIGINT) AS taken
+    FROM d JOIN s5 ON d.source IS NOT DISTINCT FROM s5.source LEFT JOIN p5 ON p5.r = s5.r AND p5.place = d.place AND p5.size = d.size"""
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = fill_middle.fill_middle(_read(spark, sf_dir, "documents").select("doc_id", "text"), unit="lines", rate=100, spm=50, seed=7)
+    return d.select("doc_id", "fim.n", "fim.form", "fim.prefix_chars", "fim.middle_chars", F.sha2("fim.output", 256).alias("output_sha256"), F.sha2(fill_middle.restored(F.col("fim.output"), F.col("fim.form")), 256).alias("restored_sha256"))
+
+
+_OP13_SQL = r"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS l, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+    n AS (SELECT *, CAST(len(l) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d),
+    c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+          CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM n),
+    k AS (SELECT *, array_to_string(l[1:a], '') AS p, array_to_string(l[a + 1:b], '') AS m, array_to_string(l[b + 1:n], '') AS s FROM c)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+           sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM k"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
@@ -142,8 +207,11 @@ def queries() -> dict[str, Query]:
         "op8_quality_rules": op8_quality_rules,
         "op9_sentencepiece": op9_sentencepiece,
         "op10_token_counts": op10_token_counts,
+        "op11_centroid_clustering": op11_centroid_clustering,
+        "op12_source_mixing": op12_source_mixing,
+        "op13_fill_in_middle": op13_fill_in_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": _OP2_SQL, "op6_chat_formatting": _OP6_SQL, "op8_quality_rules": _op8_sql()}
+    return {"op2_line_dedup": _OP2_SQL, "op6_chat_formatting": _OP6_SQL, "op8_quality_rules": _op8_sql(), "op11_centroid_clustering": _op11_sql(), "op12_source_mixing": _OP12_SQL, "op13_fill_in_middle": _OP13_SQL}
