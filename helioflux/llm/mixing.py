@@ -111,6 +111,7 @@ def fair_mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), percent: int =
     queue = table(_queue(sizes, targets, root), "queue")
     by_source = taken_by_source(queue, total * percent // 100, root, repeats, packet)
     by_source = by_source.join(targets.select("rank", "source_size"), "rank").select("rank", F.expr("taken div source_size").alias("turns"), (F.col("taken") % F.col("source_size")).alias("rest"))
+    by_source = table(by_source, "by_source")
     edge = queue.join(by_source, "rank").where("start <= rest and rest < start + words")  # a document a source, where the queue ends within it
     edge = edge.select("rank", "turns", F.col("place").alias("at"), F.col("size").alias("at_size"), (F.col("rest") - F.col("start")).alias("part"), F.expr("words div size").alias("rows"))
     facts = targets.join(edge, "rank", "left")
