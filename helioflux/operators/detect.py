@@ -1,29 +1,51 @@
-"""Detectors over tables: recurrences as folds, gated detectors as grouped state machines."""
+"""Detectors over tables: recurrences as blocked scans, detectors with resets by blocks, gated detectors as grouped state machines."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..state import machines as S
-from .series import sessions
+from .blocks import affine_scan, ema, settle
 
 
-def ema_fold(value: str, order: Sequence[str], alpha: float = K.EMA_ALPHA, seed: float = 0.0) -> Column:
-    """Aggregate: the exponential mean after the last sample of a group, by (order)."""
-    xs = F.transform(F.array_sort(F.collect_list(F.struct(*order, value))), lambda s: s[value])
-    return F.aggregate(xs, F.lit(seed), lambda m, x: F.lit(alpha) * m + F.lit(1 - alpha) * x)
+def lindley(df: DataFrame, step: Column, by: Sequence[str] = ("stream",), order: Sequence[str] = ("t", "event_id")) -> DataFrame:
+    """Cumulative sum kept above zero, without alarms, as a blocked scan."""
+    return affine_scan(df, step, 1.0, 0.0, 0.0, by, order, "cusum").drop("cusum_before")
 
 
-def lindley(df: DataFrame, step: Column, by: Sequence[str] = ("stream",), order: Sequence[str] = ("t", "event_id")) -> DataFrame:
-    """Cumulative sum kept above zero, without alarms: the running sum minus its running minimum (0 at most)."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    d = df.withColumn("_c", F.sum(step).over(w))
-    return d.withColumn("cusum", F.col("_c") - F.least(F.lit(0.0), F.min("_c").over(w))).drop("_c")
+def matched_filter(df: DataFrame, value: str = "value", slow: float = 0.98, fast: float = 0.8, by: Sequence[str] = ("stream",), order: Sequence[str] = ("t", "event_id")) -> DataFrame:
+    """Slow less fast exponential mean after each row, both from 0."""
+    d = ema(ema(df, value, slow, False, by, order, "_slow").drop("_slow_before"), value, fast, False, by, order, "_fast").drop("_fast_before")
+    return d.withColumn("matched", F.col("_slow") - F.col("_fast")).drop("_slow", "_fast")
+
+
+def leaky(df: DataFrame, value: str = "value", dt: float = 60.0, tau: float = K.DECAY_TAU_S, gain: float = 1.0, by: Sequence[str] = ("stream",), order: Sequence[str] = ("t", "event_id")) -> DataFrame:
+    """Leaky integral by steps of ``dt`` (below ``tau``) as a blocked scan: gains ``gain`` times the value, loses with ``tau``, never below zero."""
+    return affine_scan(df, F.col(value) * (dt * gain), 1 - dt / tau, 0.0, 0.0, by, order, "level").drop("level_before")
+
+
+def cusum(df: DataFrame, base: float, sigma: float = 1.0, k: float = K.CUSUM_K, h: float = K.CUSUM_H, by: Sequence[str] = ("stream",), order: Sequence[str] = ("t", "event_id"), key: str = "event_id") -> DataFrame:
+    """Rows (by, key, statistic, alarm, onset) of the cumulative sum that an alarm resets, blocks settled by their entry states."""
+    return _alarms(df, lambda: S.Cusum(k, h), lambda m, r: m.update(r["value"], base, sigma, r["t"]), by, order, key)
+
+
+def poisson_cusum(df: DataFrame, mu0: float, ratio: float = K.POISSON_RATIO, h: float = K.POISSON_H, by: Sequence[str] = ("stream",), order: Sequence[str] = ("t", "event_id"), key: str = "event_id") -> DataFrame:
+    """The same of counts against a raised rate."""
+    return _alarms(df, lambda: S.PoissonCusum(ratio, h), lambda m, r: m.update(r["value"], mu0, r["t"]), by, order, key)
+
+
+def _alarms(df: DataFrame, make: Callable, update: Callable, by: Sequence[str], order: Sequence[str], key: str) -> DataFrame:
+    def step(m, r: dict) -> list[tuple]:
+        s, onset = update(m, r)
+        return [(r[key], s, onset is not None, onset)]
+
+    cols = list(dict.fromkeys([*by, key, *order, "t", "value"]))
+    return settle(df.select(*cols), make, step, f"{key} {df.schema[key].dataType.simpleString()}, statistic double, alarm boolean, onset double", by, order)
 
 
 def run_machine(df: DataFrame, make: Callable[[], object], step: Callable[[object, float, float], tuple], schema: str, by: str = "stream", order: Sequence[str] = ("t", "event_id"), key: str = "event_id") -> DataFrame:
@@ -94,28 +116,6 @@ def detections(soft: DataFrame, hard: DataFrame) -> DataFrame:
     return s.unionByName(h)
 
 
-def associate(found: DataFrame, day_s: float = 86400.0, **limits) -> DataFrame:
-    """Greedy pairing of detections in time order: events with start, peak, the two identities and flags.
-
-    Detections further apart than the lag window cannot pair, so the table is cut into sessions at such pauses and each
-    session is paired by itself: the outcome is that of one pass over everything. A session is one group.
-    """
-    pause = max(limits.get("lead", K.LEAD_S), limits.get("lag", K.LAG_S))
-    s = sessions(found, pause, "onset").groupBy("session").agg(F.sort_array(F.collect_list(F.struct("onset", "band", "id", "peak"))).alias("dets"))
-
-    def run(batches):
-        for b in batches:
-            rows = []
-            for dets in b["dets"]:
-                a = S.Associator(**limits)
-                for x in dets:
-                    rows += a.push({"band": x["band"], "onset": x["onset"], "peak": x["peak"], "id": x["id"]})
-                rows += a.flush()
-            yield pd.DataFrame(rows, columns=["t_start", "t_peak", "soft_id", "hard_id", "neupert", "sxr_weak", "score"])
-
-    return s.select("dets").mapInPandas(run, "t_start double, t_peak double, soft_id long, hard_id long, neupert boolean, sxr_weak boolean, score double")
-
-
 def kalman(cells: DataFrame, dt: float, by: str = "quantity") -> DataFrame:
     """Fused flux per cell of (by, cell, sensors array<struct<lv, sigma, rel>> in order of application)."""
 
@@ -128,18 +128,3 @@ def kalman(cells: DataFrame, dt: float, by: str = "quantity") -> DataFrame:
         return pd.DataFrame(rows, columns=[by, "cell", "value", "sigma", "rejected"])
 
     return cells.groupBy(by).applyInPandas(run, f"{by} string, cell long, value double, sigma double, rejected long")
-
-
-def cluster_peaks(entries: DataFrame, tol: float = K.PEAK_TOL_S) -> DataFrame:
-    """Greedy first-fit clusters of catalogue entries in order of arrival, session by session (pauses above 2 tol part them)."""
-    s = sessions(entries, 2 * tol, "t_peak").groupBy("session").agg(F.sort_array(F.collect_list(F.struct("t_peak", "catalog", "event_id"))).alias("e"))
-
-    def run(batches):
-        for b in batches:
-            rows = []
-            for e in b["e"]:
-                for x, c in zip(e, S.cluster_greedy([{"t_peak": x["t_peak"]} for x in e], tol), strict=True):
-                    rows.append((x["event_id"], x["catalog"], x["t_peak"], f"{e[0]['event_id']}-{c}"))
-            yield pd.DataFrame(rows, columns=["event_id", "catalog", "t_peak", "cluster"])
-
-    return s.select("e").mapInPandas(run, "event_id long, catalog string, t_peak double, cluster string")

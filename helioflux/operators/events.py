@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import scalar as X
+from .blocks import in_order
+from .common import cut
 
 
 def range_join(left: DataFrame, right: DataFrame, lt: str, rt: str, before: float, after: float, by: Sequence[str] = (), how: str = "inner") -> DataFrame:
@@ -37,12 +39,23 @@ def range_join(left: DataFrame, right: DataFrame, lt: str, rt: str, before: floa
 def merge_chains(events: DataFrame, guard: float = K.GUARD_S, by: Sequence[str] = (), start: str = "t_start", end: str = "t_end", order: Sequence[str] = ("event_id",)) -> DataFrame:
     """``events`` with the number of the chain they merge into: a new one starts more than ``guard`` after all before it.
 
-    Without ``by`` the whole table is one ordered run, in one task.
+    Without ``by`` the one order of the table is cut into stretches, which hand on the latest end and the number of chains before them.
     """
-    w = Window.partitionBy(*by).orderBy(start, *order)
-    before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.coalesce(F.col(start) > before + guard, F.lit(True)).cast("int")
-    return events.withColumn("_new", new).withColumn("chain", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    if by:
+        d, own = events, list(by)
+        before = Window.partitionBy(*own).orderBy(start, *order).rowsBetween(Window.unboundedPreceding, -1)
+        latest = F.max(end).over(before)
+    else:
+        d, own = in_order(events, [start, *order]), ["_part"]
+        prior = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per stretch
+        d = d.join(cut(d.groupBy("_part").agg(F.max(end).alias("_e")).select("_part", F.max("_e").over(prior).alias("_e"))), "_part")
+        latest = F.greatest(F.max(end).over(Window.partitionBy("_part").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)), F.col("_e"))
+    w = Window.partitionBy(*own).orderBy(*([start, *order] if by else ["_i"]))
+    d = d.withColumn("_new", F.coalesce(F.col(start) > latest + guard, F.lit(True)).cast("int")).withColumn("chain", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    if not by:
+        base = d.groupBy("_part").agg(F.sum("_new").alias("_k")).select("_part", F.coalesce(F.sum("_k").over(prior), F.lit(0)).alias("_k"))
+        d = d.join(cut(base), "_part").withColumn("chain", F.col("chain") + F.col("_k"))
+    return d.select(*[F.col(f"`{c}`") for c in events.columns if c != "chain"], "chain")
 
 
 def deduplicate(events: DataFrame, guard: float = K.GUARD_S, by: Sequence[str] = ("stream",)) -> DataFrame:
@@ -56,13 +69,6 @@ def deduplicate(events: DataFrame, guard: float = K.GUARD_S, by: Sequence[str] =
     )
 
 
-def best_match(soft: DataFrame, hard: DataFrame, tau: float = K.MATCH_TAU, lead: float = K.LEAD_S, lag: float = K.LAG_S) -> DataFrame:
-    """For each soft detection (s_id, s_on, s_peak) the hard one (h_id, h_on, h_peak) of best score, if it reaches ``tau``; later wins ties."""
-    pairs = range_join(soft, hard, "s_on", "h_on", lead, lag).withColumn("score", X.match_score(F.col("s_on"), F.col("h_on"), F.col("s_peak"), F.col("h_peak"), lead, lag))
-    best = pairs.where(F.col("score") >= tau).groupBy("s_id").agg(F.max(F.struct("score", "h_on", "h_id")).alias("m"))
-    return soft.join(best, "s_id", "left").select("s_id", "s_on", "s_peak", F.col("m.h_id").alias("h_id"), F.col("m.h_on").alias("h_on"), F.col("m.score").alias("score"))
-
-
 def nearest_event(points: DataFrame, events: DataFrame, t: str = "t", peak: str = "t_peak", key: Sequence[str] = ("event_id",)) -> DataFrame:
     """The event whose peak is nearest in time (the earlier of equals), without pairing points and events.
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from .blocks import numbered
 
 Y = "cast(y >= 0.5 as int)"
 
@@ -132,13 +133,12 @@ def blocked_folds(df: DataFrame, folds: int, embargo_min: float = K.EMBARGO_MIN,
 
     The rows, in order, are cut at round(i n / (k + 1)) half to even; fold i tests on part i and trains on rows that lie
     more than the embargo before its first test time. Groups that a fold tests on leave its training rows. Folds without
-    training or test rows are left out. Numbering the rows in one order takes them through one task.
+    training or test rows are left out. Rows are numbered by counts per stretch of the order, not in one task.
     """
     n = df.count()
     bounds = [round(i * n / (folds + 1)) for i in range(folds + 2)]
     part = F.lit(0)
-    rn = F.row_number().over(Window.orderBy(*order)) - 1
-    d = df.withColumn("_n", rn)
+    d = numbered(df, order, "_n")
     for i in range(1, folds + 1):
         part = F.when(F.col("_n") >= bounds[i], i).otherwise(part)
     d = d.withColumn("_part", part)

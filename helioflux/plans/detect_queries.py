@@ -6,14 +6,26 @@ import math
 
 from pyspark.sql import functions as F
 
+from .. import constants as K
 from ..operators import detect as D
+from ..operators import matching as M
+from ..operators.blocks import affine_scan, ema, ewmv
 from ..state import machines as S
 from .registry import FLARES, E, events_as_flares, query, r6, read, streams
 
 
 @query("scan_ema", f"WITH {E} SELECT stream, round(list_reduce(list_prepend(0.0::DOUBLE, list(value ORDER BY t, event_id)), lambda m, x: 0.99::DOUBLE * m + 0.01::DOUBLE * x), 6) AS ema FROM e GROUP BY stream")
 def scan_ema(spark, d):
-    return streams(spark, d).groupBy("stream").agg(r6(D.ema_fold("value", ["t", "event_id"])).alias("ema"))
+    return ema(streams(spark, d)).groupBy("stream").agg(r6(F.max_by("ema", F.struct("t", "event_id"))).alias("ema"))
+
+
+@query("scan_ema_samples", f"""WITH RECURSIVE {E}, o AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY t, event_id) AS n FROM e), r AS (SELECT stream, n, event_id, 0.01::DOUBLE * value AS m FROM o WHERE n = 1
+    UNION ALL SELECT o.stream, o.n, o.event_id, 0.99::DOUBLE * r.m + 0.01::DOUBLE * o.value FROM r JOIN o ON o.stream = r.stream AND o.n = r.n + 1)
+    SELECT event_id, round(m, 6) AS ema, round(m / (1 - pow(0.99::DOUBLE, n)), 6) AS unbiased FROM r""")
+def scan_ema_samples(spark, d):
+    """After every sample, the mean from 0 on and the same without its start-up bias."""
+    weight = affine_scan(ema(streams(spark, d)), F.lit(0.01), 0.99, state="weight")
+    return weight.select("event_id", r6("ema").alias("ema"), r6(F.col("ema") / F.col("weight")).alias("unbiased"))
 
 
 REC = """o AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY t, event_id) AS n FROM e)"""
@@ -23,16 +35,27 @@ REC = """o AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY t, even
     UNION ALL SELECT o.stream, o.n, r.m + 0.01 * (o.value - r.m), 0.99 * (r.v + (o.value - r.m) * 0.01 * (o.value - r.m)) FROM r JOIN o ON o.stream = r.stream AND o.n = r.n + 1)
     SELECT stream, round(arg_max(m, n), 6) AS mean_now, round(arg_max(v, n), 4) AS var_now FROM r GROUP BY stream""")
 def scan_ewmv(spark, d):
-    s = D.run_machine(streams(spark, d), S.Ewmv, lambda m, x, t: (*m.update(x), m.n), "mean_now double, var_now double, n long")
-    s = s.groupBy("stream").agg(F.max_by(F.struct("mean_now", "var_now"), "n").alias("r"))
-    return s.select("stream", r6("r.mean_now").alias("mean_now"), F.round("r.var_now", 4).alias("var_now"))
+    s = ewmv(streams(spark, d)).groupBy("stream").agg(F.max_by(F.struct("mean", "var"), F.struct("t", "event_id")).alias("r"))
+    return s.select("stream", r6("r.mean").alias("mean_now"), F.round("r.var", 4).alias("var_now"))
+
+
+@query("scan_ewmv_samples", f"""WITH RECURSIVE {E}, {REC}, r AS (SELECT stream, n, event_id, value AS m, 0.0::DOUBLE AS v FROM o WHERE n = 1
+    UNION ALL SELECT o.stream, o.n, o.event_id, r.m + 0.01 * (o.value - r.m), 0.99 * (r.v + (o.value - r.m) * 0.01 * (o.value - r.m)) FROM r JOIN o ON o.stream = r.stream AND o.n = r.n + 1)
+    SELECT event_id, round(m, 6) AS mean, 0.0 + round(v, 4) AS var FROM r""")
+def scan_ewmv_samples(spark, d):
+    return ewmv(streams(spark, d)).select("event_id", r6("mean").alias("mean"), (F.round("var", 4) + 0.0).alias("var"))
 
 
 @query("scan_matched", f"""WITH {E}, l AS (SELECT stream, list(value ORDER BY t, event_id) AS v FROM e GROUP BY stream)
     SELECT stream, round(list_reduce(list_prepend(0.0::DOUBLE, v), lambda m, x: 0.98::DOUBLE * m + 0.02::DOUBLE * x) - list_reduce(list_prepend(0.0::DOUBLE, v), lambda m, x: 0.8::DOUBLE * m + 0.2::DOUBLE * x), 6) AS matched FROM l""")
 def scan_matched(spark, d):
-    order = ["t", "event_id"]
-    return streams(spark, d).groupBy("stream").agg(r6(D.ema_fold("value", order, 0.98) - D.ema_fold("value", order, 0.8)).alias("matched"))
+    return D.matched_filter(streams(spark, d)).groupBy("stream").agg(r6(F.max_by("matched", F.struct("t", "event_id"))).alias("matched"))
+
+
+@query("scan_matched_samples", f"""WITH RECURSIVE {E}, {REC}, r AS (SELECT stream, n, event_id, 0.02::DOUBLE * value AS a, 0.2::DOUBLE * value AS b FROM o WHERE n = 1
+    UNION ALL SELECT o.stream, o.n, o.event_id, 0.98::DOUBLE * r.a + 0.02::DOUBLE * o.value, 0.8::DOUBLE * r.b + 0.2::DOUBLE * o.value FROM r JOIN o ON o.stream = r.stream AND o.n = r.n + 1) SELECT event_id, round(a - b, 6) AS matched FROM r""")
+def scan_matched_samples(spark, d):
+    return D.matched_filter(streams(spark, d)).select("event_id", r6("matched").alias("matched"))
 
 
 @query("det_cusum_lindley", f"WITH {E}, c AS (SELECT event_id, stream, t, sum(value - 60.0) OVER (PARTITION BY stream ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS c FROM e) SELECT event_id, round(c - least(0.0, min(c) OVER (PARTITION BY stream ORDER BY t, event_id ROWS UNBOUNDED PRECEDING)), 5) AS cusum FROM c")
@@ -44,24 +67,14 @@ def det_cusum_lindley(spark, d):
     UNION ALL SELECT o.stream, o.n, o.event_id, greatest(0.0::DOUBLE, r.s + o.value - 40 - 5), CASE WHEN greatest(0.0::DOUBLE, r.s + o.value - 45) > 200 THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, r.s + o.value - 45) END FROM r JOIN o ON o.stream = r.stream AND o.n = r.n + 1)
     SELECT event_id, round(st, 5) AS statistic, st > 200 AS alarm FROM r""")
 def det_cusum_reset(spark, d):
-    def step(m, x, t):
-        s, onset = m.update(x, 40.0, 1.0, t)
-        return s, onset is not None
-
-    s = D.run_machine(streams(spark, d), lambda: S.Cusum(5.0, 200.0), step, "statistic double, alarm boolean")
-    return s.select("event_id", F.round("statistic", 5).alias("statistic"), "alarm")
+    return D.cusum(streams(spark, d), 40.0, 1.0, 5.0, 200.0).select("event_id", F.round("statistic", 5).alias("statistic"), "alarm")
 
 
 @query("det_poisson_cusum", f"""WITH RECURSIVE {E}, {REC}, r AS (SELECT stream, n, event_id, greatest(0.0::DOUBLE, value * ln(1.8::DOUBLE) - 0.8 * 60) AS st FROM o WHERE n = 1
     UNION ALL SELECT o.stream, o.n, o.event_id, greatest(0.0::DOUBLE, CASE WHEN r.st >= 50 THEN 0.0 ELSE r.st END + o.value * ln(1.8::DOUBLE) - 0.8 * 60) FROM r JOIN o ON o.stream = r.stream AND o.n = r.n + 1)
     SELECT event_id, round(st, 5) AS statistic, st >= 50 AS alarm FROM r""")
 def det_poisson_cusum(spark, d):
-    def step(m, x, t):
-        s, onset = m.update(x, 60.0, t)
-        return s, onset is not None
-
-    s = D.run_machine(streams(spark, d), lambda: S.PoissonCusum(h=50.0), step, "statistic double, alarm boolean")
-    return s.select("event_id", F.round("statistic", 5).alias("statistic"), "alarm")
+    return D.poisson_cusum(streams(spark, d), 60.0, h=50.0).select("event_id", F.round("statistic", 5).alias("statistic"), "alarm")
 
 
 @query("det_adaptive", f"""WITH {E}, z AS (SELECT *, (value - 40) / 20.0 AS z FROM e) SELECT event_id, round(z, 6) AS z, sum(CASE WHEN z > 5 THEN 1 ELSE 0 END) OVER (PARTITION BY stream ORDER BY t, event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) >= 3 AS m_of_n FROM z""")
@@ -119,18 +132,79 @@ def det_hard_stack(spark, d):
 def pipeline_nowcast(spark, d):
     """Both bands, then association: the event list of the whole nowcast."""
     s = streams(spark, d)
-    return D.associate(D.detections(D.soft_band(s.where("stream = 'view'"), 1300.0), D.hard_band(s.where("stream = 'click'"), 1300.0)))
-
-
-@query("join_associate_greedy")
+    return M.associate(D.detections(D.soft_band(s.where("stream = 'view'"), 1300.0), D.hard_band(s.where("stream = 'click'"), 1300.0)))
+
+
+#: The loop over arrivals, with its two lists of waiting detections as state; ``o`` has n, band, id, onset, peak.
+def pairs_sql(o: str) -> str:
+    near = lambda s, h: f"0.7 * greatest(0.0, 1 - CASE WHEN {s}.onset - {h}.onset >= 0 THEN ({s}.onset - {h}.onset) / 300.0 ELSE ({h}.onset - {s}.onset) / 900.0 END) + 0.3 * CASE WHEN {h}.peak < {s}.peak THEN 1 ELSE 0 END"
+    best = lambda w, score: f"list_aggregate(list_filter(list_transform({w}, lambda c, i: struct_pack(s := CAST({score} AS DOUBLE), i := i, id := c.id)), lambda x: x.s >= 0.5), 'max')"
+    recent = lambda w: f"list_filter({w}, lambda c: o.onset - c.onset <= 900)"
+    me = "[struct_pack(id := o.id, onset := o.onset, peak := o.peak)]"
+    return f"""{o}, r AS (SELECT 0::BIGINT AS n, []::STRUCT(id BIGINT, onset DOUBLE, peak DOUBLE)[] AS ws, []::STRUCT(id BIGINT, onset DOUBLE, peak DOUBLE)[] AS wh, NULL::BIGINT AS s_id, NULL::BIGINT AS h_id, NULL::DOUBLE AS score
+      UNION ALL SELECT n, CASE WHEN band = 'soft' AND b IS NULL THEN {recent('ws')} || {me} WHEN band = 'hard' AND b IS NOT NULL THEN list_filter(ws, lambda c: c.id <> b.id) ELSE ws END,
+        CASE WHEN band = 'hard' AND b IS NULL THEN {recent('wh')} || {me} WHEN band = 'soft' AND b IS NOT NULL THEN list_filter(wh, lambda c: c.id <> b.id) ELSE wh END,
+        CASE WHEN b IS NULL THEN NULL WHEN band = 'soft' THEN o.id ELSE b.id END, CASE WHEN b IS NULL THEN NULL WHEN band = 'soft' THEN b.id ELSE o.id END, b.s
+      FROM (SELECT o.n, ws, wh, o, o.band, CASE WHEN o.band = 'soft' THEN {best('wh', near('o', 'c'))} ELSE {best('ws', near('c', 'o'))} END AS b FROM r JOIN o ON o.n = r.n + 1))"""
+
+
+@query("join_associate_greedy", f"""WITH RECURSIVE {E}, {FLARES}, {pairs_sql("o AS MATERIALIZED (SELECT row_number() OVER (ORDER BY t_start, CASE stream WHEN 'click' THEN 0 ELSE 1 END, event_id) AS n, event_id AS id, CASE stream WHEN 'view' THEN 'soft' ELSE 'hard' END AS band, t_start AS onset, t_peak AS peak FROM f WHERE stream IN ('view', 'click'))")},
+    p AS (SELECT s_id, h_id, score FROM r WHERE s_id IS NOT NULL), b AS (SELECT p.*, s.onset AS so, s.peak AS sp, h.onset AS ho, h.peak AS hp FROM p JOIN o s ON s.id = s_id JOIN o h ON h.id = h_id)
+    SELECT coalesce(s_id, -1) AS soft_id, coalesce(h_id, -1) AS hard_id, round(ts - 1704067200.0, 3) AS t_start, round(tp - 1704067200.0, 3) AS t_peak, neupert, sxr_weak, round(score, 6) AS score FROM (
+      SELECT s_id, h_id, least(so, ho) AS ts, sp AS tp, hp < sp AS neupert, FALSE AS sxr_weak, score FROM b
+      UNION ALL SELECT CASE band WHEN 'soft' THEN id END, CASE band WHEN 'hard' THEN id END, onset, CASE band WHEN 'soft' THEN peak ELSE onset END, FALSE, band = 'hard', 0.0 FROM o WHERE id NOT IN (SELECT s_id FROM p) AND id NOT IN (SELECT h_id FROM p))""")
 def join_associate_greedy(spark, d):
+    """Events of two streams, taken as the soft and the hard band, one-to-one in order of arrival; the rest alone."""
     f = events_as_flares(spark, d).where(F.col("stream").isin("view", "click"))
-    return D.associate(f.select(F.col("event_id").alias("id"), F.when(F.col("stream") == "view", "soft").otherwise("hard").alias("band"), F.col("t_start").alias("onset"), F.col("t_peak").alias("peak")))
-
-
-@query("consensus_greedy")
+    a = M.associate(f.select(F.col("event_id").alias("id"), F.when(F.col("stream") == "view", "soft").otherwise("hard").alias("band"), F.col("t_start").alias("onset"), F.col("t_peak").alias("peak")))
+    rel = lambda c: F.round(F.col(c) - 1704067200.0, 3).alias(c)
+    return a.select(*[F.coalesce(c, F.lit(-1)).alias(c) for c in ("soft_id", "hard_id")], rel("t_start"), rel("t_peak"), "neupert", "sxr_weak", r6("score").alias("score"))
+
+
+def clusters_sql(o: str, tol: float, loc_tol: float) -> str:
+    """The loop over entries in order, with the open clusters as state; ``o`` has n, name, t, lon, lat."""
+    apart = "degrees(acos(least(1.0, greatest(-1.0, sin(radians(o.lat)) * sin(radians(p.lat)) + cos(radians(o.lat)) * cos(radians(p.lat)) * cos(radians(p.lon - o.lon))))))"
+    fits = f"abs(o.t - c.s / c.n) <= {tol} AND (o.lon IS NULL OR o.lat IS NULL OR len(list_filter(c.ps, lambda p: {apart} > {loc_tol})) = 0)"
+    kind = "STRUCT(name VARCHAR, s DOUBLE, n BIGINT, ps STRUCT(lon DOUBLE, lat DOUBLE)[])[]"
+    place = "CASE WHEN o.lon IS NULL OR o.lat IS NULL THEN [] ELSE [struct_pack(lon := o.lon, lat := o.lat)] END"
+    return f"""{o}, r AS (SELECT 0::BIGINT AS n, []::{kind} AS w, NULL::VARCHAR AS name, NULL::VARCHAR AS cluster
+      UNION ALL SELECT o.n, CASE WHEN i IS NULL THEN live || [struct_pack(name := o.name, s := o.t, n := 1::BIGINT, ps := {place})]
+          ELSE list_transform(live, lambda c, j: CASE WHEN j = i THEN struct_pack(name := c.name, s := c.s + o.t, n := c.n + 1, ps := c.ps || {place}) ELSE c END) END, o.name, CASE WHEN i IS NULL THEN o.name ELSE live[i].name END
+      FROM (SELECT o, live, list_aggregate(list_filter(list_transform(live, lambda c, j: CASE WHEN {fits} THEN j END), lambda x: x IS NOT NULL), 'min') AS i
+            FROM (SELECT o, list_filter(w, lambda c: o.t - c.s / c.n <= {tol}) AS live FROM r JOIN o ON o.n = r.n + 1)))"""
+
+
+@query("consensus_greedy", f"""WITH RECURSIVE {E}, {FLARES}, {clusters_sql("o AS MATERIALIZED (SELECT row_number() OVER (ORDER BY t_peak, stream, event_id) AS n, stream || ':' || event_id AS name, event_id, stream, t_peak AS t, NULL::DOUBLE AS lon, NULL::DOUBLE AS lat FROM f)", 180.0, 10.0)}
+    SELECT event_id, stream AS catalog, cluster FROM r JOIN o USING (name)""")
 def consensus_greedy(spark, d):
-    return D.cluster_peaks(events_as_flares(spark, d).select("event_id", F.col("stream").alias("catalog"), "t_peak"))
+    return M.place_entries(events_as_flares(spark, d).select("event_id", F.col("stream").alias("catalog"), "t_peak")).select("event_id", "catalog", "cluster")
+
+
+#: Catalogues of the query below: reliability, distance in au.
+VIEWS = {"click": (0.9, 1.0), "error": (0.8, 0.5), "view": (0.7, 1.0), "signup": (0.6, 0.3)}
+_R_AU = "CASE stream " + " ".join(f"WHEN '{c}' THEN {r}" for c, (_, r) in VIEWS.items()) + " END"
+_RHO = "CASE catalog " + " ".join(f"WHEN '{c}' THEN {rho}" for c, (rho, _) in VIEWS.items()) + " ELSE 0.0 END"
+_NAME = "CASE stream WHEN 'click' THEN 'GOES' ELSE stream END"
+_LON, _LAT = "CASE WHEN k % 3 > 0 THEN CAST(k % 4 * 6 AS DOUBLE) END", "CASE WHEN k % 3 > 0 THEN CAST(k % 5 * 4 - 8 AS DOUBLE) END"
+
+
+@query("consensus_place", f"""WITH RECURSIVE {E}, {FLARES}, g AS (SELECT *, {_NAME} AS catalog, t_peak + (1.0 - coalesce({_R_AU}, 1.0)) * {K.AU_KM!r} / {K.C_KM_S!r} AS t, {_LON} AS lon, {_LAT} AS lat, CASE WHEN k % 4 > 0 THEN 'M' || (k % 9) END AS cls FROM f),
+    {clusters_sql("o AS MATERIALIZED (SELECT row_number() OVER (ORDER BY t, catalog, event_id) AS n, catalog || ':' || event_id AS name, * FROM g)", 900.0, 10.0)},
+    m AS (SELECT cluster, o.* FROM r JOIN o USING (name)),
+    v AS (SELECT cluster, list_reduce(list_prepend(0.0::DOUBLE, list(CAST({_RHO.replace("'click'", "'GOES'")} AS DOUBLE) ORDER BY catalog)), lambda x, y: x + y) / 3.0 AS conf, count(*) AS n_catalogs FROM (SELECT DISTINCT cluster, catalog FROM m) GROUP BY cluster),
+    a AS (SELECT cluster, avg(t) AS mt, bool_or(stream IN ('click', 'error')) AND NOT bool_or(stream IN ('view', 'signup')) AS sxr_weak, coalesce(arg_min(cls, n) FILTER (catalog LIKE 'GOES%' AND cls <> ''), arg_min(cls, n) FILTER (cls <> '')) AS goes_class,
+        arg_min(lon, n) FILTER (lon IS NOT NULL) AS lon_deg, arg_min(lat, n) FILTER (lat IS NOT NULL) AS lat_deg FROM m GROUP BY cluster),
+    s AS (SELECT *, CASE WHEN conf >= 0.7 THEN 'confirmed' WHEN conf >= 0.3 THEN 'candidate' ELSE 'rejected' END AS st FROM a JOIN v USING (cluster))
+    SELECT cluster, round(mt - 1704067200.0, 3) AS t_peak, round(conf, 6) AS confidence, CASE WHEN st = 'candidate' AND (sxr_weak OR EXISTS (SELECT 1 FROM e WHERE stream = 'purchase' AND value >= 60 AND abs(e.t - mt) <= 900)) THEN 'confirmed' ELSE st END AS status,
+      coalesce(goes_class, '') AS goes_class, n_catalogs, sxr_weak, coalesce(lon_deg, -999) AS lon_deg, coalesce(lat_deg, -999) AS lat_deg FROM s""")
+def consensus_place(spark, d):
+    """Labels of clusters by time at Earth and place, with class, place, votes and promotion by own detections."""
+    name = F.when(F.col("stream") == "click", "GOES").otherwise(F.col("stream"))
+    e = events_as_flares(spark, d).select("event_id", name.alias("catalog"), "t_peak", F.expr(_R_AU).cast("double").alias("vantage_r_au"), F.expr(_LON.replace("AS DOUBLE", "as double")).alias("lon_deg"), F.expr(_LAT.replace("AS DOUBLE", "as double")).alias("lat_deg"),
+        F.expr("case when k % 4 > 0 then concat('M', k % 9) end").alias("goes_class"), F.col("stream").isin("click", "error").alias("is_hxr"), F.col("stream").isin("view", "signup").alias("is_sxr"))
+    own = streams(spark, d).where("stream = 'purchase' and value >= 60").select(F.col("t").alias("t_peak"))
+    c = M.consensus_labels(e, {("GOES" if k == "click" else k): rho for k, (rho, _) in VIEWS.items()}, own, tol=900.0)
+    return c.select("cluster", F.round(F.col("t_peak") - 1704067200.0, 3).alias("t_peak"), r6("confidence").alias("confidence"), "status", F.coalesce("goes_class", F.lit("")).alias("goes_class"), "n_catalogs", "sxr_weak", F.coalesce("lon_deg", F.lit(-999.0)).alias("lon_deg"), F.coalesce("lat_deg", F.lit(-999.0)).alias("lat_deg"))
 
 
 @query("kalman_fuse")

@@ -8,7 +8,9 @@ from .. import constants as K
 from ..functions import scalar as X
 from ..operators import events as V
 from ..operators import fusion
+from ..operators import matching as M
 from ..operators.series import sessions
+from .detect_queries import pairs_sql
 from .registry import FLARES, E, events_as_flares, query, r6, read, streams
 
 
@@ -30,10 +32,9 @@ def dedup_islands(spark, d):
     return m.select("stream", "event_id", rel("t_start"), rel("t_end"), rel("t_peak"), "value", "n", "k_sum")
 
 
-SOFT_HARD = """s AS (SELECT event_id AS s_id, t AS s_on, t + k AS s_peak FROM e WHERE stream = 'view' AND value >= 40), h AS (SELECT event_id AS h_id, t AS h_on, t + 20 AS h_peak FROM e WHERE stream = 'click' AND value >= 40),
-    p AS (SELECT *, 0.7 * greatest(0.0, 1 - CASE WHEN s_on - h_on >= 0 THEN (s_on - h_on) / 300.0 ELSE (h_on - s_on) / 900.0 END) + 0.3 * CASE WHEN h_peak < s_peak THEN 1 ELSE 0 END AS score
-          FROM s JOIN h ON h_on BETWEEN s_on - 300 AND s_on + 900),
-    b AS (SELECT s_id, max((score, h_on, h_id)) AS m FROM p WHERE score >= 0.5 GROUP BY s_id)"""
+SOFT_HARD = """s AS (SELECT event_id AS s_id, t AS s_on, t + k AS s_peak FROM e WHERE stream = 'view' AND value >= 40), h AS (SELECT event_id AS h_id, t AS h_on, t + 20 AS h_peak FROM e WHERE stream = 'click' AND value >= 40), """ + pairs_sql(
+    "o AS MATERIALIZED (SELECT row_number() OVER (ORDER BY onset, band, id) AS n, * FROM (SELECT s_id AS id, 'soft' AS band, s_on AS onset, s_peak AS peak FROM s UNION ALL SELECT h_id, 'hard', h_on, h_peak FROM h))"
+)
 
 
 def _soft_hard(spark, d):
@@ -43,17 +44,25 @@ def _soft_hard(spark, d):
     return s, h
 
 
-@query("join_associate_best", f"WITH {E}, {SOFT_HARD} SELECT s.s_id, coalesce(m[3], -1) AS h_id, round(coalesce(m[1], -1), 6) AS score FROM s LEFT JOIN b USING (s_id)")
+def _pairs(spark, d):
+    s, h = _soft_hard(spark, d)
+    band = lambda x, c, name: x.select(F.col(f"{c}_id").alias("id"), F.lit(name).alias("band"), F.col(f"{c}_on").alias("onset"), F.col(f"{c}_peak").alias("peak"))
+    return s, h, M.pair_bands(band(s, "s", "soft").unionByName(band(h, "h", "hard")))
+
+
+@query("join_associate_best", f"WITH RECURSIVE {E}, {SOFT_HARD} SELECT s.s_id, coalesce(r.h_id, -1) AS h_id, round(coalesce(score, -1), 6) AS score FROM s LEFT JOIN r ON r.s_id = s.s_id")
 def join_associate_best(spark, d):
-    m = V.best_match(*_soft_hard(spark, d))
+    """The partner of each soft detection, one-to-one in order of arrival."""
+    s, _, p = _pairs(spark, d)
+    m = s.select("s_id").join(p.select(F.col("soft_id").alias("s_id"), F.col("hard_id").alias("h_id"), "score"), "s_id", "left")
     return m.select("s_id", F.coalesce("h_id", F.lit(-1)).alias("h_id"), r6(F.coalesce("score", F.lit(-1.0))).alias("score"))
 
 
-@query("join_solo_anti", f"WITH {E}, {SOFT_HARD} SELECT h_id, TRUE AS sxr_weak FROM h WHERE h_id NOT IN (SELECT m[3] FROM b)")
+@query("join_solo_anti", f"WITH RECURSIVE {E}, {SOFT_HARD} SELECT h_id, TRUE AS sxr_weak FROM h WHERE h_id NOT IN (SELECT h_id FROM r WHERE h_id IS NOT NULL)")
 def join_solo_anti(spark, d):
-    s, h = _soft_hard(spark, d)
-    used = V.best_match(s, h).where("h_id is not null").select("h_id").distinct()
-    return h.join(used, "h_id", "left_anti").select("h_id", F.lit(True).alias("sxr_weak"))
+    """Hard detections that stay alone."""
+    _, h, p = _pairs(spark, d)
+    return h.join(p.select(F.col("hard_id").alias("h_id")), "h_id", "left_anti").select("h_id", F.lit(True).alias("sxr_weak"))
 
 
 @query("join_align", f"""WITH {E}, x AS (SELECT CAST(floor(t / 1800) AS BIGINT) AS cell, stream, max(value) AS v FROM e WHERE stream IN ('view', 'click') GROUP BY ALL)
@@ -63,16 +72,18 @@ def join_align(spark, d):
     return x.select("cell", F.coalesce("view", F.lit(1e-8)).alias("soft"), F.coalesce("click", F.lit(0.0)).alias("hard"))
 
 
-@query("join_truth_nearest", f"""WITH {E}, a AS (SELECT event_id AS id, t FROM e WHERE stream = 'error' AND value >= 60), b AS (SELECT event_id AS eid, t AS te FROM e WHERE stream = 'purchase' AND value >= 60),
-    p AS (SELECT a.id, b.eid, row_number() OVER (PARTITION BY a.id ORDER BY abs(te - t), te DESC, eid) AS r1, row_number() OVER (PARTITION BY b.eid ORDER BY abs(te - t), t DESC, id) AS r2 FROM a JOIN b ON te BETWEEN t - 1800 AND t + 1800)
-    SELECT id, eid FROM p WHERE r1 = 1 AND r2 = 1""")
+@query("join_truth_nearest", f"""WITH RECURSIVE {E}, a AS MATERIALIZED (SELECT event_id AS id, t, row_number() OVER (ORDER BY t, event_id) AS n FROM e WHERE stream = 'error' AND value >= 60), b AS MATERIALIZED (SELECT event_id AS eid, t AS te FROM e WHERE stream = 'purchase' AND value >= 60),
+    c AS MATERIALIZED (SELECT a.n, list(struct_pack(d := abs(te - t), te := te, eid := eid) ORDER BY te, eid) AS l FROM a LEFT JOIN b ON te BETWEEN t - 1800 AND t + 1800 GROUP BY a.n),
+    r AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS used, NULL::BIGINT AS eid UNION ALL
+      SELECT n, CASE WHEN m IS NULL THEN used ELSE list_slice(used || [m.eid], -50, -1) END, m.eid FROM (SELECT c.n, used, list_aggregate(list_transform(list_filter(l, lambda x: x.eid IS NOT NULL AND NOT list_contains(used, x.eid)), lambda x: struct_pack(d := -x.d, te := x.te, eid := x.eid)), 'max') AS m FROM r JOIN c ON c.n = r.n + 1))
+    SELECT id AS truth_id, coalesce(eid, -1) AS event_id, round(coalesce(te - t, 0), 3) AS dt_s, CASE WHEN eid IS NULL THEN 'missed' ELSE 'matched' END AS outcome FROM a JOIN r USING (n) LEFT JOIN b USING (eid)
+    UNION ALL SELECT -1, eid, 0, 'false_alarm' FROM b WHERE eid NOT IN (SELECT eid FROM r WHERE eid IS NOT NULL)""")
 def join_truth_nearest(spark, d):
+    """Truth rows in order of time, each with the nearest event that is left; what they miss, and false alarms."""
     e = streams(spark, d).where("value >= 60")
-    a = e.where("stream = 'error'").select(F.col("event_id").alias("id"), "t")
-    b = e.where("stream = 'purchase'").select(F.col("event_id").alias("eid"), F.col("t").alias("te"))
-    p = V.range_join(a, b, "t", "te", 1800.0, 1800.0).withColumn("d", F.abs(F.col("te") - F.col("t")))
-    w1, w2 = V.Window.partitionBy("id").orderBy("d", F.desc("te"), "eid"), V.Window.partitionBy("eid").orderBy("d", F.desc("t"), "id")
-    return p.withColumns({"r1": F.row_number().over(w1), "r2": F.row_number().over(w2)}).where("r1 = 1 and r2 = 1").select("id", "eid")
+    a, b = (e.where(f"stream = '{c}'").select(F.col("event_id").alias("id"), "t") for c in ("error", "purchase"))
+    m = M.match_truth(a, b, 1800.0)
+    return m.select(*[F.coalesce(c, F.lit(-1)).alias(c) for c in ("truth_id", "event_id")], F.round(F.coalesce("dt_s", F.lit(0.0)), 3).alias("dt_s"), "outcome")
 
 
 @query("join_semi_own", f"""WITH {E}, {FLARES} SELECT event_id FROM e WHERE stream = 'view' AND EXISTS (SELECT 1 FROM f WHERE f.stream = 'click' AND abs(f.t_start - e.t) <= 180)""")

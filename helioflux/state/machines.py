@@ -516,27 +516,35 @@ class Associator:
     def __init__(self, tau: float = K.MATCH_TAU, lead: float = K.LEAD_S, lag: float = K.LAG_S, emit_evicted: bool = False) -> None:
         self.tau, self.lead, self.lag, self.emit = tau, lead, lag, emit_evicted
         self.waiting: dict[str, list[dict]] = {"soft": [], "hard": []}
+        self.lost: list[dict] = []
 
     def score(self, soft: dict, hard: dict) -> float:
         d = soft["onset"] - hard["onset"]
         near = max(0.0, 1 - (d / self.lead if d >= 0 else -d / self.lag))
         return 0.7 * near + 0.3 * (soft.get("peak") is not None and hard.get("peak") is not None and hard["peak"] < soft["peak"])
 
-    def push(self, det: dict) -> list[dict]:
-        """``det``: band, onset, peak and whatever else; returns the events it completes."""
+    def push_pair(self, det: dict) -> tuple[dict, dict, float] | None:
+        """``det``: band, onset, peak and whatever else; returns the pair (soft, hard, score) that it completes, if any."""
         band, other = det["band"], "hard" if det["band"] == "soft" else "soft"
-        best, mate = self.tau, None
-        for c in self.waiting[other]:
+        best, mate, self.lost = self.tau, None, []
+        for i, c in enumerate(self.waiting[other]):
             s = self.score(det, c) if band == "soft" else self.score(c, det)
             if s >= best:
-                best, mate = s, c
+                best, mate = s, i
         if mate is not None:
-            self.waiting[other].remove(mate)
-            return [self._event(*((det, mate) if band == "soft" else (mate, det)), best)]
+            c = self.waiting[other].pop(mate)
+            return (det, c, best) if band == "soft" else (c, det, best)
         self.waiting[band].append(det)
-        old = [c for c in self.waiting[band] if det["onset"] - c["onset"] > self.lag]
-        self.waiting[band] = [c for c in self.waiting[band] if det["onset"] - c["onset"] <= self.lag]
-        return [self._solo(c) for c in old] if self.emit else []
+        self.lost = [c for c in self.waiting[band] if det["onset"] - c["onset"] > self.lag]
+        self.waiting = {b: [c for c in w if det["onset"] - c["onset"] <= self.lag or b != band] for b, w in self.waiting.items()}
+        return None
+
+    def push(self, det: dict) -> list[dict]:
+        """As ``push_pair``, but returns the events that are complete, also those of one band where they are asked for."""
+        pair = self.push_pair(det)
+        if pair is not None:
+            return [self._event(*pair)]
+        return [self._solo(c) for c in self.lost] if self.emit else []
 
     def flush(self) -> list[dict]:
         left = sorted(self.waiting["soft"] + self.waiting["hard"], key=lambda d: d["onset"])
@@ -554,6 +562,56 @@ class Associator:
         return {"t_start": start, "t_peak": peak, "soft_id": soft["id"] if soft else None, "hard_id": hard["id"] if hard else None, "neupert": neupert, "sxr_weak": soft is None, "score": score}
 
 
+class TruthMatcher:
+    """Truth rows in order, each with the nearest event within ``tol`` that is still free; events come at their time, truth ``tol`` after its own."""
+
+    def __init__(self, tol: float) -> None:
+        self.tol, self.free = tol, []
+
+    def push(self, truth: bool, t: float, who: object, now: float) -> tuple | None:
+        """(truth, event, event time minus truth time) where a truth row finds an event."""
+        self.free = [e for e in self.free if now - e[0] <= 2 * self.tol]
+        if not truth:
+            self.free.append([t, who])
+            return None
+        best, mate = self.tol, None
+        for i, (te, _) in enumerate(self.free):
+            if abs(te - t) <= best:
+                best, mate = abs(te - t), i
+        if mate is None:
+            return None
+        te, event = self.free.pop(mate)
+        return who, event, te - t
+
+
+class Clusters:
+    """First-fit clusters of entries in order of time: by the mean time of a cluster and the places of its members."""
+
+    def __init__(self, tol: float = K.PEAK_TOL_S, loc_tol: float = K.LOCATION_TOL_DEG) -> None:
+        self.tol, self.loc_tol, self.open = tol, loc_tol, []
+
+    def push(self, t: float, lon: float | None, lat: float | None, name: str) -> str:
+        """Name of the cluster that the entry joins or opens. A cluster whose mean lies too far back is closed for good."""
+        self.open = [c for c in self.open if t - c["sum"] / c["n"] <= self.tol]
+        placed = lon is not None and lat is not None
+        for c in self.open:
+            if abs(t - c["sum"] / c["n"]) <= self.tol and not (placed and any(degrees_apart(lon, lat, *p) > self.loc_tol for p in c["places"])):
+                break
+        else:
+            c = {"name": name, "sum": 0.0, "n": 0, "places": []}
+            self.open.append(c)
+        c["sum"], c["n"] = c["sum"] + t, c["n"] + 1
+        if placed and [lon, lat] not in c["places"]:
+            c["places"].append([lon, lat])
+        return c["name"]
+
+
+def degrees_apart(lon1: float, lat1: float, lon2: float, lat2: float) -> float:
+    """Great-circle distance."""
+    a, b, d = math.radians(lat1), math.radians(lat2), math.radians(lon2 - lon1)
+    return math.degrees(math.acos(min(1.0, max(-1.0, math.sin(a) * math.sin(b) + math.cos(a) * math.cos(b) * math.cos(d)))))
+
+
 def cluster_greedy(entries: list[dict], tol: float = K.PEAK_TOL_S) -> list[int]:
     """First-fit clusters against each cluster's running mean of peaks, in the order of the entries."""
     sums: list[list[float]] = []
