@@ -42,21 +42,20 @@ def numbered(df: DataFrame, order: Sequence[str], number: str = "n") -> DataFram
 
 
 # --- affine steps with a floor ------------------------------------------------------------------------------------------------
-def _fold(maps: pd.DataFrame) -> tuple[float, float, float]:
-    """(p, z, c) of f -> max(c, p f + z) for all rows of ``maps``, one after the other."""
-    p, z, c = 1.0, 0.0, -math.inf
-    for p2, z2, c2 in zip(maps["p"], maps["z"], maps["c"], strict=True):
-        p, z, c = p2 * p, p2 * z + z2, max(c2, p2 * c + z2 if c > -math.inf else -math.inf)
-    return p, z, c
+def _after(m: Column, f: Column) -> Column:
+    return F.greatest(m["c"], m["p"] * f + m["z"])
 
 
-def _walk(maps: pd.DataFrame, f: float) -> list[float]:
-    """State before each of ``maps``, from ``f`` on."""
-    out = []
-    for p, z, c in zip(maps["p"], maps["z"], maps["c"], strict=True):
-        out.append(f)
-        f = max(c, p * f + z)
-    return out
+def _fold(maps: Column) -> Column:
+    """(p, z, c) of f -> max(c, p f + z) for all maps of an array, one after the other."""
+    one = F.struct(F.lit(1.0).alias("p"), F.lit(0.0).alias("z"), F.lit(-math.inf).alias("c"))
+    return F.aggregate(maps, one, lambda a, m: F.struct((m["p"] * a["p"]).alias("p"), (m["p"] * a["z"] + m["z"]).alias("z"), _after(m, a["c"]).alias("c")))
+
+
+def _walk(maps: Column, f: Column) -> Column:
+    """State before each map of an array, from ``f`` on."""
+    begin = F.struct(f.alias("f"), F.array().cast("array<double>").alias("out"))
+    return F.aggregate(maps, begin, lambda a, m: F.struct(_after(m, a["f"]).alias("f"), F.concat(a["out"], F.array(a["f"])).alias("out")), lambda a: a["out"])
 
 
 def affine_scan(df: DataFrame, step: Column, keep: float, floor: float | None = None, start: Column | float = 0.0, by: Sequence[str] = ("stream",), order: Sequence[str] = ("t", "event_id"), state: str = "state") -> DataFrame:
@@ -83,30 +82,13 @@ def affine_scan(df: DataFrame, step: Column, keep: float, floor: float | None =
     d = d.withColumn("_c", (F.col("_u") + low) / F.col("_w")).withColumn("_z", F.col("_u") / F.col("_w"))
     maps = d.groupBy(*block).agg(F.max_by(F.struct("_z", "_c", "_w"), "_n").alias("m"), F.min_by("_f", "_n").alias("f"))
     maps = maps.select(*block, (1 / F.col("m._w")).alias("p"), F.col("m._z").alias("z"), F.col("m._c").alias("c"), "f")
-    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
-    kinds = kinds + ", " if kinds else ""
-
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("_b")
-        out = g[[*by, "_part", "f"]].iloc[:1].copy()
-        out["p"], out["z"], out["c"] = _fold(g)
-        return out
-
-    def enter(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("_part")
-        out = g[[*by, "_part"]].copy()
-        out["_f0"] = _walk(g, float(g["f"].iloc[0]))
-        return out
-
-    def spread(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("_b")
-        out = g[[*by, "_part", "_b"]].copy()
-        out["_f0"] = _walk(g, float(g["_f0"].iloc[0]))
-        return out
-
-    parts = maps.groupBy(*by, "_part").applyInPandas(fold, f"{kinds}_part long, f double, p double, z double, c double")
-    parts = parts.groupBy(*by).applyInPandas(enter, f"{kinds}_part long, _f0 double")
-    entries = cut(maps.drop("f").join(parts, [*by, "_part"]).groupBy(*by, "_part").applyInPandas(spread, f"{kinds}_part long, _b long, _f0 double"))
+    parts = maps.groupBy(*by, "_part").agg(F.sort_array(F.collect_list(F.struct("_b", "p", "z", "c"))).alias("m"), F.min_by("f", "_b").alias("f"))  # a stretch's blocks
+    fold = parts.withColumn("s", F.struct(F.col("_part"), _fold(F.col("m")).alias("m"), F.col("f")))
+    whole = fold.groupBy(*by).agg(F.sort_array(F.collect_list("s")).alias("s")) if by else fold.agg(F.sort_array(F.collect_list("s")).alias("s"))  # a stream's stretches
+    entry = F.explode(F.arrays_zip(F.col("s._part").alias("part"), _walk(F.col("s.m"), F.get("s", F.lit(0))["f"]).alias("f0"))).alias("e")
+    parts = parts.drop("f").join(whole.select(*by, entry).select(*by, F.col("e.part").alias("_part"), "e.f0"), [*by, "_part"])
+    entries = parts.select(*by, "_part", F.explode(F.arrays_zip(F.col("m._b").alias("b"), _walk(F.col("m"), F.col("f0")).alias("f0"))).alias("e")).select(*by, "_part", F.col("e.b").alias("_b"), F.col("e.f0").alias("_f0"))
+    d = d.drop("_f")
     d = d.join(entries, block).withColumn(state, F.greatest(F.col("_c"), F.col("_f0") / F.col("_w") + F.col("_z")))
     d = d.withColumn(f"{state}_before", F.coalesce(F.lag(state).over(own), F.col("_f0")))
     return d.select(*[F.col(f"`{c}`") for c in df.columns if c not in (state, f"{state}_before")], state, f"{state}_before")
