@@ -87,7 +87,7 @@ def place_entries(entries: DataFrame, tol: float = K.PEAK_TOL_S, loc_tol: float
 
     Times move to Earth by light travel first. In order of (t_peak, catalog, event_id) an entry joins the first open cluster whose mean
     time is within ``tol`` and of whose placed members none lies more than ``loc_tol`` degrees away, or opens one; a cluster is
-    named after its first entry, ``catalog:event_id``. Entries without a place fit any. Missing columns are as null: 1 au, no place,
+    named after its first entry, ``catalog:event_id``, and told from others of that name by first_t, first_lon and first_lat. Entries without a place fit any. Missing columns are as null: 1 au, no place,
     no class, not hard, soft. Entries without a time are left out.
     """
     kind = entries.schema["event_id"].dataType.simpleString()
@@ -98,10 +98,10 @@ def place_entries(entries: DataFrame, tol: float = K.PEAK_TOL_S, loc_tol: float
     def step(m: S.Clusters, r: dict) -> list[tuple]:
         num = lambda x: None if x is None or x != x else x
         lon, lat = num(r["lon_deg"]), num(r["lat_deg"])
-        c = m.push(r["t_peak"], lon, lat, f"{r['catalog']}:{r['event_id']}")
-        return [(r["event_id"], r["catalog"], r["t_peak"], lon, lat, r["goes_class"], r["is_hxr"], r["is_sxr"], c)]
+        first = m.push(r["t_peak"], lon, lat, f"{r['catalog']}:{r['event_id']}")
+        return [(r["event_id"], r["catalog"], r["t_peak"], lon, lat, r["goes_class"], r["is_hxr"], r["is_sxr"], *first)]
 
-    schema = f"event_id {kind}, catalog string, t_peak double, lon_deg double, lat_deg double, goes_class string, is_hxr boolean, is_sxr boolean, cluster string"
+    schema = f"event_id {kind}, catalog string, t_peak double, lon_deg double, lat_deg double, goes_class string, is_hxr boolean, is_sxr boolean, cluster string, first_t double, first_lon double, first_lat double"
     return settle(d.where("t_peak is not null"), lambda: S.Clusters(tol, loc_tol), step, schema, (), ("t_peak", "catalog", "event_id"), rows)
 
 
@@ -115,14 +115,14 @@ def consensus_labels(entries: DataFrame, reliabilities: Mapping[str, float], own
     total = sum(reliabilities.values())
     if total <= 0:
         raise ValueError("reliabilities must sum to more than 0")
-    d = place_entries(entries, tol, loc_tol)
+    d, same = place_entries(entries, tol, loc_tol), ["cluster", "first_t", "first_lon", "first_lat"]
     rho = F.coalesce(F.create_map(*[F.lit(x) for kv in reliabilities.items() for x in kv])[F.col("catalog")], F.lit(0.0))
     first = "struct(t_peak, catalog, event_id)"
-    one = d.groupBy("cluster", "catalog").agg(
+    one = d.groupBy(*same, "catalog").agg(
         F.max(rho).alias("rho"), F.sum("t_peak").alias("t"), F.count("*").alias("m"), F.max("is_hxr").alias("hxr"), F.max("is_sxr").alias("sxr"),
         F.expr(f"min(struct({first} AS o, goes_class AS c)) FILTER (WHERE goes_class <> '')").alias("cls"), F.expr(f"min(struct({first} AS o, lon_deg, lat_deg)) FILTER (WHERE lon_deg IS NOT NULL AND lat_deg IS NOT NULL)").alias("loc"),
     )
-    g = one.groupBy("cluster").agg(
+    g = one.groupBy(*same).agg(
         (F.sum("t") / F.sum("m")).alias("t_peak"), F.sort_array(F.collect_list(F.struct("catalog", "rho"))).alias("_v"), F.count("*").alias("n_catalogs"),
         (F.max("hxr") & ~F.max("sxr")).alias("sxr_weak"), F.expr("min(cls) FILTER (WHERE upper(catalog) LIKE 'GOES%')").alias("_g"), F.min("cls").alias("_c"), F.min("loc").alias("_l"),
     )
@@ -133,6 +133,6 @@ def consensus_labels(entries: DataFrame, reliabilities: Mapping[str, float], own
     g = g.withColumn("status", status).withColumn("goes_class", F.coalesce("_g.c", "_c.c")).withColumn("lon_deg", F.col("_l.lon_deg")).withColumn("lat_deg", F.col("_l.lat_deg"))
     out = ["cluster", "t_peak", "confidence", "status", "goes_class", "voters", "n_catalogs", "sxr_weak", "lon_deg", "lat_deg"]
     if own is not None:
-        near = range_join(g.where("status = 'candidate'").select("cluster", "t_peak"), own.select(F.col("t_peak").alias("_own")), "t_peak", "_own", tol, tol).select("cluster").distinct().withColumn("_seen", F.lit(True))
-        g = g.join(near, "cluster", "left").withColumn("status", F.when(F.col("_seen"), "confirmed").otherwise(F.col("status")))
+        seen = range_join(g.where("status = 'candidate'"), own.select(F.col("t_peak").alias("_own")), "t_peak", "_own", tol, tol).select(F.col("t_peak").alias("_t")).distinct()
+        g = g.join(seen, F.col("t_peak") == F.col("_t"), "left").withColumn("status", F.when(F.col("_t").isNotNull() & (F.col("status") == "candidate"), "confirmed").otherwise(F.col("status")))
     return g.select(*out)

@@ -590,20 +590,20 @@ class Clusters:
     def __init__(self, tol: float = K.PEAK_TOL_S, loc_tol: float = K.LOCATION_TOL_DEG) -> None:
         self.tol, self.loc_tol, self.open = tol, loc_tol, []
 
-    def push(self, t: float, lon: float | None, lat: float | None, name: str) -> str:
-        """Name of the cluster that the entry joins or opens. A cluster whose mean lies too far back is closed for good."""
+    def push(self, t: float, lon: float | None, lat: float | None, name: str) -> tuple[str, float, float | None, float | None]:
+        """First entry (name, t, lon, lat) of the cluster that the entry joins or opens. A cluster whose mean lies too far back is closed for good."""
         self.open = [c for c in self.open if t - c["sum"] / c["n"] <= self.tol]
         placed = lon is not None and lat is not None
         for c in self.open:
             if abs(t - c["sum"] / c["n"]) <= self.tol and not (placed and any(degrees_apart(lon, lat, *p) > self.loc_tol for p in c["places"])):
                 break
         else:
-            c = {"name": name, "sum": 0.0, "n": 0, "places": []}
+            c = {"first": [name, t, lon, lat], "sum": 0.0, "n": 0, "places": []}
             self.open.append(c)
         c["sum"], c["n"] = c["sum"] + t, c["n"] + 1
         if placed and [lon, lat] not in c["places"]:
             c["places"].append([lon, lat])
-        return c["name"]
+        return tuple(c["first"])
 
 
 def degrees_apart(lon1: float, lat1: float, lon2: float, lat2: float) -> float:
