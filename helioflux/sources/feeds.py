@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import QC_BITS
+from ..functions import scalar as X
 
 FEED_SCHEMA = "time_tag string, satellite int, flux double, observed_flux double, electron_correction double, electron_contaminaton boolean, energy string"
 ALIASES = {"t": ("t", "time", "time_tag", "timestamp"), "sxr": ("sxr", "sxr_long", "S", "soft", "solexs"), "sxr_short": ("sxr_short", "short"), "hxr": ("hxr", "H", "hard", "hel1os", "hxr_8_30")}
@@ -30,7 +31,10 @@ def parse_time(c: Column) -> Column:
 
 
 def normalize_feed(raw: DataFrame) -> DataFrame:
-    """Feed records as tidy samples: channel, quantity, value (the observed flux, else the flux), unit, qc; rows without a value go."""
+    """Feed records as tidy samples: channel, quantity, value (the observed flux, else the flux), unit, qc; rows without a value go.
+
+    Records of the long channel carry the class of their value, ``goes_class``; those of the short one have none.
+    """
     long = F.col("energy").startswith("0.1")
     value = F.coalesce("observed_flux", "flux")
     d = raw.withColumns({
@@ -41,7 +45,7 @@ def normalize_feed(raw: DataFrame) -> DataFrame:
         "unit": F.lit("W m^-2"),
         "qc": F.when(F.coalesce("electron_contaminaton", F.lit(False)), QC_BITS["SUSPECT"]).otherwise(QC_BITS["GOOD"]).cast("int"),
     })
-    return d.where(F.col("value") > 0)
+    return d.where(F.col("value") > 0).withColumn("goes_class", F.when(long, X.goes_class(F.col("value"))))
 
 
 def normalize_generic(raw: DataFrame, time: str = "t", value: str = "value", stream: str = "generic", unit: str = "counts/s", quantity: str = "HXR") -> DataFrame:
@@ -61,6 +65,19 @@ def light_curve(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+def read_light_curve(spark: SparkSession, path: str) -> DataFrame:
+    """A light curve file or folder (.csv with a header, else JSON lines) under its standard names: t in epoch seconds, channels as doubles.
+
+    Rows without a time go; a file without a time column is an error.
+    """
+    raw = spark.read.option("header", "true").csv(path) if path.rstrip("/").lower().endswith(".csv") else spark.read.json(path)
+    d = light_curve(raw)
+    if "t" not in d.columns:
+        raise ValueError(f"{path} has no time column")
+    t = F.col("t").cast("string")
+    return d.select(F.coalesce(t.try_cast("double"), parse_time(t)).alias("t"), *[F.col(c).cast("string").try_cast("double").alias(c) for c in d.columns if c != "t"]).where("t is not null")
+
+
 def time_scan(df: DataFrame, t0: float, t1: float, t: str = "t") -> DataFrame:
     """Rows with t0 <= t < t1; on Parquet with a plain time column the bounds reach the row groups."""
     return df.where((F.col(t) >= t0) & (F.col(t) < t1))
@@ -77,7 +94,7 @@ def first_available(sources: Sequence[Callable[[], DataFrame]], errors: tuple[ty
     for make in sources:
         try:
             df = make()
-            if df.limit(1).count():
+            if df.take(1):  # a whole row, so that what breaks in any column is seen
                 return df
         except errors as x:
             last = x
