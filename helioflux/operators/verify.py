@@ -85,14 +85,20 @@ def best_threshold(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return d.select(*by, F.when(none, F.col("top") + 1e-9).otherwise(F.col("b.p")).alias("theta"), F.when(none, 0.0).otherwise(F.col("b.tss")).alias("tss"))
 
 
-def report(df: DataFrame, theta: float | None = None) -> DataFrame:
-    """One row with the whole battery."""
-    one = df.select("y", "p").withColumn("g", F.lit(0))
+def report(df: DataFrame, theta: float | None = None, baselines: Sequence[str] = ()) -> DataFrame:
+    """One row with the whole battery; for each column of ``baselines`` also its <name>_brier, <name>_tss and <name>_theta (at its best
+    threshold), and <name>_skill_vs: 1 less the ratio of the Brier scores, 0 where the baseline's is 0."""
+    one = df.select("y", "p", *baselines).withColumn("g", F.lit(0))
     if theta is None:
         theta = best_threshold(one, ["g"]).first()["theta"]  # one number
     d = confusion(one, theta, ["g"])
     for part in (brier(one, ["g"]), roc_auc(one, ["g"]), pr_auc(one, ["g"]), ece(one, 10, ["g"])):
         d = d.join(part, "g")
+    for name in baselines:
+        b = one.select("g", "y", F.col(name).alias("p"))
+        t = best_threshold(b, ["g"]).select("g", F.col("theta").alias(f"{name}_theta"), F.col("tss").alias(f"{name}_tss"))
+        d = d.join(brier(b, ["g"]).select("g", F.col("brier").alias(f"{name}_brier")), "g").join(t, "g")
+        d = d.withColumn(f"{name}_skill_vs", F.when(F.col(f"{name}_brier") > 0, 1 - F.col("brier") / F.col(f"{name}_brier")).otherwise(0.0))
     n = one.groupBy("g").agg(F.count("*").alias("n"), F.sum(F.expr(Y)).alias("n_pos"), F.avg(F.expr(Y)).alias("base_rate"))
     return d.join(n, "g").withColumn("theta", F.lit(theta)).drop("g")
 

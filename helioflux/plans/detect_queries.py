@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..operators import detect as D
 from ..operators import matching as M
-from ..operators.blocks import affine_scan, ema, ewmv
+from ..operators.blocks import affine_scan, ema, ewmv, quantile_track
+from ..sources import synthetic as G
 from ..state import machines as S
 from .registry import FLARES, E, events_as_flares, query, r6, read, streams
 
@@ -118,6 +119,12 @@ def det_running_quantile(spark, d):
     return D.run_machine(streams(spark, d), lambda: S.Quantile(0.9), lambda m, x, t: (m.update(x),), "q90 double")
 
 
+@query("scan_quantile_track")
+def scan_quantile_track(spark, d):
+    """The 0.9 quantile of all samples up to the end of each day, by merged sketches."""
+    return quantile_track(streams(spark, d), 0.9)
+
+
 @query("det_soft_stack")
 def det_soft_stack(spark, d):
     return D.soft_band(streams(spark, d).where("stream = 'view'"), 1300.0)
@@ -214,13 +221,39 @@ def kalman_fuse(spark, d):
     return D.kalman(s.where("v > 0").withColumn("quantity", F.lit("SXR_LONG")).groupBy("quantity", "cell").agg(sensors.alias("sensors")), 3600.0)
 
 
-@query("gen_fred", """WITH p(id, t0, amp, rise, decay) AS (VALUES (1, 100.0, 2.0, 10.0, 60.0), (2, 300.0, 5.0, 20.0, 80.0)), g AS (SELECT CAST(i AS DOUBLE) AS t FROM range(0, 601) r(i))
-    SELECT t, round(1 + sum(amp * CASE WHEN t < t0 THEN exp(-0.5 * pow((t - t0) / rise, 2)) ELSE exp(-(t - t0) / decay) END), 6) AS flux FROM g, p GROUP BY t""")
+#: Pulses from the rows of ``part``.
+PULSES = """p AS (SELECT p_partkey AS id, p_partkey * 400.0 AS t_peak, p_retailprice / 100.0 AS amplitude, 20.0 + p_size AS rise, 60.0 + 2.0 * p_size AS decay FROM part),
+    g AS (SELECT id, t_peak, amplitude, rise, decay, unnest(generate_series(CAST(floor((t_peak - 8 * rise) / 30.0) AS BIGINT), CAST(ceil((t_peak + 28 * decay) / 30.0) AS BIGINT))) AS tick FROM p),
+    v AS (SELECT *, tick * 30.0::DOUBLE AS t, amplitude * CASE WHEN tick * 30.0::DOUBLE < t_peak THEN exp(-0.5 * pow((tick * 30.0::DOUBLE - t_peak) / rise, 2)) ELSE exp(-(tick * 30.0::DOUBLE - t_peak) / decay) END AS x FROM g)"""
+
+
+def _pulses(spark, d):
+    k, size = F.col("p_partkey"), F.col("p_size")
+    return read(spark, d, "part").select(k.alias("id"), (k * F.lit(400.0)).alias("t_peak"), (F.col("p_retailprice") / 100.0).cast("double").alias("amplitude"), (F.lit(20.0) + size).alias("rise"), (F.lit(60.0) + 2.0 * size).alias("decay"))
+
+
+@query("gen_fred", f"WITH {PULSES} SELECT tick, round(1 + sum(x), 6) AS flux FROM v GROUP BY tick")
 def gen_fred(spark, d):
-    from ..sources.synthetic import render
+    """The sum of all pulses at every tick that one of them reaches."""
+    return G.render(_pulses(spark, d), 30.0, 1.0).select("tick", r6("flux").alias("flux"))
+
+
+@query("gen_bounds", f"""WITH {PULSES}, m AS (SELECT id, arg_max(t, (x, -t)) AS top FROM v GROUP BY id)
+    SELECT id, min(t) FILTER (t <= top AND x >= 0.05 * amplitude) AS t_start, min(t) FILTER (t >= top AND x <= 0.5 * amplitude) AS t_end FROM v JOIN m USING (id) GROUP BY id""")
+def gen_bounds(spark, d):
+    from ..operators.records import pulse_bounds
 
-    flares = spark.createDataFrame([(1, 100.0, 2.0, 10.0, 60.0), (2, 300.0, 5.0, 20.0, 80.0)], "id int, t_peak double, amplitude double, rise double, decay double")
-    return render(spark, flares, 601, 1.0, 1.0).select("t", r6("flux").alias("flux"))
+    return pulse_bounds(G.lay_out(_pulses(spark, d), 30.0))
+
+
+@query("gen_train", f"""WITH {PULSES}, b AS (SELECT id, tick, t, x, greatest(0.0, CASE WHEN lag(x) OVER w IS NULL THEN (lead(x) OVER w - x) / 30 WHEN lead(x) OVER w IS NULL THEN (x - lag(x) OVER w) / 30 ELSE (lead(x) OVER w - lag(x) OVER w) / 60 END) AS base FROM v WINDOW w AS (PARTITION BY id ORDER BY tick)),
+    m AS (SELECT id, arg_max(t, (x, -tick)) AS top FROM b GROUP BY id), r AS (SELECT id, tick, base, row_number() OVER (PARTITION BY id ORDER BY tick) - 1 AS at_, count(*) OVER (PARTITION BY id) AS m FROM b JOIN m USING (id) WHERE t <= top - 60 AND base > 0),
+    k AS (SELECT r.id, r.tick AS c, r.base AS b FROM r, (SELECT unnest([0, 1, 2, 3]) AS k) WHERE at_ = least(m - 1, CAST(floor((k + 0.5) / (1 + id % 4) * m) AS BIGINT)) AND k < 1 + id % 4),
+    s AS (SELECT id, tick, sum((3 * b + 1e-12) * exp(-pow((tick - c) * 30.0, 2) / (2 * 30.0 * 30.0))) AS s FROM (SELECT id, c, b, unnest(generate_series(c - 4, c + 4)) AS tick FROM k) GROUP BY id, tick)
+    SELECT id, tick, round(base + coalesce(s, 0), 6) AS hard FROM b LEFT JOIN s USING (id, tick)""")
+def gen_train(spark, d):
+    """Hard bursts on the rise of every pulse."""
+    return G.impulsive_train(_pulses(spark, d), 30.0, 1 + F.col("id") % 4, F.lit(60.0)).select("id", "tick", r6("hard").alias("hard"))
 
 
 @query("gen_pivot", f"WITH {E} SELECT CAST(floor(t / 3600) AS BIGINT) AS cell, coalesce(max(CASE WHEN stream = 'view' THEN value END), 0) AS view, coalesce(max(CASE WHEN stream = 'click' THEN value END), 0) AS click FROM e GROUP BY ALL")
@@ -231,10 +264,36 @@ def gen_pivot(spark, d):
 
 @query("gen_noise")
 def gen_noise(spark, d):
-    from ..sources.synthetic import noisy, render
+    """Drawn pulses, one per customer, rendered with noise, spikes and gaps."""
+    p = G.draw_pulses(read(spark, d, "customer").select("c_custkey"), "c_custkey", 0.0, 864_000.0, {"B": 0.3, "C": 0.45, "M": 0.2, "X": 0.05})
+    return G.noisy(G.render(p, 60.0, 1e-8), 7).select("tick", "flux", "spike", "qc")
+
+
+@query("stream_bursts", f"""WITH {E}, h AS (SELECT stream, t, event_id, value, CASE WHEN t - lag(t) OVER (PARTITION BY stream ORDER BY t, event_id) <= 3600 THEN 0 ELSE 1 END AS new_ FROM e WHERE value >= 60),
+    r AS (SELECT *, sum(new_) OVER (PARTITION BY stream ORDER BY t, event_id) AS run FROM h)
+    SELECT stream, round(min(t) - 1704067200.0, 3) AS onset, round(max(t) - 1704067200.0, 3) AS last, max(value) AS peak, count(*) AS n FROM r GROUP BY stream, run""")
+def stream_bursts(spark, d):
+    """Bursts of all streams as a stream on event time; timers end those that nothing follows."""
+    from ..streaming.timers import run_bursts
+
+    b = run_bursts(spark, read(spark, d, "events"), 60.0, 3600.0)
+    return b.select("stream", *[F.round(F.col(c) - 1704067200.0, 3).alias(c) for c in ("onset", "last")], "peak", "n")
+
+
+@query("sink_keyed", f"WITH {E} SELECT user_id, arg_max(event_id, (us, event_id)) AS event_id, arg_max(value, (us, event_id)) AS value FROM e WHERE user_id IS NOT NULL GROUP BY user_id")
+def sink_keyed(spark, d):
+    """The newest event of every user, taken in by three batches of which one comes twice."""
+    import uuid
+
+    from ..operators.common import shared_root
+    from ..streaming.sinks import KeyedTable
 
-    flares = spark.createDataFrame([(1, 100.0, 2.0, 10.0, 60.0)], "id int, t_peak double, amplitude double, rise double, decay double")
-    return noisy(render(spark, flares, 601, 1.0, 1.0), 7)
+    e = streams(spark, d).where("user_id is not null").select("user_id", "event_id", "value", "us")
+    e = e.withColumn("seq", F.struct("us", "event_id"))
+    t = KeyedTable(spark, f"{shared_root(spark)}/keyed-{uuid.uuid4().hex}", ["user_id"], "seq", e.schema, 16)
+    for n in (0, 1, 1, 2):
+        t.upsert(e.where(F.col("event_id") % 3 == n), n)
+    return t.read().select("user_id", "event_id", "value")
 
 
 @query("stream_matches_batch")

@@ -123,17 +123,6 @@ def gen_class_draw(spark, d):
     return streams(spark, d).select("event_id", letter.alias("letter")).withColumn("hard", R.hard_scale(F.col("letter")))
 
 
-@query("gen_bounds", """WITH p(id, t0, amp, rise, decay) AS (VALUES (1, 100.0, 2.0, 10.0, 60.0), (2, 300.0, 5.0, 20.0, 80.0)), g AS (SELECT CAST(i AS DOUBLE) AS t FROM range(0, 601) r(i)),
-    v AS (SELECT id, t, t0, amp, amp * CASE WHEN t < t0 THEN exp(-0.5 * pow((t - t0) / rise, 2)) ELSE exp(-(t - t0) / decay) END AS x FROM g, p)
-    SELECT id, min(t) FILTER (t <= t0 AND x >= 0.05 * amp) AS t_start, min(t) FILTER (t >= t0 AND x <= 0.5 * amp) AS t_end FROM v GROUP BY id""")
-def gen_bounds(spark, d):
-    from ..sources.synthetic import fred
-
-    p = spark.createDataFrame([(1, 100.0, 2.0, 10.0, 60.0), (2, 300.0, 5.0, 20.0, 80.0)], "id int, t0 double, amplitude double, rise double, decay double")
-    v = p.select("*", F.explode(F.sequence(F.lit(0), F.lit(600))).alias("t")).withColumn("t", F.col("t").cast("double"))
-    return R.pulse_bounds(v.withColumn("value", fred(F.col("t"), F.col("t0"), F.col("amplitude"), F.col("rise"), F.col("decay"))))
-
-
 @query("win_prior_max", f"WITH {E} SELECT event_id, coalesce(max(value) OVER (PARTITION BY stream ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS top FROM e")
 def win_prior_max(spark, d):
     w = Window.partitionBy("stream").orderBy("t", "event_id").rowsBetween(Window.unboundedPreceding, -1)
@@ -179,3 +168,11 @@ def pipeline_forecast(spark, d):
     from ..operators.model import offline_forecast
 
     return offline_forecast(streams(spark, d), events_as_flares(spark, d))
+
+
+@query("pipeline_forecast_report")
+def pipeline_forecast_report(spark, d):
+    """The battery of those forecasts and their skill against climatology, persistence and the Hawkes rate."""
+    from ..operators.model import offline_report
+
+    return offline_report(streams(spark, d), events_as_flares(spark, d))

@@ -115,9 +115,11 @@ def win_session(spark, d):
 GRID = "1704067200.0"
 
 
-@query("grid_build", "SELECT CAST(i AS BIGINT) AS cell, 1704067200.0 + i * 3600.0 AS t FROM range(0, 697) x(i)")
+@query("grid_build", f"WITH {E}, b AS (SELECT floor(min(t) / 3600) * 3600.0 AS a, max(t) AS z FROM e) SELECT CAST(i AS BIGINT) AS cell, a + i * 3600.0 AS t FROM b, (SELECT unnest(range(0, CAST((SELECT floor((z - a) / 3600.0) + 1 FROM b) AS BIGINT))) AS i)")
 def grid_build(spark, d):
-    return S.build_grid(spark, 1704067200.0, 1704067200.0 + 696 * 3600.0, 3600.0)
+    """Hourly cells from the first to the last sample of the table."""
+    a, z = streams(spark, d).agg(F.floor(F.min("t") / 3600) * F.lit(3600.0), F.max("t")).first()  # two numbers
+    return S.build_grid(spark, a, z, 3600.0)
 
 
 @query("grid_snap", f"""WITH {E}, x AS (SELECT stream, CAST(round_even((t - {GRID}) / 3600.0, 0) AS BIGINT) AS cell, t, value, k, CASE WHEN k > 0 THEN k / 10.0::DOUBLE END AS s FROM e),

@@ -69,6 +69,23 @@ def met_report(spark, d):
     return M.report(_yp(spark, d), 0.25).select("n", "n_pos", r6("base_rate").alias("base_rate"), r6("pod").alias("pod"), r6("tss").alias("tss"), r6("brier").alias("brier"))
 
 
+_BASE = "CAST(CASE WHEN k >= 50 THEN 0.7 ELSE 0.2 END AS DOUBLE)"
+
+
+@query("met_report_skill", f"""WITH {YP}, z AS (SELECT y, p, {_BASE} AS pers, 0.4::DOUBLE AS clim FROM yp), a AS (SELECT sum(y) AS np, sum(1 - y) AS nn, avg((p - y) * (p - y)) AS bs, avg((pers - y) * (pers - y)) AS bp, avg((clim - y) * (clim - y)) AS bc FROM z),
+    tss AS (SELECT name, q, sum(pos) OVER (PARTITION BY name ORDER BY q DESC) / np - sum(neg) OVER (PARTITION BY name ORDER BY q DESC) / nn AS tss FROM (SELECT 'm' AS name, p AS q, sum(y) AS pos, sum(1 - y) AS neg FROM z GROUP BY ALL UNION ALL SELECT 'p', pers, sum(y), sum(1 - y) FROM z GROUP BY ALL UNION ALL SELECT 'c', clim, sum(y), sum(1 - y) FROM z GROUP BY ALL), a),
+    b AS (SELECT name, max(tss) AS tss, min(q) AS theta FROM (SELECT *, rank() OVER (PARTITION BY name ORDER BY round(tss, 12) DESC) AS r FROM tss) WHERE r = 1 GROUP BY name),
+    c AS (SELECT {CM.format(t="(SELECT theta FROM b WHERE name = 'm')")} FROM z)
+    SELECT round((SELECT theta FROM b WHERE name = 'm'), 6) AS theta, round(tp / (tp + fn) - fp / (fp + tn), 6) AS tss, round(2.0 * (tp * tn - fp * fn) / ((tp + fn) * (fn + tn) + (tp + fp) * (fp + tn)), 6) AS hss, round(fp / (fp + tp), 6) AS far, round(bs, 6) AS brier,
+      round(bp, 6) AS pers_brier, round(1 - bs / bp, 6) AS pers_skill_vs, round((SELECT tss FROM b WHERE name = 'p'), 6) AS pers_tss, round((SELECT theta FROM b WHERE name = 'p'), 6) AS pers_theta,
+      round(bc, 6) AS clim_brier, round(1 - bs / bc, 6) AS clim_skill_vs, round((SELECT tss FROM b WHERE name = 'c'), 6) + 0.0 AS clim_tss, round((SELECT theta FROM b WHERE name = 'c'), 6) AS clim_theta FROM a, c""")
+def met_report_skill(spark, d):
+    """The battery at the best threshold, with the skill against two baselines."""
+    z = _yp(spark, d).select("y", "p", F.expr(_BASE).alias("pers"), F.lit(0.4).alias("clim"))
+    out = ["theta", "tss", "hss", "far", "brier", *[f"{b}_{c}" for b in ("pers", "clim") for c in ("brier", "skill_vs", "tss", "theta")]]
+    return M.report(z, None, ["pers", "clim"]).select(*[(r6(c) + 0.0).alias(c) for c in out])
+
+
 @query("met_by_label", """SELECT quality, toxic, count(*) AS n, round(avg(n_chars), 4) AS mean_chars FROM labels JOIN documents USING (doc_id) GROUP BY ALL""")
 def met_by_label(spark, d):
     j = read(spark, d, "labels").join(read(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")

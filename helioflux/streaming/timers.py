@@ -7,6 +7,7 @@ within the watermark's delay, and across restarts. Needs the RocksDB state store
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from .. import constants as K
+from ..operators.common import shared_root
 from ..state import machines as S
 
 
@@ -160,3 +162,22 @@ def bursts(samples: DataFrame, high: float, quiet: float, by: str = "stream") ->
     d = d.withColumn("_run", F.sum("_new").over(w))
     top = F.struct(F.col("value"), -F.col("t"))
     return d.groupBy(by, "_run").agg(F.min("t").alias("onset"), F.max("t").alias("last"), F.max_by("t", top).alias("t_peak"), F.max("value").alias("peak"), F.count("*").alias("n")).drop("_run")
+
+
+def run_bursts(spark: SparkSession, events: DataFrame, high: float, quiet: float) -> DataFrame:
+    """The bursts of a whole table of events as a stream over its files: a run over the data, then one over a sample far behind it."""
+    from .detectors import event_stream
+
+    root = f"{shared_root(spark)}/bursts-{uuid.uuid4().hex}"
+    events.write.parquet(f"{root}/in")
+
+    def run() -> DataFrame:
+        out = burst_stream(event_stream(spark, f"{root}/in", events.schema, 100), high, quiet, delay="1 second")
+        out.writeStream.option("checkpointLocation", f"{root}/state").trigger(availableNow=True).format("parquet").option("path", f"{root}/out").start().awaitTermination()
+        return out
+
+    run()
+    last = events.agg(F.max_by(F.struct(*events.columns), "ts").alias("r")).select("r.*")
+    last.withColumn("ts", F.col("ts") + F.expr("interval 3650 days")).withColumn("value", F.lit(high - 1).cast(events.schema["value"].dataType)).write.mode("append").parquet(f"{root}/in")
+    out = run()
+    return spark.read.schema(out.schema).parquet(f"{root}/out")
