@@ -37,8 +37,15 @@ class Lattice:
         self.words_apart = not any(SPACE in p.lstrip(SPACE) for p in table)
         self.parts = {k: self._last_merge(p) for p, k in self.ids.items() if len(p) > 1}
         self.unmade = {k for k, x in self.parts.items() if x is None}  # pieces that merging never makes
-        # What a start of a piece is: the piece's id, or -1 where only longer ones go on from it.
-        self.steps = {p[:i]: -1 for p in self.ids for i in range(1, len(p))} | {p: k for p, k in self.ids.items() if k not in self.unmade}
+        # A tree of characters: what they spell so far (the piece's id, or -1 where only longer ones go on from it) and what may follow.
+        self.tree: dict[str, tuple[int, dict]] = {}
+        for p, k in self.ids.items():
+            at = self.tree
+            for c in p[:-1]:
+                if c not in at:
+                    at[c] = (-1, {})
+                at = at[c][1]
+            at[p[-1]] = (-1 if k in self.unmade else k, at[p[-1]][1] if p[-1] in at else {})
         self.side_by_side: dict[int, bool] = {}  # by both ids in one number
         self.memo = Words(self)
 
@@ -87,11 +94,12 @@ class Lattice:
 
         ``first`` is the piece before ``start``, None if nothing there can merge. None where no such path ends.
         """
-        steps, known, reach = self.steps, self.side_by_side, self.reach
+        tree, known = self.tree, self.side_by_side
         n = end - start
         out: list[tuple[int, int] | None] = [None] * (n + 1)
         if len(known) > 2 * MEMO:
             known.clear()
+        part = text[start:end]
         for a in range(n):
             if a:
                 if out[a] is None:
@@ -100,13 +108,17 @@ class Lattice:
             else:
                 before = first
             free = before is None or before < 0
-            j = start + a
-            for b in range(a + 1, min(n, a + reach) + 1):
-                k = steps.get(text[j : start + b])
-                if k is None:
-                    if b == a + 1:
-                        out[b] = (j, -1)  # an unknown character
+            j, b, at = start + a, a, tree
+            if part[a] not in at:
+                if out[a + 1] is None:
+                    out[a + 1] = (j, -1)  # an unknown character
+                continue
+            while at and b < n:
+                step = at.get(part[b])
+                if step is None:
                     break
+                k, at = step
+                b += 1
                 if k < 0 or out[b] is not None:  # at most one path ends at a place
                     continue
                 if free:
