@@ -205,8 +205,10 @@ def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str =
     Every text goes through the scan in chunks of ``size`` characters. Those of more than ``giant`` characters leave the
     main pass as rows of chunks, dealt out over the cluster: matrices of a small size travel between the passes, and only
     the ids of one text meet in one row at the end. Rows that share a key are encoded apart and keep one row each; other
-    columns are left out.
+    columns are left out. A key named ``ids`` is an error.
     """
+    if key == "ids":
+        raise ValueError("the key may not be named ids")
     kind = dict(docs.dtypes)[key]
     d = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
 

@@ -60,8 +60,10 @@ class Counter:
 def with_length(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str = VOCABULARY) -> DataFrame:
     """Rows (key, n_tokens): the number of tokens of each whole text; a null or empty text has none.
 
-    Repeated rows are counted each; other columns are left out; an empty table gives no rows.
+    Repeated rows are counted each; other columns are left out; an empty table gives no rows. A key named ``n_tokens`` is an error.
     """
+    if key == "n_tokens":
+        raise ValueError("the key may not be named n_tokens")
     kind = dict(docs.dtypes)[key]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
