@@ -39,13 +39,37 @@ def poisson_cusum(df: DataFrame, mu0: float, ratio: float = K.POISSON_RATIO, h:
     return _alarms(df, lambda: S.PoissonCusum(ratio, h), lambda m, r: m.update(r["value"], mu0, r["t"]), by, order, key)
 
 
+def adaptive_latch(df: DataFrame, base: float, sigma: float, by: Sequence[str] = ("stream",), order: Sequence[str] = ("t", "event_id"), key: str = "event_id") -> DataFrame:
+    """Rows (by, key, z, started, latched): M of N samples high switch on, one low switches off; blocks settled by their entry states."""
+
+    def step(m: S.Adaptive, r: dict) -> list[tuple]:
+        z, started = m.update(r["value"], base, sigma)
+        return [(r[key], z, started, m.on)]
+
+    return _settled(df, S.Adaptive, step, "z double, started boolean, latched boolean", by, order, key)
+
+
+def flare_fsm(df: DataFrame, by: Sequence[str] = ("stream",), order: Sequence[str] = ("t", "event_id"), key: str = "event_id") -> DataFrame:
+    """Rows (by, key, onset, peak, end, active) of the start-peak-end machine, which forgets with every end."""
+
+    def step(m: S.FlareFsm, r: dict) -> list[tuple]:
+        out = m.step(r["value"], r["t"])
+        return [(r[key], out.get("onset"), out.get("peak"), out.get("end"), m.active)]
+
+    return _settled(df, S.FlareFsm, step, "onset double, peak double, end double, active boolean", by, order, key)
+
+
+def _settled(df: DataFrame, make: Callable, step: Callable, schema: str, by: Sequence[str], order: Sequence[str], key: str) -> DataFrame:
+    cols = list(dict.fromkeys([*by, key, *order, "t", "value"]))
+    return settle(df.select(*cols), make, step, f"{key} {df.schema[key].dataType.simpleString()}, {schema}", by, order)
+
+
 def _alarms(df: DataFrame, make: Callable, update: Callable, by: Sequence[str], order: Sequence[str], key: str) -> DataFrame:
     def step(m, r: dict) -> list[tuple]:
         s, onset = update(m, r)
         return [(r[key], s, onset is not None, onset)]
 
-    cols = list(dict.fromkeys([*by, key, *order, "t", "value"]))
-    return settle(df.select(*cols), make, step, f"{key} {df.schema[key].dataType.simpleString()}, statistic double, alarm boolean, onset double", by, order)
+    return _settled(df, make, step, "statistic double, alarm boolean, onset double", by, order, key)
 
 
 def run_machine(df: DataFrame, make: Callable[[], object], step: Callable[[object, float, float], tuple], schema: str, by: str = "stream", order: Sequence[str] = ("t", "event_id"), key: str = "event_id") -> DataFrame:

@@ -86,9 +86,11 @@ def det_adaptive(spark, d):
     return streams(spark, d).select("event_id", r6(z).alias("z"), m_of_n(z > 5, ordered()).alias("m_of_n"))
 
 
-@query("det_adaptive_latch")
+@query("det_adaptive_latch", f"""WITH RECURSIVE {E}, z AS (SELECT *, (value - 40) / 10.0 AS z FROM e), o AS MATERIALIZED (SELECT event_id, stream, z, sum(CASE WHEN z > {K.K_ON!r} THEN 1 ELSE 0 END) OVER (PARTITION BY stream ORDER BY t, event_id ROWS BETWEEN {K.N_OF - 1} PRECEDING AND CURRENT ROW) >= {K.M_OF} AS fires, row_number() OVER (PARTITION BY stream ORDER BY t, event_id) AS n FROM z),
+    r AS (SELECT stream, n, event_id, z, fires AS latched, fires AS started FROM o WHERE n = 1 UNION ALL SELECT o.stream, o.n, o.event_id, o.z, CASE WHEN r.latched THEN o.z >= {K.K_OFF!r} ELSE o.fires END, NOT r.latched AND o.fires FROM r JOIN o ON o.stream = r.stream AND o.n = r.n + 1)
+    SELECT event_id, round(z, 6) AS z, started, latched FROM r""")
 def det_adaptive_latch(spark, d):
-    return D.run_machine(streams(spark, d), S.Adaptive, lambda m, x, t: (*m.update(x, 40.0, 10.0), m.on), "z double, started boolean, latched boolean")
+    return D.adaptive_latch(streams(spark, d), 40.0, 10.0).select("event_id", r6("z").alias("z"), "started", "latched")
 
 
 @query("det_focus", f"""WITH {E}, o AS (SELECT event_id, stream, row_number() OVER (PARTITION BY stream ORDER BY t, event_id) AS n, value FROM e),
@@ -105,13 +107,17 @@ def det_parity(spark, d):
     return D.run_machine(streams(spark, d), S.Parity, lambda m, x, t: m.update(x, t), "statistic double, baseline double, sigma double, in_event boolean, onset double")
 
 
-@query("det_fsm")
+@query("det_fsm", f"""WITH RECURSIVE {E}, o AS MATERIALIZED (SELECT event_id, stream, t, value AS x, row_number() OVER w AS n, first_value(value) OVER f AS xf, first_value(t) OVER f AS tf,
+      coalesce(lag(value, 3) OVER w < lag(value, 2) OVER w AND lag(value, 2) OVER w < lag(value) OVER w AND lag(value) OVER w < value AND (lag(value, 3) OVER w <= 0 OR value >= {K.RISE_RATIO!r} * lag(value, 3) OVER w), FALSE) AS rises
+      FROM e WINDOW w AS (PARTITION BY stream ORDER BY t, event_id), f AS (PARTITION BY stream ORDER BY t, event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)),
+    r AS (SELECT stream, 0::BIGINT AS n, NULL::BIGINT AS event_id, TRUE AS q, 0.0::DOUBLE AS x0, 0.0::DOUBLE AS xp, 0.0::DOUBLE AS tp, FALSE AS pk, NULL::DOUBLE AS onset, NULL::DOUBLE AS peak, NULL::DOUBLE AS end_ FROM (SELECT DISTINCT stream FROM o)
+      UNION ALL SELECT stream, n, event_id, CASE WHEN q THEN NOT rises ELSE down AND x <= (xp + x0) / 2 END, CASE WHEN start_ THEN xf ELSE x0 END, CASE WHEN start_ OR up THEN x ELSE xp END, CASE WHEN start_ OR up THEN t ELSE tp END,
+        CASE WHEN start_ OR up THEN FALSE WHEN down THEN TRUE ELSE pk END, CASE WHEN start_ THEN tf END, CASE WHEN down AND NOT pk THEN tp END, CASE WHEN down AND x <= (xp + x0) / 2 THEN t END
+      FROM (SELECT o.*, r.q, r.x0, r.xp, r.tp, r.pk, r.q AND o.rises AS start_, NOT r.q AND o.x > r.xp AS up, NOT r.q AND o.x <= r.xp AS down FROM r JOIN o ON o.stream = r.stream AND o.n = r.n + 1))
+    SELECT event_id, round(coalesce(onset - 1704067200.0, -1), 3) AS onset, round(coalesce(peak - 1704067200.0, -1), 3) AS peak, round(coalesce(end_ - 1704067200.0, -1), 3) AS end_t, NOT q AS active FROM r WHERE n > 0""")
 def det_fsm(spark, d):
-    def step(m, x, t):
-        r = m.step(x, t)
-        return r.get("onset"), r.get("peak"), r.get("end"), m.active
-
-    return D.run_machine(streams(spark, d), S.FlareFsm, step, "onset double, peak double, end double, active boolean")
+    rel = lambda c, name: F.round(F.coalesce(F.nanvl(c, F.lit(None)) - 1704067200.0, F.lit(-1.0)), 3).alias(name)
+    return D.flare_fsm(streams(spark, d)).select("event_id", rel("onset", "onset"), rel("peak", "peak"), rel("end", "end_t"), "active")
 
 
 @query("det_running_quantile")
@@ -214,11 +220,24 @@ def consensus_place(spark, d):
     return c.select("cluster", F.round(F.col("t_peak") - 1704067200.0, 3).alias("t_peak"), r6("confidence").alias("confidence"), "status", F.coalesce("goes_class", F.lit("")).alias("goes_class"), "n_catalogs", "sxr_weak", F.coalesce("lon_deg", F.lit(-999.0)).alias("lon_deg"), F.coalesce("lat_deg", F.lit(-999.0)).alias("lat_deg"))
 
 
-@query("kalman_fuse")
+#: Sensors of hourly cells, one after the other; a cell's first one moves the state on by an hour.
+_GATED = "CASE WHEN pow(v - l1, 2) / (a0 + noise) > {gate!r} THEN {old} ELSE {new} END"
+_KEEP = lambda old, new: _GATED.format(gate=K.GATE_CHI2, old=old, new=new)
+
+
+@query("kalman_fuse", f"""WITH RECURSIVE {E}, c AS (SELECT stream, CAST(floor(t / 3600) AS BIGINT) AS cell, avg(value) AS v, count(*) AS m FROM e GROUP BY ALL), s AS (SELECT stream, cell, log10(v) AS v, 0.3 / sqrt(m) AS sg FROM c WHERE v > 0),
+    x AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY cell, stream) AS n, row_number() OVER (PARTITION BY cell ORDER BY stream) AS i, greatest(sg * sg / 0.9, 1e-12) AS noise FROM s), f AS (SELECT max(n) AS n, min(cell) AS cell, sum(v / (sg * sg)) / sum(1 / (sg * sg)) AS l, 1 / sum(1 / (sg * sg)) AS p FROM x WHERE cell = (SELECT min(cell) FROM x)),
+    r AS (SELECT n, cell, l, 0.0::DOUBLE AS r, p AS p0, 0.0::DOUBLE AS p1, 1.0::DOUBLE AS p2, 0 AS rej FROM f
+      UNION ALL SELECT n, cell, {_KEEP("l1", "l1 + a0 / (a0 + noise) * (v - l1)")}, {_KEEP("r", "r + a1 / (a0 + noise) * (v - l1)")}, {_KEEP("a0", "(1 - a0 / (a0 + noise)) * a0")}, {_KEEP("a1", "(1 - a0 / (a0 + noise)) * a1")}, {_KEEP("a2", "a2 - a1 / (a0 + noise) * a1")}, {_KEEP("rej0 + 1", "rej0")}
+      FROM (SELECT x.n, x.cell, x.v, x.noise, r.r, CASE WHEN x.i = 1 THEN r.l + 3600.0 * r.r ELSE r.l END AS l1, CASE WHEN x.i = 1 THEN 0 ELSE r.rej END AS rej0,
+        CASE WHEN x.i = 1 THEN r.p0 + 7200.0 * r.p1 + 12960000.0 * r.p2 + 1e-4 * pow(3600.0, 4) / 4 ELSE r.p0 END AS a0, CASE WHEN x.i = 1 THEN r.p1 + 3600.0 * r.p2 + 1e-4 * pow(3600.0, 3) / 2 ELSE r.p1 END AS a1, CASE WHEN x.i = 1 THEN r.p2 + 1e-4 * 12960000.0 + 1e-4 ELSE r.p2 END AS a2
+        FROM r JOIN x ON x.n = r.n + 1))
+    SELECT cell, round(pow(10, arg_max(l, n)), 4) AS value, round(ln(10) * pow(10, arg_max(l, n)) * sqrt(greatest(arg_max(p0, n), 0)), 4) AS sigma, CAST(max(rej) AS BIGINT) AS rejected FROM r GROUP BY cell""")
 def kalman_fuse(spark, d):
     s = streams(spark, d).groupBy("stream", F.floor(F.col("t") / 3600).cast("long").alias("cell")).agg(F.avg("value").alias("v"), F.count("*").alias("n"))
     sensors = F.transform(F.array_sort(F.collect_list(F.struct("stream", F.log10("v").alias("lv"), (0.3 / F.sqrt("n")).alias("sigma"), F.lit(0.9).alias("rel")))), lambda x: F.struct(x["lv"].alias("lv"), x["sigma"].alias("sigma"), x["rel"].alias("rel")))
-    return D.kalman(s.where("v > 0").withColumn("quantity", F.lit("SXR_LONG")).groupBy("quantity", "cell").agg(sensors.alias("sensors")), 3600.0)
+    k = D.kalman(s.where("v > 0").withColumn("quantity", F.lit("SXR_LONG")).groupBy("quantity", "cell").agg(sensors.alias("sensors")), 3600.0)
+    return k.select("cell", F.round("value", 4).alias("value"), F.round("sigma", 4).alias("sigma"), "rejected")
 
 
 #: Pulses from the rows of ``part``.
@@ -351,6 +370,19 @@ def features_wide(spark, d):
     return _wide(spark, d).select("event_id", *[(F.round(c, PLACES.get(c, 5)) + 0.0).alias(c) for c in FEATURES])  # no minus zero
 
 
+@query("features_tensor", f"""WITH {E}, w AS (SELECT event_id, list(value) OVER g AS v, list(k) OVER g AS h FROM e WINDOW g AS (PARTITION BY stream ORDER BY t, event_id ROWS BETWEEN 7 PRECEDING AND CURRENT ROW))
+    SELECT event_id, CAST(8 - len(v) AS INTEGER) AS n_zero, round(list_sum(list_transform(v, lambda x, i: x * (i + 8 - len(v)))), 3) AS values_by_place, CAST(list_sum(list_transform(h, lambda x, i: x * (i + 8 - len(h)))) AS DOUBLE) AS counts_by_place FROM w""")
+def features_tensor(spark, d):
+    """The window tensor of two channels, each channel weighed by place."""
+    from ..operators.features import sliding_tensor
+
+    x = sliding_tensor(streams(spark, d), ["value", "k"], 8)
+    place = F.sequence(F.lit(1), F.lit(8))
+    by_place = lambda c: F.aggregate(F.zip_with("tensor", place, lambda row, i: row[c] * i), F.lit(0.0), lambda a, b: a + b)
+    zero = F.size(F.filter("tensor", lambda row: (row[0] == 0) & (row[1] == 0)))
+    return x.select("event_id", zero.alias("n_zero"), F.round(by_place(0), 3).alias("values_by_place"), by_place(1).alias("counts_by_place"))
+
+
 @query("features_final", f"""WITH y AS ({_features_sql()}), e2 AS (SELECT event_id, event_type AS stream, epoch_us(ts) AS us FROM events)
     SELECT stream, arg_max("logS", (us, event_id)) AS "logS", arg_max(quiet_duration, (us, event_id)) AS quiet_duration, arg_max(hxr_peak_over_baseline, (us, event_id)) AS hxr_peak_over_baseline FROM y JOIN e2 USING (event_id) GROUP BY stream""")
 def features_final(spark, d):

@@ -266,11 +266,26 @@ def agg_ols(spark, d):
     return f.select("l_suppkey", F.round("a", 5).alias("a"), F.round("b", 5).alias("b"), F.round("r2", 5).alias("r2"), "n")
 
 
-@query("agg_huber_fit")
+def _huber_sql(rounds: int = 10) -> str:
+    """Reweighted lines, a round after the other; a line that stands still, or has no spread around it, stays."""
+    line = "CASE WHEN abs(sum(w) * sum(w * x * x) - sum(w * x) * sum(w * x)) < 1e-30 THEN 1.0 ELSE (sum(w) * sum(w * x * y) - sum(w * x) * sum(w * y)) / (sum(w) * sum(w * x * x) - sum(w * x) * sum(w * x)) END AS b, sum(w) AS sw, sum(w * x) AS sx, sum(w * y) AS sy"
+    out = f"""WITH d AS (SELECT l_returnflag AS g, log10(l_quantity) AS x, log10(l_extendedprice) AS y FROM lineitem),
+    f0 AS MATERIALIZED (SELECT g, (sy - b * sx) / sw AS a, b FROM (SELECT g, {line} FROM (SELECT *, 1.0 AS w FROM d) GROUP BY g))"""
+    for k in range(rounds):
+        out += f""",
+    r{k} AS (SELECT d.*, a, b, y - (a + b * x) AS r FROM d JOIN f{k} USING (g)), m{k} AS (SELECT g, median(r) AS m FROM r{k} GROUP BY g), s{k} AS MATERIALIZED (SELECT g, 1.4826 * median(abs(r - m)) AS mad FROM r{k} JOIN m{k} USING (g) GROUP BY g),
+    n{k} AS (SELECT g, (sy - b * sx) / sw AS a2, b AS b2 FROM (SELECT g, {line} FROM (SELECT g, x, y, CASE WHEN mad > 0 AND abs(r / mad) > 1.345 THEN 1.345 / abs(r / mad) ELSE 1.0 END AS w FROM r{k} JOIN s{k} USING (g)) GROUP BY g)),
+    f{k + 1} AS MATERIALIZED (SELECT g, CASE WHEN mad > 0 AND (abs(a2 - a) >= 1e-9 OR abs(b2 - b) >= 1e-9) THEN a2 ELSE a END AS a, CASE WHEN mad > 0 AND (abs(a2 - a) >= 1e-9 OR abs(b2 - b) >= 1e-9) THEN b2 ELSE b END AS b FROM f{k} JOIN s{k} USING (g) JOIN n{k} USING (g))"""
+    return out + f""", z AS (SELECT d.*, a, b, y - (a + b * x) AS r FROM d JOIN f{rounds} USING (g)), zm AS (SELECT g, median(r) AS m FROM z GROUP BY g), zs AS (SELECT g, 1.4826 * median(abs(r - m)) AS mad FROM z JOIN zm USING (g) GROUP BY g)
+    SELECT g AS l_returnflag, round(any_value(a), 5) AS a, round(any_value(b), 5) AS b, round(any_value(mad), 5) AS resid, round(sqrt(avg(r * r)), 5) AS rms_log, count(*) AS n, round(1 - sum(r * r) / (count(*) * var_pop(y)), 5) AS r2 FROM z JOIN zs USING (g) GROUP BY g"""
+
+
+@query("agg_huber_fit", _huber_sql())
 def agg_huber_fit(spark, d):
     from ..operators.fusion import fit_transfer
 
-    return fit_transfer(read(spark, d, "lineitem"), "l_quantity", "l_extendedprice", ["l_returnflag"])
+    f = fit_transfer(read(spark, d, "lineitem"), "l_quantity", "l_extendedprice", ["l_returnflag"])
+    return f.select("l_returnflag", *[F.round(c, 5).alias(c) for c in ("a", "b", "resid", "rms_log")], "n", F.round("r2", 5).alias("r2"))
 
 
 @query("agg_exact_quantiles", f"WITH {E} SELECT stream, round(median(value), 6) AS q50, round(quantile_cont(value, 0.9), 6) AS q90, round(var_samp(value), 4) AS var_sample, round(stddev_pop(value), 6) AS std_population FROM e GROUP BY stream")

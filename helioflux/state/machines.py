@@ -184,14 +184,12 @@ class Adaptive:
     k_off: float = K.K_OFF
     m: int = K.M_OF
     n: int = K.N_OF
-    ring: deque = field(default_factory=deque)
+    ring: list = field(default_factory=list)
     on: bool = False
 
     def update(self, x: float, base: float, sigma: float) -> tuple[float, bool]:
         z = (x - base) / sigma if sigma > 0 else 0.0
-        self.ring.append(z > self.k_on)
-        while len(self.ring) > self.n:
-            self.ring.popleft()
+        self.ring = [*self.ring, bool(z > self.k_on)][-self.n :]
         started = False
         if self.on:
             self.on = z >= self.k_off
@@ -244,7 +242,7 @@ class FlareFsm:
     """Start, peak and end of a rise: quiet until four samples rise to 1.4 times the first, over when half the rise is gone."""
 
     ratio: float = K.RISE_RATIO
-    ring: deque = field(default_factory=lambda: deque(maxlen=K.RISE_SAMPLES))
+    ring: list = field(default_factory=list)
     phase: str = "QUIET"
     x0: float = 0.0
     t0: float = 0.0
@@ -255,7 +253,7 @@ class FlareFsm:
     peaked: bool = False
 
     def _rises(self) -> bool:
-        r = list(self.ring)
+        r = self.ring
         if len(r) < K.RISE_SAMPLES or any(b[0] <= a[0] for a, b in zip(r, r[1:], strict=False)):
             return False
         return r[0][0] <= 0 or r[-1][0] >= self.ratio * r[0][0]
@@ -266,7 +264,7 @@ class FlareFsm:
     def step(self, x: float, t: float, hint: bool = False) -> dict:
         """Events of this sample: onset, peak, end as times, where they occur."""
         out: dict = {}
-        self.ring.append((x, t))
+        self.ring = [*self.ring, (x, t)][-K.RISE_SAMPLES :]
         if self.phase == "QUIET":
             rises = self._rises()
             if not (hint or rises):
