@@ -21,7 +21,7 @@ def registry(spark: SparkSession) -> DataFrame:
 
 def realtime_eligible(df: DataFrame, sources: DataFrame, age: str = "age_s") -> DataFrame:
     """Samples no older than the latency budget of their source."""
-    return df.join(F.broadcast(sources.select("source_id", "latency_budget_s")), "source_id").where(F.col(age) <= F.col("latency_budget_s"))
+    return df.join(sources.select("source_id", "latency_budget_s"), "source_id").where(F.col(age) <= F.col("latency_budget_s"))
 
 
 def inverse_variance(df: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -50,7 +50,7 @@ def fuse_quantity(cells: DataFrame, sources: DataFrame, quantity: str, dt: float
     """
     from .detect import kalman
 
-    c = cells.where("value > 0").join(F.broadcast(sources.select("source_id", "reliability", "typical_sigma")), "source_id", "left")  # a dimension of sources
+    c = cells.where("value > 0").join(sources.select("source_id", "reliability", "typical_sigma"), "source_id", "left")
     sigma = F.when((F.col("sigma") > 0) & ~F.isnan("sigma"), F.col("sigma")).otherwise(F.coalesce("typical_sigma", F.col("value") * 0.1))
     rel = F.coalesce("reliability", F.lit(1.0)) * F.when(F.col("flag") == "INTERPOLATED", 0.5).when(F.col("flag") == "FILLED", 0.7).otherwise(1.0)
     one = F.struct("source_id", F.log10("value").alias("lv"), F.greatest(sigma / (F.lit(math.log(10.0)) * F.col("value")), F.lit(1e-6)).alias("sigma"), rel.alias("rel"))
@@ -73,7 +73,7 @@ def run_fusion(samples: DataFrame, sources: DataFrame, quantity: str, g0: float,
     ends = s.agg(F.min("cell"), F.max("cell")).first()
     if ends[0] is None:
         return fuse_quantity(s.select("source_id", "cell", "value", "sigma", "flag"), sources, quantity, dt)
-    grid = samples.sparkSession.range(ends[0], ends[1] + 1).select(F.col("id").alias("cell")).join(F.broadcast(s.select("source_id").distinct()))
+    grid = s.select("source_id").distinct().withColumn("cell", F.explode(F.sequence(F.lit(ends[0]), F.lit(ends[1]))))
     full = grid.join(s, ["source_id", "cell"], "left").withColumn("t", F.lit(g0) + F.col("cell") * dt)
     full = full.withColumn("value", F.when(F.coalesce("flag", F.lit("GOOD")) != "BAD", F.col("value")))
     i = interpolate(full, max_gap_cells * dt, quantity.startswith("SXR"), ("source_id",))

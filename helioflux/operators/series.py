@@ -112,12 +112,15 @@ def build_grid(spark, t0: float, t1: float, dt: float = K.GRID_DT_S) -> DataFram
 
 
 def snap_to_grid(df: DataFrame, g0: float, dt: float, tol: float, by: Sequence[str] = ("stream",), value: str = "value", sigma: str | None = None, bits: str | None = None) -> DataFrame:
-    """Inverse-variance mean of the samples within ``tol`` of each cell: value, sigma, n, bits, flag per (by, cell)."""
+    """Inverse-variance mean of the samples within ``tol`` of each cell: value, sigma, n, bits, flag per (by, cell).
+
+    Cell k stands at g0 + k dt; samples before ``g0`` have cells below 0.
+    """
     cell = F.rint((F.col("t") - g0) / dt).cast("long")
     s = F.col(sigma) if sigma else F.lit(None).cast("double")
     w = F.when(s > 0, 1 / (s * s)).otherwise(1.0)
     b = F.col(bits) if bits else F.lit(0)
-    d = df.withColumn("cell", cell).where((F.col("cell") >= 0) & (F.abs(F.col("t") - (g0 + F.col("cell") * dt)) <= tol))
+    d = df.withColumn("cell", cell).where(F.abs(F.col("t") - (g0 + F.col("cell") * dt)) <= tol)
     d = d.groupBy(*by, "cell").agg((F.sum(w * F.col(value)) / F.sum(w)).alias("value"), F.sqrt(1 / F.sum(w)).alias("sigma"), F.count("*").alias("n"), F.bit_or(b).alias("bits"))
     flag = F.when(F.col("bits").bitwiseAND(K.QC_BITS["BAD"]) > 0, "BAD").when(F.col("bits").bitwiseAND(K.QC_BITS["SUSPECT"]) > 0, "SUSPECT").otherwise("GOOD")
     return d.withColumn("flag", flag).withColumn("bits", F.when(F.col("bits") == 0, 1).otherwise(F.col("bits")))

@@ -383,10 +383,16 @@ def features_tensor(spark, d):
     return x.select("event_id", zero.alias("n_zero"), F.round(by_place(0), 3).alias("values_by_place"), by_place(1).alias("counts_by_place"))
 
 
-@query("features_final", f"""WITH y AS ({_features_sql()}), e2 AS (SELECT event_id, event_type AS stream, epoch_us(ts) AS us FROM events)
-    SELECT stream, arg_max("logS", (us, event_id)) AS "logS", arg_max(quiet_duration, (us, event_id)) AS quiet_duration, arg_max(hxr_peak_over_baseline, (us, event_id)) AS hxr_peak_over_baseline FROM y JOIN e2 USING (event_id) GROUP BY stream""")
+def _final_sql() -> str:
+    from ..operators.features import FEATURES
+
+    last = ", ".join(f'arg_max("{c}", (us, event_id)) AS "{c}"' for c in FEATURES)
+    return f"""WITH y AS ({_features_sql()}), e2 AS (SELECT event_id, event_type AS stream, epoch_us(ts) AS us FROM events) SELECT stream, {last} FROM y JOIN e2 USING (event_id) GROUP BY stream"""
+
+
+@query("features_final", _final_sql())
 def features_final(spark, d):
     from ..operators.features import FEATURES, final_features
 
     f = final_features(_wide(spark, d))
-    return f.select("stream", *[F.round(F.get("vector", F.lit(FEATURES.index(c))), PLACES.get(c, 5)).alias(c) for c in ("logS", "quiet_duration", "hxr_peak_over_baseline")])
+    return f.select("stream", *[(F.round(F.get("vector", F.lit(i)), PLACES.get(c, 5)) + 0.0).alias(c) for i, c in enumerate(FEATURES)])

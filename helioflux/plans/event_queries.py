@@ -217,16 +217,19 @@ def cat_upsert(spark, d):
     return V.upsert(e.where("k % 2 = 0"), e.where("k % 2 = 1"), ["user_id", "k"]).select("user_id", "k", "value")
 
 
-@query("cat_flatten", f"""WITH {E}, {FLARES} SELECT event_id, CAST(round_even(t_start * 1000, 0) AS BIGINT) AS t_start, CAST(round_even(t_peak * 1000, 0) AS BIGINT) AS t_peak, value AS peak_flux_native, CAST(stream = 'view' AS INTEGER) AS soft_detected,
-    CAST((CASE WHEN k % 2 = 0 THEN 128 ELSE 0 END) + (CASE WHEN k % 3 > 0 THEN 256 ELSE 0 END) AS INTEGER) AS qc_bitmask, '["cusum","' || stream || '"]' AS detectors FROM f""")
+@query("cat_flatten", f"""WITH {E}, {FLARES} SELECT event_id, CAST(round_even(t_start * 1000, 0) AS BIGINT) AS t_start, CAST(round_even(t_peak * 1000, 0) AS BIGINT) AS t_peak, CAST(round_even(t_end * 1000, 0) AS BIGINT) AS t_end, 'M1.0' AS goes_class, value AS peak_flux_native, value * 2 AS peak_flux_goes_equiv, value / 2 AS hxr_peak_counts,
+    'SDD' || (1 + k % 2) AS detector_used, CAST(stream = 'view' AS INTEGER) AS soft_detected, CAST(stream = 'click' AS INTEGER) AS hard_detected, CAST(k % 4 = 1 AS INTEGER) AS neupert_consistent, round(k / 100.0, 4) AS confidence, '["cusum","' || stream || '"]' AS detectors,
+    CAST((CASE WHEN k % 2 = 0 THEN 128 ELSE 0 END) + (CASE WHEN k % 3 > 0 THEN 256 ELSE 0 END) AS INTEGER) AS qc_bitmask, CASE WHEN k % 5 = 0 THEN 'GOES' ELSE '' END AS ref_catalog, CASE WHEN k % 5 = 0 THEN 'R' || event_id ELSE '' END AS ref_id FROM f""")
 def cat_flatten(spark, d):
-    s, none = F.col("stream"), F.lit(None)
-    soft = F.struct((s == "view").alias("detected"), F.col("value").alias("peak_flux_native"), F.col("value").alias("peak_flux_goes_equiv"), F.lit("SDD1").alias("detector_used"))
-    hard = F.struct((s == "click").alias("detected"), F.col("value").alias("peak_counts"))
-    flags = F.struct((F.col("k") % 2 == 0).alias("data_gap_during"), (F.col("k") % 3).alias("spike_rejected"), F.lit(True).alias("neupert_consistent"))
-    ref = F.struct(none.cast("string").alias("catalog"), none.cast("string").alias("id"))
-    f = events_as_flares(spark, d).select("event_id", "t_start", "t_peak", "t_end", F.lit("M1.0").alias("goes_class"), soft.alias("soft"), hard.alias("hard"), flags.alias("flags"), F.lit(0.9).alias("confidence"), F.array(F.lit("cusum"), s).alias("detectors"), ref.alias("ref_match"))
-    return V.flatten_catalogue(f).select("event_id", "t_start", "t_peak", "peak_flux_native", "soft_detected", F.col("qc_bitmask").cast("int").alias("qc_bitmask"), "detectors")
+    s, k = F.col("stream"), F.col("k")
+    soft = F.struct((s == "view").alias("detected"), F.col("value").alias("peak_flux_native"), (F.col("value") * 2).alias("peak_flux_goes_equiv"), F.concat(F.lit("SDD"), (1 + k % 2).cast("string")).alias("detector_used"))
+    hard = F.struct((s == "click").alias("detected"), (F.col("value") / 2).alias("peak_counts"))
+    flags = F.struct((k % 2 == 0).alias("data_gap_during"), (k % 3).alias("spike_rejected"), F.when(k % 4 > 0, k % 4 == 1).alias("neupert_consistent"))
+    known = k % 5 == 0
+    ref = F.struct(F.when(known, "GOES").alias("catalog"), F.when(known, F.concat(F.lit("R"), F.col("event_id").cast("string"))).alias("id"))
+    f = events_as_flares(spark, d).select("event_id", "t_start", "t_peak", "t_end", F.lit("M1.0").alias("goes_class"), soft.alias("soft"), hard.alias("hard"), flags.alias("flags"), F.round(k / F.lit(100.0), 4).alias("confidence"), F.array(F.lit("cusum"), s).alias("detectors"), ref.alias("ref_match"))
+    flat = V.flatten_catalogue(f)
+    return flat.select(*[F.coalesce(c, F.lit("")).alias(c) if c in ("ref_catalog", "ref_id") else F.col(c).cast("int").alias(c) if c == "qc_bitmask" else F.col(c) for c in flat.columns])
 
 
 @query("cat_health", f"WITH {E} SELECT count(*) AS n_samples, string_agg(DISTINCT stream, ',' ORDER BY stream) AS streams, CAST(count(DISTINCT stream) AS BIGINT) AS n_streams FROM e")

@@ -123,7 +123,7 @@ def grid_build(spark, d):
 
 
 @query("grid_snap", f"""WITH {E}, x AS (SELECT stream, CAST(round_even((t - {GRID}) / 3600.0, 0) AS BIGINT) AS cell, t, value, k, CASE WHEN k > 0 THEN k / 10.0::DOUBLE END AS s FROM e),
-    y AS (SELECT *, CASE WHEN s > 0 THEN 1 / (s * s) ELSE 1.0 END AS w FROM x WHERE cell >= 0 AND abs(t - ({GRID} + cell * 3600.0)) <= 1200),
+    y AS (SELECT *, CASE WHEN s > 0 THEN 1 / (s * s) ELSE 1.0 END AS w FROM x WHERE abs(t - ({GRID} + cell * 3600.0)) <= 1200),
     z AS (SELECT stream, cell, sum(w * value) / sum(w) AS v, sqrt(1 / sum(w)) AS s, count(*) AS n, bit_or(CASE WHEN k % 9 = 0 THEN 16 WHEN k % 7 = 0 THEN 8 ELSE 0 END) AS b FROM y GROUP BY ALL)
     SELECT stream, cell, round(v, 6) AS value, round(s, 6) AS sigma, n, CAST(CASE WHEN b = 0 THEN 1 ELSE b END AS INTEGER) AS bits, CASE WHEN b & 16 > 0 THEN 'BAD' WHEN b & 8 > 0 THEN 'SUSPECT' ELSE 'GOOD' END AS flag FROM z""")
 def grid_snap(spark, d):
@@ -149,10 +149,9 @@ def _cells(spark, d, after: bool = False):
     e = streams(spark, d)
     hours = (F.col("t") - 1704067200.0) / 3600
     lo, hi = e.agg(F.floor(F.min(hours)), (F.ceil if after else F.floor)(F.max(hours))).first()
-    if lo is None:
-        lo, hi = 0, -1
-    g = S.build_grid(spark, 1704067200.0 + lo * 3600.0, 1704067200.0 + hi * 3600.0, 3600.0).withColumn("cell", F.col("cell") + lo)
-    return g.join(F.broadcast(e.select("stream").distinct()))
+    own = e.select("stream").distinct()
+    cell = own.select("stream", F.explode(F.sequence(F.lit(lo or 0).cast("long"), F.lit(hi or 0).cast("long"))).alias("cell")).where(F.lit(lo is not None))
+    return cell.withColumn("t", F.lit(1704067200.0) + F.col("cell") * F.lit(3600.0))
 
 
 @query("grid_zoh", f"""WITH {E}, {CELLS_AFTER}, h AS (SELECT c.stream, c.cell, c.t, e.t AS ht, e.value, (e.k + 1) / 10.0::DOUBLE AS s FROM c ASOF LEFT JOIN (SELECT * FROM e) e ON c.stream = e.stream AND c.t >= e.t)

@@ -139,7 +139,7 @@ def base_persistence(spark, d):
 def base_hawkes(spark, d):
     s = streams(spark, d)
     mu = M.hawkes_rate(s.where("value >= 100"), ["stream"])
-    return s.join(F.broadcast(mu), "stream").select("event_id", r6(M.hawkes(F.col("mu_per_min"), F.col("k") / 40.0, F.lit(30.0))).alias("p"))
+    return s.join(mu, "stream").select("event_id", r6(M.hawkes(F.col("mu_per_min"), F.col("k") / 40.0, F.lit(30.0))).alias("p"))
 
 
 LT = f"""{E}, q AS (SELECT stream, t, value / (value + 50) AS p FROM e), {FLARES}, pk AS (SELECT event_id, stream, t_start AS t_peak FROM f WHERE value >= 200)"""
