@@ -41,7 +41,7 @@ _IN_URL = rf"(?<=:)(?<=://[^\s:/@]{{1,64}}:)[^\s@/]{{{SHORTEST},}}(?=@)"
 _HEADER = r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----"
 CANDIDATE = rf"{_HEADER}|{_IN_URL}|{_ASSIGNED}|{_RUN}"
 #: What a line without any candidate lacks, in cheap tests.
-_HINT = rf"{_NAMES}[\"']?[ \t]{{0,3}}[:=]|://|-----BEGIN "
+_HINT = rf"{_NAMES}[\"']?[ \t]{{0,3}}[:=]|://"
 #: With the text before and after; a look-behind tries its shortest text first, so each length is anchored.
 _AROUND = rf"(?<![A-Za-z0-9])(?=\S)(?<=(^(?s:.{{0,{BEFORE - 1}}})|(?s:.{{{BEFORE}}})))({CANDIDATE})(?=((?s:.{{0,{AFTER}}})))"
 FEATURES = (
@@ -59,7 +59,8 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     texts have none.
     """
     lines = docs.select(F.col(key).alias("_key"), F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("line_no", "line"))
-    hint = F.col("line").rlike(f"[{_TOKEN}]{{{LEAST}}}") & F.col("line").rlike("[0-9]") | F.col("line").rlike(_HINT)
+    line = F.col("line")  # the cheap tests come first: prose has few digits, colons and equals signs
+    hint = line.rlike("[0-9]") & line.rlike(f"[{_TOKEN}]{{{LEAST}}}") | (F.contains(line, F.lit(":")) | F.contains(line, F.lit("="))) & line.rlike(_HINT) | F.contains(line, F.lit("-----BEGIN "))
     found = lines.where((F.length("line") >= SHORTEST) & hint)
     part = lambda g: F.regexp_extract_all("line", F.lit(_AROUND), F.lit(g))
     got = found.select("_key", "line_no", F.posexplode(F.arrays_zip(part(2).alias("token"), part(1).alias("before"), part(3).alias("after"))).alias("nth", "c"))
