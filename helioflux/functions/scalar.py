@@ -241,6 +241,11 @@ def paralyzable(n: Column, dead_time: float) -> Column:
     return n * F.exp(-n * dead_time)
 
 
+def flux_to_counts(flux: Column) -> Column:
+    """Counts a second of the soft detector at a flux, by a line through (1e-6, 1e3) and (1e-4, 10 ** 5.3) in decades; 0 without flux."""
+    return F.when(flux > 0, F.pow(F.lit(10.0), F.lit(9.9) + F.lit(1.15) * F.log10(flux))).otherwise(0.0)
+
+
 def focal_loss(logit: Column, y: Column, alpha: float = 0.25, gamma: float = 2.0) -> Column:
     p = F.lit(1.0) / (F.lit(1.0) + F.exp(-logit))
     pt = F.when(y == 1, p).otherwise(F.lit(1.0) - p)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..functions import scalar as X
 from ..state import machines as S
 from .blocks import affine_scan, ema, settle
 
@@ -140,6 +141,24 @@ def detections(soft: DataFrame, hard: DataFrame) -> DataFrame:
     return s.unionByName(h)
 
 
+def detection_records(flares: DataFrame, band: str, scale: float = 1.0) -> DataFrame:
+    """Bursts of a band (id, onset, peak, end, peak_value and, where known, detectors, spikes, data_gap) as enriched detections.
+
+    id, band, onset, peak (the onset where none was told), end (soft bursts: the peak where it is open), peak_value, goes_class of
+    ``scale`` times the value (soft), detector_used (soft), energy_band (hard), detectors, spike_rejected, data_gap.
+    """
+    have, soft = set(flares.columns), band == "soft"
+    own = lambda c, kind, none: F.coalesce(F.col(c), none).cast(kind) if c in have else none.cast(kind)
+    peak = F.coalesce("peak", "onset")
+    default = F.array(F.lit("CUSUM" if soft else "FOCuS"))
+    named = own("detectors", "array<string>", default)
+    return flares.select(
+        "id", F.lit(band).alias("band"), "onset", peak.alias("peak"), (F.coalesce("end", "peak") if soft else F.col("end")).alias("end"), "peak_value",
+        (X.goes_class(F.col("peak_value") * F.lit(scale)) if soft else F.lit(None).cast("string")).alias("goes_class"), F.lit("SDD1" if soft else None).cast("string").alias("detector_used"),
+        F.lit(None if soft else "8-30keV").cast("string").alias("energy_band"), F.when(F.size(named) > 0, named).otherwise(default).alias("detectors"), own("spikes", "long", F.lit(0)).alias("spike_rejected"), own("data_gap", "boolean", F.lit(False)).alias("data_gap"),
+    )
+
+
 def kalman(cells: DataFrame, dt: float, by: str = "quantity") -> DataFrame:
     """Fused flux per cell of (by, cell, sensors array<struct<lv, sigma, rel>> in order of application)."""
 

@@ -154,3 +154,24 @@ def pulse_bounds(pulse: DataFrame, by: Sequence[str] = ("id",), t: str = "t", va
     start = F.min(F.when((F.col(t) <= F.col("_top")) & (x >= 0.05 * a), F.col(t)))
     end = F.min(F.when((F.col(t) >= F.col("_top")) & (x <= 0.5 * a), F.col(t)))
     return d.groupBy(*by).agg(F.coalesce(start, F.first("_lo")).alias("t_start"), F.coalesce(end, F.first("_hi")).alias("t_end"))
+
+
+#: The nested catalogue record, as JSON holds it.
+RECORD = (
+    "event_id string, t_start double, t_peak double, t_end double, goes_class string, soft struct<detected: boolean, peak_flux_native: double, peak_flux_goes_equiv: double, detector_used: string>, "
+    "hard struct<detected: boolean, peak_counts: double>, flags map<string, string>, confidence double, detectors array<string>, ref_match struct<catalog: string, id: string, dt_s: double>"
+)
+
+
+def to_json_record(events: DataFrame) -> DataFrame:
+    """``events`` (columns of RECORD, as far as they are there) as one JSON object a row, ``json``; what is null is left out."""
+    have = [f for f in ("event_id", "t_start", "t_peak", "t_end", "goes_class", "soft", "hard", "flags", "confidence", "detectors", "ref_match") if f in events.columns]
+    return events.select(F.to_json(F.struct(*have)).alias("json"))
+
+
+def from_json_record(dump: DataFrame) -> DataFrame:
+    """The records of a dump (``json``): confidence 0, no flags and no detectors where they are not given; what is no JSON is an error."""
+    r = F.from_json("json", RECORD, {"mode": "FAILFAST"})
+    d = dump.select(r.alias("r")).select("r.*")
+    none = F.create_map().cast("map<string,string>")
+    return d.withColumns({"confidence": F.coalesce("confidence", F.lit(0.0)), "flags": F.coalesce("flags", none), "detectors": F.coalesce("detectors", F.array().cast("array<string>"))})

@@ -299,6 +299,22 @@ def stream_bursts(spark, d):
     return b.select("stream", *[F.round(F.col(c) - 1704067200.0, 3).alias(c) for c in ("onset", "last")], "peak", "n")
 
 
+@query("det_records", f"""WITH {E}, h AS (SELECT stream, t, event_id, value, CASE WHEN t - lag(t) OVER (PARTITION BY stream ORDER BY t, event_id) <= 3600 THEN 0 ELSE 1 END AS new_ FROM e WHERE value >= 60 AND stream IN ('view', 'click')),
+    r AS (SELECT *, sum(new_) OVER (PARTITION BY stream ORDER BY t, event_id) AS run FROM h), b AS (SELECT stream, min(t) AS onset, max(t) AS last, arg_max(t, (value, -t)) AS t_peak, max(value) AS peak, count(*) AS n FROM r GROUP BY stream, run),
+    x AS (SELECT *, n > 1 AS told, CASE WHEN n > 1 THEN t_peak END AS pk, CASE WHEN n > 2 THEN last END AS en, peak * 1.37e-7 AS f FROM b)
+    SELECT CASE stream WHEN 'view' THEN 'soft' ELSE 'hard' END AS band, round(onset - 1704067200.0, 3) AS onset, round(coalesce(pk, onset) - 1704067200.0, 3) AS peak, round(coalesce(CASE stream WHEN 'view' THEN coalesce(en, pk) ELSE en END - 1704067200.0, -1), 3) AS end_t, peak AS peak_value,
+      CASE WHEN stream = 'click' THEN '' WHEN f >= 1e-5 THEN 'M' || printf('%.1f', f / 1e-5) ELSE 'C' || printf('%.1f', f / 1e-6) END AS goes_class, CASE stream WHEN 'view' THEN 'SDD1' ELSE '8-30keV' END AS source, CASE stream WHEN 'view' THEN 'CUSUM' ELSE 'FOCuS' END AS detectors, n AS spikes FROM x""")
+def det_records(spark, d):
+    """Bursts of two streams as the detections that association takes: classes, detectors, open ends."""
+    from ..streaming.timers import bursts
+
+    b = bursts(streams(spark, d).where("stream in ('view', 'click')"), 60.0, 3600.0)
+    b = b.select("stream", F.monotonically_increasing_id().alias("id"), "onset", F.when(F.col("n") > 1, F.col("t_peak")).alias("peak"), F.when(F.col("n") > 2, F.col("last")).alias("end"), F.col("peak").alias("peak_value"), F.col("n").alias("spikes"))
+    r = D.detection_records(b.where("stream = 'view'"), "soft", 1.37e-7).unionByName(D.detection_records(b.where("stream = 'click'"), "hard"))
+    rel = lambda c, name: F.round(F.coalesce(F.col(c) - 1704067200.0, F.lit(-1.0)), 3).alias(name)
+    return r.select("band", rel("onset", "onset"), rel("peak", "peak"), rel("end", "end_t"), "peak_value", F.coalesce("goes_class", F.lit("")).alias("goes_class"), F.coalesce("detector_used", "energy_band").alias("source"), F.array_join("detectors", ",").alias("detectors"), F.col("spike_rejected").alias("spikes"))
+
+
 @query("sink_keyed", f"WITH {E} SELECT user_id, arg_max(event_id, (us, event_id)) AS event_id, arg_max(value, (us, event_id)) AS value FROM e WHERE user_id IS NOT NULL GROUP BY user_id")
 def sink_keyed(spark, d):
     """The newest event of every user, taken in by three batches of which one comes twice."""

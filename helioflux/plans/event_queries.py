@@ -238,6 +238,27 @@ def cat_health(spark, d):
     return streams(spark, d).agg(F.count("*").alias("n_samples"), F.array_join(names, ",").alias("streams"), F.size(names).cast("long").alias("n_streams"))
 
 
+@query("cat_json_record", f"""WITH {E}, {FLARES} SELECT CAST(event_id AS VARCHAR) AS event_id, round(t_start - 1704067200.0, 3) AS t_start, round(t_peak - 1704067200.0, 3) AS t_peak, round(t_end - 1704067200.0, 3) AS t_end, 'M' || (k % 9) AS goes_class, stream = 'view' AS soft_detected, value AS peak_flux,
+    value / 2 AS peak_counts, CASE WHEN k % 3 > 0 THEN CAST(k % 2 = 0 AS VARCHAR) ELSE '' END AS gap, CASE WHEN k % 4 > 0 THEN k / 100.0 ELSE 0.0 END AS confidence, CASE WHEN k % 5 > 0 THEN 'cusum,' || stream ELSE '' END AS detectors, CASE WHEN k % 7 = 0 THEN 'R' || k ELSE '' END AS ref_id FROM f""")
+def cat_json_record(spark, d):
+    """The whole nested record through a JSON dump and back."""
+    from ..operators import records as R
+
+    s, k = F.col("stream"), F.col("k")
+    f = events_as_flares(spark, d).select(
+        F.col("event_id").cast("string").alias("event_id"), "t_start", "t_peak", "t_end", F.concat(F.lit("M"), (k % 9).cast("string")).alias("goes_class"),
+        F.struct((s == "view").alias("detected"), F.col("value").alias("peak_flux_native")).alias("soft"), F.struct((F.col("value") / 2).alias("peak_counts")).alias("hard"),
+        F.when(k % 3 > 0, F.create_map(F.lit("data_gap_during"), (k % 2 == 0).cast("string"))).alias("flags"), F.when(k % 4 > 0, k / F.lit(100.0)).alias("confidence"),
+        F.when(k % 5 > 0, F.array(F.lit("cusum"), s)).alias("detectors"), F.when(k % 7 == 0, F.struct(F.concat(F.lit("R"), k.cast("string")).alias("id"))).alias("ref_match"),
+    )
+    r = R.from_json_record(R.to_json_record(f))
+    rel = lambda c: F.round(F.col(c) - 1704067200.0, 3).alias(c)
+    return r.select(
+        "event_id", rel("t_start"), rel("t_peak"), rel("t_end"), "goes_class", F.col("soft.detected").alias("soft_detected"), F.col("soft.peak_flux_native").alias("peak_flux"), "hard.peak_counts",
+        F.coalesce(F.try_element_at("flags", F.lit("data_gap_during")), F.lit("")).alias("gap"), "confidence", F.array_join("detectors", ",").alias("detectors"), F.coalesce("ref_match.id", F.lit("")).alias("ref_id"),
+    )
+
+
 @query("cat_json", f"WITH {E}, {FLARES} SELECT event_id, stream AS band, value FROM f")
 def cat_json(spark, d):
     f = events_as_flares(spark, d).select(F.to_json(F.struct("event_id", F.struct("stream", "value").alias("soft"))).alias("j"))

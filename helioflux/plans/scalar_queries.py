@@ -189,6 +189,26 @@ def fn_misc(spark, d):
     return streams(spark, d).select("event_id", r6(X.paralyzable(F.col("value"), 0.001)).alias("counts"), r6(X.focal_loss((F.col("value") - 50) / 100, k % 2)).alias("focal"), X.hms((k * 100).cast("double")).alias("clock"))
 
 
+@query("fn_flux_counts", f"""WITH {E}, x AS (SELECT event_id, CASE WHEN k % 9 = 0 THEN 0.0 ELSE pow(10.0, 9.9 + 1.15 * log10(value * 1e-7)) END AS n FROM e)
+    SELECT event_id, round(n, 4) AS true_rate, round(n * exp(-n * 1e-6), 4) AS seen_rate FROM x""")
+def fn_flux_counts(spark, d):
+    """True and recorded count rates at a flux; the recorded one falls behind with the dead time."""
+    n = X.flux_to_counts(F.when(F.col("k") % 9 == 0, 0.0).otherwise(F.col("value") * F.lit(1e-7)))
+    return streams(spark, d).select("event_id", n.alias("n")).select("event_id", F.round("n", 4).alias("true_rate"), F.round(X.paralyzable(F.col("n"), 1e-6), 4).alias("seen_rate"))
+
+
+@query("src_class_stamp", f"""WITH {E}, x AS (SELECT event_id, t, k, value * 1.37e-7 AS f FROM e WHERE value > 0),
+    y AS (SELECT *, CASE WHEN f >= 1e-4 THEN 1e-4 WHEN f >= 1e-5 THEN 1e-5 WHEN f >= 1e-6 THEN 1e-6 WHEN f >= 1e-7 THEN 1e-7 WHEN f >= 1e-8 THEN 1e-8 END AS base, CASE WHEN f >= 1e-4 THEN 'X' WHEN f >= 1e-5 THEN 'M' WHEN f >= 1e-6 THEN 'C' WHEN f >= 1e-7 THEN 'B' WHEN f >= 1e-8 THEN 'A' END AS letter FROM x)
+    SELECT event_id, CAST(floor(t) AS DOUBLE) AS t, CASE WHEN k % 2 = 1 THEN '' WHEN base IS NULL THEN 'Q' ELSE letter || printf('%.1f', f / base) END AS goes_class FROM y""")
+def src_class_stamp(spark, d):
+    """Feed records with their time and, in the long channel, their class."""
+    from ..sources.feeds import normalize_feed
+
+    f = F.col("value") * F.lit(1.37e-7)
+    raw = streams(spark, d).select("event_id", F.date_format(F.timestamp_micros("us"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("time_tag"), F.when(F.col("k") % 2 == 0, "0.1-0.8nm").otherwise("0.05-0.4nm").alias("energy"), f.alias("flux"), f.alias("observed_flux"), F.lit(False).alias("electron_contaminaton"))
+    return normalize_feed(raw).select("event_id", "t", F.coalesce("goes_class", F.lit("")).alias("goes_class"))
+
+
 @query("src_normalize", f"""WITH {E} SELECT event_id, CASE WHEN k % 2 = 0 THEN 'long' ELSE 'short' END AS channel, CASE WHEN k % 2 = 0 THEN 'SXR_LONG' ELSE 'SXR_SHORT' END AS quantity,
     round(CASE WHEN k % 3 = 0 THEN value * 2 ELSE value END, 6) AS observed, CAST(CASE WHEN k % 4 = 0 THEN 8 ELSE 1 END AS INTEGER) AS qc FROM e WHERE value > 0""")
 def src_normalize(spark, d):
