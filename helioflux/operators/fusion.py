@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import scalar as X
 from .common import cut
+from .selection import largest_group, quantiles
 
 
 def registry(spark: SparkSession) -> DataFrame:
@@ -84,7 +85,7 @@ def run_fusion(samples: DataFrame, sources: DataFrame, quantity: str, g0: float,
 def fit_transfer(df: DataFrame, x: str, y: str, by: Sequence[str] = (), robust: bool = True, rounds: int = 10) -> DataFrame:
     """log10 y = a + b log10 x by least squares, or Huber weights in ``rounds`` reweightings: a, b, resid, rms_log, r2, n.
 
-    Every round is one aggregation of five sums per group; groups that stand still keep their line. Nothing is collected.
+    Every round is one aggregation of five sums per group, and two medians (selected, where groups are large); groups that stand still keep their line.
     """
     d = df.select(*by, X.safe_log10(F.col(x), 1e-300).alias("lx"), X.safe_log10(F.col(y), 1e-300).alias("ly")).withColumn("_g", F.lit(0))
     keys = ["_g", *by]
@@ -101,9 +102,11 @@ def fit_transfer(df: DataFrame, x: str, y: str, by: Sequence[str] = (), robust:
         return d.join(fit, keys).withColumn("r", F.expr("ly - (a + b * lx)"))
 
     def scale(rows: DataFrame) -> DataFrame:
-        med = rows.groupBy(*keys).agg(F.median("r").alias("m"))
-        return rows.join(med, keys).groupBy(*keys).agg((F.lit(1.4826) * F.median(F.abs(F.col("r") - F.col("m")))).alias("mad"))
+        med = quantiles(rows, "r", 0.5, keys, "m", most)
+        mad = quantiles(rows.join(med, keys).withColumn("_d", F.abs(F.col("r") - F.col("m"))), "_d", 0.5, keys, "mad", most)
+        return mad.withColumn("mad", F.lit(1.4826) * F.col("mad"))
 
+    most = largest_group(d, keys) if robust else 0
     fit = line(d.withColumn("w", F.lit(1.0)))
     for _ in range(rounds if robust else 0):
         rows = residuals(fit)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from .common import cut, let
+from .selection import SORTED, largest_group, quantiles
 
 
 def ordered(by: Sequence[str] = ("stream",), order: Sequence[str] = ("t", "event_id")) -> WindowSpec:
@@ -233,9 +234,10 @@ def despike(df: DataFrame, value: str = "value", k: float = 5.0, passes: int = 3
     """Median and MAD clipping in ``passes`` rounds; outliers take the last good value (the median where there is none).
 
     Groups that have converged stop moving by themselves: their next round finds nothing. The limits of a round are a
-    small table, so that no round is computed again by the next.
+    small table, so that no round is computed again by the next. Medians of large groups are selected, not sorted (``quantiles``).
     """
     limits: list[DataFrame] = []
+    most = largest_group(df, by)
 
     def flagged() -> DataFrame:
         """The rows with whether some round so far has found them; each round left a row per group."""
@@ -247,13 +249,16 @@ def despike(df: DataFrame, value: str = "value", k: float = 5.0, passes: int = 3
 
     for _ in range(passes):
         kept = flagged().where(~F.col("spike"))
-        med = cut(kept.groupBy(*by).agg(F.median(value).alias("m")))
+        med = cut(quantiles(kept, value, 0.5, by, "m", most))
         dev = kept.join(med, list(by)).withColumn("_d", F.abs(F.col(value) - F.col("m")))
-        dev = dev.groupBy(*by).agg(F.first("m").alias("m"), F.median("_d").alias("mad"), F.avg("_d").alias("mean"))
+        if most <= SORTED:
+            dev = dev.groupBy(*by).agg(F.first("m").alias("m"), F.median("_d").alias("mad"), F.avg("_d").alias("mean"))
+        else:
+            dev = dev.groupBy(*by).agg(F.first("m").alias("m"), F.avg("_d").alias("mean")).join(quantiles(dev, "_d", 0.5, by, "mad", most), list(by))
         sig = F.when(F.col("mad") > 0, 1.4826 * F.col("mad")).otherwise(1.2533 * F.col("mean"))
         limits.append(cut(dev.select(*by, "m", (k * sig).alias("thr"))))
     d = flagged()
-    last = cut(d.where(~F.col("spike")).groupBy(*by).agg(F.median(value).alias("_m")))
+    last = cut(quantiles(d.where(~F.col("spike")), value, 0.5, by, "_m", most))
     w = ordered(by, order).rowsBetween(Window.unboundedPreceding, 0)
     d = d.join(last, list(by), "left").withColumn("clean", F.coalesce(F.last(F.when(~F.col("spike"), F.col(value)), ignorenulls=True).over(w), F.col("_m")))
     return d.drop("_m")
