@@ -11,6 +11,7 @@ from .. import constants as K
 from ..functions import scalar as X
 from ..state import machines as S
 from .blocks import settle
+from .common import cut
 from .events import range_join
 
 
@@ -133,6 +134,7 @@ def consensus_labels(entries: DataFrame, reliabilities: Mapping[str, float], own
     g = g.withColumn("status", status).withColumn("goes_class", F.coalesce("_g.c", "_c.c")).withColumn("lon_deg", F.col("_l.lon_deg")).withColumn("lat_deg", F.col("_l.lat_deg"))
     out = ["cluster", "t_peak", "confidence", "status", "goes_class", "voters", "n_catalogs", "sxr_weak", "lon_deg", "lat_deg"]
     if own is not None:
+        g = cut(g)  # a mean of other rounding would not be found again
         seen = range_join(g.where("status = 'candidate'"), own.select(F.col("t_peak").alias("_own")), "t_peak", "_own", tol, tol).select(F.col("t_peak").alias("_t")).distinct()
         g = g.join(seen, F.col("t_peak") == F.col("_t"), "left").withColumn("status", F.when(F.col("_t").isNotNull() & (F.col("status") == "candidate"), "confirmed").otherwise(F.col("status")))
     return g.select(*out)
