@@ -62,5 +62,5 @@ def quantiles(df: DataFrame, value: str, q: float = 0.5, by: Sequence[str] = ("s
     both = both.groupBy("_g").agg(((1 - F.max("share")) * pick(0) + F.max("share") * pick(1)).alias(name))
     if not by:
         return both.select(name)
-    every = df.select(*by).distinct().withColumn("_g", F.struct(*by))
-    return every.join(both, "_g", "left").select(*by, name)
+    every = df.select(F.struct(*by).alias("_every")).distinct()  # keys may have any name, ``_g`` too
+    return every.join(both, F.col("_every") == F.col("_g"), "left").select("_every.*", name)

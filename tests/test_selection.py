@@ -51,3 +51,26 @@ def test_despike_is_the_same_by_selection(spark, monkeypatch):
     got = sorted(map(tuple, S.despike(d).select("event_id", "spike", "clean").collect()))
     assert [g[:2] for g in got] == [w[:2] for w in want] and all(g[2] == pytest.approx(w[2]) for g, w in zip(got, want, strict=True))
     assert sum(w[1] for w in want) > 10
+
+
+def test_keys_named_like_inner_columns(spark):
+    rows = [(0, "a", 1.0), (0, "a", 3.0), (0, None, 7.0), (1, "a", 4.0)]
+    d = spark.createDataFrame(rows, "_g int, _v string, value double")
+    got = {(r["_g"], r["_v"]): r["m"] for r in Q.quantiles(d, "value", 0.5, ["_g", "_v"], most=10**9, limit=1).collect()}
+    assert got == {(0, "a"): 2.0, (0, None): 7.0, (1, "a"): 4.0}
+
+
+def test_robust_fit_of_large_groups(spark, monkeypatch):
+    from helioflux.operators.fusion import fit_transfer
+
+    rng = random.Random(3)
+    rows = [(g, 10 ** (i / 50), 10 ** (0.3 + 1.2 * i / 50 + rng.gauss(0, 0.05) + (2.0 if i % 17 == 0 else 0.0))) for g in "ab" for i in range(100)]
+    d = spark.createDataFrame(rows, "g string, x double, y double")
+    sorting = {r["g"]: r.asDict() for r in fit_transfer(d, "x", "y", ["g"], rounds=3).collect()}
+    monkeypatch.setattr(Q.quantiles, "__defaults__", tuple(20 if v == Q.SORTED else v for v in Q.quantiles.__defaults__))
+    selecting = {r["g"]: r.asDict() for r in fit_transfer(d, "x", "y", ["g"], rounds=3).collect()}
+    assert set(selecting) == {"a", "b"}
+    for g, want in sorting.items():
+        assert selecting[g]["n"] == want["n"]
+        for c in ("a", "b", "resid", "rms_log", "r2"):
+            assert selecting[g][c] == pytest.approx(want[c], rel=1e-9)
