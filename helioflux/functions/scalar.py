@@ -161,14 +161,15 @@ def spectral_shape_ok(spectrum: Column, response: Column, min_corr: float = 0.3,
 
 
 # --- scores -----------------------------------------------------------------------------------------------------------
-def noisy_or(probs: Column) -> Column:
-    """1 - product of (1 - p), each p clamped to [0, 1]; 0 for an empty array."""
-    return F.lit(1.0) - F.aggregate(probs, F.lit(1.0), lambda a, p: a * (F.lit(1.0) - F.least(F.lit(1.0), F.greatest(F.lit(0.0), p))))
+def noisy_or(probs: Column, clamp: bool = True) -> Column:
+    """1 - product of (1 - p), each p clamped to [0, 1] or, without ``clamp``, taken as it is; 0 for an empty array."""
+    own = lambda p: F.least(F.lit(1.0), F.greatest(F.lit(0.0), p)) if clamp else p
+    return F.lit(1.0) - F.aggregate(probs, F.lit(1.0), lambda a, p: a * (F.lit(1.0) - own(p)))
 
 
-def fuse_confidence(probs: Column, both_bands: Column, neupert: Column, bonus: float = 0.5) -> Column:
+def fuse_confidence(probs: Column, both_bands: Column, neupert: Column, bonus: float = 0.5, clamp: bool = True) -> Column:
     extra = lambda c: F.when(c, F.array(F.lit(bonus))).otherwise(F.array().cast("array<double>"))
-    return noisy_or(F.concat(probs, extra(both_bands), extra(neupert)))
+    return noisy_or(F.concat(probs, extra(both_bands), extra(neupert)), clamp)
 
 
 def match_score(soft_onset: Column, hard_onset: Column, soft_peak: Column, hard_peak: Column, lead: float = K.LEAD_S, lag: float = K.LAG_S) -> Column:
