@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -125,6 +125,46 @@ def quantile_track(df: DataFrame, q: float, value: str = "value", by: Sequence[s
     return d.withColumn("before", F.lag("quantile").over(w)).select(*by, "block", "n", "quantile", "before")
 
 
+# --- machines that keep all they have seen -----------------------------------------------------------------------------------
+def sequential(df: DataFrame, make: Callable[[], object], step: Callable[[object, pd.DataFrame], list[tuple]], schema: str, by: str = "stream", order: Sequence[str] = ("t", "event_id"), close: Callable[[object], list[tuple]] | None = None) -> DataFrame:
+    """One machine per stream over its rows in order: rows (by, *schema). A stream is one task's, but no task holds one.
+
+    Rows are sorted by the shuffle, which spills, and come to Python in batches: ``step(machine, rows)`` takes the next rows of a stream
+    and returns what comes of them; ``close(machine)`` what is left after the last one. Python holds a batch and a machine. Nulls come last.
+    """
+    names = [c.strip().split()[0] for c in schema.split(",")]
+    d = df.repartition(by).sortWithinPartitions(by, *[F.col(c).asc_nulls_last() for c in order])
+
+    def out(key: object, rows: list[tuple]) -> pd.DataFrame:
+        x = pd.DataFrame(rows, columns=names)
+        x.insert(0, by, [key] * len(x))
+        return x
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, machine = None, None
+        for g in batches:
+            if g.empty:
+                continue
+            k, last = g[by], g[by].shift()
+            stretch = ((k != last) & ~(k.isna() & last.isna())).cumsum()
+            for _, part in g.groupby(stretch.to_numpy(), sort=False):
+                own = part[by].iloc[0]
+                own = None if pd.isna(own) else own
+                if machine is None or own != key:
+                    rows = close(machine) if machine is not None and close else []
+                    if rows:
+                        yield out(key, rows)
+                    key, machine = own, make()
+                rows = step(machine, part)
+                if rows:
+                    yield out(key, rows)
+        rows = close(machine) if machine is not None and close else []
+        if rows:
+            yield out(key, rows)
+
+    return d.mapInPandas(run, f"{by} {df.schema[by].dataType.simpleString()}, {schema}")
+
+
 # --- machines that forget -----------------------------------------------------------------------------------------------------
 def settle(df: DataFrame, make: Callable[[], object], step: Callable[[object, dict], list[tuple]], schema: str, by: Sequence[str] = (), order: Sequence[str] = ("t",), rows: int = ROWS, rounds: int | None = None) -> DataFrame:
     """What one machine per stream gives, row by row in order, without a task that holds the stream: rows (by, *schema).

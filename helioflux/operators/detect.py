@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import scalar as X
 from ..state import machines as S
-from .blocks import affine_scan, ema, settle
+from .blocks import affine_scan, ema, sequential, settle
 
 
 def lindley(df: DataFrame, step: Column, by: Sequence[str] = ("stream",), order: Sequence[str] = ("t", "event_id")) -> DataFrame:
@@ -76,23 +76,15 @@ def _alarms(df: DataFrame, make: Callable, update: Callable, by: Sequence[str],
 def run_machine(df: DataFrame, make: Callable[[], object], step: Callable[[object, float, float], tuple], schema: str, by: str = "stream", order: Sequence[str] = ("t", "event_id"), key: str = "event_id") -> DataFrame:
     """One state machine per stream over its samples in order; rows (key, by, *schema).
 
-    A stream is one group, since its state runs through all of it; streams spread over the cluster. For streams longer
-    than a task's memory, run the same machine under Structured Streaming with ``availableNow`` (see ``streaming``).
+    A stream is one task's, since its state runs through all of it, and comes to it a batch at a time; streams spread over the cluster.
     """
-    names = [c.split()[0] for c in schema.split(",")]
-    kind = dict(df.dtypes)
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(list(order), kind="stable")
-        m = make()
-        rows = [step(m, x, t) for x, t in zip(g["value"], g["t"], strict=True)]
-        out = pd.DataFrame(rows, columns=names)
-        out.insert(0, by, g[by].to_numpy())
-        out.insert(0, key, g[key].to_numpy())
-        return out
-
+    names = [c.strip().split()[0] for c in schema.split(",")]
     cols = list(dict.fromkeys([key, by, *order, "t", "value"]))
-    return df.select(*cols).groupBy(by).applyInPandas(run, f"{key} {kind[key]}, {by} {kind[by]}, {schema}")
+
+    def run(m: object, g: pd.DataFrame) -> list[tuple]:
+        return [(k, *step(m, x, t)) for k, x, t in zip(g[key], g["value"], g["t"], strict=True)]
+
+    return sequential(df.select(*cols), make, run, f"{key} {dict(df.dtypes)[key]}, {schema}", by, order).select(key, by, *names)
 
 
 def step_band(m, x: float, t: float) -> tuple:
@@ -117,20 +109,19 @@ def band_flares(df: DataFrame, band: str, cadence: float = 1.0, by: str = "strea
     A burst that is open after the last sample comes out as it is then, without an end.
     """
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["t", "event_id"])
-        m, c, rows = (S.SoftBand if band == "soft" else S.HardBand)(cadence), S.Collector(band), []
-        for x, t in zip(g["value"], g["t"], strict=True):
-            done = c.push(m.update(x, t), x, t)
-            rows += [done] if done else []
-        last = c.flush()
-        rows += [last] if last else []
-        out = pd.DataFrame(rows, columns=["onset", "peak", "end", "peak_value", "spikes"])
-        out["peak"] = out["peak"].fillna(out["onset"])
-        out.insert(0, by, g[by].iloc[0])
-        return out
-
-    d = df.select("event_id", by, "t", "value").groupBy(by).applyInPandas(run, f"{by} string, onset double, peak double, end double, peak_value double, spikes long")
+    def make() -> list:
+        return [(S.SoftBand if band == "soft" else S.HardBand)(cadence), S.Collector(band)]
+
+    def step(m: list, g: pd.DataFrame) -> list[tuple]:
+        done = [m[1].push(m[0].update(x, t), x, t) for x, t in zip(g["value"], g["t"], strict=True)]
+        return [d for d in done if d]
+
+    def close(m: list) -> list[tuple]:
+        last = m[1].flush()
+        return [last] if last else []
+
+    d = sequential(df.select("event_id", by, "t", "value"), make, step, "onset double, peak double, end double, peak_value double, spikes long", by, ("t", "event_id"), close)
+    d = d.withColumn("peak", F.coalesce("peak", "onset"))
     return d.withColumn("band", F.lit(band))
 
 
@@ -162,12 +153,13 @@ def detection_records(flares: DataFrame, band: str, scale: float = 1.0) -> DataF
 def kalman(cells: DataFrame, dt: float, by: str = "quantity") -> DataFrame:
     """Fused flux per cell of (by, cell, sensors array<struct<lv, sigma, rel>> in order of application)."""
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        k, rows = S.Kalman(), []
-        for n, (q, c, s) in enumerate(g.sort_values("cell")[[by, "cell", "sensors"]].itertuples(index=False)):
-            f = k.step([(x["lv"], x["sigma"], x["rel"]) for x in s], dt if n else 0.0)
+    def step(m: list, g: pd.DataFrame) -> list[tuple]:
+        k, rows = m[0], []
+        for c, s in zip(g["cell"], g["sensors"], strict=True):
+            f = k.step([(x["lv"], x["sigma"], x["rel"]) for x in s], dt if m[1] else 0.0)
+            m[1] += 1
             if k.ready:
-                rows.append((q, c, *f))
-        return pd.DataFrame(rows, columns=[by, "cell", "value", "sigma", "rejected"])
+                rows.append((c, *f))
+        return rows
 
-    return cells.groupBy(by).applyInPandas(run, f"{by} string, cell long, value double, sigma double, rejected long")
+    return sequential(cells.select(by, "cell", "sensors"), lambda: [S.Kalman(), 0], step, "cell long, value double, sigma double, rejected long", by, ("cell",))
