@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -24,15 +25,16 @@ def detect_stream(df: DataFrame, make: Callable[[], object], step: Callable[[obj
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         machine, last = cloudpickle.loads(state.get[0]) if state.exists else (make(), float("-inf"))
-        rows = []
-        g = pd.concat(list(parts)).sort_values(["t", "event_id"])
-        for e, t, x in zip(g["event_id"], g["t"], g["value"], strict=True):
-            if t < last:
-                continue
-            last = t
-            rows.append((e, key[0], *step(machine, x, t)))
+        g = pd.concat([p[["event_id", "t", "value"]] for p in parts]).sort_values(["t", "event_id"])
+        for at in range(0, len(g), 10_000):
+            rows, some = [], g.iloc[at : at + 10_000]
+            for e, t, x in zip(some["event_id"], some["t"], some["value"], strict=True):
+                if t < last:
+                    continue
+                last = t
+                rows.append((e, key[0], *step(machine, x, t)))
+            yield pd.DataFrame(rows, columns=["event_id", by, *names])
         state.update((cloudpickle.dumps((machine, last)),))
-        yield pd.DataFrame(rows, columns=["event_id", by, *names])
 
     return df.groupBy(by).applyInPandasWithState(run, f"event_id long, {by} string, {schema}", "machine binary", "append", GroupStateTimeout.NoTimeout)
 
@@ -45,6 +47,22 @@ def event_stream(spark: SparkSession, path: str, schema, files: int = 1) -> Data
     return raw.select("event_id", F.col("event_type").alias("stream"), (micros(F.col("ts")) / F.lit(1e6)).alias("t"), "value")
 
 
+def land_in_order(events: DataFrame, path: str, rows: int = 2_000_000) -> None:
+    """``events`` as files of about ``rows`` rows in order of time, one written after the other, so that a stream that takes a file at a time never goes back.
+
+    Rows of one time share a file.
+    """
+    from ..plans.registry import micros
+
+    us, n = micros(F.col("ts")), max(1, math.ceil(events.count() / rows))
+    ends = events.agg(F.percentile_approx(us, [i / n for i in range(1, n)], 1_000_000)).first()[0] if n > 1 else []  # n - 1 numbers
+    ends = sorted(set(ends or []))
+    for lo, hi in zip([None, *ends], [*ends, None], strict=True):
+        own = F.lit(True) if hi is None else (us <= hi)
+        own = (own if lo is None else own & (us > lo)) | (us.isNull() if lo is None else F.lit(False))
+        events.where(own).coalesce(1).write.mode("append").parquet(path)
+
+
 def tumbling(df: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Windowed counts and peaks of a stream, with a watermark for late samples."""
     d = df.withColumn("ts", F.timestamp_micros(F.rint(F.col("t") * 1e6).cast("long"))).withWatermark("ts", late)
@@ -78,16 +96,16 @@ def newest_per_trigger(handle: Callable[[DataFrame, int], None]) -> Callable[[Da
     return write
 
 
-def run_available(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The parity detector as a stream over all of ``events``; returns what it wrote."""
+def run_available(spark: SparkSession, sf_dir: str, rows: int = 2_000_000) -> DataFrame:
+    """The parity detector as a stream over all of ``events``, about ``rows`` at a time; returns what it wrote."""
     root = f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
     whole = spark.read.parquet(f"{sf_dir}/events.parquet")
-    whole.write.parquet(f"{root}/in")  # a file source reads folders
-    src = event_stream(spark, f"{root}/in", whole.schema, 100)
+    land_in_order(whole, f"{root}/in", rows)
+    src = event_stream(spark, f"{root}/in", whole.schema, 1)
     out = detect_stream(src, S.Parity, lambda m, x, t: m.update(x, t), "statistic double, baseline double, sigma double, in_event boolean, onset double")
     q = out.writeStream.option("checkpointLocation", f"{root}/state").trigger(availableNow=True).format("parquet").option("path", f"{root}/out").start()
     q.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{root}/out")
 
 
-__all__ = ["detect_stream", "event_stream", "latest_sink", "newest_per_trigger", "run_available", "tumbling"]
+__all__ = ["detect_stream", "event_stream", "land_in_order", "latest_sink", "newest_per_trigger", "run_available", "tumbling"]
