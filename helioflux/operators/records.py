@@ -148,8 +148,8 @@ def pulse_bounds(pulse: DataFrame, by: Sequence[str] = ("id",), t: str = "t", va
 
     Where there is no such time, the first or the last of the pulse.
     """
-    top = pulse.groupBy(*by).agg(F.max_by(t, F.struct(F.col(value), -F.col(t))).alias("_top"), F.min(t).alias("_lo"), F.max(t).alias("_hi"))
-    d = pulse.join(top, list(by))
+    w = Window.partitionBy(*by)  # one pulse; no table of tops that a join could send through the driver
+    d = pulse.withColumns({"_top": F.max_by(t, F.struct(F.col(value), -F.col(t))).over(w), "_lo": F.min(t).over(w), "_hi": F.max(t).over(w)})
     a, x = F.col(amplitude), F.col(value)
     start = F.min(F.when((F.col(t) <= F.col("_top")) & (x >= 0.05 * a), F.col(t)))
     end = F.min(F.when((F.col(t) >= F.col("_top")) & (x <= 0.5 * a), F.col(t)))

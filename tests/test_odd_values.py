@@ -75,3 +75,13 @@ def test_a_stream_comes_to_python_in_batches(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert sorted((str(r["stream"]), r["n"] - r["event_id"]) for r in got) == sorted([(s, 1) for s in ("a", "b", "None") for _ in range(500)] + [(s, 501) for s in ("a", "b", "None")])
+
+
+def test_bounds_of_pulses_broadcast_nothing(spark, capsys):
+    from helioflux.operators.records import pulse_bounds
+
+    rows = [(i, float(t), float(max(0, 5 - abs(t - 5))), 5.0) for i in range(20) for t in range(11)] + [(99, 1.0, 5.0, 5.0)]
+    d = pulse_bounds(spark.createDataFrame(rows, "id long, t double, value double, amplitude double"))
+    assert {tuple(r) for r in d.collect()} == {*((i, 1.0, 8.0) for i in range(20)), (99, 1.0, 1.0)}
+    d.explain()
+    assert "Broadcast" not in capsys.readouterr().out
