@@ -39,7 +39,9 @@ def slope(x: Column, t: Column, w: WindowSpec, width: int) -> Column:
 
 
 def rolling_corr(x: Column, y: Column, w: WindowSpec, width: int = K.RING) -> Column:
-    c = F.corr(x, y).over(w.rowsBetween(-(width - 1), 0))
+    """Correlation of the last ``width`` rows, 0 where one of the two stands still (``corr`` then divides by zero, an error in ANSI mode)."""
+    f = w.rowsBetween(-(width - 1), 0)
+    c = F.try_divide(F.covar_pop(x, y).over(f), F.sqrt(F.var_pop(x).over(f)) * F.sqrt(F.var_pop(y).over(f)))
     return F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.coalesce(F.nanvl(c, F.lit(0.0)), F.lit(0.0))))
 
 

@@ -5,6 +5,7 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from helioflux.plans import QUERIES, SQL
 
@@ -85,3 +86,12 @@ def test_bounds_of_pulses_broadcast_nothing(spark, capsys):
     assert {tuple(r) for r in d.collect()} == {*((i, 1.0, 8.0) for i in range(20)), (99, 1.0, 1.0)}
     d.explain()
     assert "Broadcast" not in capsys.readouterr().out
+
+
+def test_correlation_of_what_stands_still(spark):
+    from helioflux.operators.series import ordered, rolling_corr
+
+    rows = [(i, "a", float(i), 3.0, float(i % 4)) for i in range(40)] + [(i, "b", float(i), float(i), 2.0 * i) for i in range(5)]
+    d = spark.createDataFrame(rows, "event_id long, stream string, t double, value double, k double")
+    got = {(r[0], round(r[1], 9)) for r in d.select("stream", rolling_corr(F.col("value"), F.col("k"), ordered())).collect()}
+    assert got == {("a", 0.0), ("b", 0.0), ("b", 1.0)}
