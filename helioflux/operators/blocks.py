@@ -20,6 +20,8 @@ from .common import cut
 
 #: Rows of a block.
 ROWS = 2048
+#: Blocks that settle grow with the table, so that it has about so many, up to so many rows.
+BLOCKS, MOST_ROWS = 32, 65_536
 _LOW = 2**33 - 1
 
 
@@ -28,9 +30,14 @@ def in_order(df: DataFrame, order: Sequence[str], by: Sequence[str] = ()) -> Dat
 
     Written to the shared folder, so that stretches stay what they are. Nulls come first, equal rows in any order.
     """
+    return _stretches(df, order, by).drop("_at")
+
+
+def _stretches(df: DataFrame, order: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """The same with ``_at``, by which the files are sorted: a filter on it reads only what it needs."""
     d = df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("_at", F.monotonically_increasing_id())
     d = cut(d)
-    return d.withColumn("_part", F.shiftright("_at", 33)).withColumn("_i", F.col("_at").bitwiseAND(F.lit(_LOW))).drop("_at")
+    return d.withColumn("_part", F.shiftright("_at", 33)).withColumn("_i", F.col("_at").bitwiseAND(F.lit(_LOW)))
 
 
 def numbered(df: DataFrame, order: Sequence[str], number: str = "n") -> DataFrame:
@@ -172,11 +179,15 @@ def settle(df: DataFrame, make: Callable[[], object], step: Callable[[object, di
     ``step(machine, row)`` returns the rows that come of one row of ``df``. A machine's state is its ``__dict__``, of what JSON can say.
     All blocks run at once from the state of a new machine. A block whose forerunner ended in another state than it
     began with is run again from that, until none is left. The rows are those of the sequential run, for any machine; it is fast
-    for one that forgets (after a reset, a pause, a zero), as then a state does not reach beyond the next block. In the worst
-    case there are as many rounds as blocks, each over the blocks that are not settled yet; ``rounds`` makes more than that an error.
+    for one that forgets (after a reset, a pause, a zero), as then a state does not reach beyond the next block. For one that
+    does not, the state is handed on from block to block: after two rounds only blocks run again whose forerunner does not, so no block
+    runs for a state that is not final, and a round reads its own rows. A block has ``rows`` rows, in large tables more (see BLOCKS), which keeps the rounds few;
+    in the worst case there are as many as blocks. ``rounds`` makes more than that an error.
     """
     by = list(by)
-    d = in_order(df.where(" and ".join(f"`{c}` is not null" for c in by)) if by else df, order, by).withColumn("_b", F.expr(f"_i div {rows}"))
+    d = _stretches(df.where(" and ".join(f"`{c}` is not null" for c in by)) if by else df, order, by)
+    rows = max(rows, min(MOST_ROWS, -(-d.count() // BLOCKS)))
+    d = d.withColumn("_b", F.expr(f"_i div {rows}"))
     names = [c.strip().split()[0] for c in schema.split(",")]
     kinds = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in by)
     block = [*by, "_part", "_b"]
@@ -186,8 +197,10 @@ def settle(df: DataFrame, make: Callable[[], object], step: Callable[[object, di
         begin = g["_begin"].iloc[0]
         m, out = make(), []
         m.__dict__.update(json.loads(begin))
-        for r in g.sort_values("_i").to_dict("records"):
-            out += step(m, r)
+        g = g.sort_values("_i")
+        for i in range(0, len(g), ROWS):
+            for r in g.iloc[i : i + ROWS].to_dict("records"):
+                out += step(m, r)
         return out, begin, json.dumps(m.__dict__)
 
     def ends(g: pd.DataFrame) -> pd.DataFrame:
@@ -206,14 +219,18 @@ def settle(df: DataFrame, make: Callable[[], object], step: Callable[[object, di
     state = cut(run(d.withColumn("_begin", F.lit(fresh))))
     before = Window.partitionBy(*by).orderBy("_part", "_b")  # a row per block
     done = 0
+    first = F.shiftleft("_part", 33) + F.col("_b") * rows  # row of a block
     while True:
-        due = state.withColumn("_due", F.coalesce(F.lag("_end").over(before), F.lit(fresh)))
-        late = cut(due.where("_due <> _begin").select(*block, F.col("_due").alias("_begin")))
-        if late.isEmpty():
+        due = state.withColumn("_due", F.coalesce(F.lag("_end").over(before), F.lit(fresh))).withColumn("_late", F.col("_due") != F.col("_begin"))
+        if done >= 2:
+            due = due.withColumn("_late", F.col("_late") & ~F.lag("_late", 1, False).over(before))
+        late = cut(due.where("_late").select(*block, F.col("_due").alias("_begin")))
+        lo, hi = late.agg(F.min(first), F.max(first) + rows).first()
+        if lo is None:
             break
         done += 1
         if rounds is not None and done > rounds:
             raise RuntimeError(f"blocks are not settled after {rounds} rounds")
-        again = run(d.join(late, block))
+        again = run(d.where((F.col("_at") >= lo) & (F.col("_at") < hi)).join(late, block))
         state = cut(state.join(late.select(*block), block, "left_anti").unionByName(again))
     return d.join(state.select(*block, "_begin"), block).groupBy(*block).applyInPandas(rows_of, f"{kinds}{schema}").select(*by, *names)
