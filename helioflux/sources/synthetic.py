@@ -14,6 +14,8 @@ from .feeds import QC_BITS
 
 #: A pulse is laid out so many rise times before its peak and decay times after it; beyond, it is below 1e-12 of its amplitude.
 BEFORE, AFTER = 8.0, 28.0
+#: Pulses of a task.
+PULSES = 10_000
 
 
 def fred(t: Column, t_peak: Column, amplitude: Column, rise: Column, decay: Column) -> Column:
@@ -22,15 +24,28 @@ def fred(t: Column, t_peak: Column, amplitude: Column, rise: Column, decay: Colu
     return amplitude * F.when(d < 0, F.exp(F.lit(-0.5) * F.pow(d / rise, F.lit(2.0)))).otherwise(F.exp(-d / decay))
 
 
-def lay_out(pulses: DataFrame, dt: float) -> DataFrame:
-    """``pulses`` (t_peak, amplitude, rise, decay, ...) with a row per tick they reach: tick, t = tick * dt, value."""
+def spread(pulses: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``pulses`` in partitions of about ``PULSES`` rows, by key or, without one, by stretches of time.
+
+    A small table of pulses is one partition, and its ticks would all be one task's. The number is counted, not left to sizes in
+    bytes: those of pulses say nothing of their ticks.
+    """
+    n = max(pulses.sparkSession.sparkContext.defaultParallelism, -(-pulses.count() // PULSES))
+    return pulses.repartition(n, *by) if by else pulses.repartitionByRange(n, "t_peak")
+
+
+def lay_out(pulses: DataFrame, dt: float, by: Sequence[str] = ()) -> DataFrame:
+    """``pulses`` (t_peak, amplitude, rise, decay, ...) with a row per tick they reach: tick, t = tick * dt, value. They are spread first, by ``by``."""
     lo, hi = F.floor((F.col("t_peak") - BEFORE * F.col("rise")) / dt), F.ceil((F.col("t_peak") + AFTER * F.col("decay")) / dt)
-    d = pulses.withColumn("tick", F.explode(F.sequence(lo, hi))).withColumn("t", F.col("tick") * F.lit(float(dt)))
+    d = spread(pulses, by).withColumn("tick", F.explode(F.sequence(lo, hi))).withColumn("t", F.col("tick") * F.lit(float(dt)))
     return d.withColumn("value", fred(F.col("t"), F.col("t_peak"), F.col("amplitude"), F.col("rise"), F.col("decay")))
 
 
 def render(pulses: DataFrame, dt: float, base: float = 0.0, by: Sequence[str] = ()) -> DataFrame:
-    """Rows (by, tick, t, flux): ``base`` and the sum of the pulses, for each tick that some pulse of ``by`` reaches."""
+    """Rows (by, tick, t, flux): ``base`` and the sum of the pulses, for each tick that some pulse of ``by`` reaches.
+
+    Pulses of one stretch of time are one task's, which sums their ticks before the shuffle and holds no more than these.
+    """
     return lay_out(pulses, dt).groupBy(*by, "tick").agg(F.min("t").alias("t"), (F.lit(float(base)) + F.sum("value")).alias("flux"))
 
 

@@ -68,3 +68,14 @@ def test_sigmoid_calibration_and_report(spark, tmp_path):
     assert r["climatology_skill_vs"] > 0.1 and r["persistence_skill_vs"] > 0.3 and abs(r["hawkes_skill_vs"]) < 0.1 and r["climatology_tss"] == 0.0
     with pytest.raises(ValueError, match="isotonic or sigmoid"):
         m.calibrate(d, method="other")
+
+
+PULSE = "id long, t_peak double, amplitude double, rise double, decay double"
+
+
+def test_ticks_of_a_small_table_of_pulses_are_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(G, "PULSES", 10, raising=False)
+    one = spark.createDataFrame([(i, 400.0 * i, 5.0, 30.0, 90.0) for i in range(200)], PULSE).coalesce(1)
+    d = G.lay_out(one, 30.0).groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.countDistinct("tick").alias("ticks")).collect()
+    assert len(d) >= 10 and max(r["n"] for r in d) < sum(r["n"] for r in d) / 5
+    assert sum(r["ticks"] for r in d) < 2 * G.render(one, 30.0).count()  # a task's ticks are its own stretch
