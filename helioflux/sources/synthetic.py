@@ -54,28 +54,33 @@ def impulsive_train(pulses: DataFrame, dt: float, spikes: str | Column = "n_spik
 
     The base is the rise of the pulse from tick to tick, over time, where it rises. ``spikes`` narrow bells stand at evenly spaced places of the
     rising ticks that end ``lead`` before the peak tick, four times as high as the base there with it, and reach four widths.
+    Pulses are shuffled, their ticks are not: all is windows of one pulse.
     """
     by = list(by)
     n_spikes, lead_s = (F.col(c) if isinstance(c, str) else c for c in (spikes, lead))
-    d = lay_out(pulses.withColumn("_n", n_spikes.cast("long")).withColumn("_lead", lead_s.cast("double")), dt)
-    w = Window.partitionBy(*by).orderBy("tick")  # one pulse
+    d = lay_out(pulses.withColumn("_n", n_spikes.cast("long")).withColumn("_lead", lead_s.cast("double")), dt, by)
+    d = d.select(*by, "tick", "t", "value", "_n", "_lead")
+    w, own = Window.partitionBy(*by).orderBy("tick"), Window.partitionBy(*by)  # one pulse
     # Ends by the one-sided, inner ticks by the central difference.
     before, after = F.lag("value").over(w), F.lead("value").over(w)
     span = F.when(before.isNull() | after.isNull(), dt).otherwise(2 * dt)
     d = d.withColumn("base", F.greatest(F.lit(0.0), (F.coalesce(after, F.col("value")) - F.coalesce(before, F.col("value"))) / span))
-    top = F.max_by("t", F.struct(F.col("value"), -F.col("tick"))).over(Window.partitionBy(*by))
-    d = d.withColumn("_rising", (F.col("t") <= top - F.col("_lead")) & (F.col("base") > 0))
-    rising = d.where("_rising").withColumn("_at", F.row_number().over(w) - 1).withColumn("_m", F.count("*").over(Window.partitionBy(*by)))
-    k = F.explode(F.expr("sequence(0L, _n - 1)"))
-    picks = rising.select(*by, "_n", "_m").distinct().where("_n > 0").withColumn("k", k)
-    picks = picks.withColumn("_at", F.least(F.col("_m") - 1, F.floor((F.col("k") + 0.5) / F.col("_n") * F.col("_m"))))
+    top = F.max_by("t", F.struct(F.col("value"), -F.col("tick"))).over(own)
+    d = d.withColumn("_rising", ((F.col("t") <= top - F.col("_lead")) & (F.col("base") > 0)).cast("long"))
+    d = d.withColumn("_at", F.sum("_rising").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).withColumn("_m", F.sum("_rising").over(own))
+    # Bells may share a tick where there are fewer rising ones than bells.
+    place = lambda k: F.least(F.col("_m") - 1, F.floor((k + 0.5) / F.col("_n") * F.col("_m")))
+    times = F.size(F.filter(F.expr("sequence(0L, _n - 1)"), lambda k: place(k) == F.col("_at")))
+    bell = F.when((F.col("_rising") == 1) & (F.col("_n") > 0), F.when(times > 0, F.struct(F.col("tick").alias("c"), (times * (3.0 * F.col("base") + 1e-12)).alias("h"))))
     sigma = max(width, dt)
     reach = max(1, int(4.0 * sigma / dt))
-    bells = picks.join(rising.select(*by, "_at", F.col("tick").alias("_c"), F.col("base").alias("_b")), [*by, "_at"])
-    bells = bells.withColumn("tick", F.explode(F.sequence(F.col("_c") - reach, F.col("_c") + reach)))
-    x = (F.col("tick") - F.col("_c")) * F.lit(float(dt))
-    bells = bells.groupBy(*by, "tick").agg(F.sum((3.0 * F.col("_b") + 1e-12) * F.exp(-x * x / (2 * sigma * sigma))).alias("_s"))
-    return d.join(bells, [*by, "tick"], "left").select(*by, "tick", "t", (F.col("base") + F.coalesce("_s", F.lit(0.0))).alias("hard"))
+    d = d.withColumn("_bells", F.collect_list(bell).over(own))
+
+    def add(s: Column, b: Column) -> Column:
+        x = (F.col("tick") - b["c"]) * F.lit(float(dt))
+        return s + F.when(F.abs(F.col("tick") - b["c"]) <= reach, b["h"] * F.exp(-x * x / (2 * sigma * sigma))).otherwise(0.0)
+
+    return d.select(*by, "tick", "t", (F.col("base") + F.aggregate("_bells", F.lit(0.0), add)).alias("hard"))
 
 
 def uniform(seed: int, *cols: Column) -> Column:

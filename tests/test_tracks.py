@@ -79,3 +79,12 @@ def test_ticks_of_a_small_table_of_pulses_are_many_tasks(spark, monkeypatch):
     d = G.lay_out(one, 30.0).groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.countDistinct("tick").alias("ticks")).collect()
     assert len(d) >= 10 and max(r["n"] for r in d) < sum(r["n"] for r in d) / 5
     assert sum(r["ticks"] for r in d) < 2 * G.render(one, 30.0).count()  # a task's ticks are its own stretch
+
+
+def test_trains_shuffle_pulses_and_not_ticks(spark):
+    few = spark.createDataFrame([(1, 3000.0, 5.0, 60.0, 90.0), (2, 9000.0, 5.0, 1.0, 90.0)], PULSE)
+    d = G.impulsive_train(few, 30.0, F.lit(3), F.lit(30.0))
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    rows = {(r["id"], r["tick"]): r["hard"] for r in d.collect()}
+    assert len(rows) == G.lay_out(few, 30.0).count() and max(x for (i, _), x in rows.items() if i == 1) > 0.1
