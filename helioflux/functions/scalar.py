@@ -264,3 +264,14 @@ def hms(t: Column) -> Column:
 
 def kv_key(kind: str, *parts: Column) -> Column:
     return F.concat_ws(":", F.lit(kind), *[p.cast("string") for p in parts])
+
+
+def rounded(c: Column | str, places: int) -> Column:
+    """``round``, the same number, for columns of which there are very many: decimals are made only near ties and for large numbers.
+
+    Elsewhere the nearest integer is beyond doubt, and its quotient by a power of ten is the double nearest to the decimal.
+    """
+    x = F.col(c) if isinstance(c, str) else c
+    up = x * F.lit(10.0**places)
+    sure = (F.abs(x) < 1e6) & (F.abs(up - F.floor(up) - 0.5) > 0.01)  # not a number is not below
+    return F.when(sure, F.floor(up + 0.5) / F.lit(10.0**places)).otherwise(F.round(x, places))

@@ -36,3 +36,21 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_root(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Cells of a key on either side of a join that makes all its pairs.
+CELLS = 4
+
+
+def in_cells(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_id: str, cells: int = CELLS) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join on ``keys`` that makes (nearly) all pairs of a key, with ``_u`` and ``_v`` to be joined on too.
+
+    A key's pairs go to cells * cells cells by the identities of their rows, each pair to one, and cells are spread over four tasks a core: tables
+    of few bytes, whose pairs are many, would be one task's, as would a key with many rows.
+    """
+    n, own = 4 * left.sparkSession.sparkContext.defaultParallelism, [*keys, "_u", "_v"]
+    cell = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(cells)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))
+    l = left.withColumn("_u", cell(left_id)).withColumn("_v", every)
+    r = right.withColumn("_v", cell(right_id)).withColumn("_u", every)
+    return l.repartition(n, *own), r.repartition(n, *own)

@@ -131,7 +131,7 @@ def _triggers(spark, d):
            round(degrees(asin(least(1.0, greatest(-1.0, dz / d)))), 5) AS lat, abs(dt) <= d / {K.C_KM_S} + 3 * sd AS consistent FROM q""")
 def join_ipn_pairs(spark, d):
     p = fusion.localize(_triggers(spark, d), ["grp"])
-    return p.select("a", "b", F.round("radius_deg", 5).alias("radius_deg"), r6("halfwidth_deg").alias("halfwidth_deg"), F.round("lon", 5).alias("lon"), F.round("lat", 5).alias("lat"), "consistent")
+    return p.select("a", "b", X.rounded("radius_deg", 5).alias("radius_deg"), X.rounded("halfwidth_deg", 6).alias("halfwidth_deg"), X.rounded("lon", 5).alias("lon"), X.rounded("lat", 5).alias("lat"), "consistent")
 
 
 @query("join_ipn_consistent", f"WITH {IPN.replace('l.id AS a', 'l.grp AS grp, l.id AS a')} SELECT grp, bool_and(abs(dt) <= d / {K.C_KM_S} + 3 * sd) AS consistent FROM p WHERE d > 0 GROUP BY grp")

@@ -57,3 +57,11 @@ def test_time_parsing(spark):
     for text in ("2024-01-01T00:00:00Z", "2024-01-01 00:00:00", "2024-01-01T00:00:00+00:00"):
         assert one(spark, parse_time(F.lit(text))) == 1704067200.0
     assert one(spark, parse_time(F.lit("no time"))) is None
+
+
+def test_rounded_is_round(spark):
+    odd = [0.0, -0.0, 0.5, 2.675, -2.675, 1.000005, -1.000005, 0.1234565, 1.0000005, 1e-9, -1e-9, 999999.999995, 1e6, 123456789.123456789, 1e300, -1e300, math.inf, -math.inf, math.nan, None]
+    d = spark.createDataFrame([(x,) for x in odd], "x double").unionByName(spark.range(20_000).select(((F.xxhash64("id") % 10**12) / 7e7).alias("x"))).unionByName(spark.range(4001).select(((F.col("id") - 2000) / 2e5).alias("x")))
+    for places in (5, 6):
+        text = lambda c: c.cast("string")
+        assert d.where(~text(X.rounded("x", places)).eqNullSafe(text(F.round("x", places)))).count() == 0

@@ -9,6 +9,7 @@ import random
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 from test_queries import canon
 
 from helioflux.plans import QUERIES, SQL
@@ -83,3 +84,16 @@ def test_focus_over_all_streams_and_days(spark, table):
 def test_grid_reaches_the_last_sample(spark, table, name):
     folder, _ = table
     assert canon(QUERIES[name](spark, folder).toPandas()) == canon(pd.DataFrame(by_sql(folder, name)))
+
+
+def test_pairs_of_a_small_table_are_many_tasks(spark):
+    """One file and one key: the pairs were made in one task."""
+    from helioflux.operators.fusion import localize
+
+    k = F.col("id")
+    t = spark.range(300).coalesce(1).select(k.alias("idx"), k.cast("string").alias("source_id"), F.lit(1).alias("grp"), (k * 0.01).alias("t"), (F.cos(k) * 1e8).alias("x"), (F.sin(k) * 1e8).alias("y"), (k % 7 * 1e7).alias("z"), F.lit(0.001).alias("sigma"))
+    d = localize(t, ["grp"])
+    assert d.select("a", "b").distinct().count() == d.count() == 300 * 299 // 2
+    assert all(int(r["a"]) < int(r["b"]) for r in d.select("a", "b").collect())
+    per = [r["count"] for r in d.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(per) >= 4 and max(per) < sum(per) / 2
