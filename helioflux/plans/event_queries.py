@@ -9,6 +9,7 @@ from ..functions import scalar as X
 from ..operators import events as V
 from ..operators import fusion
 from ..operators import matching as M
+from ..operators.common import in_cells
 from ..operators.series import sessions
 from .detect_queries import pairs_sql
 from .registry import FLARES, E, events_as_flares, query, r6, read, streams
@@ -111,7 +112,8 @@ def join_nearest_event(spark, d):
 def join_bucket_neighbors(spark, d):
     b = events_as_flares(spark, d).select("event_id", X.bucket_of(F.col("t_peak")).cast("long").alias("b"))
     x = b.select(F.col("event_id").alias("a"), F.explode(F.array(F.col("b"), F.col("b") - 1)).alias("b"))
-    return x.join(b, "b").where("a <> event_id").select("a", F.col("event_id").alias("b"))
+    x, y = in_cells(x, b, ["b"], "a", "event_id")  # pairs grow with the square of an hour's events
+    return x.join(y, ["b", "_u", "_v"]).where("a <> event_id").select("a", F.col("event_id").alias("b"))
 
 
 IPN = """t AS (SELECT s_suppkey AS idx, 'S' || s_suppkey AS id, s_nationkey AS grp, s_acctbal / 100 AS t, cos(s_suppkey) * 1e8 AS x, sin(s_suppkey) * 1e8 AS y, (s_suppkey % 7) * 1e7 AS z, 0.001 * (1 + s_suppkey % 3) AS s FROM supplier),

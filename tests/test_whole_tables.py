@@ -97,3 +97,14 @@ def test_pairs_of_a_small_table_are_many_tasks(spark):
     assert all(int(r["a"]) < int(r["b"]) for r in d.select("a", "b").collect())
     per = [r["count"] for r in d.groupBy(F.spark_partition_id()).count().collect()]
     assert len(per) >= 4 and max(per) < sum(per) / 2
+
+
+def test_events_of_one_hour_are_paired_by_many_tasks(spark, tmp_path):
+    from helioflux.plans import QUERIES
+
+    at = F.expr("timestamp_ntz'2024-01-01 10:00:00' + make_interval(0, 0, 0, 0, 0, 0, id)")
+    spark.range(400).coalesce(1).select(F.col("id").alias("event_id"), at.alias("ts"), F.col("id").alias("user_id"), F.lit("view").alias("event_type"), F.lit(120.0).alias("value"), F.lit('{"k": 1}').alias("props")).write.parquet(f"{tmp_path}/events.parquet")
+    d = QUERIES["join_bucket_neighbors"](spark, str(tmp_path))
+    assert d.count() == d.distinct().count() == 400 * 399
+    per = [r["count"] for r in d.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(per) >= 4 and max(per) < sum(per) / 2
