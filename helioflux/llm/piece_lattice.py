@@ -132,6 +132,58 @@ class Lattice:
                     out[b] = (j, k)
         return out
 
+    def word(self, text: str) -> list[tuple[int, int]]:
+        """Pieces (start, id) of the path of weight 0 over all of ``text``, as ``_trace`` finds it, from the longest pieces on.
+
+        At most one path of weight 0 leads to a place, so a place from which no path leads to the end is never tried again. A walk
+        spells from every place; this one from those on the path and the few that it gave up.
+        """
+        n, tree, known = len(text), self.tree, self.side_by_side
+        if len(known) > 2 * MEMO:
+            known.clear()
+        path: list[tuple[int, int]] = []
+        tried: list[tuple[list, int]] = []  # what is left to try at the places of the path, and the piece before each
+        dead: set[int] = set()
+        a, before = 0, -1
+        while True:
+            ends, at, b = [], tree, a
+            while b < n:
+                step = at.get(text[b])
+                if step is None:
+                    break
+                k, at = step
+                b += 1
+                if k >= 0:
+                    ends.append((b, k))
+            if b == a:
+                ends.append((a + 1, -1))  # an unknown character
+            while True:
+                while ends:
+                    b, k = ends.pop()
+                    if b in dead:
+                        continue
+                    if before < 0 or k < 0:
+                        break
+                    key = before << 32 | k
+                    ok = known.get(key)
+                    if ok is None:
+                        ok = known[key] = self._apart(before, k)
+                    if ok:
+                        break
+                else:
+                    if not path:
+                        raise ValueError("no path of pieces through a word")
+                    dead.add(a)
+                    a, _ = path.pop()
+                    ends, before = tried.pop()
+                    continue
+                break
+            path.append((a, k))
+            if b == n:
+                return path
+            tried.append((ends, before))
+            a, before = b, k
+
     def crossing(self, text: str, at: int) -> list[State]:
         """Every state the border ``at`` may have, by the text around it alone."""
         if at <= 0:
@@ -262,8 +314,8 @@ class Words(dict):
     def __init__(self, lattice: Lattice) -> None:
         self.lattice = lattice
 
-    def __missing__(self, word: str) -> list[int]:
-        got = self[word] = self.lattice._spelt(word, self.lattice._trace(word, 0, None, len(word)))
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        got = self[word] = tuple(self.lattice._spelt(word, self.lattice.word(word)))  # tuples of numbers are nothing to the garbage collector
         return got
 
 

@@ -69,3 +69,16 @@ def test_pipeline_of_empty_tables(spark, tmp_path):
         spark.createDataFrame(items, "item_id long, text string").write.parquet(str(folder / "benchmark.parquet"))
         got = pipeline.run(spark, str(folder)).collect()
         assert {r["doc_id"] for r in got} == ({1} if rows else set())
+
+
+def test_words_spelt_from_the_longest_piece_on_take_the_path_of_the_walk():
+    import random
+
+    from helioflux.llm import piece_lattice, sentencepiece_scan
+
+    _, lattice = piece_lattice.load(sentencepiece_scan.VOCABULARY)
+    rng = random.Random(9)
+    for letters in ("abnaeht", "abcdefghijklmnopqrstuvwxyz▁", "aé☃\U0001f600日本 ▁"):
+        for _ in range(400):
+            word = "".join(rng.choice(letters) for _ in range(rng.randint(1, 40)))
+            assert lattice.word(word) == lattice._trace(word, 0, None, len(word))
