@@ -19,14 +19,16 @@ WIDE = 12
 ROUNDS = ((4, 2), (64, 4))
 #: The tokens are joined in so many passes, which bounds what the shuffles hold at once.
 PASSES = 2
+#: A mask of keys has 8 bits a key and at least, at most 2 to the power of these; beyond, it lets more pass.
+MASK_BITS = (12, 25)
 
 
-def text_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def text_lines(docs: DataFrame) -> DataFrame:
     """One row per line: doc_id, line_no (from 0), line in lower case with blanks as its only white space.
 
     Rows without a key have no place in the order of lines and are left out.
     """
-    d = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc_id"), F.lower(text_of(text)).alias("low"))
+    d = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.lower(text_of("text")).alias("low"))
     plain = F.when(F.col("low").rlike(f"[{OTHER_GAPS}]"), F.translate("low", OTHER_GAPS, " " * len(OTHER_GAPS))).otherwise(F.col("low"))
     return d.select("doc_id", F.posexplode(F.split(plain, "\n")).alias("line_no", "line"))
 
@@ -57,7 +59,8 @@ def _by_rarity(ranks: list[int], bits: int = SLOT_BITS) -> Column:
     turn = [s ^ ((r - sign) % top) for s, r in enumerate(ranks)]  # turns slot bits into rank bits by an exclusive or
     literal = ",".join(str((v - top if v >= sign else v) << (64 - bits)) for v in turn)
     turns = F.split(F.lit(literal), ",").cast("array<long>")  # folded into one literal
-    return F.sort_array(F.transform("hashes", lambda h: h.bitwiseXOR(F.get(turns, F.shiftrightunsigned(h, 64 - bits).cast("int")))))
+    turned = lambda h: h.bitwiseXOR(F.get(turns, F.shiftrightunsigned(h, 64 - bits).cast("int")))
+    return F.sort_array(F.transform("hashes", lambda h: F.coalesce(turned(h), h)))  # never null; arrays that cannot hold nulls are sorted as numbers
 
 
 def _probe(t: int) -> str:
@@ -92,12 +95,13 @@ def _may_match(t: int) -> Column:
     """Length, positional and sketch filter for a pair (x, y) that meets at one token, at places x.p and y.p of the prefixes.
 
     Tokens before the first one in common are not shared. The sets differ in as many tokens at least as their sketches do in bits.
+    Similar sets share t (x.n + y.n) / (100 + t) tokens at least; both sides are multiplied out, as this is asked for every pair that meets.
     """
-    need = f"(({t} * (x.n + y.n) + {99 + t}) div {100 + t})"
     length = f"100 * x.n >= {t} * y.n AND 100 * y.n >= {t} * x.n"
-    place = f"1 + least(x.n - 1 - x.p, y.n - 1 - y.p) >= {need}"
-    narrow, wide = "bit_count(x.odd ^ x.odd2 ^ y.odd ^ y.odd2)", f"(least(x.n, y.n) <= {WIDE} OR bit_count(x.odd ^ y.odd) + bit_count(x.odd2 ^ y.odd2) <= x.n + y.n - 2 * {need})"
-    return F.expr(f"{length} AND {place} AND {narrow} <= x.n + y.n - 2 * {need} AND {wide}")
+    place = f"{100 + t} * least(x.n - x.p, y.n - y.p) >= {t} * (x.n + y.n)"
+    near = lambda bits: f"{100 + t} * ({bits}) <= {100 - t} * (x.n + y.n)"
+    narrow, wide = near("bit_count(x.odd ^ x.odd2 ^ y.odd ^ y.odd2)"), near("bit_count(x.odd ^ y.odd) + bit_count(x.odd2 ^ y.odd2)")
+    return F.expr(f"{length} AND {place} AND {narrow} AND (least(x.n, y.n) <= {WIDE} OR {wide})")
 
 
 SET = ("doc_id", "line_no", "n", "odd", "odd2")
@@ -116,11 +120,37 @@ def _pairs(x: DataFrame, y: DataFrame, t: int, also: str) -> DataFrame:
     return both.select("a.doc_id", "a.line_no", F.col("b.doc_id").alias("to_doc"), F.col("b.line_no").alias("to_line")).distinct()
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, t: int) -> DataFrame:
-    """Table of the distinct later lines (doc_id, line_no) of the pairs whose whole sets are similar. Only lines in some pair are split again."""
+def _bit(key: Column, bits: int) -> tuple[Column, Column]:
+    """Place of a key in a mask of 2**bits bits: its word of 64 bits, and the bit in it."""
+    slot = F.shiftrightunsigned(key, 64 - bits)
+    return F.shiftrightunsigned(slot, 6).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
+
+
+def masked(rows: DataFrame, keys: DataFrame, n_keys: int) -> DataFrame:
+    """The ``rows`` whose values of the columns of ``keys`` may be among the ``keys``: all that are, and few others.
+
+    The mask has a bit a hash, 4 MB at most. It goes out as one row, so what is left out here is not shuffled by the join
+    with the keys that follows.
+    """
+    bits = min(max((8 * n_keys).bit_length(), MASK_BITS[0]), MASK_BITS[1])
+    word, bit = _bit(F.xxhash64(*keys.columns), bits)
+    none = rows.sparkSession.range(0, 1 << (bits - 6), 1, 1).select(F.col("id").cast("int").alias("w"), F.lit(0).cast("long").alias("b"))
+    words = keys.select(word.alias("w"), bit.alias("b")).unionByName(none).groupBy("w").agg(F.bit_or("b").alias("b"))
+    mask = words.agg(F.sort_array(F.collect_list(F.struct("w", "b"))).getField("b").alias("_mask"))
+    return rows.crossJoin(F.broadcast(mask)).where(F.get("_mask", word).bitwiseAND(bit) != 0).drop("_mask")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, t: int) -> DataFrame:
+    """Table of the distinct later lines (doc_id, line_no) of the pairs whose whole sets are similar.
+
+    Only texts with a line in some pair are cut again, and only lines in some pair are split and shuffled; the least number
+    of words was asked for when they entered the join.
+    """
     to = pairs.select(F.col("to_doc").alias("doc_id"), F.col("to_line").alias("line_no"))
-    asked = pairs.select("doc_id", "line_no").unionByName(to).distinct()
-    found = table(token_lines(lines.join(asked, ["doc_id", "line_no"])), "asked_lines")
+    asked = pairs.select("doc_id", "line_no").unionByName(to)
+    n = 2 * pairs.count()
+    lines = masked(text_lines(masked(docs, asked.select("doc_id"), n)), asked, n)
+    found = table(token_lines(lines.join(asked.distinct(), ["doc_id", "line_no"])), "asked_lines")
     v = found.select(F.col("doc_id").alias("to_doc"), F.col("line_no").alias("to_line"), F.col("hashes").alias("v"))
     both = pairs.join(found.withColumnRenamed("hashes", "u"), ["doc_id", "line_no"]).join(v, ["to_doc", "to_line"])
     both = both.withColumn("o", F.size(F.array_intersect("u", "v")))
@@ -129,8 +159,8 @@ def _verified(pairs: DataFrame, lines: DataFrame, t: int) -> DataFrame:
     return late
 
 
-def later_matches(lines: DataFrame, threshold: int = THRESHOLD, least: int = 1) -> DataFrame:
-    """Distinct rows (doc_id, line_no) of the ``lines`` that have an earlier line with 100 * |∩| >= threshold * |∪| of their words.
+def later_matches(docs: DataFrame, threshold: int = THRESHOLD, least: int = 1) -> DataFrame:
+    """Distinct rows (doc_id, line_no) of the lines of ``docs`` (doc_id, text) that have an earlier line with 100 * |∩| >= threshold * |∪| of their words.
 
     Earlier is by (doc_id, line_no). Lines of equal sets stand for one another: the first of them enters the join, the
     others are removed at once. Each set's tokens are ordered by rarity; similar sets share a token of the larger one's
@@ -144,7 +174,7 @@ def later_matches(lines: DataFrame, threshold: int = THRESHOLD, least: int = 1)
     nothing reads any more are emptied.
     """
     t = threshold
-    tokens = table(token_lines(lines, least), "tokens")
+    tokens = table(token_lines(text_lines(docs), least), "tokens")
     marked = table(line_sets(tokens, rarity_ranks(tokens), t), "line_sets")
     drop(tokens)
     first = F.min(F.struct(*SET, "prefix"))
@@ -162,7 +192,7 @@ def later_matches(lines: DataFrame, threshold: int = THRESHOLD, least: int = 1)
         near = ends.where("open").alias("x").join(heads.alias("y"), (F.col("x.token") == F.col("y.token")) & F.expr(x_later) & _may_match(t))
         nearest = F.min(F.struct(F.expr("bit_count(x.odd ^ x.odd2 ^ y.odd ^ y.odd2)"), F.col("y.doc_id").alias("to_doc"), F.col("y.line_no").alias("to_line")))
         near = near.groupBy("x.doc_id", "x.line_no").agg(nearest.alias("to")).select("doc_id", "line_no", "to.to_doc", "to.to_line")
-        settled = _verified(table(near, "first_pairs"), lines, t).withColumn("now", F.lit(False))
+        settled = _verified(table(near, "first_pairs"), docs, t).withColumn("now", F.lit(False))
         before, state = state, state.join(settled, ["doc_id", "line_no"], "left").withColumn("open", F.col("open") & F.coalesce("now", F.lit(True))).drop("now")
         state = table(state, "state")
         drop(before)
@@ -175,7 +205,7 @@ def later_matches(lines: DataFrame, threshold: int = THRESHOLD, least: int = 1)
         more = _pairs(_rows(state.where("NOT open"), _probe(t)).where(own), small.where("open"), t, f"x.n > y.n AND {y_later}")
         new = [table(met, "pairs"), table(more, "more_pairs")]
         pairs = new[0].unionByName(new[1]) if pairs is None else pairs.unionByName(new[0]).unionByName(new[1])
-    late = _verified(pairs, lines, t).withColumn("late", F.lit(True))
+    late = _verified(pairs, docs, t).withColumn("late", F.lit(True))
     gone = state.select("id1", "id2", "doc_id", "line_no", "copies", "open").join(late, ["doc_id", "line_no"], "left")
     gone = gone.select("id1", "id2", F.struct("doc_id", "line_no").alias("at"), (F.col("late").isNotNull() | ~F.col("open")).alias("late"), "copies").where("late OR copies > 1")
     lost = where.join(gone, ["id1", "id2"]).where("late OR struct(doc_id, line_no) > at")
@@ -198,7 +228,7 @@ def remove_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", thres
     own = docs.columns
     d = docs.toDF(*[f"_c{i}" for i in range(len(own))])
     k, t = f"_c{own.index(key)}", f"_c{own.index(text)}"
-    gone = later_matches(text_lines(d, k, t), threshold, least)
+    gone = later_matches(d.select(F.col(k).alias("doc_id"), F.col(t).alias("text")), threshold, least)
     gone = gone.groupBy(F.col("doc_id").alias("_k")).agg(F.sort_array(F.collect_list("line_no")).alias("_gone"))
     d = d.join(gone, F.col(k) == F.col("_k"), "left").drop("_k")
     # What stays lies between the removed places: runs of lines, put together again.

@@ -43,6 +43,17 @@ def test_line_dedup_of_short_lines(spark):
     assert got[1] == " " and got[2] == "a b c\nb c" and got[5] == "" and got[6] == ""
 
 
+def test_lines_nobody_asked_for_are_not_shuffled(spark):
+    docs = spark.range(20_000).selectExpr("id AS doc_id", "concat('a b ', id, '\\nc d ', id) AS text")
+    asked = spark.range(0, 20_000, 200).selectExpr("id AS doc_id", "1 AS line_no")
+    lines = line_dedup.masked(line_dedup.text_lines(line_dedup.masked(docs, asked.select("doc_id"), 100)), asked, 100)
+    got = {(r["doc_id"], r["line_no"]): r["line"] for r in lines.collect()}
+    assert all(got[i, 1] == f"c d {i}" for i in range(0, 20_000, 200))  # all that are asked for
+    assert len(got) < 1_000  # of 40,000
+    plan = docs.sparkSession._jvm.PythonSQLUtils.explainString(line_dedup.masked(docs, asked.select("doc_id"), 100)._jdf.queryExecution(), "simple")
+    assert "SortMergeJoin" not in plan and "BroadcastNestedLoopJoin" in plan
+
+
 @pytest.mark.skipif(not Path(SF).is_dir(), reason="no test data")
 def test_line_dedup_equals_sql_over_all_lines(spark):
     con = duckdb.connect()
