@@ -18,8 +18,7 @@ import numpy as np
 
 SPACE = "▁"
 NONE = -np.inf
-WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-#: Words whose segmentation a process remembers at once.
+#: Words and parts of words whose segmentation a process remembers at once.
 MEMO = 400_000
 #: A state at a border: how far the piece reaches over it, and its id (-1 for an unknown character).
 State = tuple[int, int]
@@ -48,6 +47,7 @@ class Lattice:
             at[p[-1]] = (-1 if k in self.unmade else k, at[p[-1]][1] if p[-1] in at else {})
         self.side_by_side: dict[int, bool] = {}  # by both ids in one number
         self.memo = Words(self)
+        self.parts_of = _parts_of(table).findall
 
     def _last_merge(self, piece: str) -> tuple[int, int] | None:
         """The two pieces whose merge completes ``piece``, by merging it from its characters."""
@@ -283,7 +283,7 @@ class Lattice:
         out = self._spelt(text, self._trace(text, start, first, h)) if h > start else []
         if len(self.memo) > MEMO:
             self.memo.clear()
-        out += chain.from_iterable(map(self.memo.__getitem__, WORD.findall(text, h, w)))
+        out += chain.from_iterable(map(self.memo.__getitem__, self.parts_of(text, h, w)))
         return out + self._spelt(text, self._trace(text, w, None, end, fixed))
 
     def _spelt(self, text: str, path: list[tuple[int, int]]) -> list[int]:
@@ -308,8 +308,29 @@ class Lattice:
         return list(chain.from_iterable(self.pieces(text, a, b, states[i], states[i + 1]) for i, (a, b) in enumerate(borders)))
 
 
+def _parts_of(table: dict[str, tuple[int, float]]) -> re.Pattern:
+    """Parts of words that merge apart: runs of letters and runs of other characters, either with the spaces before it.
+
+    What some piece has next to a letter counts as a letter, and so does what some piece has next to that. So no piece lies
+    across the end of a part, nothing merges there, and words that differ in marks share parts.
+    """
+    beside: dict[str, set[str]] = {}
+    for p in table:
+        for x, y in zip(p, p[1:], strict=False):
+            if x != SPACE and y != SPACE:
+                beside.setdefault(x, set()).add(y)
+                beside.setdefault(y, set()).add(x)
+    letters = {c for p in table for c in p if c.isalpha()}
+    new = letters
+    while new:
+        new = {d for c in new for d in beside.get(c, ())} - letters
+        letters = letters | new
+    kind = "".join(map(re.escape, sorted(letters)))
+    return re.compile(f"{SPACE}*(?:[{kind}]+|[^{kind}{SPACE}]+)|{SPACE}+" if kind else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+
+
 class Words(dict):
-    """Ids of whole words, found when first asked for."""
+    """Ids of whole words or parts of words, found when first asked for."""
 
     def __init__(self, lattice: Lattice) -> None:
         self.lattice = lattice

@@ -82,3 +82,18 @@ def test_words_spelt_from_the_longest_piece_on_take_the_path_of_the_walk():
         for _ in range(400):
             word = "".join(rng.choice(letters) for _ in range(rng.randint(1, 40)))
             assert lattice.word(word) == lattice._trace(word, 0, None, len(word))
+
+
+def test_words_that_differ_in_marks_share_their_pieces():
+    from helioflux.llm import piece_lattice, sentencepiece_scan
+
+    m = sentencepiece_scan.Pieces(sentencepiece_scan.VOCABULARY)
+    lattice = piece_lattice.Lattice(m.table, m.spell_char)
+    texts = ["seldomly, seldomly; (seldomly) seldomly!", "x² ². snake_case a_b __init__ 1a2b3 don't l'été.\nNext", "日本語、テキスト。ok…", "\u2581,a \u2581\u2581.b ٣.١٤ क्षि!"]
+    for text in texts:
+        for size in (1, 5, 4096):
+            assert sentencepiece_scan.encode_chunked(m, text, size, lattice) == m.sp.encode(text)
+    assert "\u2581seldomly" in lattice.memo and "\u2581seldomly;" not in lattice.memo
+    pair = {p[i : i + 2] for p in m.table for i in range(len(p) - 1)}
+    cuts = [a[-1] + b[0] for t in texts for parts in [lattice.parts_of(m.sp.normalize(t))] for a, b in zip(parts, parts[1:], strict=False)]
+    assert not any(c in pair for c in cuts if not c.endswith("\u2581"))
