@@ -193,30 +193,32 @@ def settle(df: DataFrame, make: Callable[[], object], step: Callable[[object, di
     block = [*by, "_part", "_b"]
     fresh = json.dumps(make().__dict__)
 
-    def ran(g: pd.DataFrame) -> tuple[list[tuple], str, str]:
-        begin = g["_begin"].iloc[0]
+    def ran(g: pd.DataFrame, begin: str) -> tuple[list[tuple], str]:
         m, out = make(), []
         m.__dict__.update(json.loads(begin))
         g = g.sort_values("_i")
         for i in range(0, len(g), ROWS):
             for r in g.iloc[i : i + ROWS].to_dict("records"):
                 out += step(m, r)
-        return out, begin, json.dumps(m.__dict__)
+        return out, json.dumps(m.__dict__)
 
-    def ends(g: pd.DataFrame) -> pd.DataFrame:
-        _, begin, end = ran(g)
-        out = g[block].iloc[:1].copy()
-        out["_begin"], out["_end"] = begin, end
+    def ends(g: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
+        out = s[[*block, "_begin"]].copy()
+        out["_end"] = ran(g, s["_begin"].iloc[0])[1]
         return out
 
-    def rows_of(g: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(ran(g)[0], columns=names, dtype=object)
+    def rows_of(g: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame(ran(g, s["_begin"].iloc[0])[0], columns=names, dtype=object)
         for k, c in enumerate(by):
             out.insert(k, c, g[c].iloc[0])
         return out
 
-    run = lambda b: b.groupBy(*block).applyInPandas(ends, f"{kinds}_part long, _b long, _begin string, _end string")
-    state = cut(run(d.withColumn("_begin", F.lit(fresh))))
+    def given(f: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], of: DataFrame, states: DataFrame, out: str) -> DataFrame:
+        """A block's rows and its state meet in its task; a state may be large, and beside every row it would take more room than all else."""
+        return of.groupBy(*block).cogroup(states.select(*block, "_begin").groupBy(*block)).applyInPandas(f, out)
+
+    kept = f"{kinds}_part long, _b long, _begin string, _end string"
+    state = cut(given(ends, d, d.select(*block).distinct().withColumn("_begin", F.lit(fresh)), kept))
     before = Window.partitionBy(*by).orderBy("_part", "_b")  # a row per block
     done = 0
     first = F.shiftleft("_part", 33) + F.col("_b") * rows  # row of a block
@@ -231,6 +233,6 @@ def settle(df: DataFrame, make: Callable[[], object], step: Callable[[object, di
         done += 1
         if rounds is not None and done > rounds:
             raise RuntimeError(f"blocks are not settled after {rounds} rounds")
-        again = run(d.where((F.col("_at") >= lo) & (F.col("_at") < hi)).join(late, block))
+        again = given(ends, d.where((F.col("_at") >= lo) & (F.col("_at") < hi)).join(late.select(*block), block), late, kept)
         state = cut(state.join(late.select(*block), block, "left_anti").unionByName(again))
-    return d.join(state.select(*block, "_begin"), block).groupBy(*block).applyInPandas(rows_of, f"{kinds}{schema}").select(*by, *names)
+    return given(rows_of, d, state, f"{kinds}{schema}").select(*by, *names)

@@ -253,3 +253,58 @@ def test_clusters_of_many_entries(spark):
         want[e] = m.push(t, lon, lat, f"{c}:{e}")[0]
     got = {r["event_id"]: r["cluster"] for r in M.place_entries(spark.createDataFrame(rows, ENTRY), rows=100).collect()}
     assert got == want
+
+
+def test_a_state_goes_to_its_block_once(rows, frame):
+    """Every row of a block took the state through the shuffle and into the task."""
+    d = B.settle(frame, S.Ema, lambda m, r: [(r["event_id"], "_begin" in r)], "event_id long, seen boolean", ("stream",), ("t", "event_id"), 100)
+    seen = {r["event_id"]: r["seen"] for r in d.collect()}
+    assert set(seen) == {r[0] for r in rows} and not any(seen.values())
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    wide = [line for line in plan.splitlines() if "event_id" in line and "_begin" in line and "CoGroup" not in line]
+    assert "CoGroup" in plan and not wide
+
+
+@pytest.mark.parametrize("grain", [1.0, 20.0])
+def test_truth_on_crowded_windows(grain):
+    """Hundreds of used and free events in a window, with ties: one event goes to one truth row, as in the plain loop over all of them."""
+    rng = random.Random(5)
+    time = lambda: grain * round(rng.uniform(0, 6000) / grain)
+    events, truth = sorted((time(), i) for i in range(3000)), sorted((time(), i) for i in range(3000))
+    arrive = sorted([(t, False, i, t) for t, i in events] + [(t + 600.0, True, i, t) for t, i in truth])
+    m, got, most = S.TruthMatcher(600.0), {}, 0
+    for now, is_truth, i, t in arrive:
+        hit = m.push(is_truth, t, i, now)
+        most = max(most, len(m.free))
+        if hit:
+            got[hit[0]] = hit[1:]
+    free, want = list(events), {}
+    for t, i in truth:
+        best, mate = 600.0, None
+        for e in free:
+            if abs(e[0] - t) <= best:
+                best, mate = abs(e[0] - t), e
+        if mate:
+            free.remove(mate)
+            want[i] = (mate[1], mate[0] - t)
+    assert got == want and len({e for e, _ in got.values()}) == len(got) > 2000 and most > 300
+
+
+def test_a_truth_row_looks_at_few_events():
+    """It went through all free events of its window; a row of n looks at about log2(n)."""
+
+    class Time(float):
+        asked = 0
+
+        def __sub__(self, other):
+            Time.asked += 1
+            return float(self) - other
+
+        def __rsub__(self, other):
+            Time.asked += 1
+            return other - float(self)
+
+    m = S.TruthMatcher(600.0)
+    m.free = [[Time(i / 10), i] for i in range(6000)]
+    assert m.push(True, 300.02, 7, 900.02)[:2] == (7, 3000)
+    assert Time.asked < 100
