@@ -74,3 +74,59 @@ def test_robust_fit_of_large_groups(spark, monkeypatch):
         assert selecting[g]["n"] == want["n"]
         for c in ("a", "b", "resid", "rms_log", "r2"):
             assert selecting[g][c] == pytest.approx(want[c], rel=1e-9)
+
+
+def sorted_median(xs):
+    s = sorted(xs)
+    return (s[(len(s) - 1) // 2] + s[len(s) // 2]) / 2
+
+
+@pytest.mark.parametrize("limit", [1, 300, 10**6])
+def test_median_and_mad_equal_sorting(spark, limit):
+    """In two passes, by selection where bounds hold more than ``limit`` rows, and by sorting; a row counts as often as its weight says."""
+    rng = random.Random(4)
+    g = {k: [(x, 1 + rng.randrange(4)) for x in xs] for k, xs in groups().items() if k not in (None, "far")}
+    d = spark.createDataFrame([(k, x, c) for k, xs in g.items() for x, c in xs] + [("normal", None, 5), ("none", None, 1)], "stream string, value double, c long").repartition(6)
+    got = {r["stream"]: (r["m"], r["mad"]) for r in Q.median_and_mad(d, "value", ["stream"], 10**9 if limit < 10**6 else 10, "c", limit=limit).collect()}
+    assert set(got) == set(g)
+    for k, xs in g.items():
+        full = [x for x, c in xs for _ in range(c)]
+        m = sorted_median(full)
+        assert got[k][0] == pytest.approx(m, rel=1e-12, abs=1e-300)
+        assert got[k][1] == pytest.approx(sorted_median([abs(x - m) for x in full]), rel=1e-9, abs=1e-300)
+
+
+def test_quantiles_with_weights(spark):
+    rng = random.Random(6)
+    rows = [("a", float(rng.randrange(400)), 1 + rng.randrange(5)) for _ in range(900)]
+    d = spark.createDataFrame(rows, "stream string, value double, c long")
+    full = sorted(x for _, x, c in rows for _ in range(c))
+    for limit in (1, 200, 10**6):
+        m = Q.quantiles(d, "value", 0.5, ["stream"], most=900, limit=limit, buckets=16, weight="c").first()["m"]
+        assert m == sorted_median(full)
+
+
+@pytest.mark.parametrize("copies", [1, 40])
+def test_robust_fit_takes_few_passes(spark, copies):
+    """Large groups: every reweighting took two selections of several rounds each; equal points were read one by one."""
+    from helioflux.operators import fusion as U
+
+    rng = random.Random(9)
+    rows = [("ab"[i % 2], 10 ** (i / 400), 10 ** (0.3 + 1.2 * i / 400 + rng.gauss(0, 0.05) + (2.0 if i % 17 == 0 else 0.0))) for i in range(800)]
+    d = spark.createDataFrame(rows, "g string, x double, y double")
+    want = {r["g"]: r.asDict() for r in U.fit_transfer(d, "x", "y", ["g"], rounds=3).collect()}
+    many = d.withColumn("k", U.F.explode(U.F.sequence(U.F.lit(1), U.F.lit(copies)))).drop("k")
+    points = U.F.count("*")
+    kept, most = U._points(many.selectExpr("g", "log10(x) lx", "log10(y) ly", "1L c"), ["g"])
+    assert (kept.count(), most) == (800, 400) and kept.agg(U.F.sum("c"), points).first()[0] == 800 * copies
+    tracker = spark.sparkContext.statusTracker()
+    with pytest.MonkeyPatch.context() as mp:
+        mp.setattr(Q.median_and_mad, "__defaults__", (200,))
+        spark.sparkContext.setJobGroup(f"fit{copies}", "fit")
+        got = {r["g"]: r.asDict() for r in U.fit_transfer(many, "x", "y", ["g"], rounds=3).collect()}
+    spark.sparkContext.setJobGroup("", "")
+    assert len(tracker.getJobIdsForGroup(f"fit{copies}")) < 120
+    for g, w in want.items():
+        assert got[g]["n"] == copies * w["n"]
+        for c in ("a", "b", "resid", "rms_log", "r2"):
+            assert got[g][c] == pytest.approx(w[c], rel=1e-9)
