@@ -40,18 +40,13 @@ def shingle_sets(texts: list[str | None], words: int) -> tuple[np.ndarray, np.nd
     A-Z are lower-cased and words are runs of characters other than ASCII white space. A text with fewer words is one
     shingle, its whole sequence; a text without words, or null, has the empty set.
     """
-    memo: dict[bytes, int] = {}
-    ids: list[int] = []
+    hashes: list[int] = []
     counts = np.zeros(len(texts), np.int64)
     for k, t in enumerate(texts):
         ws = t.encode("utf-8", "surrogatepass").lower().split() if t else []
         counts[k] = len(ws)
-        for w in ws:
-            h = memo.get(w)
-            if h is None:
-                h = memo[w] = xxhash.xxh3_64_intdigest(w)
-            ids.append(h)
-    w = np.array(ids, np.uint64)
+        hashes.extend(map(xxhash.xxh3_64_intdigest, ws))  # hashing anew costs less than looking a word up
+    w = np.array(hashes, np.uint64)
     starts = np.cumsum(counts) - counts
     h = np.zeros(len(w), np.uint64)
     for j in range(min(words, len(w))):  # starts whose n-gram leaves the text are left out below
@@ -65,8 +60,11 @@ def shingle_sets(texts: list[str | None], words: int) -> tuple[np.ndarray, np.nd
     if len(short):
         whole = [xxhash.xxh3_64_intdigest(w[starts[k] : starts[k] + counts[k]].tobytes(), 5) for k in short]
         own, tok = np.concatenate([own, short]), np.concatenate([tok, np.array(whole, np.uint64)])
-    order = np.lexsort((tok, own))
-    own, tok = own[order], tok[order]
+        order = np.argsort(own, kind="stable")
+        own, tok = own[order], tok[order]
+    ends = np.searchsorted(own, np.arange(len(texts) + 1)).tolist()
+    for a, b in zip(ends, ends[1:]):  # many short sorts take half the time of one by (own, tok)
+        tok[a:b].sort()
     first = np.ones(len(tok), bool)
     first[1:] = (own[1:] != own[:-1]) | (tok[1:] != tok[:-1])
     own, tok = own[first], tok[first]

@@ -91,7 +91,7 @@ def quality_signals(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...]
     t = text_of(text)
     d = docs.withColumn("_hf_words", words_of(t)).withColumn("_hf_lines", F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, GAP_CHARS, "")) > 0))
     w, lines = F.col("_hf_words"), F.col("_hf_lines")
-    plain = lambda x: F.lower(F.regexp_replace(x, r"[,.]+$", ""))
+    plain = lambda x: F.lower(F.rtrim(x, F.lit(",.")))
     count = lambda a, f: F.size(F.filter(a, f)).cast("long")
     trimmed = lambda x: F.trim(x, F.lit(GAP_CHARS))
     signals = {
